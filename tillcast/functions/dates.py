@@ -5,22 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted date layouts, tried in this order.  Day-first wins
-# for ambiguous values such as 12/1/2010 (→ 12 January), month-first is the
-# fallback (12/25/2010 → 25 December), then ISO-8601 forms.
-DAY_FIRST_FORMATS = ("d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy")
-MONTH_FIRST_FORMATS = ("M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy")
-DASH_FORMATS = ("d-M-yyyy H:mm", "d-M-yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss",
-                "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd")
+# Accepted date layouts.  Day-first wins for ambiguous values
+# such as 12/1/2010 (→ 12 January); month-first is the fallback when the
+# day-first reading is impossible (12/25/2010 → 25 December).
+SLASH_DAY_FIRST = {"s": "d/M/yyyy H:mm:ss", "m": "d/M/yyyy H:mm", "d": "d/M/yyyy"}
+SLASH_MONTH_FIRST = {"s": "M/d/yyyy H:mm:ss", "m": "M/d/yyyy H:mm", "d": "M/d/yyyy"}
+DASH_DAY_FIRST = {"s": "d-M-yyyy H:mm:ss", "m": "d-M-yyyy H:mm", "d": "d-M-yyyy"}
+DASH_MONTH_FIRST = {"s": "M-d-yyyy H:mm:ss", "m": "M-d-yyyy H:mm", "d": "M-d-yyyy"}
+
+
+def _by_time_part(s: Column, formats: dict) -> Column:
+    """Pick the one layout whose time part matches, instead of trying all
+    (a failed parse is far more expensive than a regex test)."""
+    return (F.when(s.rlike(r"\s\d{1,2}:\d{2}:\d{2}$"), F.try_to_timestamp(s, F.lit(formats["s"])))
+            .when(s.rlike(r"\s\d{1,2}:\d{2}$"), F.try_to_timestamp(s, F.lit(formats["m"])))
+            .when(s.rlike(r"^\S+$"), F.try_to_timestamp(s, F.lit(formats["d"]))))
 
 
 def parse_mixed_timestamp(c: Column) -> Column:
     """CLEAN-5: mixed-format, day-first timestamp parse; NULL when nothing
-    fits (ANSI-safe ``try_to_timestamp``, no exception per row)."""
+    fits.  Each value is routed by a regex to one layout family (d/M/y,
+    d-M-y, ISO), so a typical value costs one parse attempt."""
     s = F.trim(c)
-    tries = [F.try_to_timestamp(s, F.lit(f)) for f in DAY_FIRST_FORMATS + MONTH_FIRST_FORMATS + DASH_FORMATS]
-    tries.append(F.try_to_timestamp(s))
-    return F.coalesce(*tries)
+    slash = s.rlike(r"^\d{1,2}/\d{1,2}/\d{4}")
+    dash = s.rlike(r"^\d{1,2}-\d{1,2}-\d{4}")
+    return (F.when(slash, F.coalesce(_by_time_part(s, SLASH_DAY_FIRST), _by_time_part(s, SLASH_MONTH_FIRST)))
+            .when(dash, F.coalesce(_by_time_part(s, DASH_DAY_FIRST), _by_time_part(s, DASH_MONTH_FIRST)))
+            .otherwise(F.try_to_timestamp(F.translate(s, "/", "-"))))
 
 
 def period_label(d: Column, granularity: str) -> Column:

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from tillcast.operators import abc as abc_ops
 from tillcast.operators import alerts as alert_ops
 from tillcast.operators import analytics, daily as daily_ops, movement, products as prod_ops
-from tillcast.operators import registry
-from tillcast.sources.tpch import RetailData
+from tillcast.operators import catalogue, cleaning, features, forecasting, registry
+from tillcast.sources.tpch import RetailData, raw_log_from_facts, superstore_log_from_facts
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -200,6 +200,138 @@ def q_delete_upload_orphans(spark, sf_dir):
     return orphans.select("product_id", "stock_code")
 
 
+def _clean(d: RetailData) -> cleaning.CleanResult:
+    return cleaning.clean_log(raw_log_from_facts(d.tx), file_col="_file")
+
+
+def _clean_out(df: DataFrame) -> DataFrame:
+    return df.select(
+        F.col("_file").alias("file"), F.col("InvoiceNo").alias("invoice_no"),
+        F.col("StockCode").alias("stock_code"), F.col("Description").alias("description"),
+        F.col("Quantity").alias("quantity"),
+        F.date_format("InvoiceDate", "yyyy-MM-dd HH:mm:ss").alias("invoice_date"),
+        F.col("Price").alias("price"), F.col("`Customer ID`").alias("customer_id"),
+        F.col("Country").alias("country"), "is_return", "revenue")
+
+
+def q_clean_accept(spark, sf_dir):
+    return _clean_out(_clean(_data(spark, sf_dir)).accepted)
+
+
+def q_clean_report(spark, sf_dir):
+    return _clean(_data(spark, sf_dir)).report
+
+
+def q_clean_summary(spark, sf_dir):
+    return _clean(_data(spark, sf_dir)).summary
+
+
+def q_clean_superstore(spark, sf_dir):
+    d = _data(spark, sf_dir)
+    res = cleaning.clean_log(superstore_log_from_facts(d.tx))
+    return _clean_out(res.accepted.withColumn("_file", F.lit("superstore.csv")))
+
+
+def _product_out(df: DataFrame) -> DataFrame:
+    return df.select("product_id", "stock_code", "description", "unit_cost", "current_stock",
+                     "lead_time_days", "safety_stock")
+
+
+def q_product_upsert(spark, sf_dir):
+    """DIM-1/2 from an empty catalogue: one product per code, first row wins,
+    dense ids in code order."""
+    acc = _clean(_data(spark, sf_dir)).accepted
+    return _product_out(catalogue.assign_ids(catalogue.new_products(acc, None), None))
+
+
+def q_product_upsert_incremental(spark, sf_dir):
+    """DIM-1/2 for the latest file against the catalogue of all earlier files."""
+    acc = _clean(_data(spark, sf_dir)).accepted
+    latest = acc.agg(F.max("_upload_id")).scalar()
+    existing = catalogue.assign_ids(catalogue.new_products(acc.filter(F.col("_upload_id") != latest), None), None)
+    added = catalogue.new_products(acc.filter(F.col("_upload_id") == latest), existing)
+    return _product_out(catalogue.assign_ids(added, existing))
+
+
+def q_fact_build(spark, sf_dir):
+    d = _data(spark, sf_dir)
+    facts = catalogue.build_facts(_clean(d).accepted, d.products, F.col("_upload_id"))
+    return facts.select("invoice_no", "product_id", "quantity",
+                        F.col("unit_price").cast("double").alias("unit_price"),
+                        F.col("revenue").cast("double").alias("revenue"),
+                        F.date_format("invoice_date", "yyyy-MM-dd HH:mm:ss").alias("invoice_date"),
+                        "customer_id", "country", "is_return", "upload_id")
+
+
+def _series(d: RetailData) -> DataFrame:
+    elig = features.eligible_products(d.daily)
+    return features.densify(d.daily.join(elig.select("product_id"), "product_id", "left_semi"))
+
+
+def _model_frame(d: RetailData) -> DataFrame:
+    return features.model_frame(d.daily)
+
+
+def q_eligible_products(spark, sf_dir):
+    return features.eligible_products(_data(spark, sf_dir).daily)
+
+
+def q_densify(spark, sf_dir):
+    return _series(_data(spark, sf_dir))
+
+
+def q_calendar_features(spark, sf_dir):
+    return features.calendar_features(_series(_data(spark, sf_dir))).drop("y", "revenue")
+
+
+def q_lag_features(spark, sf_dir):
+    return features.lag_features(_series(_data(spark, sf_dir))).drop("revenue")
+
+
+def q_rolling_features(spark, sf_dir):
+    r = features.rolling_features(_series(_data(spark, sf_dir)))
+    return r.select("product_id", "ds", "y", "rolling_7_mean", "rolling_14_mean", "rolling_28_mean",
+                    F.round("rolling_7_std", 6).alias("rolling_7_std"), "trend_signal")
+
+
+def q_feature_split(spark, sf_dir):
+    f = _model_frame(_data(spark, sf_dir))
+    return f.groupBy("product_id").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(~F.col("is_test")).alias("train_rows"),
+        F.count_if(F.col("is_test")).alias("test_rows"),
+        F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds"))
+
+
+def q_metrics(spark, sf_dir):
+    """FC-6 with the seasonal-naive predictor (y of 7 days before) on each
+    product's test split, so SQL can check the metric arithmetic."""
+    f = _model_frame(_data(spark, sf_dir)).filter(F.col("is_test"))
+    return features.error_metrics(f.withColumn("prediction", F.col("lag_7")))
+
+
+FORECAST_TREES = 20
+
+
+def _trained(d: RetailData) -> forecasting.TrainedForecast:
+    return forecasting.train(d.daily, max_iter=FORECAST_TREES)
+
+
+def q_forecast(spark, sf_dir):
+    """FC-3..5: pooled GBT, 30-day recursive forecast with 95 % bands."""
+    t = _trained(_data(spark, sf_dir))
+    fc = forecasting.recursive_forecast(t.model, t.history, horizon=30)
+    return forecasting.with_bands(fc, t.residual_sd)
+
+
+def q_forecast_metrics(spark, sf_dir):
+    return _trained(_data(spark, sf_dir)).metrics
+
+
+def q_feature_importance(spark, sf_dir):
+    return forecasting.feature_importance(_trained(_data(spark, sf_dir)).model)
+
+
 QUERIES: dict[str, QueryFn] = {
     "daily_sales": q_daily_sales,
     "top_products": q_top_products,
@@ -235,4 +367,21 @@ QUERIES: dict[str, QueryFn] = {
     "switch_active": q_switch_active,
     "daily_merge": q_daily_merge,
     "delete_upload_orphans": q_delete_upload_orphans,
+    "clean_accept": q_clean_accept,
+    "clean_report": q_clean_report,
+    "clean_summary": q_clean_summary,
+    "clean_superstore": q_clean_superstore,
+    "product_upsert": q_product_upsert,
+    "product_upsert_incremental": q_product_upsert_incremental,
+    "fact_build": q_fact_build,
+    "eligible_products": q_eligible_products,
+    "densify": q_densify,
+    "calendar_features": q_calendar_features,
+    "lag_features": q_lag_features,
+    "rolling_features": q_rolling_features,
+    "feature_split": q_feature_split,
+    "metrics": q_metrics,
+    "forecast": q_forecast,
+    "forecast_metrics": q_forecast_metrics,
+    "feature_importance": q_feature_importance,
 }

@@ -244,6 +244,96 @@ PRODUCT_LIST = """
 )"""
 
 
+RAW_LOG = r"""
+, rawk AS (SELECT *, CAST(invoice_no AS BIGINT) % 50 AS k, CAST(product_id AS VARCHAR) AS pid FROM txr),
+raw AS (
+  SELECT 'sales_' || CAST(upload_id + 1994 AS VARCHAR) || '.csv' AS _file, upload_id AS _upload_id,
+         invoice_no AS InvoiceNo,
+         CASE WHEN k = 3 THEN NULL WHEN k = 4 THEN '=SKU' || pid ELSE 'SKU' || pid END AS StockCode,
+         CASE WHEN k = 5 THEN '@cmd' ELSE 'part ' || pid END AS Description,
+         CASE WHEN k = 2 THEN '200000' ELSE CAST(quantity AS VARCHAR) END AS Quantity,
+         CASE WHEN k = 7 THEN strftime(invoice_date, '%d/%m/%Y') ELSE strftime(invoice_date, '%Y-%m-%d %H:%M:%S') END
+           AS InvoiceDate,
+         CASE WHEN k = 0 THEN 'abc' WHEN k = 1 THEN '-1' ELSE CAST(CAST(unit_cents AS DOUBLE) / 100 AS VARCHAR) END AS Price,
+         customer_id AS CustomerID,
+         CASE WHEN k = 6 THEN '  ' || country || '  ' ELSE country END AS Country
+  FROM rawk
+),
+typed AS (
+  SELECT *, coalesce(try_strptime(InvoiceDate, '%d/%m/%Y'), try_strptime(InvoiceDate, '%Y-%m-%d %H:%M:%S')) AS d,
+         try_cast(trim(Quantity) AS DOUBLE) AS q, try_cast(trim(Price) AS DOUBLE) AS p
+  FROM raw
+),
+reasons AS (
+  SELECT *, CASE WHEN StockCode IS NULL OR d IS NULL OR q IS NULL OR p IS NULL THEN 'null_values'
+                 WHEN p < 0 OR p > 100000 THEN 'invalid_price'
+                 WHEN abs(q) > 100000 THEN 'extreme_quantity' END AS reason
+  FROM typed
+),
+acc AS (
+  SELECT _file, _upload_id, InvoiceNo,
+         regexp_replace(trim(StockCode), '^[=+\-@	
+]+', '') AS StockCode,
+         regexp_replace(trim(Description), '^[=+\-@	
+]+', '') AS Description,
+         q AS Quantity, d AS InvoiceDate, p AS Price, nullif(trim(CustomerID), '') AS CustomerID,
+         regexp_replace(trim(Country), '^[=+\-@	
+]+', '') AS Country,
+         q < 0 AS is_return, q * p AS revenue
+  FROM reasons WHERE reason IS NULL
+)
+"""
+
+CLEAN_OUT = """
+SELECT _file AS file, InvoiceNo AS invoice_no, StockCode AS stock_code, Description AS description,
+       Quantity AS quantity, strftime(InvoiceDate, '%Y-%m-%d %H:%M:%S') AS invoice_date, Price AS price,
+       CustomerID AS customer_id, Country AS country, is_return, revenue
+FROM acc"""
+
+FIRST_ROWS = """
+firsts AS (
+  SELECT StockCode AS stock_code, Description AS d0, Price AS p0,
+         row_number() OVER (PARTITION BY StockCode ORDER BY InvoiceDate NULLS FIRST, InvoiceNo NULLS FIRST,
+                            Price NULLS FIRST, Description NULLS FIRST) AS rn
+  FROM scope_rows
+)"""
+
+PRODUCT_OUT = """
+SELECT CAST(base + row_number() OVER (ORDER BY stock_code) AS BIGINT) AS product_id, stock_code,
+       nullif(substr(trim(d0), 1, 500), '') AS description, greatest(0.1, p0 * 0.4) AS unit_cost,
+       0 AS current_stock, 7 AS lead_time_days, 0 AS safety_stock
+FROM firsts WHERE rn = 1"""
+
+
+SERIES = """
+, elig AS (SELECT product_id, CAST(COUNT(*) AS BIGINT) AS daily_rows FROM daily GROUP BY 1 HAVING COUNT(*) >= 30),
+rng AS (SELECT product_id, min(sale_date) AS lo, max(sale_date) AS hi FROM daily
+        WHERE product_id IN (SELECT product_id FROM elig) GROUP BY 1),
+cal AS (SELECT product_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS ds FROM rng),
+dense AS (
+  SELECT c.product_id, c.ds, coalesce(greatest(CAST(d.total_quantity AS DOUBLE), 0.0), 0.0) AS y,
+         coalesce(CAST(d.rev_cents AS DOUBLE) / 100, 0.0) AS revenue
+  FROM cal c LEFT JOIN daily d ON d.product_id = c.product_id AND d.sale_date = c.ds
+),
+feat AS (
+  SELECT *, lag(y, 1) OVER w AS lag_1, lag(y, 7) OVER w AS lag_7, lag(y, 14) OVER w AS lag_14,
+         lag(y, 28) OVER w AS lag_28,
+         AVG(y) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS rolling_7_mean,
+         AVG(y) OVER (w ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING) AS rolling_14_mean,
+         AVG(y) OVER (w ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING) AS rolling_28_mean,
+         coalesce(stddev_samp(y) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), 0.0) AS rolling_7_std
+  FROM dense WINDOW w AS (PARTITION BY product_id ORDER BY ds)
+),
+longp AS (SELECT product_id FROM dense GROUP BY 1 HAVING COUNT(*) >= 60),
+mf AS (
+  SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY ds) AS idx,
+         COUNT(*) OVER (PARTITION BY product_id) AS n
+  FROM feat WHERE lag_28 IS NOT NULL AND product_id IN (SELECT product_id FROM longp)
+),
+mfs AS (SELECT *, idx > floor(n * CAST(0.8 AS DOUBLE)) AS is_test FROM mf)
+"""
+
+
 SQL: dict[str, str] = {
     "daily_sales": _daily_cols("daily"),
     "top_products": _top(10),
@@ -361,6 +451,67 @@ merged AS (
   FROM part_daily GROUP BY 1, 2
 )
 """ + _daily_cols("merged"),
+    "clean_accept": RAW_LOG + CLEAN_OUT,
+    "clean_report": RAW_LOG + """
+SELECT reason AS type,
+       CASE reason WHEN 'null_values' THEN CAST(COUNT(*) AS VARCHAR) || ' rows had null values in critical columns and were removed.'
+                   WHEN 'invalid_price' THEN CAST(COUNT(*) AS VARCHAR) || ' rows with invalid price values removed.'
+                   ELSE CAST(COUNT(*) AS VARCHAR) || ' rows with extreme quantities (>100000) removed.' END AS message,
+       FALSE AS fatal, CAST(COUNT(*) AS BIGINT) AS affected_rows
+FROM reasons WHERE reason IS NOT NULL GROUP BY reason""",
+    "clean_summary": RAW_LOG + """
+SELECT CAST(COUNT(*) AS BIGINT) AS row_count, CAST(COUNT(*) FILTER (WHERE reason IS NULL) AS BIGINT) AS valid_rows,
+       CAST(COUNT(*) FILTER (WHERE reason IS NOT NULL) AS BIGINT) AS invalid_rows, CAST(0 AS BIGINT) AS empty_rows
+FROM reasons""",
+    "clean_superstore": """
+, ss AS (
+  SELECT invoice_no, product_id, customer_id, country, rev_cents,
+         coalesce(try_strptime(strftime(invoice_date, '%m/%d/%Y'), '%d/%m/%Y'),
+                  try_strptime(strftime(invoice_date, '%m/%d/%Y'), '%m/%d/%Y')) AS d
+  FROM txr
+)
+SELECT 'superstore.csv' AS file, invoice_no, 'SKU' || CAST(product_id AS VARCHAR) AS stock_code,
+       'part ' || CAST(product_id AS VARCHAR) AS description, 1.0 AS quantity,
+       strftime(d, '%Y-%m-%d %H:%M:%S') AS invoice_date, CAST(rev_cents AS DOUBLE) / 100 AS price,
+       customer_id, country, FALSE AS is_return, CAST(rev_cents AS DOUBLE) / 100 AS revenue
+FROM ss WHERE CAST(rev_cents AS DOUBLE) / 100 BETWEEN 0 AND 100000""",
+    "product_upsert": RAW_LOG + ", scope_rows AS (SELECT * FROM acc),\n" + FIRST_ROWS
+        + ", b AS (SELECT 0 AS base)\n" + PRODUCT_OUT.replace("FROM firsts", "FROM firsts, b"),
+    "product_upsert_incremental": RAW_LOG + """
+, latest AS (SELECT max(_upload_id) AS u FROM acc),
+old_codes AS (SELECT DISTINCT StockCode FROM acc WHERE _upload_id <> (SELECT u FROM latest)),
+scope_rows AS (SELECT * FROM acc WHERE _upload_id = (SELECT u FROM latest)
+               AND StockCode NOT IN (SELECT StockCode FROM old_codes)),
+""" + FIRST_ROWS + ", b AS (SELECT COUNT(*) AS base FROM old_codes)\n"
+        + PRODUCT_OUT.replace("FROM firsts", "FROM firsts, b"),
+    "fact_build": RAW_LOG + """
+SELECT substr(a.InvoiceNo, 1, 20) AS invoice_no, p.product_id, CAST(trunc(a.Quantity) AS INTEGER) AS quantity,
+       a.Price AS unit_price, CAST(CAST(a.revenue AS DECIMAL(12,2)) AS DOUBLE) AS revenue,
+       strftime(a.InvoiceDate, '%Y-%m-%d %H:%M:%S') AS invoice_date, nullif(substr(a.CustomerID, 1, 20), '') AS customer_id,
+       nullif(substr(a.Country, 1, 100), '') AS country, a.is_return, a._upload_id AS upload_id
+FROM acc a JOIN products p ON trim(a.StockCode) = p.stock_code""",
+    "eligible_products": SERIES + "SELECT product_id, daily_rows FROM elig",
+    "densify": SERIES + "SELECT product_id, ds, y, revenue FROM dense",
+    "calendar_features": SERIES + """
+SELECT product_id, ds, CAST(isodow(ds) - 1 AS INTEGER) AS day_of_week, CAST(day(ds) AS INTEGER) AS day_of_month,
+       CAST(week(ds) AS INTEGER) AS week_of_year, CAST(month(ds) AS INTEGER) AS month,
+       CAST(quarter(ds) AS INTEGER) AS quarter, CAST(isodow(ds) >= 6 AS INTEGER) AS is_weekend,
+       CAST(year(ds) AS INTEGER) AS year
+FROM dense""",
+    "lag_features": SERIES + "SELECT product_id, ds, y, lag_1, lag_7, lag_14, lag_28 FROM feat",
+    "rolling_features": SERIES + """
+SELECT product_id, ds, y, rolling_7_mean, rolling_14_mean, rolling_28_mean, round(rolling_7_std, 6) AS rolling_7_std,
+       y - rolling_7_mean AS trend_signal
+FROM feat""",
+    "feature_split": SERIES + """
+SELECT product_id, CAST(COUNT(*) AS BIGINT) AS n_rows, CAST(COUNT(*) FILTER (WHERE NOT is_test) AS BIGINT) AS train_rows,
+       CAST(COUNT(*) FILTER (WHERE is_test) AS BIGINT) AS test_rows, min(ds) AS first_ds, max(ds) AS last_ds
+FROM mfs GROUP BY 1""",
+    "metrics": SERIES + """
+SELECT product_id, round_even(AVG(abs(y - lag_7)), 4) AS mae, round_even(sqrt(AVG((y - lag_7) * (y - lag_7))), 4) AS rmse,
+       round_even(AVG(CASE WHEN y <> 0 THEN abs((y - lag_7) / y) END) * 100, 4) AS mape,
+       CAST(COUNT(*) AS BIGINT) AS test_rows
+FROM mfs WHERE is_test GROUP BY 1""",
     "delete_upload_orphans": """
 SELECT product_id, stock_code FROM products
 WHERE product_id NOT IN (SELECT product_id FROM tx WHERE upload_id <> (SELECT max(upload_id) FROM tx))""",

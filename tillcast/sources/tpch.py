@@ -162,3 +162,52 @@ class RetailData:
     def active_tx(self) -> DataFrame:
         from tillcast.operators.registry import active_scope
         return self._memo("active_tx", lambda: active_scope(self.tx, self.uploads))
+
+
+def raw_log_from_facts(tx: DataFrame) -> DataFrame:
+    """A dirty raw transaction log (all-string columns, as read from CSV)
+    derived from the facts, for the cleaning operators.
+
+    The damage is a function of the invoice number (l_orderkey % 50), so the
+    SQL oracle derives the very same rows:
+    0 → Price 'abc'; 1 → Price '-1'; 2 → Quantity '200000'; 3 → StockCode
+    missing; 4 → StockCode '=' prefixed; 5 → Description '@cmd'; 6 → Country
+    padded with spaces; 7 → InvoiceDate as d/M/yyyy; else ISO timestamps.
+    Lineage columns: ``_file`` (landed file name) and ``_upload_id``.
+    """
+    k = F.col("invoice_no").cast("long") % 50
+    pid = F.col("product_id").cast("string")
+    code = F.concat(F.lit("SKU"), pid)
+    ts = F.col("invoice_date")
+    return tx.select(
+        F.concat(F.lit("sales_"), (F.col("upload_id") + BASE_YEAR).cast("string"), F.lit(".csv")).alias("_file"),
+        F.col("upload_id").alias("_upload_id"),
+        F.col("invoice_no").alias("InvoiceNo"),
+        F.when(k == 3, F.lit(None).cast("string")).when(k == 4, F.concat(F.lit("="), code))
+         .otherwise(code).alias("StockCode"),
+        F.when(k == 5, F.lit("@cmd")).otherwise(F.concat(F.lit("part "), pid)).alias("Description"),
+        F.when(k == 2, F.lit("200000")).otherwise(F.col("quantity").cast("string")).alias("Quantity"),
+        F.when(k == 7, F.date_format(ts, "d/M/yyyy"))
+         .otherwise(F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).alias("InvoiceDate"),
+        F.when(k == 0, F.lit("abc")).when(k == 1, F.lit("-1"))
+         .otherwise(F.col("unit_price").cast("string")).alias("Price"),
+        F.col("customer_id").alias("Customer ID"),
+        F.when(k == 6, F.concat(F.lit("  "), F.col("country"), F.lit("  ")))
+         .otherwise(F.col("country")).alias("Country"),
+    )
+
+
+def superstore_log_from_facts(tx: DataFrame) -> DataFrame:
+    """The same sales as an alternate-schema export: Order ID, Product ID,
+    Product Name, Order Date (MM/dd/yyyy), Sales, Customer ID, Country and no
+    Quantity column (CLEAN-1/2 aliases and the Quantity = 1 default)."""
+    pid = F.col("product_id").cast("string")
+    return tx.select(
+        F.col("invoice_no").alias("Order ID"),
+        F.concat(F.lit("SKU"), pid).alias("Product ID"),
+        F.concat(F.lit("part "), pid).alias("Product Name"),
+        F.date_format("invoice_date", "MM/dd/yyyy").alias("Order Date"),
+        F.col("revenue").cast("string").alias("Sales"),
+        F.col("customer_id").alias("Customer ID"),
+        F.col("country").alias("Country"),
+    )
