@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 from tillcast.operators import abc as abc_ops
 from tillcast.operators import alerts as alert_ops
 from tillcast.operators import analytics, daily as daily_ops, movement, products as prod_ops
-from tillcast.operators import catalogue, cleaning, features, forecasting, registry
+import uuid
+
+from tillcast.operators import catalogue, cleaning, context, exports, features, forecasting, registry
+from tillcast.session import scratch_path
 from tillcast.sources.tpch import RetailData, raw_log_from_facts, superstore_log_from_facts
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -332,6 +335,97 @@ def q_feature_importance(spark, sf_dir):
     return forecasting.feature_importance(_trained(_data(spark, sf_dir)).model)
 
 
+def _alerts_table(d: RetailData) -> DataFrame:
+    as_of = d.daily.agg(F.max("sale_date")).scalar()
+    new = alert_ops.generate_alerts(d.daily)
+    return alert_ops.regenerate(None, new, "2001-11-05 00:00:00").withColumn(
+        "created_at", (as_of + F.expr("INTERVAL 1 DAY")).cast("timestamp"))
+
+
+def q_context_kpis(spark, sf_dir):
+    return context.context_kpis(_data(spark, sf_dir).tx)
+
+
+def q_context_top10(spark, sf_dir):
+    d = _data(spark, sf_dir)
+    return context.context_top_products(d.tx, _products_with_abc(d))
+
+
+def q_context_trend7(spark, sf_dir):
+    d = _data(spark, sf_dir)
+    return context.context_trend(d.active_tx, d.daily)
+
+
+def _context_parts(d: RetailData):
+    kpis = context.context_kpis(d.tx)
+    counts = alert_ops.open_alert_counts(_alerts_table(d))
+    prods = _products_with_abc(d)
+    top = context.context_top_products(d.tx, prods)
+    return kpis, counts, top, abc_ops.abc_distribution(prods), context.context_trend(d.active_tx, d.daily)
+
+
+def q_context_json(spark, sf_dir):
+    return context.context_document(*_context_parts(_data(spark, sf_dir)))
+
+
+def q_context_digest(spark, sf_dir):
+    kpis, counts, top, _, _ = _context_parts(_data(spark, sf_dir))
+    return context.context_digest(kpis, counts, top)
+
+
+def q_alert_export(spark, sf_dir):
+    d = _data(spark, sf_dir)
+    return exports.alert_export(_alerts_table(d), d.products).withColumn(
+        "created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+def q_forecast_export(spark, sf_dir):
+    """SNK-1 over a trained run: forecasts table + run record → export rows."""
+    import datetime as dt
+    d = _data(spark, sf_dir)
+    t = _trained(d)
+    banded = forecasting.with_bands(forecasting.recursive_forecast(t.model, t.history, 30), t.residual_sd)
+    rows = forecasting.forecast_rows(banded, 1)
+    now = dt.datetime(2001, 11, 5)
+    runs = forecasting.run_record(1, t.metrics, "gbt", 30, now, now)
+    as_of = d.daily.agg(F.max("sale_date")).scalar()
+    return exports.forecast_export(rows, d.products, runs, as_of=as_of)
+
+
+def _landing(spark: SparkSession, d: RetailData) -> str:
+    """Land the derived raw log as CSV files (one folder per source file) in
+    the shared scratch area, as an upload would."""
+    base = scratch_path(spark, f"landing-{uuid.uuid4().hex}")
+    raw = raw_log_from_facts(d.tx).drop("_upload_id").withColumnRenamed("_file", "file")
+    raw.repartition("file").write.partitionBy("file").option("header", True).csv(base)
+    return base
+
+
+def q_ingest_daily(spark, sf_dir):
+    """JOB-1 end to end: gate → CSV scan → clean → upsert → facts → daily."""
+    from tillcast.plans.ingest import ingest_upload, merged_daily
+    d = _data(spark, sf_dir)
+    landing = _landing(spark, d)
+    out = scratch_path(spark, f"ingest-{uuid.uuid4().hex}")
+    res = ingest_upload(spark, landing, 1, d.products, out)
+    if res.status != "completed":
+        raise RuntimeError(f"ingest failed: {res.error}")
+    return _daily_out(merged_daily(spark, res.daily_path))
+
+
+def q_stream_daily(spark, sf_dir):
+    """STR-1 with availableNow: the landed files as a stream, 3 files per
+    micro-batch, daily table merged on read."""
+    from tillcast.schemas import RAW_LOG_COLUMNS
+    from tillcast.streaming.ingest_stream import merged_daily, start_ingest_stream
+    d = _data(spark, sf_dir)
+    landing = _landing(spark, d)
+    out = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+    q = start_ingest_stream(spark, landing + "/file=*", RAW_LOG_COLUMNS, d.products, out, files_per_trigger=3)
+    q.awaitTermination()
+    return _daily_out(merged_daily(spark, out))
+
+
 QUERIES: dict[str, QueryFn] = {
     "daily_sales": q_daily_sales,
     "top_products": q_top_products,
@@ -384,4 +478,13 @@ QUERIES: dict[str, QueryFn] = {
     "forecast": q_forecast,
     "forecast_metrics": q_forecast_metrics,
     "feature_importance": q_feature_importance,
+    "context_kpis": q_context_kpis,
+    "context_top10": q_context_top10,
+    "context_trend7": q_context_trend7,
+    "context_json": q_context_json,
+    "context_digest": q_context_digest,
+    "alert_export": q_alert_export,
+    "forecast_export": q_forecast_export,
+    "ingest_daily": q_ingest_daily,
+    "stream_daily": q_stream_daily,
 }

@@ -334,6 +334,32 @@ mfs AS (SELECT *, idx > floor(n * CAST(0.8 AS DOUBLE)) AS is_test FROM mf)
 """
 
 
+INGEST_DAILY = RAW_LOG + """
+, f AS (
+  SELECT p.product_id, CAST(a.InvoiceDate AS DATE) AS sale_date, CAST(trunc(a.Quantity) AS BIGINT) AS qty,
+         CAST(a.revenue AS DECIMAL(12,2)) AS rev, CAST(round(CAST(a.Price AS DECIMAL(10,2)) * 100) AS BIGINT) AS pc,
+         a.is_return
+  FROM acc a JOIN products p ON a.StockCode = p.stock_code
+),
+g AS (
+  SELECT product_id, sale_date, CAST(SUM(qty) AS BIGINT) AS total_quantity, SUM(rev) AS r,
+         CAST(COUNT(*) AS BIGINT) AS transaction_count, (2 * SUM(pc) + COUNT(*)) // (2 * COUNT(*)) AS price_cents
+  FROM f WHERE NOT is_return AND qty > 0 GROUP BY 1, 2
+)
+SELECT product_id, sale_date, total_quantity, CAST(r AS DOUBLE) AS total_revenue, transaction_count,
+       CAST(price_cents AS DOUBLE) / 100 AS avg_unit_price
+FROM g"""
+
+TOP10_CTX = """
+, ctx_top AS (
+  SELECT p.stock_code, substr(coalesce(p.description, ''), 1, 50) AS description, p.abc_class,
+         round_even(CAST(s.rc AS DOUBLE) / 100, 2) AS revenue, CAST(s.q AS BIGINT) AS quantity
+  FROM (SELECT product_id, SUM(rev_cents) AS rc, SUM(quantity) AS q FROM sales GROUP BY 1) s
+  JOIN products_abc p USING (product_id)
+  ORDER BY s.rc DESC, p.stock_code LIMIT 10
+)"""
+
+
 SQL: dict[str, str] = {
     "daily_sales": _daily_cols("daily"),
     "top_products": _top(10),
@@ -512,6 +538,29 @@ SELECT product_id, round_even(AVG(abs(y - lag_7)), 4) AS mae, round_even(sqrt(AV
        round_even(AVG(CASE WHEN y <> 0 THEN abs((y - lag_7) / y) END) * 100, 4) AS mape,
        CAST(COUNT(*) AS BIGINT) AS test_rows
 FROM mfs WHERE is_test GROUP BY 1""",
+    "context_kpis": """
+SELECT round_even(coalesce(CAST(SUM(rev_cents) AS DOUBLE) / 100, 0.0), 2) AS total_revenue,
+       CAST(COUNT(*) AS BIGINT) AS total_transactions,
+       round_even(coalesce(AVG(CAST(rev_cents AS DOUBLE) / 100), 0.0), 2) AS avg_order_value
+FROM sales""",
+    "context_top10": TOP10_CTX + "SELECT * FROM ctx_top",
+    "context_trend7": """
+SELECT CAST(invoice_date AS DATE) AS date, round_even(CAST(SUM(rev_cents) AS DOUBLE) / 100, 2) AS revenue,
+       CAST(SUM(quantity) AS BIGINT) AS quantity
+FROM sales WHERE upload_id = (SELECT upload_id FROM active)
+  AND CAST(invoice_date AS DATE) >= (SELECT d FROM ref_day) - INTERVAL 7 DAY
+GROUP BY 1 ORDER BY 1""",
+    "context_digest": _alerts_union() + TOP10_CTX + """
+SELECT round_even(coalesce(CAST(SUM(rev_cents) AS DOUBLE) / 100, 0.0), 2) AS total_revenue,
+       (SELECT CAST(COUNT(*) AS BIGINT) FROM all_alerts) AS active_alerts,
+       (SELECT CAST(COUNT(*) AS BIGINT) FROM ctx_top) AS top_products_included
+FROM sales""",
+    "alert_export": _alerts_union() + """
+SELECT p.stock_code, p.description, a.alert_type, a.severity, a.message, a.reorder_qty, a.reorder_point,
+       a.current_velocity, strftime(CAST((SELECT d FROM ref_day) + INTERVAL 1 DAY AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS created_at
+FROM all_alerts a JOIN products p USING (product_id)""",
+    "ingest_daily": INGEST_DAILY,
+    "stream_daily": INGEST_DAILY,
     "delete_upload_orphans": """
 SELECT product_id, stock_code FROM products
 WHERE product_id NOT IN (SELECT product_id FROM tx WHERE upload_id <> (SELECT max(upload_id) FROM tx))""",
