@@ -5,32 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted date layouts.  Day-first wins for ambiguous values
+# The numeric day/month/year layouts accepted (with / or -
+# separators, optional H:mm or H:mm:ss).  Day-first wins for ambiguous values
 # such as 12/1/2010 (→ 12 January); month-first is the fallback when the
-# day-first reading is impossible (12/25/2010 → 25 December).
-SLASH_DAY_FIRST = {"s": "d/M/yyyy H:mm:ss", "m": "d/M/yyyy H:mm", "d": "d/M/yyyy"}
-SLASH_MONTH_FIRST = {"s": "M/d/yyyy H:mm:ss", "m": "M/d/yyyy H:mm", "d": "M/d/yyyy"}
-DASH_DAY_FIRST = {"s": "d-M-yyyy H:mm:ss", "m": "d-M-yyyy H:mm", "d": "d-M-yyyy"}
-DASH_MONTH_FIRST = {"s": "M-d-yyyy H:mm:ss", "m": "M-d-yyyy H:mm", "d": "M-d-yyyy"}
-
-
-def _by_time_part(s: Column, formats: dict) -> Column:
-    """Pick the one layout whose time part matches, instead of trying all
-    (a failed parse is far more expensive than a regex test)."""
-    return (F.when(s.rlike(r"\s\d{1,2}:\d{2}:\d{2}$"), F.try_to_timestamp(s, F.lit(formats["s"])))
-            .when(s.rlike(r"\s\d{1,2}:\d{2}$"), F.try_to_timestamp(s, F.lit(formats["m"])))
-            .when(s.rlike(r"^\S+$"), F.try_to_timestamp(s, F.lit(formats["d"]))))
+# day-first reading is impossible (12/25/2010 → 25 December).  Anything
+# else goes through the ISO-8601 parser (yyyy-MM-dd[ HH:mm:ss], also with /).
+NUMERIC_DMY = r"^\d{1,2}[/-]\d{1,2}[/-]\d{4}(\s+\d{1,2}:\d{2}(:\d{2})?)?$"
 
 
 def parse_mixed_timestamp(c: Column) -> Column:
     """CLEAN-5: mixed-format, day-first timestamp parse; NULL when nothing
-    fits.  Each value is routed by a regex to one layout family (d/M/y,
-    d-M-y, ISO), so a typical value costs one parse attempt."""
+    fits.  Numeric d/m/y values are split into their numbers once and built
+    with ``try_make_timestamp`` (invalid day-first → month-first), so no
+    value pays for failed format attempts; other values use the ISO parser.
+    """
     s = F.trim(c)
-    slash = s.rlike(r"^\d{1,2}/\d{1,2}/\d{4}")
-    dash = s.rlike(r"^\d{1,2}-\d{1,2}-\d{4}")
-    return (F.when(slash, F.coalesce(_by_time_part(s, SLASH_DAY_FIRST), _by_time_part(s, SLASH_MONTH_FIRST)))
-            .when(dash, F.coalesce(_by_time_part(s, DASH_DAY_FIRST), _by_time_part(s, DASH_MONTH_FIRST)))
+    parts = F.split(s, r"[^0-9]+")
+
+    def part(i: int) -> Column:
+        return F.coalesce(F.get(parts, i).try_cast("int"), F.lit(0))
+
+    a, b, y, hh, mm, ss = (part(i) for i in range(6))
+    day_first = F.try_make_timestamp(y, b, a, hh, mm, ss)
+    month_first = F.try_make_timestamp(y, a, b, hh, mm, ss)
+    return (F.when(s.rlike(NUMERIC_DMY), F.coalesce(day_first, month_first))
             .otherwise(F.try_to_timestamp(F.translate(s, "/", "-"))))
 
 

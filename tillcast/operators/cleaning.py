@@ -177,35 +177,43 @@ def clean_log(raw: DataFrame, strict_scrub: bool = False, file_col: str | None =
     )
 
     # CLEAN-5: an unparseable date makes its whole file fatal.
+    bad_rows = rows.filter(F.col("_bad_date"))
     if file_col:
         # At most one row per input file: bounded by the file listing, so
         # it is broadcast and the big side is never shuffled on the (few,
         # hot) file keys.
-        fatal_files = rows.filter(F.col("_bad_date")).select(file_col).distinct()
+        fatal_files = bad_rows.select(file_col).distinct()
         accepted = rows.join(F.broadcast(fatal_files), file_col, "left_anti")
     else:
-        n_bad = rows.agg(F.count_if(F.col("_bad_date"))).scalar()
+        n_bad = bad_rows.agg(F.count(F.lit(1))).scalar()
         accepted = rows.filter(n_bad == 0)
     accepted = accepted.filter(F.col("reject_reason").isNull()).drop("reject_reason", "_bad_date")
 
-    counts = rows.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("affected_rows"),
-                                               F.count_if(F.col("_bad_date")).alias("_bad"))
-    rule_rows = counts.filter(F.col("reject_reason").isin("null_values", "invalid_price", "extreme_quantity"))
-    msg = _message(F.col("type"), F.col("affected_rows"))
-    report = rule_rows.select(F.col("reject_reason").alias("type"), "affected_rows")
-    bad = counts.agg(F.sum("_bad").cast("long").alias("affected_rows")).filter(F.col("affected_rows") > 0) \
-        .select(F.lit("date_parse_error").alias("type"), "affected_rows")
-    report = report.unionByName(bad).select(
-        "type", msg.alias("message"), (F.col("type") == "date_parse_error").alias("fatal"),
-        F.col("affected_rows").cast("long").alias("affected_rows"))
-
-    summary = counts.agg(
-        F.sum("affected_rows").cast("long").alias("row_count"),
-        F.coalesce(F.sum(F.when(F.col("reject_reason").isNull(), F.col("affected_rows"))), F.lit(0))
-        .cast("long").alias("valid_rows"),
-        F.coalesce(F.sum(F.when(F.col("reject_reason").isin("null_values", "invalid_price", "extreme_quantity"),
-                                F.col("affected_rows"))), F.lit(0)).cast("long").alias("invalid_rows"),
-        F.coalesce(F.sum(F.when(F.col("reject_reason") == "empty_row", F.col("affected_rows"))), F.lit(0))
-        .cast("long").alias("empty_rows"),
+    # CLEAN-13 in one pass: counts per reason (≤ 5 groups) folded into one
+    # row, then exploded into report rows.
+    counts = rows.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"),
+                                               F.count_if(F.col("_bad_date")).alias("bad"))
+    rules = ["null_values", "invalid_price", "extreme_quantity"]
+    folded = counts.agg(
+        F.collect_list(F.when(F.col("reject_reason").isin(rules),
+                              F.struct(F.col("reject_reason").alias("type"), F.col("n").alias("affected_rows"))))
+        .alias("_rules"),
+        F.sum("bad").cast("long").alias("_bad"),
+        F.sum("n").cast("long").alias("row_count"),
+        F.coalesce(F.sum(F.when(F.col("reject_reason").isNull(), F.col("n"))), F.lit(0)).cast("long")
+        .alias("valid_rows"),
+        F.coalesce(F.sum(F.when(F.col("reject_reason").isin(rules), F.col("n"))), F.lit(0)).cast("long")
+        .alias("invalid_rows"),
+        F.coalesce(F.sum(F.when(F.col("reject_reason") == "empty_row", F.col("n"))), F.lit(0)).cast("long")
+        .alias("empty_rows"),
     )
+    date_entry = F.when(F.col("_bad") > 0, F.array(F.struct(F.lit("date_parse_error").alias("type"),
+                                                            F.col("_bad").alias("affected_rows"))))
+    entries = F.concat(F.col("_rules"), F.coalesce(date_entry, F.array().cast(
+        "array<struct<type:string,affected_rows:bigint>>")))
+    report = folded.select(F.explode(entries).alias("e")).select(
+        F.col("e.type").alias("type"), _message(F.col("e.type"), F.col("e.affected_rows")).alias("message"),
+        (F.col("e.type") == "date_parse_error").alias("fatal"),
+        F.col("e.affected_rows").cast("long").alias("affected_rows"))
+    summary = folded.select("row_count", "valid_rows", "invalid_rows", "empty_rows")
     return CleanResult(rows.drop("_bad_date"), accepted, report, summary, [])

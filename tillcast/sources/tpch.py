@@ -44,17 +44,23 @@ def transactions(lineitem: DataFrame, orders: DataFrame, customer: DataFrame,
     """The sales fact (schema ``schemas.TRANSACTIONS``) from the TPC-H tables.
 
     Plan: nation has 25 rows by the TPC-H specification, so broadcasting it
-    is bounded.  customer ⋈ orders and orders ⋈ lineitem are large-large
-    equi-joins left to the planner (sort-merge, or broadcast when AQE sees a
-    small side at runtime).  Only the columns used are read (pruned scans).
+    is bounded.  customer ⋈ orders is left to the planner (broadcast when
+    customer is small, sort-merge otherwise).  lineitem ⋈ orders is the big
+    one: both sides are hash-partitioned on the order key explicitly — the
+    exchange a sort-merge join needs at scale anyway — so the join runs
+    co-partitioned and everything after it (parsing, validation, partial
+    aggregation) is spread over the shuffle partitions instead of inheriting
+    the scan's split count.  The ``merge`` hint keeps the planner from
+    broadcasting the fact side when a small sample makes it look small.
+    Only the columns used are read.
     """
     nations = F.broadcast(nation.select("n_nationkey", "n_name"))
     cust = customer.select("c_custkey", "c_nationkey").join(
         nations, F.col("c_nationkey") == F.col("n_nationkey"))
     ords = orders.select("o_orderkey", "o_custkey").join(
-        cust, F.col("o_custkey") == F.col("c_custkey"))
+        cust, F.col("o_custkey") == F.col("c_custkey")).repartition("o_orderkey").hint("merge")
     li = lineitem.select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice",
-                         "l_returnflag", "l_shipdate")
+                         "l_returnflag", "l_shipdate").repartition("l_orderkey")
     j = li.join(ords, F.col("l_orderkey") == F.col("o_orderkey"))
 
     qty = F.col("l_quantity").cast("long")
