@@ -101,18 +101,19 @@ def products(part: DataFrame) -> DataFrame:
     )
 
 
-def uploads_from_facts(tx: DataFrame) -> DataFrame:
-    """Upload registry (schema ``schemas.UPLOADS``): one row per upload_id.
+def uploads_from_lineitem(lineitem: DataFrame) -> DataFrame:
+    """Upload registry (schema ``schemas.UPLOADS``): one row per ship year.
 
-    The newest upload (latest data) is the active one (REG-6 rule).  The
-    registry has one row per landed file, so the window over it is tiny.
+    Built from the single ``l_shipdate`` column (a pruned scan, no join: the
+    fact join is lossless, so the counts equal the fact rows per upload).
+    The newest upload is the active one (REG-6 rule).
     """
     from tillcast.operators.registry import activate_latest
 
-    reg = tx.groupBy("upload_id").agg(
+    uid = (F.year("l_shipdate") - F.lit(BASE_YEAR)).cast("long")
+    reg = lineitem.groupBy(uid.alias("upload_id")).agg(
         F.count(F.lit(1)).alias("row_count"),
-        F.max("invoice_date").alias("uploaded_at"),
-        F.min("invoice_date").alias("_first"),
+        F.max("l_shipdate").cast("timestamp").alias("uploaded_at"),
     )
     reg = reg.select(
         "upload_id",
@@ -157,7 +158,7 @@ class RetailData:
 
     @property
     def uploads(self) -> DataFrame:
-        return self._memo("uploads", lambda: uploads_from_facts(self.tx))
+        return self._memo("uploads", lambda: uploads_from_lineitem(self.table("lineitem")))
 
     @property
     def daily(self) -> DataFrame:
