@@ -83,3 +83,15 @@ def test_slow_movers_flags_low_velocity(spark):
     rows += [(9, D0, 0, 0.0)]
     out = movement.slow_movers(daily_df(spark, rows), lookback_days=30, as_of=D0 + dt.timedelta(days=5)).collect()
     assert [(r["product_id"], r["severity"]) for r in out] == [(9, "high")]
+
+
+def test_global_prefix_without_exchange_reuse(spark):
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        df = spark.createDataFrame([(i, (i * 37) % 11) for i in range(200)], "id long, v long")
+        got = global_prefix(df, [F.col("v"), F.col("id")], sum_cols=["v"], total_col="n", buckets=5).collect()
+        ref = sorted(((r["v"], r["id"]) for r in df.collect()))
+        pos = {r["id"]: r["_pos"] for r in got}
+        assert [pos[i] for _, i in ref] == list(range(1, 201))
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
