@@ -20,7 +20,8 @@ import uuid
 
 from tillcast.operators import catalogue, cleaning, context, exports, features, forecasting, registry
 from tillcast.session import scratch_path
-from tillcast.sources.tpch import RetailData, raw_log_from_facts, superstore_log_from_facts
+from tillcast.sources.erp_sheet import map_erp_sheet
+from tillcast.sources.tpch import RetailData, erp_sheet_from_facts, raw_log_from_facts, superstore_log_from_facts
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -426,6 +427,16 @@ def q_stream_daily(spark, sf_dir):
     return _daily_out(merged_daily(spark, out))
 
 
+def q_erp_mapping(spark, sf_dir):
+    """SRC-2: ERP sheets (title, header, bills, subtotal) mapped to log rows."""
+    rows, _ = map_erp_sheet(erp_sheet_from_facts(_data(spark, sf_dir).tx))
+    return rows.select(
+        "file", F.col("InvoiceNo").alias("invoice_no"), F.col("StockCode").alias("stock_code"),
+        F.col("Description").alias("description"), F.col("Quantity").alias("quantity"),
+        F.date_format("InvoiceDate", "yyyy-MM-dd HH:mm:ss").alias("invoice_date"), F.col("Price").alias("price"),
+        F.col("`Customer ID`").alias("customer_id"), F.col("Country").alias("country"), "is_return", "revenue")
+
+
 QUERIES: dict[str, QueryFn] = {
     "daily_sales": q_daily_sales,
     "top_products": q_top_products,
@@ -487,4 +498,5 @@ QUERIES: dict[str, QueryFn] = {
     "forecast_export": q_forecast_export,
     "ingest_daily": q_ingest_daily,
     "stream_daily": q_stream_daily,
+    "erp_mapping": q_erp_mapping,
 }

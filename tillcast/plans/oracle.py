@@ -561,6 +561,14 @@ SELECT p.stock_code, p.description, a.alert_type, a.severity, a.message, a.reord
 FROM all_alerts a JOIN products p USING (product_id)""",
     "ingest_daily": INGEST_DAILY,
     "stream_daily": INGEST_DAILY,
+    "erp_mapping": """
+SELECT 'erp_' || CAST(upload_id + 1994 AS VARCHAR) || '.xlsx' AS file, invoice_no,
+       'SKU' || CAST(product_id AS VARCHAR) AS stock_code, 'part ' || CAST(product_id AS VARCHAR) AS description,
+       CAST(quantity AS DOUBLE) AS quantity, strftime(CAST(CAST(invoice_date AS DATE) AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS invoice_date,
+       round(CAST(rev_cents AS DOUBLE) / 100 / CAST(quantity AS DOUBLE), 2) AS price, customer_id, 'India' AS country,
+       quantity < 0 AS is_return,
+       CAST(quantity AS DOUBLE) * round(CAST(rev_cents AS DOUBLE) / 100 / CAST(quantity AS DOUBLE), 2) AS revenue
+FROM txr""",
     "delete_upload_orphans": """
 SELECT product_id, stock_code FROM products
 WHERE product_id NOT IN (SELECT product_id FROM tx WHERE upload_id <> (SELECT max(upload_id) FROM tx))""",

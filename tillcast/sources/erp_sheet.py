@@ -56,10 +56,14 @@ def map_erp_sheet(sheet: DataFrame) -> tuple[DataFrame, DataFrame]:
     header table, no collect to the driver).
     """
     cells = _cells(sheet)
-    hdr = header_rows(sheet)
-    header_cells = sheet.join(hdr, "file").filter(F.col("row_idx") == F.col("header_idx")).select(
-        "file", F.map_from_arrays(F.array(*[F.trim(F.col(c)) for c in cells]),
-                                  F.array(*[F.lit(c) for c in cells])).alias("_pos"))
+    # One row per sheet: bounded by the number of files, so both per-file
+    # tables are broadcast — the sheet rows are never shuffled on the file
+    # key (every row of a sheet shares it: the hottest possible key).
+    hdr = F.broadcast(header_rows(sheet))
+    header_cells = F.broadcast(
+        sheet.join(hdr, "file").filter(F.col("row_idx") == F.col("header_idx")).select(
+            "file", F.map_from_arrays(F.array(*[F.trim(F.col(c)) for c in cells]),
+                                      F.array(*[F.lit(c) for c in cells])).alias("_pos")))
     data = (sheet.join(hdr.filter(F.col("_found") == 1), "file")
             .filter(F.col("row_idx") > F.col("header_idx"))
             .join(header_cells, "file"))

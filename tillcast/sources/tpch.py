@@ -218,3 +218,33 @@ def superstore_log_from_facts(tx: DataFrame) -> DataFrame:
         F.col("customer_id").alias("Customer ID"),
         F.col("country").alias("Country"),
     )
+
+
+def erp_sheet_from_facts(tx: DataFrame) -> DataFrame:
+    """The sales as ERP sheet rows ``(file, row_idx, c0..c6)`` — one sheet per
+    upload year: a title row, a row of column names, the bills, then a
+    subtotal row without bill number (the layout SRC-2 maps).  Row indexes
+    only need to be increasing within a sheet: bills get 2 + a load-order id.
+    """
+    spark = tx.sparkSession
+    file = F.concat(F.lit("erp_"), (F.col("upload_id") + BASE_YEAR).cast("string"), F.lit(".xlsx"))
+    names = ["Bill No", "Item", "Item Name", "Qty", "Bill Date", "Taxable Amt", "Customer Name"]
+    files = tx.select(file.alias("file")).distinct()
+    cells = [f"c{i}" for i in range(7)]
+    title = files.select("file", F.lit(0).cast("long").alias("row_idx"), F.lit("Sales Register").alias("c0"),
+                         *[F.lit(None).cast("string").alias(c) for c in cells[1:]])
+    header = files.select("file", F.lit(1).cast("long").alias("row_idx"),
+                          *[F.lit(n).alias(c) for n, c in zip(names, cells)])
+    pid = F.col("product_id").cast("string")
+    bills = tx.select(
+        file.alias("file"), (F.lit(2) + F.monotonically_increasing_id()).alias("row_idx"),
+        F.col("invoice_no").alias("c0"), F.concat(F.lit("SKU"), pid).alias("c1"),
+        F.concat(F.lit("part "), pid).alias("c2"), F.col("quantity").cast("string").alias("c3"),
+        F.date_format("invoice_date", "yyyy-MM-dd").alias("c4"), F.col("revenue").cast("string").alias("c5"),
+        F.col("customer_id").alias("c6"))
+    subtotal = tx.groupBy(file.alias("file")).agg(F.sum("revenue").cast("string").alias("c5")).select(
+        "file", F.lit(1 << 62).cast("long").alias("row_idx"), F.lit(None).cast("string").alias("c0"),
+        F.lit(None).cast("string").alias("c1"), F.lit("Total").alias("c2"), F.lit(None).cast("string").alias("c3"),
+        F.lit(None).cast("string").alias("c4"), "c5", F.lit(None).cast("string").alias("c6"))
+    del spark
+    return title.unionByName(header).unionByName(bills).unionByName(subtotal)
