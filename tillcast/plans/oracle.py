@@ -465,7 +465,7 @@ FROM u""",
 """ + _daily_cols("d3"),
     "daily_merge": """
 , part_daily AS (
-  SELECT product_id, CAST(invoice_date AS DATE) AS sale_date, CAST(invoice_no AS BIGINT) % 2 AS half,
+  SELECT product_id, CAST(invoice_date AS DATE) AS sale_date, CASE WHEN country < 'K' THEN 0 ELSE 1 END AS half,
          SUM(quantity) AS q, SUM(rev_cents) AS rc, COUNT(*) AS n,
          (2 * SUM(unit_cents) + COUNT(*)) // (2 * COUNT(*)) AS pc
   FROM sales GROUP BY 1, 2, 3
