@@ -179,13 +179,14 @@ def clean_log(raw: DataFrame, strict_scrub: bool = False, file_col: str | None =
     # CLEAN-5: an unparseable date makes its whole file fatal.
     bad_rows = rows.filter(F.col("_bad_date"))
     if file_col:
-        # At most one row per input file: bounded by the file listing, so
-        # it is broadcast and the big side is never shuffled on the (few,
-        # hot) file keys.
-        fatal_files = bad_rows.select(file_col).distinct()
-        accepted = rows.join(F.broadcast(fatal_files), file_col, "left_anti")
+        # The names of files with a bad date, as ONE scalar value: at most
+        # one entry per input file (bounded by the file listing), computed
+        # once before the main scan and applied as a plain filter — the big
+        # side is never joined or shuffled on the (few, hot) file keys.
+        fatal_files = bad_rows.agg(F.collect_set(file_col)).scalar()
+        accepted = rows.filter(~F.array_contains(fatal_files, F.col(file_col)))
     else:
-        n_bad = bad_rows.agg(F.count(F.lit(1))).scalar()
+        n_bad = bad_rows.agg(F.count("_seq")).scalar()
         accepted = rows.filter(n_bad == 0)
     accepted = accepted.filter(F.col("reject_reason").isNull()).drop("reject_reason", "_bad_date")
 
