@@ -125,3 +125,11 @@ def test_summary_invariant(spark):
     s = clean_log(frame(spark, rows)).summary.first()
     assert s["row_count"] == 4 and s["valid_rows"] == 1 and s["invalid_rows"] == 2 and s["empty_rows"] == 1
     assert s["valid_rows"] + s["invalid_rows"] + s["empty_rows"] == s["row_count"]
+
+
+def test_fractional_quantity_notice(spark):
+    res = clean_log(frame(spark, [("1", "A", "d", "2.5", "2010-01-01", "2", "2", "UK"),
+                                  ("2", "B", "d", "3", "2010-01-01", "2", "2", "UK")]))
+    rep = res.report.collect()
+    assert [(r["type"], r["affected_rows"], r["fatal"]) for r in rep] == [("fractional_quantity", 1, False)]
+    assert res.summary.first()["invalid_rows"] == 0 and res.accepted.count() == 2

@@ -118,6 +118,8 @@ def _message(kind: Column, n: Column) -> Column:
             .when(kind == "invalid_price", F.format_string("%d rows with invalid price values removed.", n))
             .when(kind == "extreme_quantity", F.format_string(
                 f"%d rows with extreme quantities (>{MAX_ALLOWED_QUANTITY}) removed.", n))
+            .when(kind == "fractional_quantity",
+                  F.format_string("%d rows have a fractional quantity; the stored quantity is truncated.", n))
             .when(kind == "date_parse_error",
                   F.format_string("Could not parse InvoiceDate column: %d unparseable values", n)))
 
@@ -192,14 +194,17 @@ def clean_log(raw: DataFrame, strict_scrub: bool = False, file_col: str | None =
 
     # CLEAN-13 in one pass: counts per reason (≤ 5 groups) folded into one
     # row, then exploded into report rows.
+    fractional = F.col("reject_reason").isNull() & (F.col("Quantity") != F.floor(F.col("Quantity")))
     counts = rows.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"),
-                                               F.count_if(F.col("_bad_date")).alias("bad"))
+                                               F.count_if(F.col("_bad_date")).alias("bad"),
+                                               F.count_if(fractional).alias("frac"))
     rules = ["null_values", "invalid_price", "extreme_quantity"]
     folded = counts.agg(
         F.collect_list(F.when(F.col("reject_reason").isin(rules),
                               F.struct(F.col("reject_reason").alias("type"), F.col("n").alias("affected_rows"))))
         .alias("_rules"),
         F.sum("bad").cast("long").alias("_bad"),
+        F.sum("frac").cast("long").alias("_frac"),
         F.sum("n").cast("long").alias("row_count"),
         F.coalesce(F.sum(F.when(F.col("reject_reason").isNull(), F.col("n"))), F.lit(0)).cast("long")
         .alias("valid_rows"),
@@ -210,8 +215,12 @@ def clean_log(raw: DataFrame, strict_scrub: bool = False, file_col: str | None =
     )
     date_entry = F.when(F.col("_bad") > 0, F.array(F.struct(F.lit("date_parse_error").alias("type"),
                                                             F.col("_bad").alias("affected_rows"))))
-    entries = F.concat(F.col("_rules"), F.coalesce(date_entry, F.array().cast(
-        "array<struct<type:string,affected_rows:bigint>>")))
+    # D18: kept rows whose quantity is fractional are stored truncated while
+    # revenue uses the raw value — reported as a non-fatal notice.
+    frac_entry = F.when(F.col("_frac") > 0, F.array(F.struct(F.lit("fractional_quantity").alias("type"),
+                                                              F.col("_frac").alias("affected_rows"))))
+    none = F.array().cast("array<struct<type:string,affected_rows:bigint>>")
+    entries = F.concat(F.col("_rules"), F.coalesce(date_entry, none), F.coalesce(frac_entry, none))
     report = folded.select(F.explode(entries).alias("e")).select(
         F.col("e.type").alias("type"), _message(F.col("e.type"), F.col("e.affected_rows")).alias("message"),
         (F.col("e.type") == "date_parse_error").alias("fatal"),

@@ -568,7 +568,9 @@ SELECT 'erp_' || CAST(upload_id + 1994 AS VARCHAR) || '.xlsx' AS file, invoice_n
        round(CAST(rev_cents AS DOUBLE) / 100 / CAST(quantity AS DOUBLE), 2) AS price, customer_id, 'India' AS country,
        quantity < 0 AS is_return,
        CAST(quantity AS DOUBLE) * round(CAST(rev_cents AS DOUBLE) / 100 / CAST(quantity AS DOUBLE), 2) AS revenue
-FROM txr""",
+FROM txr
+WHERE round(CAST(rev_cents AS DOUBLE) / 100 / CAST(quantity AS DOUBLE), 2) BETWEEN 0 AND 100000
+  AND abs(quantity) <= 100000""",
     "delete_upload_orphans": """
 SELECT product_id, stock_code FROM products
 WHERE product_id NOT IN (SELECT product_id FROM tx WHERE upload_id <> (SELECT max(upload_id) FROM tx))""",

@@ -43,7 +43,7 @@ def header_rows(sheet: DataFrame) -> DataFrame:
         F.max(hit.cast("int")).alias("_found"))
 
 
-def map_erp_sheet(sheet: DataFrame) -> tuple[DataFrame, DataFrame]:
+def map_erp_sheet(sheet: DataFrame, validate: bool = True) -> tuple[DataFrame, DataFrame]:
     """SRC-2: returns ``(mapped_rows, unmatched_files)``.
 
     mapped rows carry the log columns with Price = round(Taxable Amt / Qty,
@@ -86,6 +86,12 @@ def map_erp_sheet(sheet: DataFrame) -> tuple[DataFrame, DataFrame]:
         field(ERP_FIELDS["Customer ID"]).alias("Customer ID"),
         F.lit(ERP_COUNTRY).alias("Country"),
     ).dropna(subset=["InvoiceNo", "StockCode"])
+    if validate:
+        # The reference skips the price/quantity/date checks for ERP rows;
+        # here they pass the same rules as any log (CLEAN-7..9).
+        from tillcast.operators.cleaning import reject_reason
+        out = out.filter(reject_reason(F.col("StockCode"), F.col("InvoiceDate"), F.col("Quantity"),
+                                       F.col("Price")).isNull())
     out = out.withColumns({"is_return": F.col("Quantity") < 0,
                            "revenue": F.col("Quantity") * F.col("Price")})
     unmatched = hdr.filter(F.col("_found") == 0).select("file")
