@@ -95,3 +95,10 @@ def test_global_prefix_without_exchange_reuse(spark):
         assert [pos[i] for _, i in ref] == list(range(1, 201))
     finally:
         spark.conf.set("spark.sql.exchange.reuse", "true")
+
+
+def test_slow_movers_approx_quartiles(spark):
+    rows = [(p, D0 + dt.timedelta(days=i), 9 + p, 0.0) for p in range(1, 9) for i in range(5)] + [(9, D0, 0, 0.0)]
+    out = movement.slow_movers(daily_df(spark, rows), lookback_days=30, as_of=D0 + dt.timedelta(days=5),
+                               approx_quartiles=True).collect()
+    assert [r["product_id"] for r in out] == [9]

@@ -33,7 +33,8 @@ def top_country(tx: DataFrame) -> DataFrame:
 
 
 def kpis(tx: DataFrame, products: DataFrame, start: _dt.date | str | None = None,
-         end: _dt.date | str | None = None, scope: str = "reference") -> DataFrame:
+         end: _dt.date | str | None = None, scope: str = "reference",
+         approx_distinct: bool = False) -> DataFrame:
     """KPI-1 (with KPI-3): one-row dashboard KPIs.
 
     ``scope='reference'``: the date range limits the sums only; returns, the
@@ -43,6 +44,8 @@ def kpis(tx: DataFrame, products: DataFrame, start: _dt.date | str | None = None
 
     growth_pct compares revenue in [start, end] with the preceding period of
     equal length (NULL without a range or without revenue before it).
+    ``approx_distinct`` counts invoices with a HyperLogLog sketch instead of
+    an exact distinct (which shuffles on invoice_no).
     """
     if scope not in ("reference", "consistent"):
         raise ValueError("scope must be 'reference' or 'consistent'")
@@ -69,7 +72,9 @@ def kpis(tx: DataFrame, products: DataFrame, start: _dt.date | str | None = None
         F.sum(F.when(sel, F.col("revenue"))).alias("_rev"),
         F.sum(F.when(sel, F.col("quantity"))).alias("_units"),
         F.count_if(sel).alias("total_transactions"),
-        F.count_distinct(F.when(sel, F.col("invoice_no"))).alias("unique_invoices"),
+        # exact distinct needs a shuffle on invoice_no; the HLL sketch does not
+        (F.approx_count_distinct(F.when(sel, F.col("invoice_no"))) if approx_distinct
+         else F.count_distinct(F.when(sel, F.col("invoice_no")))).alias("unique_invoices"),
         F.count_if(everywhere & F.col("is_return")).alias("return_count"),
         F.sum(F.when(everywhere, F.col("revenue"))).alias("_net"),
         F.min(F.when(everywhere, F.col("invoice_date"))).alias("_dmin"),

@@ -31,15 +31,25 @@ def velocity(daily: DataFrame, lookback_days: int, as_of: Column) -> DataFrame:
     )
 
 
-def iqr_lower_bound(per: DataFrame, col: str = "avg_daily_sales") -> Column:
-    """Scalar Q1 − 1.5·IQR of ``col`` across products (exact quartiles,
-    computed distributed; see ``ordered.exact_quantiles``)."""
+def iqr_lower_bound(per: DataFrame, col: str = "avg_daily_sales", approx: bool = False,
+                    accuracy: int = 100_000) -> Column:
+    """Scalar Q1 − 1.5·IQR of ``col`` across products.
+
+    Exact by default (numpy/``quantile_cont`` interpolation, computed
+    distributed; see ``ordered.exact_quantiles``).  ``approx=True`` uses
+    ``percentile_approx`` (one mergeable sketch per partition, relative rank
+    error 1/accuracy) for catalogues where an exact rank pass is not wanted.
+    """
+    if approx:
+        q = per.agg(F.percentile_approx(col, [0.25, 0.75], accuracy).alias("q"))
+        q1, q3 = F.col("q")[0], F.col("q")[1]
+        return q.select(q1 - F.lit(1.5) * (q3 - q1)).scalar()
     q = exact_quantiles(per, col, [0.25, 0.75], tie_break="product_id")
     return q.select(F.col("q_0") - F.lit(1.5) * (F.col("q_1") - F.col("q_0"))).scalar()
 
 
 def slow_movers(daily: DataFrame, products: DataFrame | None = None, lookback_days: int = 30,
-                as_of: _dt.date | str | None = None) -> DataFrame:
+                as_of: _dt.date | str | None = None, approx_quartiles: bool = False) -> DataFrame:
     """SLOW-1 / SLOW-2 (one implementation, column superset).
 
     Flags products whose mean daily quantity over the lookback is at or below
@@ -50,7 +60,7 @@ def slow_movers(daily: DataFrame, products: DataFrame | None = None, lookback_da
     per = velocity(daily, lookback_days, today)
     if products is not None:
         per = per.join(products.select("product_id", "stock_code", "description"), "product_id")
-    bound = iqr_lower_bound(per)
+    bound = iqr_lower_bound(per, approx=approx_quartiles)
     v = F.col("avg_daily_sales")
     extra = ["stock_code", "description"] if products is not None else []
     return (per.filter(v <= bound)
