@@ -1 +1 @@
-"""tillcast: retail demand and inventory analytics on Spark."""
+"""Column-expression helpers (dates, text, rounding and money formatting)."""

@@ -1 +1 @@
-"""tillcast: retail demand and inventory analytics on Spark."""
+"""Table-in, table-out operators (cleaning, catalogue, daily aggregate, registry, analytics, alerts, features, forecasting, context, exports)."""

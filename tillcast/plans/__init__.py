@@ -1 +1 @@
-"""tillcast: retail demand and inventory analytics on Spark."""
+"""Registered queries, their DuckDB oracle SQL, and the batch ingest job."""

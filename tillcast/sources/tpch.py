@@ -226,7 +226,6 @@ def erp_sheet_from_facts(tx: DataFrame) -> DataFrame:
     subtotal row without bill number (the layout SRC-2 maps).  Row indexes
     only need to be increasing within a sheet: bills get 2 + a load-order id.
     """
-    spark = tx.sparkSession
     file = F.concat(F.lit("erp_"), (F.col("upload_id") + BASE_YEAR).cast("string"), F.lit(".xlsx"))
     names = ["Bill No", "Item", "Item Name", "Qty", "Bill Date", "Taxable Amt", "Customer Name"]
     files = tx.select(file.alias("file")).distinct()
@@ -246,5 +245,4 @@ def erp_sheet_from_facts(tx: DataFrame) -> DataFrame:
         "file", F.lit(1 << 62).cast("long").alias("row_idx"), F.lit(None).cast("string").alias("c0"),
         F.lit(None).cast("string").alias("c1"), F.lit("Total").alias("c2"), F.lit(None).cast("string").alias("c3"),
         F.lit(None).cast("string").alias("c4"), "c5", F.lit(None).cast("string").alias("c6"))
-    del spark
     return title.unionByName(header).unionByName(bills).unionByName(subtotal)

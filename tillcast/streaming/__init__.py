@@ -1 +1 @@
-"""tillcast: retail demand and inventory analytics on Spark."""
+"""Structured Streaming ingestion of landed transaction-log files."""
