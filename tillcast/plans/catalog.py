@@ -370,6 +370,17 @@ def q_context_json(spark, sf_dir):
     return context.context_document(*_context_parts(_data(spark, sf_dir)))
 
 
+def q_context_prompts(spark, sf_dir):
+    """CTX-8: one daily-summary prompt per day of the recent trend, sharing
+    the context document; payload = the day."""
+    d = _data(spark, sf_dir)
+    parts = _context_parts(d)
+    doc = context.context_document(*parts)
+    days = parts[4].select(F.col("date").cast("string").alias("payload"))
+    return context.prompt_rows(days, doc, "daily_summary").select(
+        "payload", "insight_type", "context_hash", F.length("prompt").alias("prompt_chars"), "prompt")
+
+
 def q_context_digest(spark, sf_dir):
     kpis, counts, top, _, _ = _context_parts(_data(spark, sf_dir))
     return context.context_digest(kpis, counts, top)
@@ -495,6 +506,7 @@ QUERIES: dict[str, QueryFn] = {
     "context_trend7": q_context_trend7,
     "context_json": q_context_json,
     "context_digest": q_context_digest,
+    "context_prompts": q_context_prompts,
     "alert_export": q_alert_export,
     "forecast_export": q_forecast_export,
     "ingest_daily": q_ingest_daily,
