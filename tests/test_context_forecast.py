@@ -85,6 +85,7 @@ def test_forecast_end_to_end(spark, scratch):
     forecasting.save_forecasts(rows_, scratch + "/fc")
     forecasting.save_forecasts(forecasting.forecast_rows(fc, 2), scratch + "/fc")   # replace run 2 only
     assert spark.read.parquet(scratch + "/fc").count() == 180
+    t.release()
 
 
 def test_driver_contract(spark):
