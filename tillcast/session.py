@@ -33,11 +33,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    # Keep at least one partition per core after AQE coalescing: the parse /
-    # validation stages are CPU-bound, so byte-sized coalescing alone would
-    # run them on a few tasks.
-    if str(cores).isdigit():
-        conf["spark.sql.adaptive.coalescePartitions.minPartitionNum"] = str(cores)
     conf["spark.driver.memory"] = "8g"
     conf.update(extra or {})
     for k, v in conf.items():
