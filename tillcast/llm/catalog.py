@@ -6,10 +6,11 @@ tests compare them with a brute-force version.
 
 from __future__ import annotations
 
-from tillcast.llm import quality_rules
+from tillcast.llm import bpe, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op4_bpe": bpe.op4_bpe,
 }
 
 ORACLE_SQL = {
