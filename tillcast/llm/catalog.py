@@ -6,11 +6,12 @@ tests compare them with a brute-force version.
 
 from __future__ import annotations
 
-from tillcast.llm import bpe, quality_rules
+from tillcast.llm import bpe, quality_rules, sharding
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op4_bpe": bpe.op4_bpe,
+    "op10_sharding": sharding.op10_sharding,
 }
 
 ORACLE_SQL = {
