@@ -21,6 +21,7 @@ from functools import lru_cache
 from typing import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,7 @@ class Vocabulary:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for s, i in self.added.items():
             self.strings[i] = s
+        self.arrow = pa.array(self.strings)
         suffix = model.get("end_of_word_suffix") or ""
         chars = byte_characters()
         self.inner = [vocab[c] for c in chars]
@@ -67,7 +69,8 @@ class Vocabulary:
         self.pieces = regex.compile(split).findall
         self.split_added = regex.compile(
             "(" + "|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")").split
-        self.cache: dict[str, list[int]] = {}
+        # Tuples: the garbage collector does not track them.
+        self.cache: dict[str, tuple[int, ...]] = {}
 
     def merge(self, ids: list[int]) -> list[int]:
         """Apply the merge rules to a list of symbol ids."""
@@ -99,11 +102,11 @@ class Vocabulary:
                     heapq.heappush(queue, (rule[0], h, ids[h], new, rule[1]))
         return [x for x in ids if x >= 0]
 
-    def piece(self, s: str) -> list[int]:
+    def piece(self, s: str) -> tuple[int, ...]:
         raw = s.encode()
         ids = [self.inner[b] for b in raw]
         ids[-1] = self.final[raw[-1]]
-        return self.merge(ids)
+        return tuple(self.merge(ids))
 
     def normal(self, text: str) -> str:
         if text.isascii():
@@ -134,6 +137,11 @@ class Vocabulary:
         strings = self.strings
         return " ".join([strings[i] for i in ids])
 
+    def decode_lists(self, ids: pa.ListArray) -> pa.Array:
+        """``decode`` of a whole list<int> array; null lists give empty texts."""
+        lists = pa.ListArray.from_arrays(ids.offsets, self.arrow.take(ids.values)) if len(ids) else pa.array([], pa.list_(pa.string()))
+        return pc.fill_null(pc.binary_join(pc.if_else(ids.is_valid(), lists, None) if ids.null_count else lists, " "), "")
+
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
@@ -174,7 +182,7 @@ def decode(encoded: DataFrame, path: str = WORD_BPE, ids_col: str = "ids", out_c
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                text = pa.array([v.decode(x or ()) for x in part.column(at).to_pylist()], pa.string())
+                text = v.decode_lists(part.column(at))
                 yield pa.RecordBatch.from_arrays([*part.columns, text], [*names, out_col])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out_col, T.StringType())]))
