@@ -6,10 +6,13 @@ tests compare them with a brute-force version.
 
 from __future__ import annotations
 
-from tillcast.llm import bpe, decontaminate, quality_rules, sharding, simhash, suffix_dedup, toxicity
+from tillcast.llm import (bpe, decontaminate, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts,
+                          toxicity)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_token_counts": token_counts.op2_token_counts,
+    "op3_quality_classifier": quality_classifier.op3_quality_classifier,
     "op4_bpe": bpe.op4_bpe,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_decontamination": decontaminate.op6_decontamination,

@@ -85,6 +85,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.length(F.regexp_replace("t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace("t", "[^A-Z]+", "")).cast("long").alias("n_upper"),
         F.size(F.filter("w", lambda x: x.isin(stop_word_forms()))).cast("long").alias("n_stop_words"),
+        F.size(F.array_distinct("w")).cast("long").alias("n_distinct_words"),
         lines.alias("lines"), windows.alias("h"))
     # Only texts with a repeated window sort their (hash, position) pairs.
     t = t.withColumn("z", F.when(
@@ -99,7 +100,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                    lambda a, b: F.least(F.lit(NGRAM), F.coalesce(b - a, F.lit(NGRAM))).cast("long")),
         F.lit(0).cast("long"), lambda s, x: s + x)
     return t.select(
-        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_upper", "n_stop_words",
+        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_upper", "n_stop_words", "n_distinct_words",
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
