@@ -31,6 +31,7 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +43,9 @@ LENGTH = 50
 GRAM = 16
 REACH = LENGTH - GRAM  # bytes kept to the left of an anchor
 CONTEXT = REACH + LENGTH
+CONTEXTS = 1 << 17  # contexts compared at a time (memory bound only)
 CHUNK = 4 << 20  # bytes hashed at a time (memory bound only)
+LEVEL = 1  # of zstd
 PAD = 0xFF  # never occurs in UTF-8
 BLOB = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("data", T.BinaryType())])
 ANCHOR = np.dtype([("rk", "<i8"), ("pos", "<u4")])
@@ -95,18 +98,64 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packed(bucket: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
-    """One row per bucket with its records' bytes."""
+    """One row per bucket with its records, field by field, compressed."""
     order = np.argsort(bucket, kind="stable")
-    bucket, records = bucket[order], np.ascontiguousarray(records[order])
-    first = np.concatenate([[0], np.nonzero(np.diff(bucket))[0] + 1]) if len(bucket) else np.zeros(0, dtype=np.int64)
-    offsets = (np.append(first, len(bucket)) * records.dtype.itemsize).astype(np.int32)
-    data = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()),
-                                                           pa.py_buffer(records.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), data], ["bucket", "data"])
+    bucket, records = bucket[order], records[order]
+    first = _runs(bucket).tolist()
+    pack = zstandard.ZstdCompressor(level=LEVEL).compress
+    blobs = [pack(b"".join(np.ascontiguousarray(records[f][x:y]).tobytes() for f in records.dtype.names))
+             for x, y in zip(first, [*first[1:], len(bucket)])]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(blobs, pa.binary())],
+                                      ["bucket", "data"])
 
 
 def _unpacked(table: pa.Table, kind: np.dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in table.column("data")), dtype=kind)
+    parts, unpack = [], zstandard.ZstdDecompressor().decompress
+    for x in table.column("data"):
+        raw = unpack(x.as_py())
+        n = len(raw) // kind.itemsize
+        part, at = np.empty(n, dtype=kind), 0
+        for f in kind.names:
+            size = n * kind[f].itemsize
+            part[f] = np.frombuffer(raw, dtype=kind[f].base, offset=at, count=size // kind[f].base.itemsize).reshape(n, *kind[f].shape)
+            at += size
+        parts.append(part)
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
+
+
+def _pack_documents(buckets: int):
+    """Documents of a task as compressed Arrow tables, one per block."""
+    def chunk(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        block = np.mod(t.column("rk").to_numpy(), buckets)
+        order = np.argsort(block, kind="stable")
+        t, block = t.take(pa.array(order)).combine_chunks(), block[order]
+        first, blobs = _runs(block).tolist(), []
+        for x, y in zip(first, [*first[1:], len(block)]):
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(t.slice(x, y - x))
+            blobs.append(out.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(block[first].astype(np.int32)), pa.array(blobs, pa.binary())],
+                                          ["bucket", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                held.append(b.slice(i, 256))
+                size += held[-1].column("text").nbytes
+                if size >= CHUNK:
+                    yield chunk(held)
+                    held, size = [], 0
+        if held:
+            yield chunk(held)
+    return run
+
+
+def _documents(table: pa.Table) -> pa.Table | None:
+    parts = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("data")]
+    return pa.concat_tables(parts).combine_chunks() if parts else None
 
 
 def _runs(sorted_values: np.ndarray) -> np.ndarray:
@@ -134,11 +183,12 @@ def _meets_another(h: np.ndarray, rk: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _anchor_blob(h32: np.ndarray, rk: np.ndarray, pos: np.ndarray) -> bytes:
     first = _runs(rk)
     sizes = np.diff(np.append(first, len(rk))).astype("<u4")
-    return b"".join([np.array([len(first), len(rk)], dtype="<u4").tobytes(), rk[first].astype("<i8").tobytes(),
-                     sizes.tobytes(), h32.astype("<u4").tobytes(), pos.astype("<u4").tobytes()])
+    return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join([np.array([len(first), len(rk)], dtype="<u4").tobytes(), rk[first].astype("<i8").tobytes(),
+                     sizes.tobytes(), h32.astype("<u4").tobytes(), pos.astype("<u4").tobytes()]))
 
 
 def _read_anchor_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    blob = zstandard.ZstdDecompressor().decompress(blob)
     nd, n = np.frombuffer(blob, dtype="<u4", count=2)
     nd, n = int(nd), int(n)
     rk = np.frombuffer(blob, dtype="<i8", count=nd, offset=8)
@@ -243,8 +293,9 @@ def _collapse(ids: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _emit_contexts(buckets: int):
-    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        want = np.unique(_unpacked(found, ANCHOR)) if found.num_rows and docs.num_rows else np.zeros(0, dtype=ANCHOR)
+    def run(packed: pa.Table, found: pa.Table) -> pa.Table:
+        docs = _documents(packed)
+        want = np.unique(_unpacked(found, ANCHOR)) if docs is not None else np.zeros(0, dtype=ANCHOR)
         out = [pa.RecordBatch.from_arrays([pa.array([], pa.int32()), pa.array([], pa.binary())], ["bucket", "data"])]
         if len(want):
             keys = docs.column("rk").to_numpy()
@@ -261,8 +312,8 @@ def _emit_contexts(buckets: int):
             data = np.frombuffer(b"".join(texts), dtype=np.uint8)
             doc = np.searchsorted(keys[rows], want["rk"])
             begin = np.concatenate([[0], ends])[doc]
-            for i in range(0, len(want), 1 << 15):
-                s = slice(i, i + (1 << 15))
+            for i in range(0, len(want), CONTEXTS):
+                s = slice(i, i + CONTEXTS)
                 places = (begin[s] + want["pos"][s])[:, None] + np.arange(-REACH, LENGTH)
                 inside = (places >= begin[s][:, None]) & (places < ends[doc[s]][:, None])
                 rec = np.empty(len(places), dtype=SEEN)
@@ -275,8 +326,9 @@ def _emit_contexts(buckets: int):
                 hits["rk"], hits["pos"], hits["mask"] = done["rk"], done["pos"], _valid(*_sides(done["ctx"]))
                 rec = rec[~hit]
                 gram = np.ascontiguousarray(rec["ctx"][:, REACH:REACH + GRAM]).view("<u8")
+                like = np.argsort(gram[:, 0], kind="stable")  # like contexts side by side compress well
                 bucket = _mix(gram[:, 0] * _M1 ^ _mix(gram[:, 1])) % np.uint64(buckets)
-                out.append(_packed(bucket.astype(np.int64), rec))
+                out.append(_packed(bucket[like].astype(np.int64), rec[like]))
                 out.append(_packed(np.mod(hits["rk"], buckets) + buckets, hits))
         return pa.Table.from_batches(out)
     return run
@@ -346,8 +398,10 @@ def _cut(text: bytes, hits: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def _cut_block(rest: list[str]):
-    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        hits = _unpacked(found, HIT) if found.num_rows else np.zeros(0, dtype=HIT)
+    def run(packed: pa.Table, found: pa.Table) -> pa.Table:
+        docs, hits = _documents(packed), _unpacked(found, HIT)
+        if docs is None:
+            raise ValueError("hits for a block without documents")
         hits = hits[np.argsort(hits["rk"], kind="stable")]
         starts, ends, kept = [], [], []
         for key, text in zip(docs.column("rk").to_pylist(), _bytes(docs.column("text"))):
@@ -379,18 +433,18 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     n = _blocks(docs)
     others = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col]
     key = F.xxhash64(F.col(id_col), text_or_empty(text_col))
-    d = docs.select(key.alias("rk"), F.pmod(key, F.lit(n)).cast("int").alias("bucket"),
-                    text_or_empty(text_col).cast("binary").alias("text"),
+    d = docs.select(key.alias("rk"), text_or_empty(text_col).cast("binary").alias("text"),
                     F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("ord"),
                     F.struct(*others).alias("row"))
     sent = d.select("rk", "text").mapInArrow(_emit_anchors(n), BLOB)
     shared = sent.groupBy("bucket").applyInArrow(_find_shared(n), BLOB)
-    seen = d.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(_emit_contexts(n), BLOB)
+    packed = d.mapInArrow(_pack_documents(n), BLOB)
+    seen = packed.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(_emit_contexts(n), BLOB)
     hits = seen.groupBy("bucket").applyInArrow(_match_bucket(n), BLOB)
     out = T.StructType([d.schema["row"], T.StructField("bytes", T.BinaryType()),
                         T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())),
                         T.StructField("kept", T.BinaryType())])
-    cut = d.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(_cut_block(["row"]), out)
+    cut = packed.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(_cut_block(["row"]), out)
     names = [c for c in docs.columns if c != text_col]
     return cut.select(F.struct(*[F.col(f"row.c{docs.columns.index(c)}").alias(c) for c in names]).alias("row"),
                       "bytes", "starts", "ends", "kept")
