@@ -7,7 +7,7 @@ tests compare them with a brute-force version.
 from __future__ import annotations
 
 from tillcast.llm import (bpe, decontaminate, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts,
-                          toxicity)
+                          token_files, toxicity)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -17,6 +17,7 @@ QUERIES = {
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_simhash": simhash.op7_simhash,
+    "op8_token_files": token_files.op8_token_files,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_sharding": sharding.op10_sharding,
 }
