@@ -385,31 +385,49 @@ def _match_bucket(buckets: int):
     return run
 
 
-def _cut(text: bytes, hits: np.ndarray) -> tuple[list[int], list[int]]:
-    """Starts and ends of the maximal removed runs."""
-    bits = (hits["mask"][:, None] >> np.arange(REACH + 1, dtype=np.uint64)) & np.uint64(1)
-    i, o = np.nonzero(bits)
-    starts = hits["pos"].astype(np.int64)[i] - o
-    edge = np.zeros(len(text) + 1, dtype=np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + LENGTH, -1)
-    gone = np.diff(np.concatenate([[0], (np.cumsum(edge)[:-1] > 0).astype(np.int8), [0]]))
-    return np.nonzero(gone == 1)[0].tolist(), np.nonzero(gone == -1)[0].tolist()
-
-
-def _cut_block(rest: list[str]):
+def removed_runs(sizes: np.ndarray, doc: np.ndarray, pos: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal removed runs of texts of ``sizes`` bytes: text, start and end of each."""
+    begin = np.cumsum(sizes + 1) - (sizes + 1)  # a gap after each text keeps runs apart
+    window = np.zeros(int((sizes + 1).sum()) + 1, dtype=bool)
+    at = begin[doc] + pos
+    for o in range(REACH + 1):
+        window[at[(mask >> np.uint64(o)) & np.uint64(1) > 0] - o] = True
+    # A byte goes if one of the last LENGTH places starts such a window.
+    covered = np.cumsum(window, dtype=np.int32)
+    covered[LENGTH:] -= covered[:-LENGTH].copy()
+    gone = np.diff(np.concatenate([[False], covered > 0, [False]]).view(np.int8))
+    a, b = np.nonzero(gone == 1)[0], np.nonzero(gone == -1)[0]
+    owner = np.searchsorted(begin, a, side="right") - 1
+    return owner, a - begin[owner], b - begin[owner]
+
+
+def _cut_block(rest: list[str], characters: bool):
+    """Cut the documents of a block. ``characters``: keep whole characters only."""
     def run(packed: pa.Table, found: pa.Table) -> pa.Table:
         docs, hits = _documents(packed), _unpacked(found, HIT)
         if docs is None:
             raise ValueError("hits for a block without documents")
-        hits = hits[np.argsort(hits["rk"], kind="stable")]
-        starts, ends, kept = [], [], []
-        for key, text in zip(docs.column("rk").to_pylist(), _bytes(docs.column("text"))):
-            a, b = np.searchsorted(hits["rk"], key, side="left"), np.searchsorted(hits["rk"], key, side="right")
-            s, e = _cut(text, hits[a:b]) if a < b else ([], [])
-            starts.append(s)
-            ends.append(e)
-            kept.append(b"".join(text[x:y] for x, y in zip([0, *e], [*s, len(text)])) if s else text)
+        texts = docs.column("text").to_pylist()
+        starts, ends, kept = [[] for _ in texts], [[] for _ in texts], list(texts)
+        if len(hits):
+            # Each row with hits, repeated rows included, takes those of its key.
+            hits = hits[np.argsort(hits["rk"], kind="stable")]
+            keys = docs.column("rk").to_numpy()
+            low, high = np.searchsorted(hits["rk"], keys, side="left"), np.searchsorted(hits["rk"], keys, side="right")
+            rows = np.nonzero(high > low)[0]
+            count = (high - low)[rows]
+            take = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[rows], count)
+            sizes = np.array([len(texts[i]) for i in rows.tolist()], dtype=np.int64)
+            owner, a, b = removed_runs(sizes, np.repeat(np.arange(len(rows)), count),
+                                       hits["pos"][take].astype(np.int64), hits["mask"][take])
+            for k, x, y in zip(owner.tolist(), a.tolist(), b.tolist()):
+                starts[rows[k]].append(x)
+                ends[rows[k]].append(y)
+            for i in rows.tolist():
+                parts = [texts[i][x:y] for x, y in zip([0, *ends[i]], [*starts[i], len(texts[i])])]
+                if characters:
+                    parts = [p.decode(errors="ignore").encode() for p in parts]
+                kept[i] = b"".join(parts)
         return pa.table([*[docs.column(c) for c in rest], docs.column("text"), pa.array(starts, pa.list_(pa.int64())),
                          pa.array(ends, pa.list_(pa.int64())), pa.array(kept, pa.binary())],
                         names=[*rest, "bytes", "starts", "ends", "kept"])
@@ -421,11 +439,12 @@ def _blocks(docs: DataFrame) -> int:
     return max(partitions(docs.sparkSession), docs.rdd.getNumPartitions())
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                     characters: bool = False) -> DataFrame:
     """All columns of ``docs`` but the text (as struct ``row``), ``bytes`` (the text in UTF-8), the removed
-    runs [starts, ends) in bytes and ``kept`` (the remaining bytes).
+    runs [starts, ends) in bytes and ``kept`` (the remaining bytes; with ``characters`` those of whole characters).
 
-    Ids are integers.  A null text counts as empty; texts under 50 bytes stay
+    Ids are integers.  A null text counts as empty and stays null; texts under 50 bytes stay
     whole.  A null id sorts after every id, and texts without an id don't remove
     from each other.  Rows that repeat an id don't remove from each other;
     repeated rows each give the same result.  An empty table gives an empty result.
@@ -433,7 +452,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     n = _blocks(docs)
     others = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col]
     key = F.xxhash64(F.col(id_col), text_or_empty(text_col))
-    d = docs.select(key.alias("rk"), text_or_empty(text_col).cast("binary").alias("text"),
+    d = docs.select(key.alias("rk"), F.col(text_col).cast("string").cast("binary").alias("text"),
                     F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("ord"),
                     F.struct(*others).alias("row"))
     sent = d.select("rk", "text").mapInArrow(_emit_anchors(n), BLOB)
@@ -444,15 +463,44 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     out = T.StructType([d.schema["row"], T.StructField("bytes", T.BinaryType()),
                         T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())),
                         T.StructField("kept", T.BinaryType())])
-    cut = packed.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(_cut_block(["row"]), out)
+    cut = packed.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(_cut_block(["row"], characters), out)
     names = [c for c in docs.columns if c != text_col]
     return cut.select(F.struct(*[F.col(f"row.c{docs.columns.index(c)}").alias(c) for c in names]).alias("row"),
                       "bytes", "starts", "ends", "kept")
 
 
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the repeated bytes cut out of the text, cut characters whole; all rows and columns stay."""
+    cut = dedup_substrings(docs, id_col, text_col, characters=True)
+    return cut.select(*[F.col("kept").cast("string").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c)
+                        for c in docs.columns])
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract: bytes, removed bytes and runs, digest of what is kept, of every document."""
     d = dedup_substrings(documents(spark, sf_dir).select("doc_id", "text"))
-    return d.select(F.col("row.doc_id").alias("doc_id"), F.octet_length("bytes").cast("long").alias("n_bytes"),
-                    (F.octet_length("bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
-                    F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    size = lambda c: F.coalesce(F.octet_length(c).cast("long"), F.lit(0).cast("long"))
+    return d.select(F.col("row.doc_id").alias("doc_id"), size("bytes").alias("n_bytes"),
+                    (size("bytes") - size("kept")).alias("n_removed"), F.size("starts").cast("long").alias("n_spans"),
+                    F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("kept_sha256"))
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL of the contract's rows: every 50-byte string against its least id."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, {(1 << 63) - 1}) AS ord,
+                  hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT rid, ord, p, substr(x, 2 * p - 1, {2 * LENGTH}) AS s
+      FROM (SELECT *, unnest(generate_series(1, (len(x) // 2)::INT - {LENGTH - 1})) AS p FROM d)),
+f AS (SELECT s, min(ord) AS least FROM w GROUP BY s HAVING min(ord) < max(ord)),
+h AS (SELECT rid, p, CASE WHEN p > lag(p) OVER (PARTITION BY rid ORDER BY p) + {LENGTH} THEN 1 ELSE 0 END AS new
+      FROM w JOIN f USING (s) WHERE ord > least),
+r AS (SELECT rid, min(p) AS a, max(p) + {LENGTH} AS b
+      FROM (SELECT rid, p, sum(new) OVER (PARTITION BY rid ORDER BY p) AS run FROM h) GROUP BY rid, run),
+k AS (SELECT rid, a, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 1) AS e, b FROM r),
+c AS (SELECT rid, sum(k.b - k.a) AS n_removed, count(*) AS n_spans, max(k.b) AS last,
+             string_agg(substr(x, 2 * e - 1, 2 * (a - e)), '' ORDER BY a) AS kept
+      FROM k JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN x ELSE kept || substr(x, 2 * last - 1) END)) AS kept_sha256
+FROM d LEFT JOIN c USING (rid)"""
