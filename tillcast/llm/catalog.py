@@ -24,4 +24,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.oracle_sql(),
+    "op5_suffix_dedup": suffix_dedup.oracle_sql(),
+    "op6_decontamination": decontaminate.oracle_sql(),
 }

@@ -28,6 +28,7 @@ from tillcast.llm.fm_index import FMIndex
 WINDOW = 13
 BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 4 << 20
+HASHED = 1 << 20  # bytes hashed at a time (memory bound only)
 #: Share of hit words from which a document counts as contaminated: 1 / 20.
 SHARE = 20
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -63,10 +64,18 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hash of each word's bytes (equal words, equal hashes)."""
-    up, down = _Powers.upto(len(low) + 1)
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(up[:len(low)] * low, dtype=np.uint64)])
-    return (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)
+    """Polynomial hash of each word's bytes (equal words, equal hashes), about ``HASHED`` bytes at a time."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, base + HASHED, side="right")))
+        part, s, e = low[base:int(ends[j - 1])], starts[i:j] - base, ends[i:j] - base
+        up, down = _Powers.upto(len(part) + 1)
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(up[:len(part)] * part, dtype=np.uint64)])
+        out[i:j] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)
+        i = j
+    return out
 
 
 class Windows:
@@ -282,3 +291,25 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_benchmark(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL of the contract's rows."""
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = rf"regexp_extract_all({low}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH i AS (SELECT item_id, {words} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), {WINDOW}) AS n, array_to_string(w[j:j + {WINDOW - 1}], ' ') AS s
+        FROM (SELECT *, unnest(generate_series(1, greatest(1, len(w) - {WINDOW - 1}))) AS j FROM i WHERE len(w) > 0)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM documents),
+p AS (SELECT rid, n, j, array_to_string(w[j:j + n - 1], ' ') AS s
+      FROM (SELECT rid, w, n, unnest(generate_series(1, len(w) - n + 1)) AS j
+            FROM d CROSS JOIN (SELECT DISTINCT n FROM win))),
+m AS (SELECT p.rid, p.n, p.j, win.item_id FROM p JOIN win ON p.s = win.s AND p.n = win.n),
+h AS (SELECT rid, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT rid, j + unnest(range(n)) AS k FROM m) GROUP BY rid),
+t AS (SELECT rid, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items
+      FROM (SELECT DISTINCT rid, item_id::VARCHAR AS x FROM m WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND {SHARE} * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)"""

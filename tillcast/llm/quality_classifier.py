@@ -176,18 +176,23 @@ class Scorer:
 
 def fit(texts: list[bytes], labels: np.ndarray, steps: int = STEPS) -> Scorer:
     """Logistic regression on posterior labels by full gradient steps (Adam)."""
-    found, first = features(texts) if texts else (np.zeros((0, FEATURES), dtype=np.int32), np.zeros(1, dtype=np.int64))
-    n = np.diff(first)
     w, bias = np.zeros(BUCKETS), 0.0
-    if not (n > 0).any():
-        return Scorer(w, bias)
     y = np.asarray(labels, dtype=np.float64)
-    weight = (n > 0) / (n > 0).sum()
-    # Each text's distinct features with their shares.
-    text = np.repeat(np.arange(len(texts)), n * FEATURES)
-    pairs, counts = np.unique(text * BUCKETS + found.reshape(-1), return_counts=True)
-    text, bucket = pairs // BUCKETS, pairs % BUCKETS
-    share = counts / (n[text] + SHRINK)
+    # Each text's distinct features with their shares, some texts at a time.
+    text, bucket, share, some = [], [], [], np.zeros(len(texts), dtype=bool)
+    for i in range(0, len(texts), 128):
+        found, first = features(texts[i:i + 128])
+        n = np.diff(first)
+        some[i:i + 128] = n > 0
+        owner = np.repeat(np.arange(len(n)), n * FEATURES)
+        pairs, counts = np.unique(owner * BUCKETS + found.reshape(-1), return_counts=True)
+        text.append((pairs // BUCKETS + i).astype(np.int32))
+        bucket.append((pairs % BUCKETS).astype(np.int32))
+        share.append((counts / (n[pairs // BUCKETS] + SHRINK)).astype(np.float32))
+    if not some.any():
+        return Scorer(w, bias)
+    text, bucket, share = np.concatenate(text), np.concatenate(bucket), np.concatenate(share)
+    weight = some / some.sum()
     m1, m2, b1, b2 = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
     for step in range(1, steps + 1):
         mean = np.bincount(text, weights=w[bucket] * share, minlength=len(texts))
