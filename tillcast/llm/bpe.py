@@ -23,7 +23,7 @@ from typing import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,7 +139,12 @@ class Vocabulary:
 
     def decode_lists(self, ids: pa.ListArray) -> pa.Array:
         """``decode`` of a whole list<int> array; null lists give empty texts."""
-        lists = pa.ListArray.from_arrays(ids.offsets, self.arrow.take(ids.values)) if len(ids) else pa.array([], pa.list_(pa.string()))
+        if not len(ids):
+            return pa.array([], pa.string())
+        # Of a slice only its own ids: ``values`` holds those of the whole array.
+        first, last = ids.offsets[0].as_py(), ids.offsets[-1].as_py()
+        strings = self.arrow.take(ids.values.slice(first, last - first))
+        lists = pa.ListArray.from_arrays(pc.subtract(ids.offsets, first), strings)
         return pc.fill_null(pc.binary_join(pc.if_else(ids.is_valid(), lists, None) if ids.null_count else lists, " "), "")
 
 
@@ -188,9 +193,12 @@ def decode(encoded: DataFrame, path: str = WORD_BPE, ids_col: str = "ids", out_c
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out_col, T.StringType())]))
 
 
+def digests(ids_col: str = "ids", decoded_col: str = "decoded") -> list[Column]:
+    """SHA-256 of the decimal ids joined by a blank, and of the decoded text."""
+    return [F.sha2(F.array_join(F.col(ids_col).cast("array<string>"), " "), 256).alias("ids_sha256"),
+            F.sha2(F.col(decoded_col).cast("binary"), 256).alias("decoded_sha256")]
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract: number of ids, digest of the ids and of the decoded text of every document."""
-    d = decode(encode(documents(spark, sf_dir)))
-    return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                    F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-                    F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return decode(encode(documents(spark, sf_dir))).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), *digests())
