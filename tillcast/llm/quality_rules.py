@@ -99,11 +99,15 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.zip_with("p", F.slice("p", 2, F.greatest(F.size("p"), F.lit(1))),
                    lambda a, b: F.least(F.lit(NGRAM), F.coalesce(b - a, F.lit(NGRAM))).cast("long")),
         F.lit(0).cast("long"), lambda s, x: s + x)
-    return t.select(
-        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_upper", "n_stop_words", "n_distinct_words",
+    found = F.struct(
+        "n_words", "word_chars", "n_symbols", "n_upper", "n_stop_words", "n_distinct_words",
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    # One generated row a text: a filter on a measure stays above it.  Pushed
+    # below, it would be written out with all it rests on, inside the lambdas,
+    # and long texts would cost their square.
+    return t.select(F.col("id").alias(id_col), F.inline(F.array(found)))
 
 
 def quality_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id",
@@ -117,11 +121,11 @@ def quality_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str =
     """
     m = measures(docs, id_col, text_col)
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
-    verdict = ~base
+    out = m.select("*", base.alias("base_failed"), *[r.column().alias(f"rule_{r.name}") for r in rules])
+    verdict = ~F.col("base_failed")
     for r in rules:
-        verdict = verdict & r.column()
-    return m.select("*", base.alias("base_failed"), *[r.column().alias(f"rule_{r.name}") for r in rules],
-                    verdict.alias("kept"))
+        verdict = verdict & F.col(f"rule_{r.name}")
+    return out.withColumn("kept", verdict)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
