@@ -39,17 +39,13 @@ def global_prefix(df: DataFrame, order: Sequence[Column], sum_cols: Sequence[str
     """
     n = buckets or _default_buckets(df)
     ranged = df.repartitionByRange(n, *order).withColumn("_bucket", F.spark_partition_id())
-    # ``ranged`` feeds two branches (local windows, bucket totals).  They must
-    # see the same range bounds: Spark plans them on ONE reused exchange
-    # (retries after executor loss recompute with that exchange's own
-    # partitioner).  If a session disables exchange reuse, two independent
-    # samplings could pick different bounds, so pin the rows with a reliable
-    # checkpoint instead.
-    conf = df.sparkSession.conf
-    if conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
-        from tillcast.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(df.sparkSession)
-        ranged = ranged.checkpoint(eager=True)
+    # ``ranged`` feeds two branches (local windows, bucket totals).  Both must
+    # see the same range bounds, and bounds are sampled anew whenever the
+    # exchange is planned again (columns pruned differently, a retry), so the
+    # ranged rows are written once by a reliable checkpoint and read twice.
+    from tillcast.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = ranged.checkpoint(eager=True)
 
     in_bucket = Window.partitionBy("_bucket").orderBy(*order)
     running = in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)
