@@ -32,10 +32,10 @@ def test_file_gate(spark, scratch):
     assert g["good.csv"]["reason"] is None and g["good.csv"]["encoding"] == "UTF-8"
     assert g["latin.csv"]["reason"] is None and g["latin.csv"]["encoding"] == "ISO-8859-1"
     assert g["sheet.xlsx"]["reason"] is None
-    assert g["fake.xlsx"]["reason"] == "File content does not match its extension."
-    assert g["notes.txt"]["reason"].startswith("File type not allowed")
+    assert g["fake.xlsx"]["reason"] == "Content is not what the extension says"
+    assert g["notes.txt"]["reason"].startswith("Extension is none of")
     big = file_gate(spark, d, max_mb=0).filter(F.col("path").endswith("good.csv")).first()
-    assert big["reason"] == "File exceeds 0MB size limit."
+    assert big["reason"] == "Larger than 0 MB"
     raw = read_raw_log(spark, os.path.join(d, "latin.csv"), "ISO-8859-1").first()
     assert raw["Description"] == "café" and raw["_file"].endswith("latin.csv")
 

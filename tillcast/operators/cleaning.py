@@ -124,19 +124,45 @@ def _message(kind: Column, n: Column) -> Column:
                   F.format_string("Could not parse InvoiceDate column: %d unparseable values", n)))
 
 
+def report_counts(rows: DataFrame) -> DataFrame:
+    """CLEAN-13 rows of a table with ``reject_reason``: one per rule that fired."""
+    n = rows.filter(F.col("reject_reason").isNotNull()).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
+    return n.select(F.col("reject_reason").alias("type"), _message(F.col("reject_reason"), F.col("n")).alias("message"),
+                    F.lit(False).alias("fatal"), F.col("n").alias("affected_rows"))
+
+
 def clean_log(raw: DataFrame, strict_scrub: bool = False, file_col: str | None = None) -> CleanResult:
     """Validate and clean a raw log (see module doc)."""
+    rows, errors = checked_rows(raw, strict_scrub)
+    return clean_result(rows, raw, errors, file_col)
+
+
+def checked_rows(raw: DataFrame, strict_scrub: bool = False) -> tuple[DataFrame, list[dict]]:
+    """Every row of a raw log with its parsed columns, ``reject_reason`` and
+    ``_bad_date``; or, with plan-time errors, no rows.  Store this table to
+    derive all of ``clean_result`` without parsing again."""
     df, errors = normalize_headers(raw)
+    if errors:
+        return df.limit(0), errors
+    return _checked(df, strict_scrub), errors
+
+
+def clean_result(rows: DataFrame, raw: DataFrame, errors: list[dict], file_col: str | None = None) -> CleanResult:
+    """Accepted rows, report and summary of ``checked_rows``."""
     spark = raw.sparkSession
     report_schema = "type string, message string, fatal boolean, affected_rows long"
     if errors:
         report = spark.createDataFrame([(e["type"], e["message"], True, None) for e in errors], report_schema)
-        empty = df.limit(0)
+        empty = rows
         summary = raw.agg(F.count(F.lit(1)).alias("row_count")).select(
             "row_count", F.lit(0).cast("long").alias("valid_rows"),
             F.lit(0).cast("long").alias("invalid_rows"), F.lit(0).cast("long").alias("empty_rows"))
         return CleanResult(empty, empty, report, summary, errors)
 
+    return _result(rows, file_col)
+
+
+def _checked(df: DataFrame, strict_scrub: bool) -> DataFrame:
     lineage = [c for c in df.columns if c.startswith("_")]
     base = df.select(*lineage, *[_nullify(F.col(f"`{c}`")).alias(c) for c in REQUIRED_COLUMNS])
     all_null = F.lit(True)
@@ -157,7 +183,7 @@ def clean_log(raw: DataFrame, strict_scrub: bool = False, file_col: str | None =
     reason = F.when(F.col("_empty"), "empty_row").otherwise(
         reject_reason(F.col("StockCode"), F.col("_date"), F.col("_qty"), F.col("_price")))
     scrub = (lambda c: scrub_formula(c, strict=strict_scrub))
-    rows = typed.select(
+    return typed.select(
         *lineage,
         F.col("InvoiceNo"),
         scrub(F.col("StockCode")).alias("StockCode"),
@@ -178,14 +204,16 @@ def clean_log(raw: DataFrame, strict_scrub: bool = False, file_col: str | None =
         F.monotonically_increasing_id().alias("_seq"),
     )
 
+
+def _result(rows: DataFrame, file_col: str | None) -> CleanResult:
     # CLEAN-5: an unparseable date makes its whole file fatal.
     bad_rows = rows.filter(F.col("_bad_date"))
     if file_col:
-        # At most one row per input file: bounded by the file listing, so
-        # it is broadcast and the big side is never shuffled on the (few,
-        # hot) file keys.
+        # One row per fatal file.  Their number grows with the landing folder,
+        # so no broadcast is forced: the planner broadcasts what it measured
+        # small, else the skew split applies to the hot file keys.
         fatal_files = bad_rows.select(file_col).distinct()
-        accepted = rows.join(F.broadcast(fatal_files), file_col, "left_anti")
+        accepted = rows.join(fatal_files, file_col, "left_anti")
     else:
         n_bad = bad_rows.agg(F.count("_seq")).scalar()
         accepted = rows.filter(n_bad == 0)

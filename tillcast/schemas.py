@@ -7,7 +7,8 @@ money is DecimalType so sums are exact; sums are widened to (18,2) or more.
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(10, 2)
-LINE_MONEY = T.DecimalType(12, 2)
+# quantity and price may each reach 100,000, so a line needs 13 digits
+LINE_MONEY = T.DecimalType(18, 2)
 SUM_MONEY = T.DecimalType(18, 2)
 
 # Column names of a raw transaction log, in the order a file usually has them.

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillcast.functions.dates import parse_mixed_timestamp
+from tillcast.functions.text import scrub_formula, strip_ws
 
 # ERP column names and the country of that export.
 ERP_FIELDS = {
@@ -51,48 +52,74 @@ def map_erp_sheet(sheet: DataFrame, validate: bool = True) -> tuple[DataFrame, D
     dropped, is_return and revenue derived.  ``unmatched_files`` lists files
     without a marker row — SRC-3 sends those through the standard cleaning.
 
-    The header row's cells become a per-file map position → name; the data
-    rows look their fields up by position (one join with the small per-file
-    header table, no collect to the driver).
+    The data rows look their fields up by the position of the name in the
+    file's header row (one join with the per-file header table, no collect to
+    the driver).  Stock code, description and country are scrubbed as in any
+    log; rejected rows are counted by ``erp_report``.
     """
+    rows, unmatched = erp_rows(sheet)
+    if validate:
+        rows = rows.filter(F.col("reject_reason").isNull())
+    return rows.drop("reject_reason"), unmatched
+
+
+def erp_report(rows: DataFrame) -> DataFrame:
+    """CLEAN-13 counts of ``erp_rows``: one row per rule that fired."""
+    from tillcast.operators.cleaning import report_counts
+    return report_counts(rows)
+
+
+def erp_rows(sheet: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All mapped rows with ``reject_reason`` (NULL = accepted), and the files without a marker row.
+
+    A field's column is the first header cell of that name; blank and repeated
+    header cells do no harm.
+    """
+    from tillcast.operators.cleaning import reject_reason
     cells = _cells(sheet)
-    # One row per sheet: bounded by the number of files, so both per-file
-    # tables are broadcast — the sheet rows are never shuffled on the file
-    # key (every row of a sheet shares it: the hottest possible key).
-    hdr = F.broadcast(header_rows(sheet))
-    header_cells = F.broadcast(
-        sheet.join(hdr, "file").filter(F.col("row_idx") == F.col("header_idx")).select(
-            "file", F.map_from_arrays(F.array(*[F.trim(F.col(c)) for c in cells]),
-                                      F.array(*[F.lit(c) for c in cells])).alias("_pos")))
-    data = (sheet.join(hdr.filter(F.col("_found") == 1), "file")
-            .filter(F.col("row_idx") > F.col("header_idx"))
-            .join(header_cells, "file"))
+    # One row per sheet.  Their number grows with the files, so no broadcast is
+    # forced; the planner broadcasts what it measured small.
+    hdr = header_rows(sheet)
+    names = sheet.join(hdr, "file").filter((F.col("row_idx") == F.col("header_idx")) & (F.col("_found") == 1)).select(
+        "file", "header_idx", F.array(*[F.trim(F.col(c)) for c in cells]).alias("_names"))
+    data = sheet.join(names, "file").filter(F.col("row_idx") > F.col("header_idx"))
 
     def field(name: str):
-        pos = F.element_at(F.col("_pos"), F.lit(name))
-        return F.coalesce(*[F.when(pos == F.lit(c), F.col(c)) for c in cells])
+        at = F.coalesce(F.array_position("_names", F.lit(name)), F.lit(0)).cast("int")
+        return F.when(at > 0, F.get(F.array(*[F.col(c) for c in cells]), at - 1))
 
     qty = F.trim(field(ERP_FIELDS["Quantity"])).try_cast("double")
     amount = F.trim(field(ERP_FIELDS["TaxableAmount"])).try_cast("double")
     denom = F.when(qty == 0, F.lit(1.0)).otherwise(qty)
+    text = lambda name: scrub_formula(field(ERP_FIELDS[name]))
     out = data.select(
         "file", "row_idx",
         field(ERP_FIELDS["InvoiceNo"]).alias("InvoiceNo"),
-        field(ERP_FIELDS["StockCode"]).alias("StockCode"),
-        field(ERP_FIELDS["Description"]).alias("Description"),
+        text("StockCode").alias("StockCode"),
+        text("Description").alias("Description"),
         qty.alias("Quantity"),
         parse_mixed_timestamp(field(ERP_FIELDS["InvoiceDate"])).alias("InvoiceDate"),
         F.round(F.try_divide(amount, denom), 2).alias("Price"),
-        field(ERP_FIELDS["Customer ID"]).alias("Customer ID"),
+        F.nullif(strip_ws(field(ERP_FIELDS["Customer ID"])), F.lit("")).alias("Customer ID"),
         F.lit(ERP_COUNTRY).alias("Country"),
     ).dropna(subset=["InvoiceNo", "StockCode"])
-    if validate:
-        # The reference skips the price/quantity/date checks for ERP rows;
-        # here they pass the same rules as any log (CLEAN-7..9).
-        from tillcast.operators.cleaning import reject_reason
-        out = out.filter(reject_reason(F.col("StockCode"), F.col("InvoiceDate"), F.col("Quantity"),
-                                       F.col("Price")).isNull())
-    out = out.withColumns({"is_return": F.col("Quantity") < 0,
-                           "revenue": F.col("Quantity") * F.col("Price")})
-    unmatched = hdr.filter(F.col("_found") == 0).select("file")
-    return out, unmatched
+    # The reference skips the price, quantity and date checks for ERP rows;
+    # here they pass the same rules as any log (CLEAN-7..9).
+    out = out.withColumns({
+        "is_return": F.col("Quantity") < 0,
+        "revenue": F.col("Quantity") * F.col("Price"),
+        "reject_reason": reject_reason(F.col("StockCode"), F.col("InvoiceDate"), F.col("Quantity"), F.col("Price"))})
+    return out, hdr.filter(F.col("_found") == 0).select("file")
+
+
+def sheet_fallback(sheet: DataFrame, unmatched: DataFrame | None = None) -> DataFrame:
+    """SRC-3: the sheets without a marker row as raw log rows (``_file``, ``_row``, canonical columns): their
+    row 0 names the columns; pass the result to ``cleaning.clean_log``."""
+    from tillcast.sources.landing import map_rows
+    if unmatched is None:
+        unmatched = header_rows(sheet).filter(F.col("_found") == 0).select("file")
+    cells = _cells(sheet)
+    rows = sheet.join(unmatched, "file", "left_semi").select(
+        F.col("file").alias("_file"), F.struct(F.lit(0).cast("long").alias("block"), F.col("row_idx").cast("long").alias("id")).alias("_row"),
+        F.array(*[F.col(c) for c in cells]).alias("cells"))
+    return map_rows(rows).rows

@@ -15,21 +15,31 @@ XLSX_MAGIC = bytes([0x50, 0x4B, 0x03, 0x04])
 MAGIC_PROBE_BYTES = 1024
 
 
+BAD_CONTENT = "Content is not what the extension says"
+
+
+def gate_reason(ext, length, allowed=ALLOWED_EXTENSIONS, max_mb: int | None = MAX_UPLOAD_MB):
+    """GATE-1 by name and size: why a file is refused, NULL if it is not."""
+    reason = F.when(~ext.isin(list(allowed)), F.lit("Extension is none of " + " ".join(allowed)))
+    if max_mb is not None:
+        reason = reason.when(length > max_mb * 1024 * 1024, F.lit(f"Larger than {max_mb} MB"))
+    return reason
+
+
 def file_gate(spark: SparkSession, path: str, allowed=ALLOWED_EXTENSIONS,
-              max_mb: int = MAX_UPLOAD_MB) -> DataFrame:
+              max_mb: int | None = MAX_UPLOAD_MB) -> DataFrame:
     """GATE-1/2: one row per landed file with ``reason`` (NULL = accepted,
     first failing check wins: extension, size, content), the encoding to read
     it with (UTF-8, else ISO-8859-1) and the sanitised file name.
 
     Two passes over the listing: sizes and names come from file metadata
     without reading content; only files that pass those checks have their
-    bytes read, so an oversized file is never loaded.
+    bytes read, so an oversized file is never loaded.  ``max_mb=None`` lifts
+    the size limit.
     """
     listing = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
     ext = file_extension(F.col("path"))
-    limit = max_mb * 1024 * 1024
-    pre = (F.when(~ext.isin(list(allowed)), F.lit(f"File type not allowed. Accepted: {', '.join(allowed)}"))
-           .when(F.col("length") > limit, F.lit(f"File exceeds {max_mb}MB size limit.")))
+    pre = gate_reason(ext, F.col("length"), allowed, max_mb)
     meta = listing.withColumn("ext", ext).withColumn("reason", pre)
     small = meta.filter(F.col("reason").isNull()).select("path")
     content = (spark.read.format("binaryFile").load(path).join(small, "path", "left_semi")
@@ -39,7 +49,7 @@ def file_gate(spark: SparkSession, path: str, allowed=ALLOWED_EXTENSIONS,
     j = meta.join(content, "path", "left")
     bad_content = (F.col("ext") == ".xlsx") & (F.col("_magic") != F.lit(XLSX_MAGIC))
     reason = F.coalesce(F.col("reason"),
-                        F.when(bad_content, F.lit("File content does not match its extension.")))
+                        F.when(bad_content, F.lit(BAD_CONTENT)))
     return j.select(
         "path", sanitize_filename(F.col("path")).alias("filename"), "length", "modificationTime",
         "ext", reason.alias("reason"),
@@ -51,10 +61,11 @@ def read_raw_log(spark: SparkSession, paths, encoding: str = "UTF-8") -> DataFra
     stock codes such as 71053 stay text), quoted multi-line fields allowed,
     lineage columns ``_file`` (source path) and ``_row`` (load order).
 
-    Files read in one call share a header layout (one upload)."""
+    Files read in one call must share a header layout: a header that differs
+    fails the read.  ``sources.landing`` reads mixed folders."""
     df = (spark.read.option("header", True).option("inferSchema", False)
           .option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE")
-          .option("encoding", encoding).csv(paths))
+          .option("encoding", encoding).option("enforceSchema", False).csv(paths))
     return df.select(F.col("_metadata.file_path").alias("_file"),
                      F.monotonically_increasing_id().alias("_row"), *[F.col(f"`{c}`") for c in df.columns])
 

@@ -39,30 +39,42 @@ def money_to_cents(money: Column) -> Column:
     return (money * F.lit(100)).cast("long")
 
 
+def sale_lines(lineitem: DataFrame) -> DataFrame:
+    """The sales fact without customer and country: lineitem alone, no join
+    and no shuffle.  Operators that need neither column read this one.
+
+    Input contract: every line's order, customer and nation exist, so the
+    lines are the rows of ``transactions`` (``missing_orders`` checks it).
+    """
+    return _facts(lineitem.select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"))
+
+
+def missing_orders(lineitem: DataFrame, orders: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFrame:
+    """Order keys of lines that ``transactions`` would lose (must be empty)."""
+    known = (orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+             .join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey"))
+    return lineitem.select("l_orderkey").distinct().join(known, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti")
+
+
 def transactions(lineitem: DataFrame, orders: DataFrame, customer: DataFrame,
                  nation: DataFrame) -> DataFrame:
     """The sales fact (schema ``schemas.TRANSACTIONS``) from the TPC-H tables.
 
-    Plan: nation has 25 rows by the TPC-H specification, so broadcasting it
-    is bounded.  customer ⋈ orders is left to the planner (broadcast when
-    customer is small, sort-merge otherwise).  lineitem ⋈ orders is the big
-    one: both sides are hash-partitioned on the order key explicitly — the
-    exchange a sort-merge join needs at scale anyway — so the join runs
-    co-partitioned and everything after it (parsing, validation, partial
-    aggregation) is spread over the shuffle partitions instead of inheriting
-    the scan's split count.  The ``merge`` hint keeps the planner from
-    broadcasting the fact side when a small sample makes it look small.
+    nation has 25 rows by the TPC-H specification, so broadcasting it is
+    bounded.  The other joins are left to the planner: broadcast where a side
+    is measured small, else sort-merge on the order key with the skew split.
     Only the columns used are read.
     """
     nations = F.broadcast(nation.select("n_nationkey", "n_name"))
     cust = customer.select("c_custkey", "c_nationkey").join(
         nations, F.col("c_nationkey") == F.col("n_nationkey"))
-    ords = orders.select("o_orderkey", "o_custkey").join(
-        cust, F.col("o_custkey") == F.col("c_custkey")).repartition("o_orderkey").hint("merge")
-    li = lineitem.select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice",
-                         "l_returnflag", "l_shipdate").repartition("l_orderkey")
-    j = li.join(ords, F.col("l_orderkey") == F.col("o_orderkey"))
+    ords = orders.select("o_orderkey", "o_custkey").join(cust, F.col("o_custkey") == F.col("c_custkey"))
+    li = lineitem.select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")
+    return _facts(li.join(ords, F.col("l_orderkey") == F.col("o_orderkey")),
+                  F.col("o_custkey").cast("string").alias("customer_id"), F.col("n_name").alias("country"))
+
 
+def _facts(j: DataFrame, *customer: Column) -> DataFrame:
     qty = F.col("l_quantity").cast("long")
     is_return = F.col("l_returnflag") == F.lit("R")
     unit_cents = F.expr("cast(round(l_extendedprice * 100) as bigint) div cast(l_quantity as bigint)")
@@ -74,8 +86,7 @@ def transactions(lineitem: DataFrame, orders: DataFrame, customer: DataFrame,
         cents_to_money(unit_cents).alias("unit_price"),
         cents_to_money(unit_cents * signed_qty, schemas.LINE_MONEY).alias("revenue"),
         F.col("l_shipdate").alias("invoice_date"),
-        F.col("o_custkey").cast("string").alias("customer_id"),
-        F.col("n_name").alias("country"),
+        *customer,
         is_return.alias("is_return"),
         (F.year("l_shipdate") - F.lit(BASE_YEAR)).cast("long").alias("upload_id"),
     )
@@ -152,6 +163,16 @@ class RetailData:
         return self._memo("tx", lambda: transactions(
             self.table("lineitem"), self.table("orders"), self.table("customer"), self.table("nation")))
 
+    @property
+    def lines(self) -> DataFrame:
+        """The facts for operators that need no customer and no country."""
+        return self._memo("lines", lambda: sale_lines(self.table("lineitem")))
+
+    @property
+    def active_lines(self) -> DataFrame:
+        from tillcast.operators.registry import active_scope
+        return self._memo("active_lines", lambda: active_scope(self.lines, self.uploads))
+
     @property
     def products(self) -> DataFrame:
         return self._memo("products", lambda: products(self.table("part")))
@@ -163,7 +184,7 @@ class RetailData:
     @property
     def daily(self) -> DataFrame:
         from tillcast.operators.daily import daily_sales
-        return self._memo("daily", lambda: daily_sales(self.tx))
+        return self._memo("daily", lambda: daily_sales(self.lines))
 
     @property
     def active_tx(self) -> DataFrame:
@@ -181,6 +202,8 @@ def raw_log_from_facts(tx: DataFrame) -> DataFrame:
     missing; 4 → StockCode '=' prefixed; 5 → Description '@cmd'; 6 → Country
     padded with spaces; 7 → InvoiceDate as d/M/yyyy; else ISO timestamps.
     Lineage columns: ``_file`` (landed file name) and ``_upload_id``.
+    The rows are dealt by invoice: a landing folder holds many files, and the
+    exchange keeps the derivation out of the cleaning expressions.
     """
     k = F.col("invoice_no").cast("long") % 50
     pid = F.col("product_id").cast("string")
@@ -201,7 +224,7 @@ def raw_log_from_facts(tx: DataFrame) -> DataFrame:
         F.col("customer_id").alias("Customer ID"),
         F.when(k == 6, F.concat(F.lit("  "), F.col("country"), F.lit("  ")))
          .otherwise(F.col("country")).alias("Country"),
-    )
+    ).repartition("InvoiceNo")
 
 
 def superstore_log_from_facts(tx: DataFrame) -> DataFrame:
