@@ -73,6 +73,12 @@ def list_uploads(reg: DataFrame) -> DataFrame:
     return reg.orderBy(F.col("uploaded_at").desc(), F.col("upload_id").desc())
 
 
+def upload_status(reg: DataFrame, upload_id: int) -> DataFrame:
+    """REG-4: one upload's status row, or no row."""
+    return reg.filter(F.col("upload_id") == F.lit(upload_id)).select(
+        "upload_id", "filename", "status", "row_count", "valid_rows", "invalid_rows", "is_active", "error_message", "processed_at")
+
+
 def active_scope(tx: DataFrame, reg: DataFrame) -> DataFrame:
     """REG-5: facts of the active upload only."""
     return tx.filter(F.col("upload_id") == active_id(reg))
@@ -93,3 +99,23 @@ def delete_upload(reg: DataFrame, tx: DataFrame, products: DataFrame, upload_id:
     kept = products.join(used, "product_id", "left_semi")
     orphans = products.join(used, "product_id", "left_anti")
     return reg2, tx2, kept, orphans
+
+
+def delete_upload_cascade(reg: DataFrame, tx: DataFrame, products: DataFrame, upload_id: int,
+                          dependents: dict[str, DataFrame] | None = None, insights: DataFrame | None = None) -> dict[str, DataFrame]:
+    """REG-3 with everything that hangs on the upload.
+
+    ``dependents`` (forecasts, alerts, ...) lose the rows of orphaned products
+    by an anti join on product_id; ``insights`` (cached texts about the data
+    as it was) are emptied; ``daily`` is built from the facts of the upload
+    that is active afterwards.
+    """
+    from tillcast.operators.daily import daily_sales
+    reg2, tx2, kept, orphans = delete_upload(reg, tx, products, upload_id)
+    out = {"uploads": reg2, "facts": tx2, "products": kept, "orphans": orphans,
+           "daily": daily_sales(active_scope(tx2, reg2))}
+    gone = orphans.select("product_id")
+    out |= {name: df.join(gone, "product_id", "left_anti") for name, df in (dependents or {}).items()}
+    if insights is not None:
+        out["insights"] = insights.limit(0)
+    return out
