@@ -20,8 +20,8 @@ import uuid
 
 from tillcast.operators import catalogue, cleaning, context, exports, features, forecasting, registry
 from tillcast.session import scratch_path
-from tillcast.sources.erp_sheet import map_erp_sheet
-from tillcast.sources.tpch import RetailData, erp_sheet_from_facts, raw_log_from_facts, superstore_log_from_facts
+from tillcast.sources.erp_sheet import map_erp_sheet, sheet_fallback
+from tillcast.sources.tpch import RetailData, erp_sheet_from_facts, missing_orders, raw_log_from_facts, superstore_log_from_facts
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -37,7 +37,7 @@ def _data(spark: SparkSession, sf_dir: str) -> RetailData:
 
 
 def _products_with_abc(d: RetailData) -> DataFrame:
-    return abc_ops.write_back_classes(d.products, abc_ops.abc_analysis(d.tx, d.products))
+    return abc_ops.write_back_classes(d.products, abc_ops.abc_analysis(d.lines, d.products))
 
 
 def _daily_out(df: DataFrame) -> DataFrame:
@@ -52,12 +52,12 @@ def q_daily_sales(spark, sf_dir):
 
 def q_top_products(spark, sf_dir):
     d = _data(spark, sf_dir)
-    return analytics.top_products(d.active_tx, _products_with_abc(d), TOP_N)
+    return analytics.top_products(d.active_lines, _products_with_abc(d), TOP_N)
 
 
 def q_top_products_search(spark, sf_dir):
     d = _data(spark, sf_dir)
-    return analytics.search_products(analytics.top_products(d.active_tx, _products_with_abc(d), 50), SEARCH_TERM)
+    return analytics.search_products(analytics.top_products(d.active_lines, _products_with_abc(d), 50), SEARCH_TERM)
 
 
 def q_kpis(spark, sf_dir):
@@ -76,7 +76,7 @@ def q_kpis_consistent(spark, sf_dir):
 
 
 def q_kpis_active(spark, sf_dir):
-    return analytics.kpis_active(_data(spark, sf_dir).active_tx)
+    return analytics.kpis_active(_data(spark, sf_dir).active_lines)
 
 
 def q_top_country(spark, sf_dir):
@@ -85,18 +85,18 @@ def q_top_country(spark, sf_dir):
 
 def _trend(granularity):
     def q(spark, sf_dir):
-        return analytics.revenue_trend(_data(spark, sf_dir).active_tx, granularity)
+        return analytics.revenue_trend(_data(spark, sf_dir).active_lines, granularity)
     return q
 
 
 def q_abc(spark, sf_dir):
     d = _data(spark, sf_dir)
-    return abc_ops.abc_analysis(d.tx, d.products).drop("revenue_rank")
+    return abc_ops.abc_analysis(d.lines, d.products).drop("revenue_rank")
 
 
 def q_abc_summary(spark, sf_dir):
     d = _data(spark, sf_dir)
-    return abc_ops.abc_summary(abc_ops.abc_analysis(d.tx, d.products))
+    return abc_ops.abc_summary(abc_ops.abc_analysis(d.lines, d.products))
 
 
 def q_abc_distribution(spark, sf_dir):
@@ -122,6 +122,12 @@ def q_product_list(spark, sf_dir):
     return prod_ops.product_page(prod_ops.product_list(_products_with_abc(d), d.daily), 1, 50)
 
 
+def q_product_list_all(spark, sf_dir):
+    """PROD-1 without a page: every product."""
+    d = _data(spark, sf_dir)
+    return prod_ops.product_list(_products_with_abc(d), d.daily)
+
+
 def q_product_page2(spark, sf_dir):
     d = _data(spark, sf_dir)
     return prod_ops.product_page(prod_ops.product_list(_products_with_abc(d), d.daily, abc_class="a"), 2, 20)
@@ -182,7 +188,7 @@ def q_uploads(spark, sf_dir):
 def q_switch_active(spark, sf_dir):
     d = _data(spark, sf_dir)
     reg = registry.set_active(d.uploads, 3)
-    scope = registry.active_scope(d.tx, reg)
+    scope = registry.active_scope(d.lines, reg)
     return _daily_out(daily_ops.daily_sales(scope))
 
 
@@ -200,8 +206,8 @@ def q_daily_merge(spark, sf_dir):
 
 def q_delete_upload_orphans(spark, sf_dir):
     d = _data(spark, sf_dir)
-    latest = d.uploads.agg(F.max("upload_id")).collect()[0][0]
-    _, _, _, orphans = registry.delete_upload(d.uploads, d.tx, d.products, latest)
+    latest = d.uploads.agg(F.max("upload_id")).first()[0]  # one scalar
+    _, _, _, orphans = registry.delete_upload(d.uploads, d.lines, d.products, latest)
     return orphans.select("product_id", "stock_code")
 
 
@@ -258,6 +264,27 @@ def q_product_upsert_incremental(spark, sf_dir):
     return _product_out(catalogue.assign_ids(added, existing))
 
 
+def q_product_upsert_second(spark, sf_dir):
+    """DIM-1/2 for all later files against the catalogue of the first file."""
+    acc = _clean(_data(spark, sf_dir)).accepted
+    first = acc.agg(F.min("_upload_id")).scalar()
+    existing = catalogue.assign_ids(catalogue.new_products(acc.filter(F.col("_upload_id") == first), None), None)
+    added = catalogue.new_products(acc.filter(F.col("_upload_id") != first), existing)
+    return _product_out(catalogue.assign_ids(added, existing))
+
+
+def q_alerts_slow_all_time(spark, sf_dir):
+    """ALERT-3 over the whole history."""
+    return alert_ops.slow_mover_alerts(_data(spark, sf_dir).daily, lookback_days=SLOW_LOOKBACK_DAYS)
+
+
+def q_missing_orders(spark, sf_dir):
+    """The input contract behind ``lines``: rows of lineitem without order, customer or nation, counted."""
+    d = _data(spark, sf_dir)
+    gone = missing_orders(*[d.table(t) for t in ("lineitem", "orders", "customer", "nation")])
+    return gone.agg(F.count(F.lit(1)).alias("missing"))
+
+
 def q_fact_build(spark, sf_dir):
     d = _data(spark, sf_dir)
     facts = catalogue.build_facts(_clean(d).accepted, d.products, F.col("_upload_id"))
@@ -315,11 +342,8 @@ def q_metrics(spark, sf_dir):
     return features.error_metrics(f.withColumn("prediction", F.col("lag_7")))
 
 
-FORECAST_TREES = 20
-
-
 def _trained(d: RetailData) -> forecasting.TrainedForecast:
-    return forecasting.train(d.daily, max_iter=FORECAST_TREES)
+    return forecasting.train(d.daily)
 
 
 def q_forecast(spark, sf_dir):
@@ -350,20 +374,20 @@ def q_context_kpis(spark, sf_dir):
 
 def q_context_top10(spark, sf_dir):
     d = _data(spark, sf_dir)
-    return context.context_top_products(d.tx, _products_with_abc(d))
+    return context.context_top_products(d.lines, _products_with_abc(d))
 
 
 def q_context_trend7(spark, sf_dir):
     d = _data(spark, sf_dir)
-    return context.context_trend(d.active_tx, d.daily)
+    return context.context_trend(d.active_lines, d.daily)
 
 
 def _context_parts(d: RetailData):
     kpis = context.context_kpis(d.tx)
     counts = alert_ops.open_alert_counts(_alerts_table(d))
     prods = _products_with_abc(d)
-    top = context.context_top_products(d.tx, prods)
-    return kpis, counts, top, abc_ops.abc_distribution(prods), context.context_trend(d.active_tx, d.daily)
+    top = context.context_top_products(d.lines, prods)
+    return kpis, counts, top, abc_ops.abc_distribution(prods), context.context_trend(d.active_lines, d.daily)
 
 
 def q_context_json(spark, sf_dir):
@@ -410,7 +434,7 @@ def _landing(spark: SparkSession, d: RetailData) -> str:
     the shared scratch area, as an upload would."""
     base = scratch_path(spark, f"landing-{uuid.uuid4().hex}")
     raw = raw_log_from_facts(d.tx).drop("_upload_id").withColumnRenamed("_file", "file")
-    raw.repartition("file").write.partitionBy("file").option("header", True).csv(base)
+    raw.write.partitionBy("file").option("header", True).csv(base)
     return base
 
 
@@ -439,6 +463,36 @@ def q_stream_daily(spark, sf_dir):
     return _daily_out(merged_daily(spark, out))
 
 
+def q_ingest_layouts(spark, sf_dir):
+    """JOB-1 over one folder whose files differ: even upload years have their
+    columns in another order and under alias names.  Same result as one layout."""
+    from tillcast.plans.ingest import ingest_upload, merged_daily
+    d = _data(spark, sf_dir)
+    landing = scratch_path(spark, f"landing-{uuid.uuid4().hex}")
+    raw = raw_log_from_facts(d.tx).withColumnRenamed("_file", "file")
+    even = F.col("_upload_id") % 2 == 0
+    raw.filter(~even).drop("_upload_id").write.partitionBy("file").option("header", True).csv(landing)
+    other = raw.filter(even).select("file", F.col("Customer ID").alias("customer_id"), F.col("Price").alias("UnitPrice"), "Country",
+                                    F.col("InvoiceDate").alias("Order Date"), F.col("StockCode").alias("Product ID"), "Quantity",
+                                    "Description", F.col("InvoiceNo").alias("invoice_no"))
+    other.write.mode("append").partitionBy("file").option("header", True).csv(landing)
+    res = ingest_upload(spark, landing, 1, d.products, scratch_path(spark, f"ingest-{uuid.uuid4().hex}"))
+    if res.status != "completed":
+        raise RuntimeError(f"ingest failed: {res.error}")
+    return _daily_out(merged_daily(spark, res.daily_path))
+
+
+def q_sheet_fallback(spark, sf_dir):
+    """SRC-3: a sheet without a marker row goes through the standard cleaning."""
+    log = superstore_log_from_facts(_data(spark, sf_dir).tx)
+    cells = [f"c{i}" for i in range(len(log.columns))]
+    file = F.lit("superstore.csv").alias("file")
+    header = spark.createDataFrame([tuple(log.columns)], ", ".join(f"{c} string" for c in cells))
+    sheet = log.toDF(*cells).select(file, (F.lit(1) + F.monotonically_increasing_id()).alias("row_idx"), *cells).unionByName(
+        header.select(file, F.lit(0).cast("long").alias("row_idx"), *cells))
+    return _clean_out(cleaning.clean_log(sheet_fallback(sheet), file_col="_file").accepted)
+
+
 def q_erp_mapping(spark, sf_dir):
     """SRC-2: ERP sheets (title, header, bills, subtotal) mapped to log rows."""
     rows, _ = map_erp_sheet(erp_sheet_from_facts(_data(spark, sf_dir).tx))
@@ -469,6 +523,7 @@ QUERIES: dict[str, QueryFn] = {
     "slow_movers_30": q_slow_movers_30,
     "anomalies": q_anomalies,
     "product_list": q_product_list,
+    "product_list_all": q_product_list_all,
     "product_page2": q_product_page2,
     "product_search": q_product_search,
     "product_pages": q_product_pages,
@@ -490,6 +545,9 @@ QUERIES: dict[str, QueryFn] = {
     "clean_superstore": q_clean_superstore,
     "product_upsert": q_product_upsert,
     "product_upsert_incremental": q_product_upsert_incremental,
+    "product_upsert_second": q_product_upsert_second,
+    "alerts_slow_all_time": q_alerts_slow_all_time,
+    "missing_orders": q_missing_orders,
     "fact_build": q_fact_build,
     "eligible_products": q_eligible_products,
     "densify": q_densify,
@@ -511,5 +569,7 @@ QUERIES: dict[str, QueryFn] = {
     "forecast_export": q_forecast_export,
     "ingest_daily": q_ingest_daily,
     "stream_daily": q_stream_daily,
+    "ingest_layouts": q_ingest_layouts,
+    "sheet_fallback": q_sheet_fallback,
     "erp_mapping": q_erp_mapping,
 }

@@ -164,6 +164,9 @@ def _velocity(days: int) -> str:
 )"""
 
 
+SLOW_LOOKBACK_DAYS = 3650
+
+
 def _slow(days: int) -> str:
     return _velocity(days) + f"""
 , perp AS (SELECT per.*, p.stock_code, p.description FROM per JOIN products p USING (product_id)),
@@ -415,6 +418,7 @@ SELECT product_id, sale_date, quantity, round_even(abs((quantity - m) / sd), 2)
 FROM st WHERE n >= 10 AND sd > 0 AND abs((quantity - m) / sd) > 3""",
     "product_list": PRODUCT_LIST + """
 SELECT * FROM listing ORDER BY total_revenue DESC, product_id LIMIT 50""",
+    "product_list_all": PRODUCT_LIST + "SELECT * FROM listing",
     "product_page2": PRODUCT_LIST + """
 SELECT * FROM listing WHERE abc_class = 'A' ORDER BY total_revenue DESC, product_id LIMIT 20 OFFSET 20""",
     "product_search": PRODUCT_LIST + """
@@ -561,6 +565,7 @@ SELECT p.stock_code, p.description, a.alert_type, a.severity, a.message, a.reord
 FROM all_alerts a JOIN products p USING (product_id)""",
     "ingest_daily": INGEST_DAILY,
     "stream_daily": INGEST_DAILY,
+    "ingest_layouts": INGEST_DAILY,
     "erp_mapping": """
 SELECT 'erp_' || CAST(upload_id + 1994 AS VARCHAR) || '.xlsx' AS file, invoice_no,
        'SKU' || CAST(product_id AS VARCHAR) AS stock_code, 'part ' || CAST(product_id AS VARCHAR) AS description,
@@ -577,5 +582,19 @@ WHERE product_id NOT IN (SELECT product_id FROM tx WHERE upload_id <> (SELECT ma
 }
 
 
+SQL["alerts_slow_all_time"] = SLOW_ALERT.replace(_velocity(30), _velocity(SLOW_LOOKBACK_DAYS))
+SQL["missing_orders"] = """
+SELECT CAST(COUNT(DISTINCT l_orderkey) AS BIGINT) AS missing FROM lineitem
+WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey
+                         JOIN nation ON c_nationkey = n_nationkey)"""
+SQL["product_upsert_second"] = RAW_LOG + """
+, frst AS (SELECT min(_upload_id) AS u FROM acc),
+old_codes AS (SELECT DISTINCT StockCode FROM acc WHERE _upload_id = (SELECT u FROM frst)),
+scope_rows AS (SELECT * FROM acc WHERE _upload_id <> (SELECT u FROM frst)
+               AND StockCode NOT IN (SELECT StockCode FROM old_codes)),
+""" + FIRST_ROWS + ", b AS (SELECT COUNT(*) AS base FROM old_codes)\n" + PRODUCT_OUT.replace("FROM firsts", "FROM firsts, b")
+SQL["sheet_fallback"] = SQL["clean_superstore"]
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: PRELUDE + v for k, v in SQL.items()}
