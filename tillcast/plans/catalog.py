@@ -434,6 +434,9 @@ def _landing(spark: SparkSession, d: RetailData) -> str:
     the shared scratch area, as an upload would."""
     base = scratch_path(spark, f"landing-{uuid.uuid4().hex}")
     raw = raw_log_from_facts(d.tx).drop("_upload_id").withColumnRenamed("_file", "file")
+    # A product's rows of a year lie in one file, so that (product, day) never
+    # meets in two micro-batches (DAILY-2 keeps the newest batch's price).
+    raw = raw.repartition("file", F.ltrim(F.col("StockCode"), F.lit("=")))
     raw.write.partitionBy("file").option("header", True).csv(base)
     return base
 
@@ -451,14 +454,14 @@ def q_ingest_daily(spark, sf_dir):
 
 
 def q_stream_daily(spark, sf_dir):
-    """STR-1 with availableNow: the landed files as a stream, 3 files per
+    """STR-1 with availableNow: the landed files as a stream, 16 files per
     micro-batch, daily table merged on read."""
     from tillcast.schemas import RAW_LOG_COLUMNS
     from tillcast.streaming.ingest_stream import merged_daily, start_ingest_stream
     d = _data(spark, sf_dir)
     landing = _landing(spark, d)
     out = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
-    q = start_ingest_stream(spark, landing + "/file=*", RAW_LOG_COLUMNS, d.products, out, files_per_trigger=3)
+    q = start_ingest_stream(spark, landing + "/file=*", RAW_LOG_COLUMNS, d.products, out, files_per_trigger=16)
     q.awaitTermination()
     return _daily_out(merged_daily(spark, out))
 
