@@ -50,8 +50,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    d = bpe.decode(bpe.encode(docs))
-    return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", *bpe.digests())
+    return bpe.encode_decode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", *bpe.digests())
 
 
 STAGES = [

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillcast.llm.common import TOKENIZERS, documents, text_or_empty
+from tillcast.llm.common import TOKENIZERS, documents, task, text_or_empty
 
 WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
 #: Distinct pieces whose ids a worker remembers; cleared when full (memory
@@ -133,6 +133,9 @@ class Vocabulary:
                 out += ids
         return out
 
+    def encode_all(self, texts: pa.Array) -> pa.ListArray:
+        return pa.array([self.encode(t) for t in texts.to_pylist()], pa.list_(pa.int32()))
+
     def decode(self, ids: list[int]) -> str:
         strings = self.strings
         return " ".join([strings[i] for i in ids])
@@ -168,11 +171,11 @@ def encode(docs: DataFrame, path: str = WORD_BPE, id_col: str = "doc_id", text_c
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                ids = pa.array([v.encode(t) for t in part.column(1).to_pylist()], pa.list_(pa.int32()))
+                ids = v.encode_all(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], [id_col, ids_col])
 
-    return rows.mapInArrow(run, T.StructType([T.StructField(id_col, kind),
-                                              T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+    return rows.mapInArrow(task(run), T.StructType([T.StructField(id_col, kind),
+                                                    T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(encoded: DataFrame, path: str = WORD_BPE, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -190,7 +193,23 @@ def decode(encoded: DataFrame, path: str = WORD_BPE, ids_col: str = "ids", out_c
                 text = v.decode_lists(part.column(at))
                 yield pa.RecordBatch.from_arrays([*part.columns, text], [*names, out_col])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out_col, T.StringType())]))
+    return rows.mapInArrow(task(run), T.StructType([*rows.schema.fields, T.StructField(out_col, T.StringType())]))
+
+
+def encode_decode(docs: DataFrame, path: str = WORD_BPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``encode`` and ``decode`` of every row in one pass of one worker: ``id_col``, ``ids``, ``decoded``."""
+    rows = docs.select(F.col(id_col).alias(id_col), text_or_empty(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path)
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                ids = v.encode_all(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, v.decode_lists(ids)], [id_col, "ids", "decoded"])
+
+    return rows.mapInArrow(task(run), T.StructType([rows.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType())),
+                                                    T.StructField("decoded", T.StringType())]))
 
 
 def digests(ids_col: str = "ids", decoded_col: str = "decoded") -> list[Column]:
@@ -201,4 +220,4 @@ def digests(ids_col: str = "ids", decoded_col: str = "decoded") -> list[Column]:
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract: number of ids, digest of the ids and of the decoded text of every document."""
-    return decode(encode(documents(spark, sf_dir))).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), *digests())
+    return encode_decode(documents(spark, sf_dir)).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), *digests())

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillcast.llm.common import documents, text_or_empty
+from tillcast.llm.common import documents, task, text_or_empty
 from tillcast.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -264,7 +264,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
         part = items.filter(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == block)
         shared = spark.sparkContext.broadcast(Windows([(r["k"], r["t"]) for r in part.collect()], size))
         kept = [f for f in df.schema.fields if f.name != "text"]
-        return df.mapInArrow(_search(shared, keep_all), T.StructType([*kept, *FOUND.fields]))
+        return df.mapInArrow(task(_search(shared, keep_all)), T.StructType([*kept, *FOUND.fields]))
 
     out = passed(0, base, True)
     if blocks > 1:
@@ -274,7 +274,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
             rest = rest.union(passed(b, keyed, False))
         more = rest.groupBy("rk").agg(F.collect_list(F.struct(*FOUND.names[1:])).alias("more"))
         out = (out.withColumn("rk", F.xxhash64(F.col(f"row.`{id_col}`"), text_or_empty(F.col(f"row.`{text_col}`"))))
-               .join(more, "rk", "left").drop("rk").mapInArrow(_joined, T.StructType([out.schema["row"], *FOUND.fields])))
+               .join(more, "rk", "left").drop("rk").mapInArrow(task(_joined), T.StructType([out.schema["row"], *FOUND.fields])))
     hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
     return out.withColumn("n_hit", hit).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillcast.llm.common import documents, text_or_empty
+from tillcast.llm.common import documents, task, text_or_empty
 from tillcast.llm.decontaminate import word_hashes
 from tillcast.llm.quality_rules import measures
 
@@ -246,7 +246,7 @@ def score(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
         if held:
             yield chunk(held)
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(task(run), T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labellers: Sequence[Labeller] = LABELLERS, threshold: float = THRESHOLD,

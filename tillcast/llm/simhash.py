@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from tillcast.llm.common import documents, staged, text_or_empty
+from tillcast.llm.common import documents, staged, task, text_or_empty
 from tillcast.llm.components import connected_components
 
 SHINGLE = 3
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", t
                 fp = np.array([fingerprint(t, size) for t in part.column(1).to_pylist()], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], [id_col, "fp"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema[id_col], T.StructField("fp", T.LongType())]))
+    return rows.mapInArrow(task(run), T.StructType([rows.schema[id_col], T.StructField("fp", T.LongType())]))
 
 
 def _count(segment: int) -> F.Column:

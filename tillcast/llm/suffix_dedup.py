@@ -36,14 +36,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillcast.llm.common import documents, partitions, text_or_empty
+from tillcast.llm.common import documents, give_back, partitions, task, text_or_empty
 from tillcast.llm.suffix_sort import segmented_sort
 
 LENGTH = 50
 GRAM = 16
 REACH = LENGTH - GRAM  # bytes kept to the left of an anchor
 CONTEXT = REACH + LENGTH
-CONTEXTS = 1 << 17  # contexts compared at a time (memory bound only)
+CONTEXTS = 1 << 14  # contexts gathered at a time (memory bound only)
 CHUNK = 4 << 20  # bytes hashed at a time (memory bound only)
 LEVEL = 1  # of zstd
 PAD = 0xFF  # never occurs in UTF-8
@@ -312,24 +312,23 @@ def _emit_contexts(buckets: int):
             data = np.frombuffer(b"".join(texts), dtype=np.uint8)
             doc = np.searchsorted(keys[rows], want["rk"])
             begin = np.concatenate([[0], ends])[doc]
+            rec = np.empty(len(want), dtype=SEEN)
+            rec["id"], rec["rk"], rec["pos"] = ids[doc], want["rk"], want["pos"]
             for i in range(0, len(want), CONTEXTS):
                 s = slice(i, i + CONTEXTS)
                 places = (begin[s] + want["pos"][s])[:, None] + np.arange(-REACH, LENGTH)
                 inside = (places >= begin[s][:, None]) & (places < ends[doc[s]][:, None])
-                rec = np.empty(len(places), dtype=SEEN)
-                rec["ctx"] = np.where(inside, data[np.clip(places, 0, len(data) - 1)], PAD)
-                rec["id"], rec["rk"], rec["pos"] = ids[doc[s]], want["rk"][s], want["pos"][s]
-                order, hit = _collapse(rec["id"], rec["ctx"])
-                rec = rec[order]
-                done = rec[hit]
-                hits = np.empty(len(done), dtype=HIT)
-                hits["rk"], hits["pos"], hits["mask"] = done["rk"], done["pos"], _valid(*_sides(done["ctx"]))
-                rec = rec[~hit]
-                gram = np.ascontiguousarray(rec["ctx"][:, REACH:REACH + GRAM]).view("<u8")
-                like = np.argsort(gram[:, 0], kind="stable")  # like contexts side by side compress well
-                bucket = _mix(gram[:, 0] * _M1 ^ _mix(gram[:, 1])) % np.uint64(buckets)
-                out.append(_packed(bucket[like].astype(np.int64), rec[like]))
-                out.append(_packed(np.mod(hits["rk"], buckets) + buckets, hits))
+                rec["ctx"][s] = np.where(inside, data[np.clip(places, 0, len(data) - 1)], PAD)
+            order, hit = _collapse(rec["id"], rec["ctx"])
+            done = rec[order[hit]]
+            hits = np.empty(len(done), dtype=HIT)
+            hits["rk"], hits["pos"], hits["mask"] = done["rk"], done["pos"], _valid(*_sides(done["ctx"]))
+            out.append(_packed(np.mod(hits["rk"], buckets) + buckets, hits))
+            rec = rec[order[~hit]]
+            gram = np.ascontiguousarray(rec["ctx"][:, REACH:REACH + GRAM]).view("<u8")
+            like = np.argsort(gram[:, 0], kind="stable")  # like contexts side by side compress well
+            bucket = _mix(gram[:, 0] * _M1 ^ _mix(gram[:, 1])) % np.uint64(buckets)
+            out.append(_packed(bucket[like].astype(np.int64), rec[like]))
         return pa.Table.from_batches(out)
     return run
 
@@ -381,7 +380,9 @@ def _match_bucket(buckets: int):
             some = masks != 0
             hits = np.empty(int(some.sum()), dtype=HIT)
             hits["rk"], hits["pos"], hits["mask"] = rec["rk"][some], rec["pos"][some], masks[some]
-        return pa.Table.from_batches([_packed(np.mod(hits["rk"], buckets), hits)])
+        out = pa.Table.from_batches([_packed(np.mod(hits["rk"], buckets), hits)])
+        give_back()
+        return out
     return run
 
 
@@ -455,9 +456,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     d = docs.select(key.alias("rk"), F.col(text_col).cast("string").cast("binary").alias("text"),
                     F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("ord"),
                     F.struct(*others).alias("row"))
-    sent = d.select("rk", "text").mapInArrow(_emit_anchors(n), BLOB)
+    sent = d.select("rk", "text").mapInArrow(task(_emit_anchors(n)), BLOB)
     shared = sent.groupBy("bucket").applyInArrow(_find_shared(n), BLOB)
-    packed = d.mapInArrow(_pack_documents(n), BLOB)
+    packed = d.mapInArrow(task(_pack_documents(n)), BLOB)
     seen = packed.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(_emit_contexts(n), BLOB)
     hits = seen.groupBy("bucket").applyInArrow(_match_bucket(n), BLOB)
     out = T.StructType([d.schema["row"], T.StructField("bytes", T.BinaryType()),

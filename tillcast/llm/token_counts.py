@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillcast.llm.bpe import byte_characters
-from tillcast.llm.common import TOKENIZERS, documents, text_or_empty
+from tillcast.llm.common import TOKENIZERS, documents, task, text_or_empty
 
 PIECES = f"{TOKENIZERS}/byte_bpe_50k.json"
 #: Distinct words whose counts a worker remembers (memory bound only).
@@ -136,7 +136,7 @@ def token_counts(docs: DataFrame, path: str = PIECES, id_col: str = "doc_id", te
                     [part.column(0), pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())],
                     [id_col, "n_words", "n_pieces"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema[id_col], T.StructField("n_words", T.LongType()),
+    return rows.mapInArrow(task(run), T.StructType([rows.schema[id_col], T.StructField("n_words", T.LongType()),
                                               T.StructField("n_pieces", T.LongType())]))
 
 

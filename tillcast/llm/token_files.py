@@ -25,8 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillcast.llm.common import TOKENIZERS, documents, partitions, text_or_empty
-from tillcast.llm.common import staged
+from tillcast.llm.common import TOKENIZERS, documents, partitions, staged, task, text_or_empty
 from tillcast.llm.pretokens import piece_encoder
 from tillcast.llm.range_coder import BLOCK, decode_blocks, encode_blocks
 
@@ -146,7 +145,7 @@ def write_tokens(docs: DataFrame, tokenizer: str = BYTE_BPE, end_id: int = END_I
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     order = ["id", F.xxhash64("text")]
     ranged = rows.repartitionByRange(n, "id").withColumn("part", F.spark_partition_id()).sortWithinPartitions(*order)
-    segments = ranged.mapInArrow(_segments(tokenizer, end_id), SEGMENT)
+    segments = ranged.mapInArrow(task(_segments(tokenizer, end_id)), SEGMENT)
     if path is None:
         return staged(segments, "tokens")
     segments.write.parquet(path)
@@ -175,7 +174,7 @@ def read_tokens(segments: DataFrame) -> DataFrame:
     out = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("seq", T.IntegerType()),
                         *[T.StructField(c, T.LongType()) for c in ("doc_id", "inside", "n_tokens", "ids_crc32")],
                         T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    rows = segments.select("part", "seq", "data").mapInArrow(_documents_of, out)
+    rows = segments.select("part", "seq", "data").mapInArrow(task(_documents_of), out)
     # Ids before a segment: those of earlier ranges (one row a range) and of
     # earlier segments of its own range.
     size = segments.select("part", "seq", "n_ids")

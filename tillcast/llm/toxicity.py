@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillcast.llm.common import documents, text_or_empty
+from tillcast.llm.common import documents, task, text_or_empty
 from tillcast.llm.decontaminate import word_hashes, word_spans
 
 WINDOW, STRIDE = 32, 24
@@ -325,7 +325,7 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
         if held:
             yield chunk(pa.Table.from_batches(held))
 
-    return rows.mapInArrow(run, T.StructType([rows.schema[id_col], T.StructField("score", T.DoubleType()),
+    return rows.mapInArrow(task(run), T.StructType([rows.schema[id_col], T.StructField("score", T.DoubleType()),
                                               *[T.StructField(c, T.LongType()) for c in ("n_windows", "from_word", "to_word")]]))
 
 
