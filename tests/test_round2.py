@@ -250,3 +250,30 @@ def test_context_fields_are_sorted_and_prompts_of_all_kinds(spark):
 def test_id_lists():
     assert exports.parse_id_list("1, 2,x, 3") == [1, 2, 3]
     assert exports.parse_id_list("") is None and exports.parse_id_list(None) is None and exports.parse_id_list("x") == []
+
+
+def test_fact_build_splits_a_hot_code(spark):
+    """FACT-1 without a broadcast: the partition of a code that holds most rows
+    is split by the adaptive skew join, and no row is lost."""
+    from tillcast.operators import catalogue
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        n = 60_000
+        code = F.when(F.col("id") % 3 != 0, F.lit("HOT")).otherwise(F.concat(F.lit("C"), (F.col("id") % 500).cast("string")))
+        clean = spark.range(n, numPartitions=8).select(
+            F.col("id").cast("string").alias("InvoiceNo"), code.alias("StockCode"), F.lit("d").alias("Description"), F.lit(1.0).alias("Quantity"),
+            F.lit(2.0).alias("Price"), F.lit(NOW).alias("InvoiceDate"), F.sha2(F.col("id").cast("string"), 256).alias("Customer ID"),
+            F.lit("UK").alias("Country"), F.lit(False).alias("is_return"))
+        dim = spark.createDataFrame([("HOT", 0)] + [(f"C{i}", i + 1) for i in range(500)], "stock_code string, product_id long")
+        facts = catalogue.build_facts(clean, dim, 1)
+        assert len(facts.select("invoice_no", "product_id", "customer_id").distinct().collect()) == n
+        facts.collect()
+        assert "SortMergeJoin(skew=true)" in facts._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
