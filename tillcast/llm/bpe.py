@@ -30,9 +30,9 @@ from pyspark.sql import types as T
 from tillcast.llm.common import TOKENIZERS, documents, task, text_or_empty
 
 WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
-#: Distinct pieces whose ids a worker remembers; cleared when full (memory
+#: Distinct pieces whose ids a task remembers; cleared when full (memory
 #: bound only, results do not depend on it).
-CACHE_PIECES = 200_000
+CACHE_PIECES = 100_000
 
 
 def byte_characters() -> list[str]:
@@ -173,6 +173,7 @@ def encode(docs: DataFrame, path: str = WORD_BPE, id_col: str = "doc_id", text_c
                 part = b.slice(i, 256)
                 ids = v.encode_all(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], [id_col, ids_col])
+        v.cache.clear()
 
     return rows.mapInArrow(task(run), T.StructType([T.StructField(id_col, kind),
                                                     T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
@@ -207,6 +208,7 @@ def encode_decode(docs: DataFrame, path: str = WORD_BPE, id_col: str = "doc_id",
                 part = b.slice(i, 256)
                 ids = v.encode_all(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, v.decode_lists(ids)], [id_col, "ids", "decoded"])
+        v.cache.clear()
 
     return rows.mapInArrow(task(run), T.StructType([rows.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType())),
                                                     T.StructField("decoded", T.StringType())]))

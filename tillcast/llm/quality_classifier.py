@@ -16,6 +16,7 @@ from typing import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +27,7 @@ from tillcast.llm.quality_rules import measures
 
 ABSTAIN, BAD, GOOD = 0, 1, 2
 BUCKETS = 1 << 16
-SAMPLE_ROWS, SAMPLE_BYTES = 6000, 1 << 16
+SAMPLE_ROWS, SAMPLE_BYTES = 4000, 1 << 16
 ROUNDS, STEPS = 200, 300
 #: Words added to a text's number of words when its features are averaged.
 SHRINK = 20
@@ -226,20 +227,19 @@ def train(docs: DataFrame, labellers: Sequence[Labeller] = LABELLERS, rows: int
 def score(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
     """Struct ``row`` (the columns of ``docs``) and ``score`` of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(F.struct(*[F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in docs.columns]).alias("row"))
 
     def chunk(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(held).combine_chunks()
-        p = shared.value.scores([x.encode() for x in t.column("text").to_pylist()])
-        row = t.column("row")
-        return pa.RecordBatch.from_arrays([row.chunk(0) if row.num_chunks == 1 else row.combine_chunks(), pa.array(p)], ["row", "score"])
+        row = pa.concat_arrays([b.column(0) for b in held])
+        p = shared.value.scores([(x or "").encode() for x in pc.struct_field(row, text_col).to_pylist()])
+        return pa.RecordBatch.from_arrays([row, pa.array(p)], ["row", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
             for i in range(0, b.num_rows, 128):
                 held.append(b.slice(i, 128))
-                size += held[-1].column("text").nbytes
+                size += held[-1].nbytes
                 if size >= CHUNK_BYTES:
                     yield chunk(held)
                     held, size = [], 0
