@@ -9,8 +9,7 @@ that none does; then the id's upper byte follows by adaptive counts and its
 lower byte evenly.
 
 The symbol's probabilities mix two adaptive counts: those of the context (is
-there an order-2 prediction, did the order-1 prediction hold last time) and
-those of the whole block, by the context's experience.  They are renewed at
+there an order-2 prediction, is there an order-1 prediction) and those of the whole block, by the context's experience.  They are renewed at
 fixed steps.  The coder keeps a 64-bit low end and range and puts out 32 bits
 at a time; where the range straddles a 32-bit boundary it is cut to it, so no
 carry arises.
@@ -27,7 +26,7 @@ SLOTS = 64
 SYMBOLS = SLOTS + 3  # order 2, order 1, none, order-0 slots
 NONE, FIRST_SLOT = 2, 3
 CONTEXTS = 4
-TABLE = 1024
+TABLE = 512
 TOTAL_BITS = 12
 TOTAL = 1 << TOTAL_BITS
 STEP = 24  # added to a count
@@ -39,7 +38,7 @@ _B12, _B8, _B32 = np.uint64(TOTAL_BITS), np.uint64(8), np.uint64(32)
 
 def _renewals() -> set[int]:
     """Steps of a block before which probabilities are renewed."""
-    return {16, 48, 128, *range(256, BLOCK, 192)}
+    return {16, 64, 192, 448, 704}
 
 
 def _cumulative(weights: np.ndarray) -> np.ndarray:
@@ -61,10 +60,11 @@ class Lanes:
         self.n = n
         lane = np.arange(n, dtype=np.int64)
         self.at_table, self.at_slot = lane * TABLE, lane * SLOTS
-        self.at_context, self.at_symbol = lane * CONTEXTS, lane * (CONTEXTS * SYMBOLS)
+        self.at_context = lane * CONTEXTS
         self.at_high = lane * 257
-        self.order2, self.order1 = np.zeros(n * TABLE, dtype=np.int32), np.zeros(n * TABLE, dtype=np.int32)
-        self.order0 = np.zeros(n * SLOTS, dtype=np.int32)
+        # Id + 1, 0 where nothing is known; 16 bits keep the tables near the core.
+        self.order2, self.order1 = np.zeros(n * TABLE, dtype=np.uint16), np.zeros(n * TABLE, dtype=np.uint16)
+        self.order0 = np.zeros(n * SLOTS, dtype=np.uint16)
         self.counts = np.full((n, CONTEXTS, SYMBOLS), 1, dtype=np.float32)
         self.counts[..., NONE] = 16
         self.high_counts = np.full((n, 256), 1, dtype=np.float32)
@@ -83,11 +83,13 @@ class Lanes:
         """Predictions and context for the next id."""
         self.h1 = self.at_table + ((self.before1 * 40503 >> 6) & (TABLE - 1))
         self.h2 = self.at_table + (((self.before2 * 60493 + self.before1) * 40503 >> 5) & (TABLE - 1))
-        self.e1, self.e2 = self.order1.take(self.h1), self.order2.take(self.h2)
-        self.p1, self.p2 = self.e1 & 0xFFFF, self.e2 & 0xFFFF  # id + 1, 0 if none
-        context = ((self.p2 > 0) << 1) + (self.e1 >> 16)
-        self.row = (self.at_context + context) * (SYMBOLS + 1)
-        self.count_row = self.at_symbol + context * SYMBOLS
+        self.p1, self.p2 = self.order1.take(self.h1), self.order2.take(self.h2)
+        context = (self.p2 > 0).astype(np.int64)
+        context += context
+        context += self.p1 > 0
+        self.count_row = (self.at_context + context) * SYMBOLS
+        self.row = self.count_row + self.at_context
+        self.row += context
 
     def learn(self, ids: np.ndarray, symbol: np.ndarray, none: np.ndarray) -> None:
         """Take in the ids just coded; ``none``: lanes whose id no prediction gave."""
@@ -95,9 +97,9 @@ class Lanes:
         self.flat[at] = self.flat.take(at) + np.float32(STEP)
         at = none * 256 + (ids[none] >> 8)
         self.high_flat[at] = self.high_flat.take(at) + np.float32(STEP)
-        mark = ids + 1
+        mark = (ids + 1).astype(np.uint16)
         self.order2[self.h2] = mark
-        self.order1[self.h1] = mark | ((self.p1 == mark) << 16)
+        self.order1[self.h1] = mark
         self.order0[self.at_slot + (ids & (SLOTS - 1))] = mark
         self.before2, self.before1 = self.before1, ids
 
@@ -166,17 +168,14 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
 
 
 def _search(table: np.ndarray, row: np.ndarray, n: int, value: np.ndarray) -> np.ndarray:
-    """Largest j < n with table[row + j] <= value, in each lane."""
-    j = np.zeros(len(row), dtype=np.int64)
-    step = 1 << (n - 1).bit_length() - 1
+    """Largest j < n (a power of two) with table[row + j] <= value, in each lane."""
+    at, step = row.copy(), n >> 1
     while step:
-        to = j + step
-        ok = to < n
-        np.minimum(to, n - 1, out=to)
-        ok &= table.take(row + to) <= value
-        j = np.where(ok, to, j)
+        ok = table.take(at + step) <= value
+        at += ok.view(np.int8) * np.int64(step)
         step >>= 1
-    return j
+    at -= row
+    return at
 
 
 def decode_blocks(payloads: list[bytes], total: int) -> np.ndarray:
@@ -193,7 +192,7 @@ def decode_blocks(payloads: list[bytes], total: int) -> np.ndarray:
     model = Lanes(blocks)
     low, span = np.zeros(blocks, dtype=np.uint64), np.full(blocks, ~np.uint64(0), dtype=np.uint64)
     grid = np.empty((BLOCK, blocks), dtype=np.int64)
-    renewals = _renewals()
+    renewals, tail = _renewals(), total - (blocks - 1) * BLOCK
     for t in range(BLOCK):
         if t in renewals:
             model.renew()
@@ -226,7 +225,8 @@ def decode_blocks(payloads: list[bytes], total: int) -> np.ndarray:
             low[none] += r * a + s * byte
             span[none] = s
             x[none] = (high << 8) | byte.astype(np.int64)
-        x = np.clip(x, 0, MAX_ID)  # only lanes beyond their block's end leave this range
+        if t >= tail:
+            x[-1] = 0  # beyond the last block's end
         small = np.nonzero(span < _TOP)[0]
         if len(small):
             l, s = low[small], span[small]
