@@ -18,6 +18,7 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -192,14 +193,21 @@ FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("sta
                       T.StructField("byte_ends", _LONGS), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
-def _search(shared, keep_all: bool):
-    """mapInArrow function over (carried.., text): search shard by shard."""
+def _search(shared, keep_all: bool, text_col: str | None):
+    """mapInArrow function: search shard by shard.  The text is the field
+    ``text_col`` of the carried struct ``row``, else the column ``text``."""
+    def text_of(b: pa.RecordBatch) -> pa.Array:
+        return pc.struct_field(b.column("row"), text_col) if text_col else b.column("text")
+
     def shard(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(tables)
-        texts = [(x or "").encode() for x in t.column("text").to_pylist()]
+        texts = [(x or "").encode() for b in tables for x in text_of(b).to_pylist()]
         found = search_shard(texts, shared.value)
         at = list(range(len(found))) if keep_all else [i for i, x in enumerate(found) if x[1]]
-        carried = t.drop_columns(["text"]).take(pa.array(at, pa.int64())).combine_chunks()
+        carried = t if text_col else t.drop_columns(["text"])
+        if not keep_all:
+            carried = carried.take(pa.array(at, pa.int64()))
+        carried = carried.combine_chunks()
         kinds = [pa.int64(), *[pa.list_(pa.int64())] * 4, pa.list_(pa.string())]
         cols = [pa.array([found[i][k] for i in at], kind) for k, kind in enumerate(kinds)]
         arrays = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in carried.columns]
@@ -212,7 +220,7 @@ def _search(shared, keep_all: bool):
             for i in range(0, b.num_rows, 128):
                 part = b.slice(i, 128)
                 held.append(part)
-                size += part.column("text").nbytes
+                size += part.nbytes
                 if size >= SHARD_BYTES:
                     yield shard(held)
                     held, size = [], 0
@@ -256,15 +264,15 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     items = benchmark.select(F.col(item_col).alias("k"), text_or_empty(item_text_col).alias("t"))
     size_of = items.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0)).alias("b")).first()["b"]
     blocks = max(1, -(-size_of // block_bytes))
-    row = F.struct(*[F.col(c) for c in docs.columns])
+    row = F.struct(*[F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in docs.columns])
     key = F.xxhash64(F.col(id_col), text_or_empty(text_col))
-    base = docs.select(row.alias("row"), text_or_empty(text_col).alias("text"))
+    base = docs.select(row.alias("row"))
 
     def passed(block: int, df: DataFrame, keep_all: bool) -> DataFrame:
         part = items.filter(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == block)
         shared = spark.sparkContext.broadcast(Windows([(r["k"], r["t"]) for r in part.collect()], size))
         kept = [f for f in df.schema.fields if f.name != "text"]
-        return df.mapInArrow(task(_search(shared, keep_all)), T.StructType([*kept, *FOUND.fields]))
+        return df.mapInArrow(task(_search(shared, keep_all, text_col if keep_all else None)), T.StructType([*kept, *FOUND.fields]))
 
     out = passed(0, base, True)
     if blocks > 1:
