@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 
 from tillcast.llm import suffix_dedup as s
 from tillcast.llm.suffix_sort import segmented_sort
@@ -106,3 +108,43 @@ def test_hash_collisions_are_found(monkeypatch):
     monkeypatch.setattr(suffix_sort, "prefix_hashes", lambda x: np.zeros((x.shape[1] + 1, len(x)), dtype=np.uint64))
     order, lcp = suffix_sort.segmented_sort(rows, np.zeros(50, dtype=np.int64))
     assert [rows[i].tobytes() for i in order] == sorted(x.tobytes() for x in rows)
+
+
+def _surrounded(n, phrase):
+    r = random.Random(8)
+    side = lambda: "".join(r.choice("abcdefghij ") for _ in range(60))
+    return [(i, side() + phrase + side()) for i in range(n)]
+
+
+def test_hot_anchors_equal_brute_force(make_docs):
+    r = random.Random(6)
+    pairs = _surrounded(40, "a phrase of all, less than a window")
+    passage = "".join(r.choice("klmnopqé") for _ in range(150))
+    pairs += [(100 + i, x[:50] + passage[r.randint(0, 20):150 - r.randint(0, 20)] + x[-50:]) for i, (_, x) in enumerate(pairs[:30])]
+    pairs += [(None, pairs[50][1]), (None, pairs[51][1] + "!"), (105, pairs[60][1] + "?"), (7, passage), (200, "xy" * 300), (201, "xy" * 200)]
+    docs, want = make_docs(pairs), sorted(brute(pairs), key=key)
+    for hot in (0, 5, 1 << 30):
+        assert sorted(((x["row"]["doc_id"], len(x["bytes"]), len(x["bytes"]) - len(x["kept"]), len(x["starts"]), bytes(x["kept"]))
+                       for x in s.dedup_substrings(docs, hot=hot).collect()), key=key) == want
+
+
+def test_a_hot_anchor_makes_no_large_group():
+    n, pairs = 16, [(i, x.encode()) for i, x in _surrounded(400, "a phrase of all, less than a window")]
+    keys = [i * 7919 for i, _ in pairs]
+    sent = [s._chunk_anchors([x for _, x in pairs[a:a + 100]], keys[a:a + 100], n) for a in range(0, 400, 100)]
+    docs = pa.record_batch([pa.array(keys), pa.array([x for _, x in pairs]), pa.array([i for i, _ in pairs])], names=["rk", "text", "ord"])
+
+    def grouped(tables):
+        t = pa.concat_tables([x if isinstance(x, pa.Table) else pa.Table.from_batches([x]) for x in tables])
+        return {b: t.filter(pa.compute.equal(t.column("bucket"), b)) for b in set(t.column("bucket").to_pylist())}
+
+    def largest(hot):
+        shared = grouped([s._find_shared(n, hot)(t) for t in grouped(sent).values()])
+        blocks = grouped(s._pack_documents(n)(iter([docs])))
+        seen = grouped([s._emit_contexts(n)(blocks[b], shared[b]) for b in blocks])
+        sizes = [len(s._unpacked(t, s.SEEN if b < n else s.WINDOW)) for b, t in seen.items() if b < n or b >= 2 * n]
+        return max(sizes), sum(sizes)
+
+    assert largest(1 << 30)[0] >= 300  # the contexts of an anchor in one group
+    most, total = largest(100)
+    assert total > 400 and most < 2 * total / n, (most, total)

@@ -13,11 +13,15 @@ a smaller id.  Sorting every suffix of the corpus would shuffle the corpus
 3. contexts: the bytes around each shared anchor.  Equal contexts of a task
    are reduced to the one with the least id, the others are decided at once.
    A passage or copy that a third of all documents hold thus sends one row a
-   task.
+   task.  Anchors with more than ``HOT`` contexts in the corpus (counted in
+   step 2) do not meet by anchor: each of their windows goes to the bucket of
+   its own hash, of equal windows of a task only those of the least id, so an
+   anchor in many different surroundings makes no large group.
 4. per hash bucket: the suffixes to the right of the anchors and the reversed
    prefixes to their left are sorted (``suffix_sort``); cutting the sorted
    orders where the common extension falls short gives, for each place of the
    window over the anchor, the classes of equal windows and their least id.
+   Windows of hot anchors are compared as they are.
 5. the decided windows return to their documents, which are cut.
 
 Documents are dealt by a hash of their id and text into blocks; work and
@@ -44,6 +48,7 @@ GRAM = 16
 REACH = LENGTH - GRAM  # bytes kept to the left of an anchor
 CONTEXT = REACH + LENGTH
 CONTEXTS = 1 << 14  # contexts gathered at a time (memory bound only)
+HOT = 1 << 15  # contexts of an anchor above which its windows are dealt by their own hash
 CHUNK = 4 << 20  # bytes hashed at a time (memory bound only)
 LEVEL = 1  # of zstd
 PAD = 0xFF  # never occurs in UTF-8
@@ -51,6 +56,8 @@ BLOB = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("da
 ANCHOR = np.dtype([("rk", "<i8"), ("pos", "<u4")])
 HIT = np.dtype([("rk", "<i8"), ("pos", "<u4"), ("mask", "<u8")])
 SEEN = np.dtype([("id", "<i8"), ("rk", "<i8"), ("pos", "<u4"), ("ctx", "u1", CONTEXT)])
+WINDOW = np.dtype([("id", "<i8"), ("rk", "<i8"), ("pos", "<u4"), ("o", "u1"), ("text", "u1", LENGTH)])
+HOT_ANCHOR = 0xFFFFFFFF  # as ``pos`` of an ``ANCHOR``: ``rk`` is the name of a hot anchor
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -178,16 +185,16 @@ def _meets_another(h: np.ndarray, rk: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 # Blob of anchors: counts, then documents' keys with their number of anchors,
-# 32 further hash bits and places.  (A filter only: bits lost to the bucket
+# 32 further hash bits, places and how many of the chunk's anchors each stands for.  (A filter only: bits lost to the bucket
 # number and to truncation can add candidates, never lose one.)
-def _anchor_blob(h32: np.ndarray, rk: np.ndarray, pos: np.ndarray) -> bytes:
+def _anchor_blob(h32: np.ndarray, rk: np.ndarray, pos: np.ndarray, many: np.ndarray) -> bytes:
     first = _runs(rk)
     sizes = np.diff(np.append(first, len(rk))).astype("<u4")
     return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join([np.array([len(first), len(rk)], dtype="<u4").tobytes(), rk[first].astype("<i8").tobytes(),
-                     sizes.tobytes(), h32.astype("<u4").tobytes(), pos.astype("<u4").tobytes()]))
+                     sizes.tobytes(), h32.astype("<u4").tobytes(), pos.astype("<u4").tobytes(), many.astype("<u4").tobytes()]))
 
 
-def _read_anchor_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _read_anchor_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     blob = zstandard.ZstdDecompressor().decompress(blob)
     nd, n = np.frombuffer(blob, dtype="<u4", count=2)
     nd, n = int(nd), int(n)
@@ -195,7 +202,8 @@ def _read_anchor_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.frombuffer(blob, dtype="<u4", count=nd, offset=8 + 8 * nd)
     h = np.frombuffer(blob, dtype="<u4", count=n, offset=8 + 12 * nd)
     pos = np.frombuffer(blob, dtype="<u4", count=n, offset=8 + 12 * nd + 4 * n)
-    return h, np.repeat(rk, sizes), pos
+    many = np.frombuffer(blob, dtype="<u4", count=n, offset=8 + 12 * nd + 8 * n)
+    return h, np.repeat(rk, sizes), pos, many
 
 
 def _chunk_anchors(texts: list[bytes], keys: list[int], buckets: int) -> pa.RecordBatch | None:
@@ -215,16 +223,20 @@ def _chunk_anchors(texts: list[bytes], keys: list[int], buckets: int) -> pa.Reco
     order = np.argsort(h, kind="stable")
     h, rk, pos = h[order], rk[order], pos[order]
     shared, head = _meets_another(h, rk)
+    first = _runs(h)
+    many = np.zeros(len(h), dtype=np.int64)
+    many[first] = np.diff(np.append(first, len(h)))
     # Of shared anchors the first document's go on to meet other tasks.
     send = ~shared | (rk == head)
     bucket = np.concatenate([(h[send] >> np.uint64(32)) % np.uint64(buckets),
                              (np.mod(rk[shared], buckets) + buckets).astype(np.uint64)]).astype(np.int64)
     h = np.concatenate([h[send], h[shared]])
-    rk, pos = np.concatenate([rk[send], rk[shared]]), np.concatenate([pos[send], pos[shared]])
+    rk, pos, many = (np.concatenate([x[send], x[shared]]) for x in (rk, pos, many))
+    many[int(send.sum()):] = 0
     order = np.lexsort((pos, rk, bucket))
-    bucket, h32, rk, pos = bucket[order], (h[order] & np.uint64(0xFFFFFFFF)).astype("<u4"), rk[order], pos[order]
+    bucket, h32, rk, pos, many = bucket[order], (h[order] & np.uint64(0xFFFFFFFF)).astype("<u4"), rk[order], pos[order], many[order]
     first = _runs(bucket).tolist()
-    blobs = [_anchor_blob(h32[a:b], rk[a:b], pos[a:b]) for a, b in zip(first, [*first[1:], len(bucket)])]
+    blobs = [_anchor_blob(h32[a:b], rk[a:b], pos[a:b], many[a:b]) for a, b in zip(first, [*first[1:], len(bucket)])]
     return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(blobs, pa.binary())],
                                       ["bucket", "data"])
 
@@ -249,22 +261,36 @@ def _emit_anchors(buckets: int):
     return run
 
 
-def _find_shared(buckets: int):
+def _find_shared(buckets: int, hot: int):
     def run(table: pa.Table) -> pa.Table:
-        known = table.column("bucket")[0].as_py() >= buckets
+        bucket = table.column("bucket")[0].as_py()
         parts = [_read_anchor_blob(x.as_py()) for x in table.column("data")]
-        h, rk, pos = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        if not known:
+        h, rk, pos, many = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        names = np.zeros(0, dtype=np.int64)
+        if bucket < buckets:
             order = np.argsort(h, kind="stable")
             h, rk, pos = h[order], rk[order], pos[order]
             keep = _meets_another(h, rk)[0]
+            if len(h):
+                first = _runs(h)
+                names = h[first[np.add.reduceat(many[order].astype(np.int64), first) > hot]].astype(np.int64) | bucket << 32
             rk, pos = rk[keep], pos[keep]
         out = np.empty(len(rk), dtype=ANCHOR)
         out["rk"], out["pos"] = rk, pos
-        return pa.Table.from_batches([_packed(np.mod(rk, buckets), out)])
+        # Every block hears of every hot anchor.
+        told = np.empty(len(names) * buckets, dtype=ANCHOR)
+        told["rk"], told["pos"] = np.tile(names, buckets), HOT_ANCHOR
+        return pa.Table.from_batches([_packed(np.mod(rk, buckets), out),
+                                      _packed(np.repeat(np.arange(buckets), len(names)), told)])
     return run
 
 
+def _names(gram: np.ndarray, buckets: int) -> np.ndarray:
+    """What ``_find_shared`` calls the anchors with these ``GRAM`` bytes."""
+    h = _mix(gram_hashes(gram.reshape(-1))[::GRAM])
+    return ((h >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
 def _valid(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Bit ``o``: the window starting ``o`` bytes before the anchor lies inside the text."""
     upper = (np.uint64(2) << left.astype(np.uint64)) - np.uint64(1)
@@ -277,14 +303,19 @@ def _sides(ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (ctx[:, :REACH] != PAD).sum(axis=1), (ctx[:, REACH:] != PAD).sum(axis=1)
 
 
+def _row_hashes(rows: np.ndarray) -> np.ndarray:
+    words = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), dtype=np.uint8)
+    words[:, :rows.shape[1]] = rows
+    h = np.zeros(len(rows), dtype=np.uint64)
+    for j, w in enumerate(words.view("<u8").T):
+        h = _mix(h ^ (w * _M2 + np.uint64(j + 1)))
+    return h
+
+
 def _collapse(ids: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order that puts equal contexts together, least id first; and whether each
     record in that order has an equal one with a smaller id."""
-    words = np.zeros((len(ctx), -(-CONTEXT // 8) * 8), dtype=np.uint8)
-    words[:, :CONTEXT] = ctx
-    h = np.zeros(len(ctx), dtype=np.uint64)
-    for j, w in enumerate(words.view("<u8").T):
-        h = _mix(h ^ (w * _M2 + np.uint64(j + 1)))
+    h = _row_hashes(ctx)
     order = np.lexsort((ids, h))
     first = _runs(h[order])
     head = np.repeat(order[first], np.diff(np.append(first, len(order))))
@@ -292,10 +323,69 @@ def _collapse(ids: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return order, same & (ids[order] > ids[head])
 
 
+def repeated_windows(ids: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Whether each window has an equal one with a smaller id."""
+    h = _row_hashes(text)
+    order = np.lexsort((ids, h))
+    first = _runs(h[order])
+    head = np.repeat(order[first], np.diff(np.append(first, len(order))))
+    if not np.array_equal(text[order], text[head]):  # an equal hash of other bytes: by the bytes themselves
+        h = np.unique(np.ascontiguousarray(text).view(f"V{LENGTH}")[:, 0], return_inverse=True)[1]
+        order = np.lexsort((ids, h))
+        first = _runs(h[order])
+        head = np.repeat(order[first], np.diff(np.append(first, len(order))))
+    out = np.empty(len(ids), dtype=bool)
+    out[order] = ids[order] > ids[head]
+    return out
+
+
+def _hot_windows(rec: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Of contexts of hot anchors, windows for the buckets of their own hash (from
+    2 * ``buckets``) and hits decided here.  A window goes with its least
+    anchors only: equal windows have those in common."""
+    ctx, masks, valid = rec["ctx"], np.zeros(len(rec), dtype=np.uint64), _valid(*_sides(rec["ctx"]))
+    own = np.empty((len(rec), REACH + 1), dtype=bool)
+    for i in range(0, len(rec), CONTEXTS):
+        part = np.ascontiguousarray(ctx[i:i + CONTEXTS])
+        h = gram_hashes(np.append(part.reshape(-1), np.zeros(GRAM, dtype=np.uint8)))[:part.size]
+        key = (h >> np.uint64(32)).astype(np.uint32).reshape(part.shape)
+        left = np.minimum.accumulate(key[:, REACH::-1], axis=1)  # by the offset of the window
+        right = np.minimum.accumulate(key[:, REACH:2 * REACH + 1], axis=1)[:, ::-1]
+        own[i:i + CONTEXTS] = np.minimum(left, right) == key[:, REACH:REACH + 1]
+    held, size = [], 0
+
+    def windows() -> pa.RecordBatch:
+        w = np.concatenate(held)
+        w = w[np.argsort(np.ascontiguousarray(w["text"][:, -8:]).view(">u8")[:, 0], kind="stable")]
+        return _packed((_row_hashes(w["text"]) % np.uint64(buckets)).astype(np.int64) + 2 * buckets, w)
+
+    for o in range(REACH + 1):
+        here = np.nonzero((valid >> np.uint64(o) & np.uint64(1)).astype(bool) & own[:, o])[0]
+        text = np.ascontiguousarray(ctx[here, REACH - o:REACH - o + LENGTH])
+        gone = repeated_windows(rec["id"][here], text)
+        masks[here[gone]] |= np.uint64(1) << np.uint64(o)
+        here, text = here[~gone], text[~gone]
+        w = np.empty(len(here), dtype=WINDOW)
+        w["id"], w["rk"], w["pos"], w["o"], w["text"] = rec["id"][here], rec["rk"][here], rec["pos"][here], o, text
+        held.append(w)
+        size += len(w)
+        if size >= 8 * CONTEXTS:
+            yield windows()
+            held, size = [], 0
+    if size:
+        yield windows()
+    some = masks != 0
+    hits = np.empty(int(some.sum()), dtype=HIT)
+    hits["rk"], hits["pos"], hits["mask"] = rec["rk"][some], rec["pos"][some], masks[some]
+    yield _packed(np.mod(hits["rk"], buckets) + buckets, hits)
+
+
 def _emit_contexts(buckets: int):
     def run(packed: pa.Table, found: pa.Table) -> pa.Table:
         docs = _documents(packed)
         want = np.unique(_unpacked(found, ANCHOR)) if docs is not None else np.zeros(0, dtype=ANCHOR)
+        told = want["pos"] == HOT_ANCHOR
+        hot, want = want["rk"][told], want[~told]
         out = [pa.RecordBatch.from_arrays([pa.array([], pa.int32()), pa.array([], pa.binary())], ["bucket", "data"])]
         if len(want):
             keys = docs.column("rk").to_numpy()
@@ -325,6 +415,10 @@ def _emit_contexts(buckets: int):
             hits["rk"], hits["pos"], hits["mask"] = done["rk"], done["pos"], _valid(*_sides(done["ctx"]))
             out.append(_packed(np.mod(hits["rk"], buckets) + buckets, hits))
             rec = rec[order[~hit]]
+            if len(hot):
+                split = np.isin(_names(np.ascontiguousarray(rec["ctx"][:, REACH:REACH + GRAM]), buckets), hot)
+                out.extend(_hot_windows(rec[split], buckets))
+                rec = rec[~split]
             gram = np.ascontiguousarray(rec["ctx"][:, REACH:REACH + GRAM]).view("<u8")
             like = np.argsort(gram[:, 0], kind="stable")  # like contexts side by side compress well
             bucket = _mix(gram[:, 0] * _M1 ^ _mix(gram[:, 1])) % np.uint64(buckets)
@@ -372,7 +466,13 @@ def match(rec: np.ndarray) -> np.ndarray:
 
 def _match_bucket(buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        if table.column("bucket")[0].as_py() >= buckets:  # decided before
+        bucket = table.column("bucket")[0].as_py()
+        if bucket >= 2 * buckets:
+            w = _unpacked(table, WINDOW)
+            w = w[repeated_windows(w["id"], np.ascontiguousarray(w["text"]))]
+            hits = np.empty(len(w), dtype=HIT)
+            hits["rk"], hits["pos"], hits["mask"] = w["rk"], w["pos"], np.uint64(1) << w["o"].astype(np.uint64)
+        elif bucket >= buckets:  # decided before
             hits = _unpacked(table, HIT)
         else:
             rec = _unpacked(table, SEEN)
@@ -441,7 +541,7 @@ def _blocks(docs: DataFrame) -> int:
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     characters: bool = False) -> DataFrame:
+                     characters: bool = False, hot: int = HOT) -> DataFrame:
     """All columns of ``docs`` but the text (as struct ``row``), ``bytes`` (the text in UTF-8), the removed
     runs [starts, ends) in bytes and ``kept`` (the remaining bytes; with ``characters`` those of whole characters).
 
@@ -449,6 +549,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     whole.  A null id sorts after every id, and texts without an id don't remove
     from each other.  Rows that repeat an id don't remove from each other;
     repeated rows each give the same result.  An empty table gives an empty result.
+    ``hot``: contexts of an anchor above which its windows are dealt one by one;
+    it never changes a result.
     """
     n = _blocks(docs)
     others = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col]
@@ -457,7 +559,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("ord"),
                     F.struct(*others).alias("row"))
     sent = d.select("rk", "text").mapInArrow(task(_emit_anchors(n)), BLOB)
-    shared = sent.groupBy("bucket").applyInArrow(_find_shared(n), BLOB)
+    shared = sent.groupBy("bucket").applyInArrow(_find_shared(n, hot), BLOB)
     packed = d.mapInArrow(task(_pack_documents(n)), BLOB)
     seen = packed.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(_emit_contexts(n), BLOB)
     hits = seen.groupBy("bucket").applyInArrow(_match_bucket(n), BLOB)
