@@ -7,7 +7,7 @@ stage return the columns of their docs.
 1. ``quality``: documents that the weak-label classifier rejects go.  Null and
    empty texts are rejected.
 2. ``near_duplicates``: of every group of linked SimHash fingerprints (3-word
-   shingles, 2 bits) the row with the least id stays.
+   shingles, 2 bits) one row with the least id stays.
 3. ``substrings``: bytes of 50-byte strings that also start in a text of a
    smaller id go; of a character cut in half the rest goes too.  Every row
    stays, also one whose text is empty then; ``n_chars`` follows the text.
@@ -16,8 +16,8 @@ stage return the columns of their docs.
 5. ``tokens``: token ids of every text, with digests of the ids and of the text
    decoded from them.
 
-An empty table gives empty results; repeated rows are treated alike; null ids
-come last in every comparison of ids.
+An empty table gives empty results; repeated rows are treated alike, but for
+stage 2, which keeps one of them; null ids come last in every comparison of ids.
 """
 
 from __future__ import annotations

@@ -94,6 +94,22 @@ def test_odd_rows_and_keeping_one(odd_docs, make_docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 7]
 
 
+def test_keeping_one_of_repeated_and_null_ids(make_docs):
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(200)) for w in ("ant", "bee", "cat", "dog"))
+    docs = make_docs([(1, a), (1, a), (1, a.upper()), (8, a),  # repeated rows of the least id
+                      (None, b), (None, b), (None, b.upper()),  # no id at all
+                      (None, c), (6, c),                        # a null id beside an id
+                      (4, d), (1, d), (1, d)])                  # id 1 is least here as well
+    kept = [(r["doc_id"], r["text"].lower()) for r in s.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (None, b), (6, c), (1, d)], key=str)
+
+
+def test_keeping_one_text_of_an_id_that_is_not_least_there(make_docs):
+    a, b = (" ".join(f"{w}{i}" for i in range(200)) for w in ("ant", "bee"))
+    kept = s.keep_one(make_docs([(5, a), (2, b), (5, b)])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(2, b), (5, a)]
+
+
 def test_empty_table(empty_docs):
     assert s.near_duplicates(empty_docs).count() == 0
     assert s.keep_one(empty_docs).count() == 0

@@ -59,21 +59,25 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > m, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``fp`` (the 64 bits as a signed long) of each whole text.
+def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text",
+                 text_hash: bool = False) -> DataFrame:
+    """``id_col`` and ``fp`` (the 64 bits as a signed long) of each whole text; with
+    ``text_hash`` also ``h``, a 64-bit hash of the text.
 
     Null, empty and blank texts have fingerprint 0.  Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias(id_col), text_or_empty(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias(id_col), text_or_empty(text_col).alias("text"),
+                       *[F.xxhash64(text_or_empty(text_col)).alias("h")] * text_hash)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, max(b.num_rows, 1), 512):
                 part = b.slice(i, 512)
                 fp = np.array([fingerprint(t, size) for t in part.column(1).to_pylist()], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], [id_col, "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64)), *part.columns[2:]],
+                                                 [id_col, "fp", *part.schema.names[2:]])
 
-    return rows.mapInArrow(task(run), T.StructType([rows.schema[id_col], T.StructField("fp", T.LongType())]))
+    return rows.mapInArrow(task(run), T.StructType([rows.schema[id_col], T.StructField("fp", T.LongType()), *rows.schema.fields[2:]]))
 
 
 def _count(segment: int) -> F.Column:
@@ -131,23 +135,40 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BI
     if max_bits != MAX_BITS:
         raise ValueError("the grid step and the exact check are built for a distance of 2 bits")
     fp = staged(fingerprints(docs, size, id_col, text_col), "fingerprints")
+    return fp.join(_components(fp, id_col), "fp").select(id_col, "fp", "component_id")
+
+
+def _components(fp: DataFrame, id_col: str) -> DataFrame:
+    """``root`` and ``component_id`` of every distinct fingerprint of staged ``fp``."""
     classes = staged(fp.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
     roots = staged(connected_components(grid_links(classes.select("fp"))), "roots")
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     component = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.select("fp", "root").join(component, "root").select("fp", "component_id")
     # A fingerprint may belong to a third of all rows; its side here is unique,
     # so the adaptive skew split of the rows' side applies.
-    return fp.join(by_fp, "fp").select(id_col, "fp", "component_id")
+    return named.select("fp", "root").join(component, "root").select("fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that represent their near-duplicate class: those whose
-    id is the component's least id.  Of rows that repeat an id all stay if it
-    is the least; rows with a null id stay only if no row of the class has an id."""
-    kept = (near_duplicates(docs, id_col=id_col, text_col=text_col)
-            .filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep_id")).distinct())
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_keep_id")), "left_semi")
+    """One row of every near-duplicate class of ``docs``: that of the least id, a
+    null id only if no row of the class has an id.  Of several rows with that
+    id the one with the least hash of the text stays, of rows equal in id and
+    text any one."""
+    fp = staged(fingerprints(docs, id_col=id_col, text_col=text_col, text_hash=True), "fingerprints")
+    least = fp.join(_components(fp, id_col), "fp").filter(F.col(id_col).eqNullSafe(F.col("component_id")))
+    per_text = least.groupBy("root", "component_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    kept = staged(per_text.groupBy("root", "component_id").agg(F.min(F.struct("h", "n")).alias("least"))
+                  .select(F.col("component_id").alias("_keep_id"), F.col("least.h").alias("_keep_hash"), F.col("least.n").alias("n")), "kept")
+    rows = docs.withColumn("_hash", F.xxhash64(text_or_empty(text_col)))
+
+    def of(keys: DataFrame) -> DataFrame:
+        return rows.join(keys, rows[id_col].eqNullSafe(F.col("_keep_id")) & (rows["_hash"] == F.col("_keep_hash")), "left_semi")
+
+    repeated = kept.filter("n > 1")
+    if repeated.isEmpty():
+        return of(kept).drop("_hash")
+    # Only rows that are repeated whole are compared once more.
+    return of(kept.filter("n = 1")).unionByName(of(repeated).dropDuplicates([id_col, "_hash"])).drop("_hash")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
