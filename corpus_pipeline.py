@@ -62,7 +62,7 @@ STAGES = [
 ]
 
 #: Training, fingerprints and byte-pair merges are beyond SQL; the stages are
-#: tested against brute-force versions.
+#: tested against brute-force versions in tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
