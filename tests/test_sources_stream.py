@@ -100,3 +100,16 @@ def test_stream_ingest_is_replay_safe(spark, scratch):
     a = [r for r in first if r[0] == 1][0]
     assert a[2] == 5 and a[4] == 2           # quantity 2 + 3 over two batches, two lines
     assert quality_report(spark, out).filter("fatal").count() == 0
+
+
+def test_stream_reads_each_file_in_its_own_encoding(spark, scratch):
+    land = os.path.join(scratch, "land")
+    _land(land, "utf.csv", ["1,U,th\u00e9 \ufffd,2,2024-01-01,1.50,c,UK\n"])
+    write(os.path.join(land, "latin 1.csv"), (HEADER + "2,L,caf\xe9,3,2024-01-01,2.00,c,UK\n3,A,x,1,2024-01-01,2.00,c,UK\n").encode("latin-1"))
+    out, batch = os.path.join(scratch, "out"), os.path.join(scratch, "batch")
+    start_ingest_stream(spark, land, None, _products(spark), out).awaitTermination()
+    names = lambda p: {r["stock_code"]: r["description"] for r in spark.read.parquet(p).collect()}
+    got = names(os.path.join(out, "products"))
+    assert got["L"].lower() == "caf\xe9" and "\ufffd" in got["U"]
+    assert got == names(ingest_upload(spark, land, 1, _products(spark), batch).products_path)
+    assert sum(r["total_quantity"] for r in stream_daily(spark, out).collect()) == 6
