@@ -130,3 +130,12 @@ def test_toxicity_of_odd_rows(spark, odd_docs, empty_docs):
     a, b = x.score(spark.createDataFrame([(1, texts[0].decode()), (2, texts[1].decode())], "doc_id long, text string"), net).orderBy("doc_id").collect()
     assert a["score"] > 0.3 > b["score"]
     assert x.train([], np.zeros(0)).scores(x.Words([b"a"]), np.zeros(1, int), np.ones(1, int))[0] < 0.1
+
+
+def test_toxic_and_clean_held_out_documents_apart(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [(labels[r["doc_id"]], r["predicted"]) for r in x.op9_toxicity(spark, sf).collect() if r["held_out"] and r["doc_id"] in labels]
+    toxic, clean = [b for a, b in held if a == 1], [b for a, b in held if a == 0]
+    assert len(toxic) > 100 and len(clean) > 500
+    assert np.mean(toxic) >= 0.65 and np.mean(clean) <= 0.03
