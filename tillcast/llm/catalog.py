@@ -6,8 +6,8 @@ tests compare them with a brute-force version.
 
 from __future__ import annotations
 
-from tillcast.llm import (bpe, decontaminate, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts,
-                          token_files, toxicity)
+from tillcast.llm import (bpe, decontaminate, merkle, quality_classifier, quality_rules, secret_scan, sharding, simhash, suffix_dedup,
+                          token_counts, token_files, toxicity, whitening)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -20,10 +20,14 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_sharding": sharding.op10_sharding,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_secret_scan": secret_scan.op12_secret_scan,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.oracle_sql(),
     "op5_suffix_dedup": suffix_dedup.oracle_sql(),
     "op6_decontamination": decontaminate.oracle_sql(),
+    "op11_merkle_manifest": merkle.oracle_sql(),
 }
