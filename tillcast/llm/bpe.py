@@ -16,10 +16,12 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from functools import lru_cache
 from typing import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -27,12 +29,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillcast.llm.common import TOKENIZERS, documents, task, text_or_empty
+from tillcast.llm.common import documents, task, text_or_empty, tokenizer_path
 
-WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
-#: Distinct pieces whose ids a task remembers; cleared when full (memory
-#: bound only, results do not depend on it).
-CACHE_PIECES = 100_000
+WORD_BPE = tokenizer_path("word_bpe_49k.json")
+#: Distinct pieces whose ids a worker remembers (about 230 bytes each); cleared
+#: when full (memory bound only, results do not depend on it).
+CACHE_PIECES = 1_000_000
+#: Longer pieces are encoded each time.
+CACHED_CHARS = 64
 
 
 def byte_characters() -> list[str]:
@@ -62,51 +66,62 @@ class Vocabulary:
         chars = byte_characters()
         self.inner = [vocab[c] for c in chars]
         self.final = [vocab[c + suffix] for c in chars]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, (a, b) in enumerate(model["merges"]):
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        # Rank of each pair (left * shift + right), and by rank its symbols and their union.
+        self.shift = len(self.strings)
+        self.left = [vocab[a] for a, _ in model["merges"]]
+        self.right = [vocab[b] for _, b in model["merges"]]
+        self.union = [vocab[a + b] for a, b in model["merges"]]
+        self.ranks = {a * self.shift + b: r for r, (a, b) in enumerate(zip(self.left, self.right))}
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.pieces = regex.compile(split).findall
+        self.split = regex.compile(split).findall
+        # The same pattern for texts of ASCII alone.
+        self.split_ascii = re.compile(split.replace(r"[\p{L}]", "[A-Za-z]").replace(r"[\p{N}]", "[0-9]")
+                                      .replace(r"\p{L}\p{N}", "A-Za-z0-9"), re.A).findall
         self.split_added = regex.compile(
             "(" + "|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")").split
-        # Tuples: the garbage collector does not track them.
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache = _Pieces(self)
 
     def merge(self, ids: list[int]) -> list[int]:
-        """Apply the merge rules to a list of symbol ids."""
-        n, rules = len(ids), self.merges
+        """Apply the merge rules to a list of symbol ids; queue entries are rank * length + position."""
+        n, ranks, shift = len(ids), self.ranks.get, self.shift
+        left, right, union = self.left, self.right, self.union
+        queue = [r * n + i for i in range(n - 1) if (r := ranks(ids[i] * shift + ids[i + 1])) is not None]
+        if not queue:
+            return ids
+        heapq.heapify(queue)
         ids = ids[:]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = []
-        for i in range(n - 1):
-            rule = rules.get((ids[i], ids[i + 1]))
-            if rule:
-                queue.append((rule[0], i, ids[i], ids[i + 1], rule[1]))
-        heapq.heapify(queue)
+        pop, push = heapq.heappop, heapq.heappush
         while queue:
-            _, i, left, right, new = heapq.heappop(queue)
+            rank, i = divmod(pop(queue), n)
             j = after[i]
-            if ids[i] != left or j >= n or ids[j] != right:
+            if j >= n or ids[i] != left[rank] or ids[j] != right[rank]:
                 continue  # stale
-            ids[i], ids[j] = new, -1
+            new = ids[i] = union[rank]
+            ids[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                rule = rules.get((new, ids[k]))
-                if rule:
-                    heapq.heappush(queue, (rule[0], i, new, ids[k], rule[1]))
+                r = ranks(new * shift + ids[k])
+                if r is not None:
+                    push(queue, r * n + i)
             h = before[i]
             if h >= 0:
-                rule = rules.get((ids[h], new))
-                if rule:
-                    heapq.heappush(queue, (rule[0], h, ids[h], new, rule[1]))
+                r = ranks(ids[h] * shift + new)
+                if r is not None:
+                    push(queue, r * n + h)
         return [x for x in ids if x >= 0]
 
-    def piece(self, s: str) -> tuple[int, ...]:
+    def piece(self, s: str) -> list[int]:
         raw = s.encode()
         ids = [self.inner[b] for b in raw]
         ids[-1] = self.final[raw[-1]]
-        return tuple(self.merge(ids))
+        return self.merge(ids)
+
+    def pieces(self, text: str) -> list[str]:
+        """Pieces of a text without added tokens."""
+        text = self.normal(text)
+        return self.split_ascii(text) if text.isascii() else self.split(text)
 
     def normal(self, text: str) -> str:
         if text.isascii():
@@ -116,25 +131,24 @@ class Vocabulary:
         return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        cache = self.cache
-        for part in self.split_added(text) if "<|" in text else (text,):
-            if part in self.added:
-                out.append(self.added[part])
-                continue
-            for s in self.pieces(self.normal(part)):
-                ids = cache.get(s)
-                if ids is None:
-                    if len(cache) >= CACHE_PIECES:
-                        cache.clear()
-                    ids = self.piece(s)
-                    if len(s) <= 64:
-                        cache[s] = ids
-                out += ids
-        return out
+        return self.encode_all(pa.array([text], pa.string()))[0].as_py()
 
     def encode_all(self, texts: pa.Array) -> pa.ListArray:
-        return pa.array([self.encode(t) for t in texts.to_pylist()], pa.list_(pa.int32()))
+        """Ids of each text; each distinct piece is merged once and its ids are gathered."""
+        cache = self.cache
+        if len(cache) >= CACHE_PIECES:
+            cache.clear()
+        pieces, ends = [], [0]
+        for text in texts.to_pylist():
+            for part in self.split_added(text) if "<|" in text else (text,):
+                if part in self.added:
+                    pieces.append(part)
+                else:
+                    pieces += self.pieces(part)
+            ends.append(len(pieces))
+        row = np.fromiter(map(cache.__getitem__, pieces), np.int64, len(pieces))
+        ids, upto = cache.gather(row)
+        return pa.ListArray.from_arrays(pa.array(upto[np.array(ends)].astype(np.int32)), pa.array(ids))
 
     def decode(self, ids: list[int]) -> str:
         strings = self.strings
@@ -151,6 +165,46 @@ class Vocabulary:
         return pc.fill_null(pc.binary_join(pc.if_else(ids.is_valid(), lists, None) if ids.null_count else lists, " "), "")
 
 
+class _Pieces(dict):
+    """Row of each distinct piece in a growing table of ids."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.vocabulary = vocabulary
+        self._empty()
+
+    def _empty(self) -> None:
+        self.first, self.count = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int64)
+        self.ids, self.rows, self.used = np.zeros(1 << 14, dtype=np.int32), 0, 0
+
+    def clear(self) -> None:
+        super().clear()
+        self._empty()
+
+    def __missing__(self, piece: str) -> int:
+        added = self.vocabulary.added.get(piece)
+        ids = self.vocabulary.piece(piece) if added is None else [added]
+        if self.rows == len(self.first):
+            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        row = self.rows
+        self.first[row], self.count[row] = self.used, len(ids)
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.rows += 1
+        if len(piece) <= CACHED_CHARS:
+            self[piece] = row
+        return row
+
+    def gather(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces ``row`` one after another, and how many lie before each piece and after the last."""
+        count = self.count[row]
+        upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(count)])
+        ids = self.ids[np.arange(int(upto[-1])) + np.repeat(self.first[row] - upto[:-1], count)]
+        return ids, upto
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -173,7 +227,6 @@ def encode(docs: DataFrame, path: str = WORD_BPE, id_col: str = "doc_id", text_c
                 part = b.slice(i, 256)
                 ids = v.encode_all(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], [id_col, ids_col])
-        v.cache.clear()
 
     return rows.mapInArrow(task(run), T.StructType([T.StructField(id_col, kind),
                                                     T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
@@ -208,7 +261,6 @@ def encode_decode(docs: DataFrame, path: str = WORD_BPE, id_col: str = "doc_id",
                 part = b.slice(i, 256)
                 ids = v.encode_all(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, v.decode_lists(ids)], [id_col, "ids", "decoded"])
-        v.cache.clear()
 
     return rows.mapInArrow(task(run), T.StructType([rows.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType())),
                                                     T.StructField("decoded", T.StringType())]))
