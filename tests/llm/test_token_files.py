@@ -94,3 +94,29 @@ def test_odd_rows_and_order(odd_docs, odd_rows):
 
 def test_empty_table(empty_docs):
     assert t.read_tokens(t.write_tokens(empty_docs)).count() == 0
+
+
+def thue_morse(n, letters="ab"):
+    out = [0]
+    while len(out) < n:
+        out += [1 - x for x in out]
+    return "".join(letters[x] for x in out)
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_pieces_with_equal_hashes_are_told_apart(n):
+    """Two words whose polynomial hashes agree modulo a power of two, whatever the base."""
+    e, lib = PieceEncoder(t.BYTE_BPE), Tokenizer.from_file(t.BYTE_BPE)
+    texts = [thue_morse(n), thue_morse(n, "ba"), "short " + thue_morse(n, "ba") + " 漢字漢字漢字 café", thue_morse(n)]
+    ids, sizes = e.encode(texts)
+    want = [lib.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[0] != want[1] and sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_short_pieces_are_their_own_key():
+    """Null characters, lengths around the key's seven characters, characters beyond Latin-1."""
+    e, lib = PieceEncoder(t.BYTE_BPE), Tokenizer.from_file(t.BYTE_BPE)
+    texts = ["\0", "\0\0", "a\0b", "abcdefg", "abcdefgh", "abcdefghi", "ÿÿÿÿÿÿÿ", "ÿÿÿÿÿÿÿÿ", "Āa aĀ", "š" * 7, "s" * 7, "a" * 100_000]
+    ids, sizes = e.encode(texts * 2)
+    want = [lib.encode(x, add_special_tokens=False).ids for x in texts * 2]
+    assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]

@@ -116,6 +116,58 @@ class PieceEncoder:
                                 for b in (BASE, np.uint64(pow(int(BASE), -1, 1 << 64))))
         return self.powers
 
+    def _distinct(self, code: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One piece of each kind of equal pieces, and each piece's kind.
+
+        Up to seven characters below 256 are their own key with their number.
+        Other pieces are sorted by a hash, and each is compared with the piece
+        that stands for its hash; where one differs, the strings decide."""
+        wide = np.nonzero(code > 0xFF)[0]
+        short = (size < 8) & (np.searchsorted(wide, begin + size) == np.searchsorted(wide, begin))
+        narrow = np.concatenate([code.astype(np.uint8), np.zeros(8, dtype=np.uint8)])
+        eight = np.ndarray(len(code), dtype="<u8", buffer=narrow, strides=(1,))
+        n = size[short].astype(np.uint64)
+        key = (eight[begin[short]] & ((np.uint64(1) << (n * np.uint64(8))) - np.uint64(1))) | n << np.uint64(56)
+        _, index, inverse = np.unique(key, return_index=True, return_inverse=True)
+        places = np.nonzero(short)[0]
+        index = places[index]
+        rest = np.nonzero(~short)[0]
+        if not len(rest):
+            return index, inverse
+        own, kind = self._distinct_long(code, begin[rest], size[rest])
+        every = np.empty(len(begin), dtype=np.int64)
+        every[places], every[rest] = inverse, kind + len(index)
+        return np.concatenate([index, rest[own]]), every
+
+    def _distinct_long(self, code: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        up, down = self._powers(len(code) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(up[:len(code)] * (code + np.uint64(1)), dtype=np.uint64)])
+        h = (sums[begin + size] - sums[begin]) * down[begin]
+        _, index, inverse = np.unique(h, return_index=True, return_inverse=True)
+        stands = begin[index][inverse]
+        same = size[index][inverse] == size
+        if same.all():
+            # Some pieces at a time, so that the comparison stays small beside the texts.
+            upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+            a = 0
+            while a < len(begin) and same.all():
+                b = max(a + 1, int(np.searchsorted(upto, upto[a] + (1 << 20), side="right")) - 1)
+                step = np.arange(int(upto[b] - upto[a]))
+                own = np.repeat(begin[a:b] - (upto[a:b] - upto[a]), size[a:b])
+                other = np.repeat(stands[a:b] - (upto[a:b] - upto[a]), size[a:b])
+                same[a:b] = (code[step + own] == code[step + other]).all()
+                a = b
+        if same.all():
+            return index, inverse
+        known: dict[bytes, int] = {}
+        first, kind = [], np.empty(len(begin), dtype=np.int64)
+        for i, (x, y) in enumerate(zip(begin.tolist(), (begin + size).tolist())):
+            raw = code[x:y].tobytes()
+            kind[i] = known.setdefault(raw, len(known))
+            if kind[i] == len(first):
+                first.append(i)
+        return np.array(first, dtype=np.int64), kind
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of each text's."""
         if any(a in t for a in self.added for t in texts):
@@ -142,10 +194,7 @@ class PieceEncoder:
         begin, size = begin[real], size[real]
         if not len(begin):
             return np.zeros(0, dtype=np.int32), np.zeros(len(texts), dtype=np.int64)
-        up, down = self._powers(len(code) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(up[:len(code)] * (code + np.uint64(1)), dtype=np.uint64)])
-        h = (sums[begin + size] - sums[begin]) * down[begin]
-        _, index, inverse = np.unique(h, return_index=True, return_inverse=True)
+        index, inverse = self._distinct(code, begin, size)
         strings = [joined[a:b] for a, b in zip(begin[index].tolist(), (begin + size)[index].tolist())]
         if len(self.known) > CACHE_PIECES:
             self._clear()
