@@ -9,7 +9,8 @@ that none does; then the id's upper byte follows by adaptive counts and its
 lower byte evenly.
 
 The symbol's probabilities mix two adaptive counts: those of the context (is
-there an order-2 prediction, is there an order-1 prediction) and those of the whole block, by the context's experience.  They are renewed at
+there an order-2 prediction, did the order-1 prediction hold last time) and
+those of the whole block, by the context's experience.  They are renewed at
 fixed steps.  The coder keeps a 64-bit low end and range and puts out 32 bits
 at a time; where the range straddles a 32-bit boundary it is cut to it, so no
 carry arises.
@@ -26,7 +27,7 @@ SLOTS = 64
 SYMBOLS = SLOTS + 3  # order 2, order 1, none, order-0 slots
 NONE, FIRST_SLOT = 2, 3
 CONTEXTS = 4
-TABLE = 512
+TABLE = 1024
 TOTAL_BITS = 12
 TOTAL = 1 << TOTAL_BITS
 STEP = 24  # added to a count
@@ -38,7 +39,7 @@ _B12, _B8, _B32 = np.uint64(TOTAL_BITS), np.uint64(8), np.uint64(32)
 
 def _renewals() -> set[int]:
     """Steps of a block before which probabilities are renewed."""
-    return {16, 64, 192, 448, 704}
+    return {16, 48, 128, *range(256, BLOCK, 192)}
 
 
 def _cumulative(weights: np.ndarray) -> np.ndarray:
@@ -64,6 +65,7 @@ class Lanes:
         self.at_high = lane * 257
         # Id + 1, 0 where nothing is known; 16 bits keep the tables near the core.
         self.order2, self.order1 = np.zeros(n * TABLE, dtype=np.uint16), np.zeros(n * TABLE, dtype=np.uint16)
+        self.held = np.zeros(n * TABLE, dtype=np.int8)  # whether the order-1 prediction held
         self.order0 = np.zeros(n * SLOTS, dtype=np.uint16)
         self.counts = np.full((n, CONTEXTS, SYMBOLS), 1, dtype=np.float32)
         self.counts[..., NONE] = 16
@@ -86,7 +88,7 @@ class Lanes:
         self.p1, self.p2 = self.order1.take(self.h1), self.order2.take(self.h2)
         context = (self.p2 > 0).astype(np.int64)
         context += context
-        context += self.p1 > 0
+        context += self.held.take(self.h1)
         self.count_row = (self.at_context + context) * SYMBOLS
         self.row = self.count_row + self.at_context
         self.row += context
@@ -99,6 +101,7 @@ class Lanes:
         self.high_flat[at] = self.high_flat.take(at) + np.float32(STEP)
         mark = (ids + 1).astype(np.uint16)
         self.order2[self.h2] = mark
+        self.held[self.h1] = self.p1 == mark
         self.order1[self.h1] = mark
         self.order0[self.at_slot + (ids & (SLOTS - 1))] = mark
         self.before2, self.before1 = self.before1, ids
