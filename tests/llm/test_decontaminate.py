@@ -99,3 +99,42 @@ def test_suffix_order_with_own_terminators():
     order = suffix_order(s)
     text = [(-10 + i if x == 0 else x) for i, x in enumerate(s)]
     assert list(order) == sorted(range(len(s)), key=lambda i: text[i:])
+
+
+def thue_morse(n, letters="ab"):
+    out = [0]
+    while len(out) < n:
+        out += [1 - x for x in out]
+    return "".join(letters[x] for x in out)
+
+
+def test_words_with_equal_hashes(spark, make_docs):
+    """Two benchmark words that share a hash are told apart at the found places."""
+    a, b = thue_morse(1024), thue_morse(1024, "ba")
+    items = [(1, a), (2, b), (3, f"{a} x"), (4, f"{b} x")]
+    docs = [(1, f"{a} y"), (2, f"y {b}"), (3, f"{a} x {b} x"), (4, "y x")]
+    got, _ = found(make_docs(docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert got == brute(docs, items) and [r[3] for r in got] == [1, 1, 4, 0]
+
+
+def test_blocks_are_given_back(spark, make_docs, monkeypatch):
+    """Fifty blocks: the driver holds the windows of two at most."""
+    items = [(k, " ".join(f"w{k}x{j}" for j in range(14))) for k in range(400)]
+    docs = [(i, f"a {items[7 * i][1]} b") for i in range(20)]
+    held, most = set(), []
+    send = spark.sparkContext.broadcast
+
+    def counted(value):
+        out = send(value)
+        if isinstance(value, d.Windows):
+            held.add(id(out))
+            most.append(len(held))
+            give = out.destroy
+            out.destroy = lambda *x: (held.discard(id(out)), give(*x))
+        return out
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: counted(value) if isinstance(value, d.Windows) else send(value))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    size = sum(len(t) + 16 for _, t in items)
+    assert found(make_docs(docs), bench, block_bytes=-(-size // 50))[0] == brute(docs, items)
+    assert len(most) == 50 and max(most) <= 2

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillcast.llm.common import documents, task, text_or_empty
+from tillcast.llm.common import documents, staged, task, text_or_empty
 from tillcast.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -97,11 +97,9 @@ class Windows:
         sizes = np.array([len(w) for w in vocabulary], dtype=np.int64)
         ends = np.cumsum(sizes + 1) - 1
         hashes = word_hashes(raw, ends - sizes, ends)
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        if (self.hashes[1:] == self.hashes[:-1]).any():
-            raise ValueError("two benchmark words share a hash; choose another base")
-        number = {vocabulary[j]: i + 1 for i, j in enumerate(order)}
+        # Words with equal hashes share a number; found places are compared word by word.
+        self.hashes = np.unique(hashes)
+        number = dict(zip(vocabulary, (np.searchsorted(self.hashes, hashes) + 1).tolist()))
         self.lengths = np.array([len(p) for p in self.phrases], dtype=np.int64)
         self.symbols = np.zeros((len(self.phrases), size), dtype=np.int64)
         for i, p in enumerate(self.phrases):
@@ -268,18 +266,25 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     key = F.xxhash64(F.col(id_col), text_or_empty(text_col))
     base = docs.select(row.alias("row"))
 
-    def passed(block: int, df: DataFrame, keep_all: bool) -> DataFrame:
+    def passed(block: int, df: DataFrame, keep_all: bool):
         part = items.filter(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == block)
         shared = spark.sparkContext.broadcast(Windows([(r["k"], r["t"]) for r in part.collect()], size))
         kept = [f for f in df.schema.fields if f.name != "text"]
-        return df.mapInArrow(task(_search(shared, keep_all, text_col if keep_all else None)), T.StructType([*kept, *FOUND.fields]))
+        return shared, df.mapInArrow(task(_search(shared, keep_all, text_col if keep_all else None)), T.StructType([*kept, *FOUND.fields]))
 
-    out = passed(0, base, True)
-    if blocks > 1:
+    if blocks == 1:
+        _, out = passed(0, base, True)
+    else:
+        # One pass a block: its hits are stored and its windows given back before
+        # the next is read, so the driver holds one block at a time.
         keyed = docs.select(key.alias("rk"), text_or_empty(text_col).alias("text")).dropDuplicates(["rk"])
-        rest = passed(1, keyed, False)
-        for b in range(2, blocks):
-            rest = rest.union(passed(b, keyed, False))
+        rest = None
+        for b in range(1, blocks):
+            shared, df = passed(b, keyed, False)
+            df = staged(df, "benchmark-hits")
+            shared.destroy()
+            rest = df if rest is None else rest.union(df)
+        _, out = passed(0, base, True)
         more = rest.groupBy("rk").agg(F.collect_list(F.struct(*FOUND.names[1:])).alias("more"))
         out = (out.withColumn("rk", F.xxhash64(F.col(f"row.`{id_col}`"), text_or_empty(F.col(f"row.`{text_col}`"))))
                .join(more, "rk", "left").drop("rk").mapInArrow(task(_joined), T.StructType([out.schema["row"], *FOUND.fields])))
