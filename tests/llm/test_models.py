@@ -139,3 +139,56 @@ def test_toxic_and_clean_held_out_documents_apart(spark):
     toxic, clean = [b for a, b in held if a == 1], [b for a, b in held if a == 0]
     assert len(toxic) > 100 and len(clean) > 500
     assert np.mean(toxic) >= 0.65 and np.mean(clean) <= 0.03
+
+
+def test_repeated_ids_do_not_depend_on_partitions(spark):
+    """Rows that repeat an id with different texts: the sample takes the text of the least hash, however the rows lie."""
+    rows = [(i % 30, f"text {i} of many words and {'idiot scum ' * (i % 3)} 12 {i * i}", i) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    got = []
+    for n in (1, 2, 5):
+        part = docs.repartition(n, "n").orderBy(F.rand(n))
+        texts, y = x.sample(part, labels)
+        model, scorer = q.train(part.select("doc_id", "text"))
+        got.append((texts, y.tolist(), scorer.bias, scorer.weights.tolist()))
+    assert got[0] == got[1] == got[2] and len(got[0][0]) == len(set(got[0][0]))
+
+
+def plain_score(net, text):
+    """Highest window score of a text, word by word in plain loops."""
+    words = x.Words([text])
+    _, start, sizes = words.windows()
+    ends = np.cumsum(words.count)
+
+    def vector(number):
+        grams = words.grams[ends[number] - words.count[number]:ends[number]]
+        chars = np.mean([net.char[g] for g in grams], axis=0) if len(grams) else np.zeros(net.char.shape[1])
+        return np.concatenate([net.word[words.word[number]], chars]).astype(float)
+
+    def run(inputs, d):
+        h, out, k = np.zeros(x.HIDDEN), [], x.HIDDEN
+        for v in inputs:
+            gx, gh = v @ net.wx[d] + net.b[d, 0], h @ net.wh[d]
+            z, r = (1 / (1 + np.exp(-(gx[i * k:(i + 1) * k] + gh[i * k:(i + 1) * k]))) for i in (0, 1))
+            h = z * h + (1 - z) * np.tanh(gx[2 * k:] + r * gh[2 * k:])
+            out.append(h)
+        return out
+
+    best = 0.0
+    for a, n in zip(start, sizes):
+        inputs = [vector(words.number[i]) for i in range(a, a + n)]
+        states = [np.concatenate(p) for p in zip(run(inputs, 0), run(inputs[::-1], 1)[::-1])]
+        e = np.exp([s @ net.u for s in states])
+        pooled = sum(w * s for w, s in zip(e / e.sum(), states))
+        best = max(best, 1 / (1 + np.exp(-(pooled @ net.v + net.c[0]))))
+    return best
+
+
+def test_scores_equal_plain_loops(spark):
+    texts = ["you idiot scum go away", "a fine day in the garden", "x " * 300 + "idiot scum " * 5 + "y " * 77, "one", ""]
+    net = x.train([t.encode() for t in texts[:2]] * 20, np.array([1, 0] * 20), steps=60)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in x.score(docs, net).collect()}
+    for i, t in enumerate(texts):
+        assert abs(got[i] - plain_score(net, t.encode())) < 1e-4, t[:40]

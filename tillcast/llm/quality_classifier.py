@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillcast.llm.common import documents, task, text_or_empty
+from tillcast.llm.common import documents, staged, task, text_or_empty
 from tillcast.llm.decontaminate import word_hashes
 from tillcast.llm.quality_rules import measures
 
@@ -217,7 +217,8 @@ def train(docs: DataFrame, labellers: Sequence[Labeller] = LABELLERS, rows: int
     ids = (docs.select(F.col(id_col).alias("k")).filter(F.col("k").isNotNull()).distinct()
            .orderBy(F.xxhash64("k"), "k").limit(rows))
     part = (docs.select(F.col(id_col).alias("k"), text_or_empty(text_col).alias("t")).filter(F.octet_length("t") <= SAMPLE_BYTES)
-            .join(F.broadcast(ids), "k").dropDuplicates(["k"]))
+            .join(F.broadcast(ids), "k").groupBy("k").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t"))["t"].alias("t")))
+    part = staged(part, "classifier-sample")        # of rows that repeat an id the text of the least hash, read twice
     texts = part.orderBy("k").collect()
     marks = {r["k"]: r["pattern"] for r in votes(part, labellers, "k", "t").collect()}
     y = model.posterior(np.array([marks[r["k"]] for r in texts], dtype=np.int64)) if texts else np.zeros(0)

@@ -281,8 +281,9 @@ def sample(docs: DataFrame, labels: DataFrame, positives: int = SAMPLE_POSITIVE,
     ids = (marks.filter("toxic = 1").orderBy("h").limit(positives)
            .union(marks.filter("toxic = 0").orderBy("h").limit(negatives)).select(F.col("doc_id").alias("id"), "toxic"))
     rows = (docs.select("doc_id", F.lower(text_or_empty("text")).alias("text")).filter(F.octet_length("text") <= max_bytes)
-            .join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic")
-            .dropDuplicates(["doc_id"]).collect())
+            .join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
+            # Of rows that repeat an id the text of the least hash.
+            .groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")).collect())
     rows.sort(key=lambda r: r["doc_id"])
     return [r["text"].encode() for r in rows], np.array([r["toxic"] for r in rows], dtype=np.int64)
 
