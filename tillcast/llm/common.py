@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from tillcast.session import ensure_checkpoint_dir
 
-#: Where the public tokenizer files lie unless a caller names another folder.
-TOKENIZERS = "/opt/tokenizers"
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer file; callers may pass another path instead."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

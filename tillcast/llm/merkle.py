@@ -135,7 +135,7 @@ def manifest(docs: DataFrame, fields: Sequence[str] = FIELDS, id_col: str = "doc
                    .select("g", (F.col("p") - 1 - F.col("start")).alias("pos"), "n", "h", "id", "grp", "bad"), "merkle-nodes")
 
     tiers, subroots = _tree(nodes, size["most"] or 0, arity, levels)
-    upper = subroots.select(F.lit(0).cast("long").alias("g"), (F.col("g") - 1).alias("pos"), F.lit(size["k"]).cast("long").alias("n"), "h")
+    upper = staged(subroots.select(F.lit(0).cast("long").alias("g"), (F.col("g") - 1).alias("pos"), F.lit(size["k"]).cast("long").alias("n"), "h"), "merkle-subroots")
     top_tiers, root = _tree(upper, size["k"], arity, levels)
     none = F.array().cast("array<struct<before:string,after:string>>")
     above = _paths(top_tiers, root.select("g", F.col("h").alias("root"), none.alias("rest")), arity)

@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillcast.llm.bpe import byte_characters
-from tillcast.llm.common import TOKENIZERS, documents, task, text_or_empty
+from tillcast.llm.common import documents, task, text_or_empty, tokenizer_path
 
-PIECES = f"{TOKENIZERS}/byte_bpe_50k.json"
+PIECES = tokenizer_path("byte_bpe_50k.json")
 #: Distinct words whose counts a worker remembers (memory bound only).
 CACHE_WORDS = 300_000
 

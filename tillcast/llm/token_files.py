@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillcast.llm.common import TOKENIZERS, documents, partitions, staged, task, text_or_empty
+from tillcast.llm.common import documents, partitions, staged, task, text_or_empty, tokenizer_path
 from tillcast.llm.pretokens import piece_encoder
 from tillcast.llm.range_coder import BLOCK, decode_blocks, encode_blocks
 
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+BYTE_BPE = tokenizer_path("byte_bpe_50k.json")
 END_ID = 2
 MAGIC = b"TCT1"
 #: Ids coded in step (a segment ends with the document that reaches it) and
