@@ -13,13 +13,18 @@ optionally with lineage columns (``_file``, ``_row``).  Output: a
 Rules are evaluated in the reference's order, so one CASE column assigns each
 row its first failing rule and a single ``groupBy(reject_reason)`` reproduces
 the sequential counts — all in one scan, no per-rule passes.
+
+``clean_staged`` is the form for whole loads: the parsed rows are written once,
+the counts of every rule are observed by that same write, and report, summary
+and the fatal check come from them without reading the stage again.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tillcast.functions.dates import parse_mixed_timestamp
@@ -113,15 +118,11 @@ def reject_reason(stock: Column, date: Column, qty: Column, price: Column) -> Co
 
 def _message(kind: Column, n: Column) -> Column:
     """CLEAN-13 report texts."""
-    return (F.when(kind == "null_values",
-                   F.format_string("%d rows had null values in critical columns and were removed.", n))
-            .when(kind == "invalid_price", F.format_string("%d rows with invalid price values removed.", n))
-            .when(kind == "extreme_quantity", F.format_string(
-                f"%d rows with extreme quantities (>{MAX_ALLOWED_QUANTITY}) removed.", n))
-            .when(kind == "fractional_quantity",
-                  F.format_string("%d rows have a fractional quantity; the stored quantity is truncated.", n))
-            .when(kind == "date_parse_error",
-                  F.format_string("Could not parse InvoiceDate column: %d unparseable values", n)))
+    return (F.when(kind == "null_values", F.format_string("%d rows left out: stock code, date, quantity or price is missing", n))
+            .when(kind == "invalid_price", F.format_string(f"%d rows left out: price below 0 or above {MAX_ALLOWED_PRICE}", n))
+            .when(kind == "extreme_quantity", F.format_string(f"%d rows left out: more than {MAX_ALLOWED_QUANTITY} units", n))
+            .when(kind == "fractional_quantity", F.format_string("%d rows have part units; whole units are stored", n))
+            .when(kind == "date_parse_error", F.format_string("%d values of InvoiceDate are not dates", n)))
 
 
 def report_counts(rows: DataFrame) -> DataFrame:
@@ -137,6 +138,54 @@ def clean_log(raw: DataFrame, strict_scrub: bool = False, file_col: str | None =
     return clean_result(rows, raw, errors, file_col)
 
 
+def clean_staged(raw: DataFrame, path: str, strict_scrub: bool = False, file_col: str | None = None) -> CleanResult:
+    """``clean_log`` with its rows written to ``path`` once and read from there.
+
+    The counts come with that write (``observe`` on its last stage, where a task
+    counts once however often it is tried), so the raw log is scanned once, and
+    report, summary and fatal check read nothing.  Only where some date is
+    unparseable the stage is asked which files hold one.
+    """
+    rows, errors = checked_rows(raw, strict_scrub)
+    if errors:
+        return clean_result(rows, raw, errors, file_col)
+    seen = Observation(f"clean-{uuid.uuid4().hex}")
+    rows.observe(seen, *observed_counts()).write.mode("overwrite").parquet(path)
+    return observed_result(raw.sparkSession.read.schema(rows.schema).parquet(path), seen.get, file_col)
+
+
+#: Rules in report order.
+RULES = ("null_values", "invalid_price", "extreme_quantity")
+
+
+def _fractional() -> Column:
+    return F.col("reject_reason").isNull() & (F.col("Quantity") != F.floor(F.col("Quantity")))
+
+
+def observed_counts() -> list[Column]:
+    """Aggregates of ``checked_rows`` from which ``observed_result`` makes report and summary."""
+    reason = F.col("reject_reason")
+    return [F.count(F.lit(1)).alias("row_count"), F.count_if(reason.isNull()).alias("valid_rows"),
+            *[F.count_if(reason == r).alias(r) for r in (*RULES, "empty_row")],
+            F.count_if(F.col("_bad_date")).alias("date_parse_error"), F.count_if(_fractional()).alias("fractional_quantity")]
+
+
+def observed_result(rows: DataFrame, counts: dict, file_col: str | None = None) -> CleanResult:
+    """The result over staged ``rows`` whose ``observed_counts`` are known."""
+    spark = rows.sparkSession
+    n = lambda k: int(counts.get(k) or 0)
+    fired = [(k, k == "date_parse_error", n(k)) for k in (*RULES, "date_parse_error", "fractional_quantity") if n(k)]
+    report = spark.createDataFrame(fired, "type string, fatal boolean, affected_rows long").select(
+        "type", _message(F.col("type"), F.col("affected_rows")).alias("message"), "fatal", "affected_rows")
+    summary = spark.createDataFrame([(n("row_count"), n("valid_rows"), sum(map(n, RULES)), n("empty_row"))],
+                                    "row_count long, valid_rows long, invalid_rows long, empty_rows long")
+    accepted = rows.filter(F.col("reject_reason").isNull())
+    if n("date_parse_error"):
+        accepted = (accepted.join(rows.filter("_bad_date").select(file_col).distinct(), file_col, "left_anti") if file_col
+                    else accepted.limit(0))
+    return CleanResult(rows.drop("_bad_date"), accepted.drop("reject_reason", "_bad_date"), report, summary, [])
+
+
 def checked_rows(raw: DataFrame, strict_scrub: bool = False) -> tuple[DataFrame, list[dict]]:
     """Every row of a raw log with its parsed columns, ``reject_reason`` and
     ``_bad_date``; or, with plan-time errors, no rows.  Store this table to
@@ -170,14 +219,12 @@ def _checked(df: DataFrame, strict_scrub: bool) -> DataFrame:
         all_null = all_null & F.col(f"`{c}`").isNull()
     base = base.withColumn("_empty", all_null)
 
-    parsed = parse_mixed_timestamp(F.col("InvoiceDate"))
-    qty = _to_number(F.col("Quantity"))
-    price = _to_number(F.col("Price"))
-    typed = base.withColumns({
-        "_date": parsed,
-        "_qty": qty,
-        "_price": price,
-    })
+    # The parsed values leave the projection as one generated row: filters on them
+    # cannot be pushed below, so each is evaluated once per row and not written
+    # out again in every predicate.
+    parsed = F.struct(parse_mixed_timestamp(F.col("InvoiceDate")).alias("_date"),
+                      _to_number(F.col("Quantity")).alias("_qty"), _to_number(F.col("Price")).alias("_price"))
+    typed = base.select("*", F.inline(F.array(parsed)))
     bad_date = F.col("InvoiceDate").isNotNull() & F.col("_date").isNull()
     typed = typed.withColumn("_bad_date", bad_date & ~F.col("_empty"))
     reason = F.when(F.col("_empty"), "empty_row").otherwise(
@@ -197,10 +244,7 @@ def _checked(df: DataFrame, strict_scrub: bool) -> DataFrame:
         (F.col("_qty") * F.col("_price")).alias("revenue"),
         reason.alias("reject_reason"),
         F.col("_bad_date"),
-        # Load order (first-row-wins lineage).  Being nondeterministic it
-        # also keeps filters on reject_reason above this projection, so the
-        # parse/validation expressions are evaluated once per row instead of
-        # being inlined into the predicate.
+        # Load order (first-row-wins lineage).
         F.monotonically_increasing_id().alias("_seq"),
     )
 
@@ -221,13 +265,11 @@ def _result(rows: DataFrame, file_col: str | None) -> CleanResult:
 
     # CLEAN-13 in one pass: counts per reason (≤ 5 groups) folded into one
     # row, then exploded into report rows.
-    fractional = F.col("reject_reason").isNull() & (F.col("Quantity") != F.floor(F.col("Quantity")))
     counts = rows.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"),
                                                F.count_if(F.col("_bad_date")).alias("bad"),
-                                               F.count_if(fractional).alias("frac"))
-    rules = ["null_values", "invalid_price", "extreme_quantity"]
+                                               F.count_if(_fractional()).alias("frac"))
     folded = counts.agg(
-        F.collect_list(F.when(F.col("reject_reason").isin(rules),
+        F.collect_list(F.when(F.col("reject_reason").isin(*RULES),
                               F.struct(F.col("reject_reason").alias("type"), F.col("n").alias("affected_rows"))))
         .alias("_rules"),
         F.sum("bad").cast("long").alias("_bad"),
@@ -235,7 +277,7 @@ def _result(rows: DataFrame, file_col: str | None) -> CleanResult:
         F.sum("n").cast("long").alias("row_count"),
         F.coalesce(F.sum(F.when(F.col("reject_reason").isNull(), F.col("n"))), F.lit(0)).cast("long")
         .alias("valid_rows"),
-        F.coalesce(F.sum(F.when(F.col("reject_reason").isin(rules), F.col("n"))), F.lit(0)).cast("long")
+        F.coalesce(F.sum(F.when(F.col("reject_reason").isin(*RULES), F.col("n"))), F.lit(0)).cast("long")
         .alias("invalid_rows"),
         F.coalesce(F.sum(F.when(F.col("reject_reason") == "empty_row", F.col("n"))), F.lit(0)).cast("long")
         .alias("empty_rows"),

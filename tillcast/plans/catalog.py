@@ -212,7 +212,8 @@ def q_delete_upload_orphans(spark, sf_dir):
 
 
 def _clean(d: RetailData) -> cleaning.CleanResult:
-    return cleaning.clean_log(raw_log_from_facts(d.tx), file_col="_file")
+    """The dirty log cleaned as a load does it: staged once, counts observed by that write."""
+    return cleaning.clean_staged(raw_log_from_facts(d.tx), scratch_path(d.spark, f"clean-{uuid.uuid4().hex}"), file_col="_file")
 
 
 def _clean_out(df: DataFrame) -> DataFrame:

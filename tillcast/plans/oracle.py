@@ -484,9 +484,9 @@ merged AS (
     "clean_accept": RAW_LOG + CLEAN_OUT,
     "clean_report": RAW_LOG + """
 SELECT reason AS type,
-       CASE reason WHEN 'null_values' THEN CAST(COUNT(*) AS VARCHAR) || ' rows had null values in critical columns and were removed.'
-                   WHEN 'invalid_price' THEN CAST(COUNT(*) AS VARCHAR) || ' rows with invalid price values removed.'
-                   ELSE CAST(COUNT(*) AS VARCHAR) || ' rows with extreme quantities (>100000) removed.' END AS message,
+       CASE reason WHEN 'null_values' THEN CAST(COUNT(*) AS VARCHAR) || ' rows left out: stock code, date, quantity or price is missing'
+                   WHEN 'invalid_price' THEN CAST(COUNT(*) AS VARCHAR) || ' rows left out: price below 0 or above 100000'
+                   ELSE CAST(COUNT(*) AS VARCHAR) || ' rows left out: more than 100000 units' END AS message,
        FALSE AS fatal, CAST(COUNT(*) AS BIGINT) AS affected_rows
 FROM reasons WHERE reason IS NOT NULL GROUP BY reason""",
     "clean_summary": RAW_LOG + """

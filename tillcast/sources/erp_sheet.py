@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tillcast.functions.dates import parse_mixed_timestamp
 from tillcast.functions.text import scrub_formula, strip_ws
+from tillcast.sources.landing import Mapped, map_rows
 
 # ERP column names and the country of that export.
 ERP_FIELDS = {
@@ -115,11 +116,30 @@ def erp_rows(sheet: DataFrame) -> tuple[DataFrame, DataFrame]:
 def sheet_fallback(sheet: DataFrame, unmatched: DataFrame | None = None) -> DataFrame:
     """SRC-3: the sheets without a marker row as raw log rows (``_file``, ``_row``, canonical columns): their
     row 0 names the columns; pass the result to ``cleaning.clean_log``."""
-    from tillcast.sources.landing import map_rows
+    return fallback_sheets(sheet, unmatched).rows
+
+
+def fallback_sheets(sheet: DataFrame, unmatched: DataFrame | None = None) -> Mapped:
+    """SRC-3 whole: the rows of ``sheet_fallback``, and in ``refused`` the sheets whose row 0
+    does not name the required columns, with the reason."""
     if unmatched is None:
         unmatched = header_rows(sheet).filter(F.col("_found") == 0).select("file")
     cells = _cells(sheet)
     rows = sheet.join(unmatched, "file", "left_semi").select(
         F.col("file").alias("_file"), F.struct(F.lit(0).cast("long").alias("block"), F.col("row_idx").cast("long").alias("id")).alias("_row"),
         F.array(*[F.col(c) for c in cells]).alias("cells"))
-    return map_rows(rows).rows
+    return map_rows(rows, width=None)
+
+
+def sheet_outcomes(sheet: DataFrame) -> DataFrame:
+    """One row per sheet: ``outcome`` mapped (ERP layout), fallback (standard cleaning) or
+    refused with its ``reason``, and the ``data_rows`` that reach validation."""
+    erp, unmatched = erp_rows(sheet)
+    other = fallback_sheets(sheet, unmatched)
+    n = F.count(F.lit(1)).alias("data_rows")
+    counts = erp.groupBy("file").agg(n).unionByName(other.rows.groupBy(F.col("_file").alias("file")).agg(n))
+    found = header_rows(sheet).select("file", (F.col("_found") == 1).alias("erp"))
+    refused = other.refused.select(F.col("_file").alias("file"), "reason")
+    j = found.join(refused, "file", "left").join(counts, "file", "left")
+    outcome = F.when(F.col("erp"), "mapped").when(F.col("reason").isNotNull(), "refused").otherwise("fallback")
+    return j.select("file", outcome.alias("outcome"), "reason", F.coalesce("data_rows", F.lit(0)).cast("long").alias("data_rows"))

@@ -202,8 +202,9 @@ def raw_log_from_facts(tx: DataFrame) -> DataFrame:
     missing; 4 → StockCode '=' prefixed; 5 → Description '@cmd'; 6 → Country
     padded with spaces; 7 → InvoiceDate as d/M/yyyy; else ISO timestamps.
     Lineage columns: ``_file`` (landed file name) and ``_upload_id``.
-    The rows are dealt by invoice: a landing folder holds many files, and the
-    exchange keeps the derivation out of the cleaning expressions.
+    The given lines may lie in a single row group, which one task reads; a
+    landing folder holds many files, so the rows are dealt to a fixed number of
+    partitions (one that is not coalesced) by invoice.
     """
     k = F.col("invoice_no").cast("long") % 50
     pid = F.col("product_id").cast("string")
@@ -224,7 +225,7 @@ def raw_log_from_facts(tx: DataFrame) -> DataFrame:
         F.col("customer_id").alias("Customer ID"),
         F.when(k == 6, F.concat(F.lit("  "), F.col("country"), F.lit("  ")))
          .otherwise(F.col("country")).alias("Country"),
-    ).repartition("InvoiceNo")
+    ).repartition(int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions")), "InvoiceNo")
 
 
 def superstore_log_from_facts(tx: DataFrame) -> DataFrame:
