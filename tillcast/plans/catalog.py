@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tillcast.operators import abc as abc_ops
 from tillcast.operators import alerts as alert_ops
+from tillcast.operators import cube as cube_ops
 from tillcast.operators import analytics, daily as daily_ops, movement, products as prod_ops
 import uuid
 
@@ -60,19 +61,37 @@ def q_top_products_search(spark, sf_dir):
     return analytics.search_products(analytics.top_products(d.active_lines, _products_with_abc(d), 50), SEARCH_TERM)
 
 
+def _cube(d: RetailData) -> cube_ops.Cube:
+    """The stored cube, built from the facts once; the KPI queries read nothing else."""
+    return cube_ops.build_cube(d.tx, scratch_path(d.spark, f"cube-{uuid.uuid4().hex}"))
+
+
 def q_kpis(spark, sf_dir):
     d = _data(spark, sf_dir)
-    return analytics.kpis(d.tx, d.products)
+    return cube_ops.kpis(_cube(d), d.products)
 
 
 def q_kpis_range(spark, sf_dir):
     d = _data(spark, sf_dir)
-    return analytics.kpis(d.tx, d.products, *KPI_RANGE)
+    return cube_ops.kpis(_cube(d), d.products, *KPI_RANGE)
 
 
 def q_kpis_consistent(spark, sf_dir):
     d = _data(spark, sf_dir)
-    return analytics.kpis(d.tx, d.products, *KPI_RANGE, scope="consistent")
+    return cube_ops.kpis(_cube(d), d.products, *KPI_RANGE, scope="consistent")
+
+
+def q_kpis_direct(spark, sf_dir):
+    """KPI-1 straight from the facts, without a stored cube."""
+    d = _data(spark, sf_dir)
+    return analytics.kpis(d.tx, d.products, *KPI_RANGE)
+
+
+def q_unique_invoices(spark, sf_dir):
+    """KPI-3 per upload: exact, and whether the days' sketches come within 5 % of it."""
+    u = cube_ops.unique_invoices(_cube(_data(spark, sf_dir)), by=("upload_id",))
+    near = F.abs(F.col("estimate") - F.col("exact")) <= 0.05 * F.col("exact")
+    return u.select("upload_id", F.col("exact").alias("unique_invoices"), near.alias("sketch_within_5_pct"))
 
 
 def q_kpis_active(spark, sf_dir):
@@ -80,7 +99,7 @@ def q_kpis_active(spark, sf_dir):
 
 
 def q_top_country(spark, sf_dir):
-    return analytics.top_country(_data(spark, sf_dir).tx)
+    return cube_ops.top_country(_cube(_data(spark, sf_dir)))
 
 
 def _trend(granularity):
@@ -515,6 +534,8 @@ QUERIES: dict[str, QueryFn] = {
     "kpis_range": q_kpis_range,
     "kpis_consistent": q_kpis_consistent,
     "kpis_active": q_kpis_active,
+    "kpis_direct": q_kpis_direct,
+    "unique_invoices": q_unique_invoices,
     "top_country": q_top_country,
     "trend_daily": _trend("daily"),
     "trend_weekly_iso": _trend("weekly"),

@@ -594,6 +594,10 @@ scope_rows AS (SELECT * FROM acc WHERE _upload_id <> (SELECT u FROM frst)
                AND StockCode NOT IN (SELECT StockCode FROM old_codes)),
 """ + FIRST_ROWS + ", b AS (SELECT COUNT(*) AS base FROM old_codes)\n" + PRODUCT_OUT.replace("FROM firsts", "FROM firsts, b")
 SQL["sheet_fallback"] = SQL["clean_superstore"]
+SQL["kpis_direct"] = SQL["kpis_range"]
+SQL["unique_invoices"] = """
+SELECT upload_id, CAST(COUNT(DISTINCT invoice_no) AS BIGINT) AS unique_invoices, TRUE AS sketch_within_5_pct
+FROM tx WHERE quantity > 0 GROUP BY 1"""
 
 
 def oracle_sql() -> dict[str, str]:
