@@ -35,9 +35,13 @@ def daily_sales(tx: DataFrame, upload_id: int | None = None) -> DataFrame:
         F.count(F.lit(1)).alias("transaction_count"),
         F.sum(cents).alias("_price_cents"),
     )
-    n = F.col("transaction_count")
+    return average_price(g)
+
+
+def average_price(g: DataFrame) -> DataFrame:
+    """Daily rows whose mean price is the half-up rounded share of ``_price_cents`` in ``transaction_count``."""
     half_up = F.expr("(2 * _price_cents + transaction_count) div (2 * transaction_count)")
-    return g.select("product_id", "sale_date", "total_quantity", "total_revenue", n,
+    return g.select("product_id", "sale_date", "total_quantity", "total_revenue", "transaction_count",
                     cents_to_money(half_up).alias("avg_unit_price"))
 
 

@@ -8,6 +8,8 @@ appear only where the feature is a top-k or a page.
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +19,10 @@ from tillcast.operators import abc as abc_ops
 from tillcast.operators import alerts as alert_ops
 from tillcast.operators import cube as cube_ops
 from tillcast.operators import analytics, daily as daily_ops, movement, products as prod_ops
-import uuid
-
+from tillcast.operators import boosting, training
 from tillcast.operators import catalogue, cleaning, context, exports, features, forecasting, registry
 from tillcast.session import scratch_path
-from tillcast.sources.erp_sheet import map_erp_sheet, sheet_fallback
+from tillcast.sources.erp_sheet import map_erp_sheet, sheet_fallback, sheet_outcomes
 from tillcast.sources.tpch import RetailData, erp_sheet_from_facts, missing_orders, raw_log_from_facts, superstore_log_from_facts
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +32,8 @@ KPI_RANGE = ("2000-01-01", "2000-12-31")
 SLOW_LOOKBACK_DAYS = 3650
 TOP_N = 10
 SEARCH_TERM = "ring"
+RUN_AT = dt.datetime(2001, 11, 5)
+TREE_FEATURES = ("day_of_week", "lag_1", "lag_7", "lag_28", "rolling_7_mean")
 
 
 def _data(spark: SparkSession, sf_dir: str) -> RetailData:
@@ -38,7 +41,7 @@ def _data(spark: SparkSession, sf_dir: str) -> RetailData:
 
 
 def _products_with_abc(d: RetailData) -> DataFrame:
-    return abc_ops.write_back_classes(d.products, abc_ops.abc_analysis(d.lines, d.products))
+    return abc_ops.write_back_classes(d.products, abc_ops.abc_analysis(d.sums, d.products))
 
 
 def _daily_out(df: DataFrame) -> DataFrame:
@@ -53,12 +56,12 @@ def q_daily_sales(spark, sf_dir):
 
 def q_top_products(spark, sf_dir):
     d = _data(spark, sf_dir)
-    return analytics.top_products(d.active_lines, _products_with_abc(d), TOP_N)
+    return analytics.top_products(d.active_sums, _products_with_abc(d), TOP_N)
 
 
 def q_top_products_search(spark, sf_dir):
     d = _data(spark, sf_dir)
-    return analytics.search_products(analytics.top_products(d.active_lines, _products_with_abc(d), 50), SEARCH_TERM)
+    return analytics.search_products(analytics.top_products(d.active_sums, _products_with_abc(d), 50), SEARCH_TERM)
 
 
 def _cube(d: RetailData) -> cube_ops.Cube:
@@ -124,12 +127,12 @@ def q_abc_distribution(spark, sf_dir):
 
 def q_slow_movers(spark, sf_dir):
     d = _data(spark, sf_dir)
-    return movement.slow_movers(d.daily, d.products, lookback_days=SLOW_LOOKBACK_DAYS)
+    return movement.slow_movers(d.daily_of_sums, d.products, lookback_days=SLOW_LOOKBACK_DAYS)
 
 
 def q_slow_movers_30(spark, sf_dir):
     d = _data(spark, sf_dir)
-    return movement.slow_movers(d.daily, d.products, lookback_days=30)
+    return movement.slow_movers(d.daily_of_sums, d.products, lookback_days=30)
 
 
 def q_anomalies(spark, sf_dir):
@@ -138,23 +141,23 @@ def q_anomalies(spark, sf_dir):
 
 def q_product_list(spark, sf_dir):
     d = _data(spark, sf_dir)
-    return prod_ops.product_page(prod_ops.product_list(_products_with_abc(d), d.daily), 1, 50)
+    return prod_ops.product_page(prod_ops.product_list(_products_with_abc(d), d.daily_of_sums), 1, 50)
 
 
 def q_product_list_all(spark, sf_dir):
     """PROD-1 without a page: every product."""
     d = _data(spark, sf_dir)
-    return prod_ops.product_list(_products_with_abc(d), d.daily)
+    return prod_ops.product_list(_products_with_abc(d), d.daily_of_sums)
 
 
 def q_product_page2(spark, sf_dir):
     d = _data(spark, sf_dir)
-    return prod_ops.product_page(prod_ops.product_list(_products_with_abc(d), d.daily, abc_class="a"), 2, 20)
+    return prod_ops.product_page(prod_ops.product_list(_products_with_abc(d), d.daily_of_sums, abc_class="a"), 2, 20)
 
 
 def q_product_search(spark, sf_dir):
     d = _data(spark, sf_dir)
-    return prod_ops.product_list(_products_with_abc(d), d.daily, search=SEARCH_TERM)
+    return prod_ops.product_list(_products_with_abc(d), d.daily_of_sums, search=SEARCH_TERM)
 
 
 def q_product_pages(spark, sf_dir):
@@ -178,24 +181,24 @@ def q_stock_status(spark, sf_dir):
 
 
 def q_alerts_reorder(spark, sf_dir):
-    return alert_ops.reorder_alerts(_data(spark, sf_dir).daily)
+    return alert_ops.reorder_alerts(_data(spark, sf_dir).daily_of_sums)
 
 
 def q_alerts_stockout(spark, sf_dir):
-    return alert_ops.stockout_alerts(_data(spark, sf_dir).daily)
+    return alert_ops.stockout_alerts(_data(spark, sf_dir).daily_of_sums)
 
 
 def q_alerts_slow(spark, sf_dir):
-    return alert_ops.slow_mover_alerts(_data(spark, sf_dir).daily)
+    return alert_ops.slow_mover_alerts(_data(spark, sf_dir).daily_of_sums)
 
 
 def q_alerts_all(spark, sf_dir):
-    return alert_ops.generate_alerts(_data(spark, sf_dir).daily)
+    return alert_ops.generate_alerts(_data(spark, sf_dir).daily_of_sums)
 
 
 def q_alert_counts(spark, sf_dir):
     d = _data(spark, sf_dir)
-    alerts = alert_ops.regenerate(None, alert_ops.generate_alerts(d.daily), "2001-11-05 00:00:00")
+    alerts = alert_ops.regenerate(None, alert_ops.generate_alerts(d.daily_of_sums), "2001-11-05 00:00:00")
     return alert_ops.open_alert_counts(alerts)
 
 
@@ -295,7 +298,7 @@ def q_product_upsert_second(spark, sf_dir):
 
 def q_alerts_slow_all_time(spark, sf_dir):
     """ALERT-3 over the whole history."""
-    return alert_ops.slow_mover_alerts(_data(spark, sf_dir).daily, lookback_days=SLOW_LOOKBACK_DAYS)
+    return alert_ops.slow_mover_alerts(_data(spark, sf_dir).daily_of_sums, lookback_days=SLOW_LOOKBACK_DAYS)
 
 
 def q_missing_orders(spark, sf_dir):
@@ -382,32 +385,32 @@ def q_feature_importance(spark, sf_dir):
 
 
 def _alerts_table(d: RetailData) -> DataFrame:
-    as_of = d.daily.agg(F.max("sale_date")).scalar()
-    new = alert_ops.generate_alerts(d.daily)
+    as_of = d.daily_of_sums.agg(F.max("sale_date")).scalar()
+    new = alert_ops.generate_alerts(d.daily_of_sums)
     return alert_ops.regenerate(None, new, "2001-11-05 00:00:00").withColumn(
         "created_at", (as_of + F.expr("INTERVAL 1 DAY")).cast("timestamp"))
 
 
 def q_context_kpis(spark, sf_dir):
-    return context.context_kpis(_data(spark, sf_dir).tx)
+    return context.context_kpis(_data(spark, sf_dir).sums)
 
 
 def q_context_top10(spark, sf_dir):
     d = _data(spark, sf_dir)
-    return context.context_top_products(d.lines, _products_with_abc(d))
+    return context.context_top_products(d.sums, _products_with_abc(d))
 
 
 def q_context_trend7(spark, sf_dir):
     d = _data(spark, sf_dir)
-    return context.context_trend(d.active_lines, d.daily)
+    return context.context_trend(d.active_sums, d.daily_of_sums)
 
 
 def _context_parts(d: RetailData):
-    kpis = context.context_kpis(d.tx)
+    kpis = context.context_kpis(d.sums)
     counts = alert_ops.open_alert_counts(_alerts_table(d))
     prods = _products_with_abc(d)
-    top = context.context_top_products(d.lines, prods)
-    return kpis, counts, top, abc_ops.abc_distribution(prods), context.context_trend(d.active_lines, d.daily)
+    top = context.context_top_products(d.sums, prods)
+    return kpis, counts, top, abc_ops.abc_distribution(prods), context.context_trend(d.active_sums, d.daily_of_sums)
 
 
 def q_context_json(spark, sf_dir):
@@ -438,7 +441,6 @@ def q_alert_export(spark, sf_dir):
 
 def q_forecast_export(spark, sf_dir):
     """SNK-1 over a trained run: forecasts table + run record → export rows."""
-    import datetime as dt
     d = _data(spark, sf_dir)
     t = _trained(d)
     banded = forecasting.with_bands(forecasting.recursive_forecast(t.model, t.history, 30), t.residual_sd)
@@ -449,6 +451,85 @@ def q_forecast_export(spark, sf_dir):
     return exports.forecast_export(rows, d.products, runs, as_of=as_of)
 
 
+def _naive_store(d: RetailData, asked: DataFrame | None = None, daily: DataFrame | None = None) -> str:
+    """A store with one run of the seasonal-naive model, which SQL can follow."""
+    store = scratch_path(d.spark, f"models-{uuid.uuid4().hex}")
+    run = training.run_training(d.daily if daily is None else daily, store, 1, asked, "seasonal_naive", at=RUN_AT)
+    if run.status != "completed":
+        raise RuntimeError(f"training failed: {run.error}")
+    return store
+
+
+def _money_out(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("double") for c in ("predicted_quantity", "lower_bound", "upper_bound")})
+
+
+def q_forecast_naive(spark, sf_dir):
+    """FC-4/5/8/9 with the seasonal-naive model: saved, then read with the product header."""
+    d = _data(spark, sf_dir)
+    t = training.read_store(spark, _naive_store(d))
+    rows = forecasting.read_forecasts(t["forecasts"], t["runs"], "seasonal_naive", products=d.products)
+    return _money_out(rows).select("product_id", "stock_code", "model_run_id", "forecast_date", "predicted_quantity", "lower_bound", "upper_bound")
+
+
+def q_training_outcomes(spark, sf_dir):
+    """FC-7 over every product, some of them with broken quantities: what became of each."""
+    d = _data(spark, sf_dir)
+    broken = d.daily.withColumn("total_quantity", F.when(F.col("product_id") % 97 != 0, F.col("total_quantity")))
+    t = training.read_store(spark, _naive_store(d, d.products.select("product_id"), broken))
+    return t["outcomes"].select("product_id", "outcome", "reason", "days", "last_sale")
+
+
+def q_training_run(spark, sf_dir):
+    """FC-7/11: the run's record."""
+    t = training.read_store(spark, _naive_store(_data(spark, sf_dir)))
+    r = forecasting.list_runs(t["runs"], 1)
+    return r.select("run_id", "model_name", "status", "products_trained", *[F.round(c, 3).alias(c) for c in ("mae", "rmse", "mape")])
+
+
+def q_forecast_on_demand(spark, sf_dir):
+    """FC-9/10: products with 32 daily rows or more are read first, then all eligible ones; a third read trains nothing."""
+    d = _data(spark, sf_dir)
+    store = scratch_path(spark, f"models-{uuid.uuid4().hex}")
+    asked = features.eligible_products(d.daily)
+    for part in (asked.filter("daily_rows >= 32"), asked, asked):
+        rows, run = training.forecasts_on_demand(d.daily, store, part, "seasonal_naive", at=RUN_AT)
+    if run is not None:
+        raise RuntimeError("the third read trained again")
+    return rows.groupBy("product_id", "model_run_id").agg(
+        F.count(F.lit(1)).alias("n_days"), F.min("forecast_date").alias("first_date"), F.max("forecast_date").alias("last_date"))
+
+
+def q_forecast_export_naive(spark, sf_dir):
+    """SNK-1 over the stored run."""
+    d = _data(spark, sf_dir)
+    t = training.read_store(spark, _naive_store(d))
+    return exports.forecast_export(t["forecasts"], d.products, t["runs"], as_of=d.daily.agg(F.max("sale_date")).scalar())
+
+
+def q_boosted_tree(spark, sf_dir):
+    """FC-3 per product: the first tree of two levels, every row and feature used."""
+    f = _model_frame(_data(spark, sf_dir)).filter(~F.col("is_test"))
+    m = boosting.fit(f, TREE_FEATURES, trees=1, depth=2, rate=0.3, subsample=1, colsample=1)
+    return boosting.tree_nodes(m).withColumn("value", F.round("value", 6))
+
+
+def q_sheet_outcomes(spark, sf_dir):
+    """SRC-2/3: an ERP sheet per upload year, a sheet in another layout, and one that names none of the columns."""
+    d = _data(spark, sf_dir)
+    sheet = erp_sheet_from_facts(d.tx)
+    log = superstore_log_from_facts(d.tx)
+    cells = [f"c{i}" for i in range(7)]
+    row = lambda name, at, df: df.toDF(*cells).select(F.lit(name).alias("file"), at.alias("row_idx"), *cells)
+    top = F.lit(0).cast("long")
+    rest = F.lit(1) + F.monotonically_increasing_id()
+    header = spark.createDataFrame([tuple(log.columns)], ", ".join(f"{c} string" for c in cells))
+    nameless = spark.createDataFrame([tuple(f"column {i}" for i in range(7))], header.schema)
+    other = row("superstore.csv", rest, log).unionByName(row("superstore.csv", top, header))
+    refused = row("notes.xlsx", rest, log).unionByName(row("notes.xlsx", top, nameless))
+    return sheet_outcomes(sheet.unionByName(other).unionByName(refused))
+
+
 def _landing(spark: SparkSession, d: RetailData) -> str:
     """Land the derived raw log as CSV files (one folder per source file) in
     the shared scratch area, as an upload would."""
@@ -505,6 +586,32 @@ def q_ingest_layouts(spark, sf_dir):
     return _daily_out(merged_daily(spark, res.daily_path))
 
 
+def q_ingest_wide(spark, sf_dir):
+    """JOB-1 over files with 78 columns more than they need, the needed ones last."""
+    from tillcast.plans.ingest import ingest_upload, merged_daily
+    d = _data(spark, sf_dir)
+    landing = scratch_path(spark, f"landing-{uuid.uuid4().hex}")
+    raw = raw_log_from_facts(d.tx).withColumnRenamed("_file", "file").drop("_upload_id")
+    needed = [c for c in raw.columns if c != "file"]
+    raw.select("file", *[F.lit(i).alias(f"extra {i}") for i in range(78)], *needed).write.partitionBy("file").option("header", True).csv(landing)
+    res = ingest_upload(spark, landing, 1, d.products, scratch_path(spark, f"ingest-{uuid.uuid4().hex}"))
+    if res.status != "completed":
+        raise RuntimeError(f"ingest failed: {res.error}")
+    return _daily_out(merged_daily(spark, res.daily_path))
+
+
+def q_ingest_repeated_header(spark, sf_dir):
+    """JOB-1 over files whose header line comes again: its date is none, which fails the load; the report counts them."""
+    from tillcast.plans.ingest import ingest_upload
+    d = _data(spark, sf_dir)
+    landing = scratch_path(spark, f"landing-{uuid.uuid4().hex}")
+    raw = raw_log_from_facts(d.tx).withColumnRenamed("_file", "file").drop("_upload_id")
+    again = raw.select("file").distinct().select("file", *[F.lit(c).alias(c) for c in raw.columns if c != "file"])
+    raw.unionByName(again).write.partitionBy("file").option("header", True).csv(landing)
+    res = ingest_upload(spark, landing, 1, d.products, scratch_path(spark, f"ingest-{uuid.uuid4().hex}"))
+    return res.report.select("type", "message", "fatal", "affected_rows", F.lit(res.status).alias("status"))
+
+
 def q_sheet_fallback(spark, sf_dir):
     """SRC-3: a sheet without a marker row goes through the standard cleaning."""
     log = superstore_log_from_facts(_data(spark, sf_dir).tx)
@@ -597,4 +704,13 @@ QUERIES: dict[str, QueryFn] = {
     "ingest_layouts": q_ingest_layouts,
     "sheet_fallback": q_sheet_fallback,
     "erp_mapping": q_erp_mapping,
+    "forecast_naive": q_forecast_naive,
+    "training_outcomes": q_training_outcomes,
+    "training_run": q_training_run,
+    "forecast_on_demand": q_forecast_on_demand,
+    "forecast_export_naive": q_forecast_export_naive,
+    "boosted_tree": q_boosted_tree,
+    "sheet_outcomes": q_sheet_outcomes,
+    "ingest_wide": q_ingest_wide,
+    "ingest_repeated_header": q_ingest_repeated_header,
 }

@@ -222,11 +222,6 @@ SELECT product_id, 'slow_mover' AS alert_type, CASE WHEN v = 0 THEN 'high' ELSE
 FROM per WHERE v <= (SELECT b FROM bound)"""
 
 
-def _strip_first_select(body: str, name: str) -> str:
-    """Turn a 'prelude-extension + SELECT' body into named CTEs for unions."""
-    return body
-
-
 def _alerts_union() -> str:
     # The three bodies each add CTEs then a SELECT; fold them into CTEs.
     def split(body: str) -> tuple[str, str]:
@@ -600,5 +595,99 @@ SELECT upload_id, CAST(COUNT(DISTINCT invoice_no) AS BIGINT) AS unique_invoices,
 FROM tx WHERE quantity > 0 GROUP BY 1"""
 
 
+NAIVE = SERIES + """
+, sd AS (SELECT product_id, stddev_pop(y - lag_7) AS sd FROM mfs WHERE is_test GROUP BY 1),
+ends AS (SELECT product_id, max(ds) AS last FROM dense WHERE product_id IN (SELECT product_id FROM longp) GROUP BY 1),
+steps AS (SELECT product_id, last, unnest(generate_series(1, 30)) AS h FROM ends),
+naive AS (
+  SELECT s.product_id, CAST(s.last + CAST(s.h AS INTEGER) AS DATE) AS forecast_date, round_even(d.y, 2) AS predicted_quantity,
+         round_even(greatest(0.0, d.y - 1.96 * sd), 2) AS lower_bound, round_even(d.y + 1.96 * sd, 2) AS upper_bound
+  FROM steps s JOIN dense d ON d.product_id = s.product_id AND d.ds = CAST(s.last - 6 + CAST((s.h - 1) % 7 AS INTEGER) AS DATE) JOIN sd ON sd.product_id = s.product_id)
+"""
+SQL["forecast_naive"] = NAIVE + """
+SELECT product_id, stock_code, CAST(1 AS BIGINT) AS model_run_id, forecast_date, predicted_quantity, lower_bound, upper_bound
+FROM naive JOIN products USING (product_id)"""
+SQL["forecast_export_naive"] = NAIVE + """
+SELECT stock_code, description, 'seasonal_naive' AS model, forecast_date, predicted_quantity, lower_bound AS lower_bound_95, upper_bound AS upper_bound_95
+FROM naive JOIN products USING (product_id) WHERE forecast_date >= (SELECT max(sale_date) FROM daily)"""
+SQL["training_run"] = SERIES + """
+, m AS (SELECT product_id, round_even(AVG(abs(y - lag_7)), 4) AS mae, round_even(sqrt(AVG((y - lag_7) * (y - lag_7))), 4) AS rmse,
+               round_even(AVG(CASE WHEN y <> 0 THEN abs((y - lag_7) / y) END) * 100, 4) AS mape
+        FROM mfs WHERE is_test GROUP BY 1)
+SELECT CAST(1 AS BIGINT) AS run_id, 'seasonal_naive' AS model_name, 'completed' AS status, CAST(COUNT(*) AS BIGINT) AS products_trained,
+       round(AVG(mae), 3) AS mae, round(AVG(rmse), 3) AS rmse, round(AVG(mape), 3) AS mape FROM m"""
+SQL["training_outcomes"] = """
+, per AS (SELECT product_id, max(sale_date) AS last_sale, CAST(max(sale_date) - min(sale_date) + 1 AS BIGINT) AS days FROM daily GROUP BY 1),
+r AS (SELECT p.product_id, coalesce(days, 0) AS days, last_sale,
+             CASE WHEN days IS NULL THEN 'no sales' WHEN p.product_id % 97 = 0 THEN 'a quantity is not a finite number'
+                  WHEN days < 60 THEN 'fewer than 60 days' END AS reason
+      FROM products p LEFT JOIN per USING (product_id))
+SELECT product_id, CASE WHEN reason IS NULL THEN 'trained' ELSE 'failed' END AS outcome, reason, CAST(days AS BIGINT) AS days, last_sale FROM r"""
+SQL["forecast_on_demand"] = SERIES + """
+, ends AS (SELECT product_id, max(ds) AS last FROM dense WHERE product_id IN (SELECT product_id FROM longp) GROUP BY 1),
+first_run AS (SELECT COUNT(*) > 0 AS any_first FROM elig WHERE daily_rows >= 32)
+SELECT e.product_id, CAST(CASE WHEN daily_rows >= 32 OR NOT (SELECT any_first FROM first_run) THEN 1 ELSE 2 END AS BIGINT) AS model_run_id,
+       CAST(30 AS BIGINT) AS n_days, CAST(last + 1 AS DATE) AS first_date, CAST(last + 30 AS DATE) AS last_date
+FROM ends e JOIN elig USING (product_id)"""
+
+
+def _tree_level(src: str, name: str) -> str:
+    """Best split of every (product, node) of ``src`` (product_id, node, g and b0..b4), as the boosting defines it."""
+    score = lambda g, n: f"(greatest(abs({g}) - 0.1, 0.0) * greatest(abs({g}) - 0.1, 0.0) / ({n} + 1.0))"
+    cells = " UNION ALL ".join(f"SELECT product_id, node, g, {i} AS f, b{i} AS bin FROM {src}" for i in range(5))
+    return f""", {name}_h AS (SELECT product_id, node, f, bin, SUM(g) AS g, COUNT(*) AS n FROM ({cells}) GROUP BY ALL),
+{name}_c AS (SELECT product_id, node, f, bin, SUM(g) OVER u AS gl, SUM(n) OVER u AS nl, SUM(g) OVER a AS ga, SUM(n) OVER a AS na
+  FROM {name}_h WINDOW u AS (PARTITION BY product_id, node, f ORDER BY bin), a AS (PARTITION BY product_id, node, f)),
+{name} AS (SELECT product_id, node, f, bin FROM (
+  SELECT *, round({score("gl", "nl")} + {score("(ga - gl)", "(na - nl)")} - {score("ga", "na")}, 6) AS gain FROM {name}_c)
+  WHERE nl >= 2 AND na - nl >= 2 AND gain > 0
+  QUALIFY row_number() OVER (PARTITION BY product_id, node ORDER BY gain DESC, f, bin) = 1)"""
+
+
+def _boosted_tree() -> str:
+    names = ["day_of_week", "lag_1", "lag_7", "lag_28", "rolling_7_mean"]
+    lohi = ", ".join(f"min({c}) AS lo{i}, max({c}) AS hi{i}" for i, c in enumerate(names))
+    bins = ", ".join(f"CASE WHEN hi{i} > lo{i} THEN CAST(least(31, greatest(0, floor(({c} - lo{i}) / (hi{i} - lo{i}) * 32))) AS INTEGER) ELSE 0 END AS b{i}"
+                     for i, c in enumerate(names))
+    pick = "CASE s.f " + " ".join(f"WHEN {i} THEN b{i}" for i in range(5)) + " END"
+    name = "CASE f " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(names)) + " END"
+    value = "-sign(SUM(g)) * greatest(abs(SUM(g)) - 0.1, 0.0) / (COUNT(*) + 1.0) * 0.3"
+    keep = ", ".join(f"b{i}" for i in range(5))
+    return SERIES + f"""
+, tr AS (SELECT product_id, y, CAST(isodow(ds) - 1 AS DOUBLE) AS day_of_week, lag_1, lag_7, lag_28, rolling_7_mean FROM mfs WHERE NOT is_test),
+rg AS (SELECT product_id, AVG(y) AS base, {lohi} FROM tr GROUP BY 1),
+n0 AS (SELECT product_id, 1 AS node, base - y AS g, {bins} FROM tr JOIN rg USING (product_id))
+{_tree_level("n0", "s0")}
+, n1 AS (SELECT n.product_id, CASE WHEN s.f IS NULL THEN 1 ELSE 2 + CAST({pick} > s.bin AS INTEGER) END AS node, g, {keep}
+         FROM n0 n LEFT JOIN s0 s ON n.product_id = s.product_id),
+n1o AS (SELECT * FROM n1 WHERE node >= 2)
+{_tree_level("n1o", "s1")}
+, n2 AS (SELECT n.product_id, CASE WHEN s.f IS NULL THEN n.node ELSE 2 * n.node + CAST({pick} > s.bin AS INTEGER) END AS node, g
+         FROM n1 n LEFT JOIN s1 s ON n.product_id = s.product_id AND n.node = s.node)
+SELECT product_id, node, {name} AS feature, bin, CAST(NULL AS DOUBLE) AS value FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1)
+UNION ALL
+SELECT product_id, node, NULL, NULL, round({value}, 6) FROM n2 GROUP BY 1, 2"""
+
+
+SQL["boosted_tree"] = _boosted_tree()
+SQL["ingest_wide"] = INGEST_DAILY
+SQL["sheet_outcomes"] = """
+SELECT 'erp_' || CAST(upload_id + 1994 AS VARCHAR) || '.xlsx' AS file, 'mapped' AS outcome, CAST(NULL AS VARCHAR) AS reason, CAST(COUNT(*) AS BIGINT) AS data_rows
+FROM tx GROUP BY upload_id
+UNION ALL SELECT 'superstore.csv', 'fallback', NULL, (SELECT COUNT(*) FROM tx)
+UNION ALL SELECT 'notes.xlsx', 'refused', 'Missing required columns: Country, Customer ID, Description, InvoiceDate, InvoiceNo, Price, StockCode', 0"""
+SQL["ingest_repeated_header"] = RAW_LOG + """
+, again AS (SELECT CAST(COUNT(DISTINCT _file) AS BIGINT) AS n FROM reasons),
+c AS (SELECT reason AS type, COUNT(*) AS n FROM reasons WHERE reason IS NOT NULL GROUP BY 1
+      UNION ALL SELECT 'null_values', n FROM again),
+t AS (SELECT type, CAST(SUM(n) AS BIGINT) AS n FROM c GROUP BY 1 UNION ALL SELECT 'date_parse_error', n FROM again)
+SELECT type, CAST(n AS VARCHAR) || CASE type WHEN 'null_values' THEN ' rows left out: stock code, date, quantity or price is missing'
+                   WHEN 'invalid_price' THEN ' rows left out: price below 0 or above 100000'
+                   WHEN 'extreme_quantity' THEN ' rows left out: more than 100000 units'
+                   ELSE ' values of InvoiceDate are not dates' END AS message,
+       type = 'date_parse_error' AS fatal, n AS affected_rows, 'failed' AS status
+FROM t"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: PRELUDE + v for k, v in SQL.items()}

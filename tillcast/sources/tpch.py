@@ -12,12 +12,14 @@ every sum are exact and no rounding tie can differ between engines.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast import schemas
+from tillcast.session import scratch_path
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -119,13 +121,17 @@ def uploads_from_lineitem(lineitem: DataFrame) -> DataFrame:
     fact join is lossless, so the counts equal the fact rows per upload).
     The newest upload is the active one (REG-6 rule).
     """
-    from tillcast.operators.registry import activate_latest
-
     uid = (F.year("l_shipdate") - F.lit(BASE_YEAR)).cast("long")
-    reg = lineitem.groupBy(uid.alias("upload_id")).agg(
+    return uploads_registry(lineitem.groupBy(uid.alias("upload_id")).agg(
         F.count(F.lit(1)).alias("row_count"),
         F.max("l_shipdate").cast("timestamp").alias("uploaded_at"),
-    )
+    ))
+
+
+def uploads_registry(reg: DataFrame) -> DataFrame:
+    """The registry from each upload's ``row_count`` and ``uploaded_at``."""
+    from tillcast.operators.registry import activate_latest
+
     reg = reg.select(
         "upload_id",
         F.concat(F.lit("sales_"), (F.col("upload_id") + BASE_YEAR).cast("string"), F.lit(".csv")).alias("filename"),
@@ -186,12 +192,56 @@ class RetailData:
         from tillcast.operators.daily import daily_sales
         return self._memo("daily", lambda: daily_sales(self.lines))
 
+    @property
+    def sums(self) -> DataFrame:
+        """The sales of every (upload, product, day, kind of line), summed and stored: the facts
+        are read once, and whatever needs only sums reads this.  Its rows look like
+        fact lines (``quantity``, ``revenue``, ``is_return``, ``invoice_date``), with ``lines`` of them in each."""
+        return self._memo("sums", lambda: stored_sums(self.lines))
+
+    @property
+    def active_sums(self) -> DataFrame:
+        from tillcast.operators.registry import active_scope
+        return self._memo("active_sums", lambda: active_scope(self.sums, self.uploads_of_sums))
+
+    @property
+    def uploads_of_sums(self) -> DataFrame:
+        return self._memo("uploads_of_sums", lambda: uploads_registry(self.sums.groupBy("upload_id").agg(
+            F.sum("lines").alias("row_count"), F.max("last_at").cast("timestamp").alias("uploaded_at"))))
+
+    @property
+    def daily_of_sums(self) -> DataFrame:
+        """DAILY-1 from the stored sums, itself stored: dashboards and alerts read it several times."""
+        return self._memo("daily_of_sums", lambda: stored_daily(self.sums))
+
     @property
     def active_tx(self) -> DataFrame:
         from tillcast.operators.registry import active_scope
         return self._memo("active_tx", lambda: active_scope(self.tx, self.uploads))
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_sums(lines: DataFrame) -> DataFrame:
+    day = F.to_date("invoice_date")
+    g = lines.groupBy("upload_id", "product_id", day.alias("day"), "is_return", (F.col("quantity") > 0).alias("positive")).agg(
+        F.sum("quantity").cast("long").alias("quantity"), F.sum("revenue").cast(schemas.SUM_MONEY).alias("revenue"),
+        F.count(F.lit(1)).alias("lines"), F.sum(money_to_cents(F.col("unit_price"))).alias("price_cents"), F.max("invoice_date").alias("last_at"))
+    return _stored(g.withColumn("invoice_date", F.col("day").cast("timestamp")).drop("positive"), "sums")
+
+
+def stored_daily(sums: DataFrame) -> DataFrame:
+    from tillcast.operators.daily import average_price, sales_lines
+    g = sales_lines(sums).groupBy("product_id", F.col("day").alias("sale_date")).agg(
+        F.sum("quantity").cast("long").alias("total_quantity"), F.sum("revenue").cast(schemas.SUM_MONEY).alias("total_revenue"),
+        F.sum("lines").cast("long").alias("transaction_count"), F.sum("price_cents").alias("_price_cents"))
+    return _stored(average_price(g), "daily")
+
+
 def raw_log_from_facts(tx: DataFrame) -> DataFrame:
     """A dirty raw transaction log (all-string columns, as read from CSV)
     derived from the facts, for the cleaning operators.
