@@ -75,6 +75,7 @@ class CleanResult:
     report: DataFrame
     summary: DataFrame
     fatal: list
+    counts: dict | None = None      # observed counts, if the rows were staged
 
 
 def normalize_headers(df: DataFrame) -> tuple[DataFrame, list[dict]]:
@@ -183,7 +184,7 @@ def observed_result(rows: DataFrame, counts: dict, file_col: str | None = None)
     if n("date_parse_error"):
         accepted = (accepted.join(rows.filter("_bad_date").select(file_col).distinct(), file_col, "left_anti") if file_col
                     else accepted.limit(0))
-    return CleanResult(rows.drop("_bad_date"), accepted.drop("reject_reason", "_bad_date"), report, summary, [])
+    return CleanResult(rows.drop("_bad_date"), accepted.drop("reject_reason", "_bad_date"), report, summary, [], dict(counts))
 
 
 def checked_rows(raw: DataFrame, strict_scrub: bool = False) -> tuple[DataFrame, list[dict]]:
@@ -274,7 +275,7 @@ def _result(rows: DataFrame, file_col: str | None) -> CleanResult:
         .alias("_rules"),
         F.sum("bad").cast("long").alias("_bad"),
         F.sum("frac").cast("long").alias("_frac"),
-        F.sum("n").cast("long").alias("row_count"),
+        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("row_count"),
         F.coalesce(F.sum(F.when(F.col("reject_reason").isNull(), F.col("n"))), F.lit(0)).cast("long")
         .alias("valid_rows"),
         F.coalesce(F.sum(F.when(F.col("reject_reason").isin(*RULES), F.col("n"))), F.lit(0)).cast("long")

@@ -567,6 +567,20 @@ def q_stream_daily(spark, sf_dir):
     return _daily_out(merged_daily(spark, out))
 
 
+def q_stream_compacted(spark, sf_dir):
+    """STR-1 with days that cross micro-batches: the landed files hold an invoice's rows each, so
+    a (product, day) comes in several batches; the old ones are folded twice.  The price, which the newest batch sets, is left out."""
+    from tillcast.schemas import RAW_LOG_COLUMNS
+    from tillcast.streaming.ingest_stream import compact_daily, merged_daily, start_ingest_stream
+    d = _data(spark, sf_dir)
+    landing, out = (scratch_path(spark, f"{k}-{uuid.uuid4().hex}") for k in ("landing", "stream"))
+    raw_log_from_facts(d.tx).drop("_upload_id", "_file").repartition(6, "InvoiceNo").write.option("header", True).csv(landing)
+    start_ingest_stream(spark, landing, RAW_LOG_COLUMNS, d.products, out, files_per_trigger=2).awaitTermination()
+    if compact_daily(spark, out, 0) != 0 or compact_daily(spark, out) != 1:
+        raise RuntimeError("three batches were expected")
+    return _daily_out(merged_daily(spark, out)).drop("avg_unit_price")
+
+
 def q_ingest_layouts(spark, sf_dir):
     """JOB-1 over one folder whose files differ: even upload years have their
     columns in another order and under alias names.  Same result as one layout."""
@@ -702,6 +716,7 @@ QUERIES: dict[str, QueryFn] = {
     "ingest_daily": q_ingest_daily,
     "stream_daily": q_stream_daily,
     "ingest_layouts": q_ingest_layouts,
+    "stream_compacted": q_stream_compacted,
     "sheet_fallback": q_sheet_fallback,
     "erp_mapping": q_erp_mapping,
     "forecast_naive": q_forecast_naive,

@@ -671,6 +671,7 @@ SELECT product_id, node, NULL, NULL, round({value}, 6) FROM n2 GROUP BY 1, 2"""
 
 SQL["boosted_tree"] = _boosted_tree()
 SQL["ingest_wide"] = INGEST_DAILY
+SQL["stream_compacted"] = INGEST_DAILY.replace(",\n       CAST(price_cents AS DOUBLE) / 100 AS avg_unit_price", "")
 SQL["sheet_outcomes"] = """
 SELECT 'erp_' || CAST(upload_id + 1994 AS VARCHAR) || '.xlsx' AS file, 'mapped' AS outcome, CAST(NULL AS VARCHAR) AS reason, CAST(COUNT(*) AS BIGINT) AS data_rows
 FROM tx GROUP BY upload_id
