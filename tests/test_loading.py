@@ -3,6 +3,7 @@ counts, compacted streams and their live counts."""
 
 import os
 import shutil
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -170,6 +171,9 @@ def test_live_counts_equal_the_report(spark, scratch, products):
     try:
         out = stream_of(spark, scratch, products, live=live)
         report = {(r["batch_id"], r["type"]): r["affected_rows"] for r in st.quality_report(spark, out).collect()}
+        until = time.time() + 30                       # progress events follow the batches
+        while time.time() < until and not all("landed_rows" in b for b in list(live.batches.values())):
+            time.sleep(0.2)
         assert len(live.batches) == 4
         for b, seen in live.batches.items():
             assert seen["landed_rows"] == 4 and seen["row_count"] == 3       # the header is no row

@@ -83,7 +83,7 @@ def test_reorder_alert_numbers(spark):
     # avg 20, sample sd 10: ROP = 140 + 1.65*10*sqrt(7)
     assert a["severity"] == "medium" and a["reorder_qty"] == 210
     assert abs(a["reorder_point"] - round(140 + 16.5 * 7 ** 0.5, 2)) < 1e-9
-    assert a["message"] == "Reorder point reached: 183.7 units. Avg daily sales: 20.0, Lead time: 7 days."
+    assert a["message"] == "Order at 183.7 units: 20.0 a day are sold and supply takes 7 days"
 
 
 def test_registry_delete_active(spark):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillcast.operators.ordered import global_prefix
+
 # Days of demand the reorder target covers.
 TARGET_DAYS = 30
 
@@ -77,6 +79,31 @@ def product_detail(products: DataFrame, daily: DataFrame) -> DataFrame:
         F.coalesce(F.col("active_days"), F.lit(0)).cast("long").alias("active_days"))
 
 
+def page_bounds(listed: DataFrame, limit: int) -> DataFrame:
+    """PROD-2 by key: of every page of ``limit`` products its number and first row
+    (``total_revenue``, ``product_id``), from one distributed numbering of the list.
+    Store it once; any page is then sought by ``seek_page`` without sorting the rows before it."""
+    if not 1 <= limit <= 200:
+        raise ValueError("limit must be within 1..200")
+    at = global_prefix(listed.select("total_revenue", "product_id"), [F.col("total_revenue").desc(), F.col("product_id").asc()], pos_col="_at")
+    return at.filter((F.col("_at") - 1) % limit == 0).select(
+        (F.floor((F.col("_at") - 1) / limit) + 1).cast("long").alias("page"), "total_revenue", "product_id")
+
+
+def seek_page(listed: DataFrame, start: tuple, limit: int) -> DataFrame:
+    """The page that starts at the row ``start`` = (total_revenue, product_id): a range
+    filter on the key, which a table stored in that order prunes by its statistics, and the first ``limit`` rows."""
+    revenue, product = start
+    after = (F.col("total_revenue") < F.lit(revenue)) | ((F.col("total_revenue") == F.lit(revenue)) & (F.col("product_id") >= F.lit(product)))
+    return listed.filter(after).orderBy(F.col("total_revenue").desc(), F.col("product_id").asc()).limit(limit)
+
+
+def keyset_pages(listed: DataFrame, limit: int) -> DataFrame:
+    """Every row of the list with the ``page`` of ``limit`` products it stands on."""
+    at = global_prefix(listed, [F.col("total_revenue").desc(), F.col("product_id").asc()], pos_col="_at")
+    return at.withColumn("page", (F.floor((F.col("_at") - 1) / limit) + 1).cast("long")).drop("_at")
+
+
 def lookup(products: DataFrame, product_id: int | None = None, stock_code: str | None = None) -> DataFrame:
     """DIM-3: product by id or by stock code."""
     if product_id is not None:

@@ -21,6 +21,8 @@ from tillcast.operators import cube as cube_ops
 from tillcast.operators import analytics, daily as daily_ops, movement, products as prod_ops
 from tillcast.operators import boosting, training
 from tillcast.operators import catalogue, cleaning, context, exports, features, forecasting, registry
+from tillcast.functions.numeric import compact_currency
+from tillcast.functions.text import scrub_formula
 from tillcast.session import scratch_path
 from tillcast.sources.erp_sheet import map_erp_sheet, sheet_fallback, sheet_outcomes
 from tillcast.sources.tpch import RetailData, erp_sheet_from_facts, missing_orders, raw_log_from_facts, superstore_log_from_facts
@@ -647,6 +649,130 @@ def q_erp_mapping(spark, sf_dir):
         F.col("`Customer ID`").alias("customer_id"), F.col("Country").alias("country"), "is_return", "revenue")
 
 
+def q_context_parts(spark, sf_dir):
+    """CTX-4/5: the figures of the context document, read back from its JSON; whether its hash is that of the text."""
+    doc = context.context_document(*_context_parts(_data(spark, sf_dir)))
+    schema = ("abc_distribution map<string,bigint>, alerts_summary array<struct<count:bigint,severity:string,type:string>>, "
+              "kpis struct<avg_order_value:double,total_revenue:double,total_transactions:bigint>, "
+              "recent_7day_revenue array<struct<date:string,revenue:double>>, "
+              "top_10_products array<struct<abc_class:string,description:string,quantity:bigint,revenue:double,stock_code:string>>")
+    j = doc.select(F.from_json("context", schema).alias("c"), (F.sha2("context", 256) == F.col("context_hash")).alias("same"))
+    parts = F.concat(
+        F.transform(F.map_entries("c.abc_distribution"), lambda x: _part("abc", x["key"], x["value"])),
+        F.transform("c.alerts_summary", lambda x: _part("alerts", F.concat_ws("/", x["type"], x["severity"]), x["count"])),
+        F.array(*[_part("kpis", F.lit(k), F.col(f"c.kpis.{k}")) for k in ("avg_order_value", "total_revenue", "total_transactions")]),
+        F.transform("c.recent_7day_revenue", lambda x: _part("trend", x["date"], x["revenue"])),
+        F.transform("c.top_10_products", lambda x: _part("top", F.concat_ws("/", x["stock_code"], x["abc_class"], x["description"]), x["revenue"])),
+        F.array(_part("hash", F.lit("same"), F.col("same").cast("int"))))
+    return j.select(F.explode(parts).alias("p")).select("p.*")
+
+
+def _part(name: str, key, value):
+    return F.struct(F.lit(name).alias("part"), key.cast("string").alias("item"), value.cast("double").alias("figure"))
+
+
+def q_forecast_payloads(spark, sf_dir):
+    """CTX-8, forecast explanation: the payload of every product's prompt read back, and whether the prompt holds it."""
+    d = _data(spark, sf_dir)
+    t = training.read_store(spark, _naive_store(d))
+    payload = context.forecast_payload(t["forecasts"], d.products)
+    doc = context.context_document(*_context_parts(d))
+    prompts = context.prompt_rows(payload, doc, "forecast_explain")
+    schema = ("forecast array<struct<date:string,lower:double,predicted:double,upper:double>>, "
+              "product struct<stock_code:string,description:string,current_stock:int,lead_time_days:int>")
+    j = prompts.select("product_id", F.from_json("payload", schema).alias("p"), F.contains("prompt", "payload").alias("in_prompt"))
+    return j.select("product_id", "p.product.*", "in_prompt", F.explode("p.forecast").alias("f")).select(
+        "product_id", "stock_code", "description", "current_stock", "lead_time_days", "in_prompt", "f.date", "f.lower", "f.predicted", "f.upper")
+
+
+def q_question_prompts(spark, sf_dir):
+    """CTX-8, questions: one prompt per product of the top 10, all over one context document, told apart by hash."""
+    d = _data(spark, sf_dir)
+    parts = _context_parts(d)
+    asked = parts[2].select(F.concat(F.lit("How much of "), "stock_code", F.lit(" should be bought?")).alias("payload"))
+    p = context.prompt_rows(asked, context.context_document(*parts), "product_qa")
+    n = p.agg(F.count_distinct("context_hash")).scalar()
+    return p.select("payload", "insight_type", F.contains("prompt", "payload").alias("in_prompt"), (n == 10).alias("own_hashes"))
+
+
+def q_cache_cycle(spark, sf_dir):
+    """CTX-6/7: an answer per product cached on its last sale day; half a day after the newest sale every product asks again."""
+    d = _data(spark, sf_dir)
+    key = F.sha2("stock_code", 256).alias("context_hash")
+    last = d.daily_of_sums.groupBy("product_id").agg(F.max("sale_date").alias("d"), F.min("sale_date").alias("first"))
+    rows = last.join(d.products, "product_id")
+    entry = lambda at: rows.select(F.lit("qa").alias("insight_type"), key, F.lit("p").alias("prompt"), F.date_format(at, "yyyy-MM-dd").alias("response"),
+                                   F.lit("m").alias("model_used"), F.lit(1).cast("long").alias("tokens_used"), F.col(at).cast("timestamp").alias("created_at"))
+    cache = context.cache_upsert(entry("first"), entry("d"))
+    newest = last.agg(F.max("d").alias("m")).first()["m"]          # one scalar
+    hits, misses = context.cache_lookup(d.products.select("stock_code", key), cache, dt.datetime.combine(newest, dt.time(12)))
+    return hits.select("stock_code", F.lit(True).alias("hit"), "response").unionByName(
+        misses.select("stock_code", F.lit(False).alias("hit"), F.lit(None).cast("string").alias("response")))
+
+
+def q_registry_cycle(spark, sf_dir):
+    """REG-1/3/4: a new upload is registered and fails, the then newest other one is deleted, the newest left is active."""
+    d = _data(spark, sf_dir)
+    reg = registry.register_upload(d.uploads, 99, "new.csv", 10, RUN_AT)
+    reg = registry.set_status(reg, 99, "failed", "no rows", RUN_AT)
+    reg, _, _, _ = registry.delete_upload(reg, d.lines, d.products, 7)
+    reg, _, _, _ = registry.delete_upload(reg, d.lines, d.products, 99)
+    return registry.list_uploads(reg).select("upload_id", "filename", "status", "row_count", "is_active")
+
+
+def q_delete_cascade(spark, sf_dir):
+    """REG-3: all uploads but the first are deleted one after another; what each step orphans, and the forecasts that stay."""
+    d = _data(spark, sf_dir)
+    reg, facts, prods, gone = d.uploads, d.lines, d.products, None
+    forecasts = prods.select("product_id", F.lit(1.0).alias("predicted"))
+    for u in range(7, 1, -1):
+        out = registry.delete_upload_cascade(reg, facts, prods, u, {"forecasts": forecasts})
+        reg, facts, prods, forecasts = out["uploads"], out["facts"], out["products"], out["forecasts"]
+        step = out["orphans"].select("product_id", F.lit(u).cast("long").alias("orphaned_with"))
+        gone = step if gone is None else gone.unionByName(step)
+    left = forecasts.select("product_id", F.lit(None).cast("long").alias("orphaned_with"))
+    return gone.unionByName(left)
+
+
+def q_alerts_resolved(spark, sf_dir):
+    """ALERT-5/6/8: medium alerts are resolved, the same alerts are added again (none twice), the open ones listed."""
+    d = _data(spark, sf_dir)
+    fresh = alert_ops.generate_alerts(d.daily_of_sums)
+    alerts = alert_ops.regenerate(None, fresh, "2001-11-05 00:00:00")
+    done = alert_ops.resolve(alerts, alerts.filter(F.col("severity") == "medium"), RUN_AT)
+    again = alert_ops.append_alerts(done, fresh, "2001-11-05 00:00:00")
+    return again.groupBy("alert_type", "severity", "is_resolved").agg(
+        F.count(F.lit(1)).alias("n"), F.count("resolved_at").alias("n_resolved_at"))
+
+
+def q_alerts_listed(spark, sf_dir):
+    """ALERT-5: the open reorder alerts with their products, up to the page's limit."""
+    d = _data(spark, sf_dir)
+    alerts = alert_ops.regenerate(None, alert_ops.stockout_alerts(d.daily_of_sums), "2001-11-05 00:00:00")
+    return alert_ops.list_alerts(alerts, d.products, "stockout_risk", limit=500).select("product_id", "stock_code", "severity", "message", "is_resolved")
+
+
+def q_revenue_labels(spark, sf_dir):
+    """PROD-6: the revenue label of every product with sales."""
+    rev = analytics.product_revenue(_data(spark, sf_dir).sums, _data(spark, sf_dir).products)
+    return rev.select("product_id", compact_currency(F.col("total_revenue")).alias("label"))
+
+
+def q_strict_scrub(spark, sf_dir):
+    """CLEAN-11: descriptions behind a run of formula signs and blanks."""
+    part = _data(spark, sf_dir).products
+    dirty = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("= =", "+ @", "\t-\r=", " @ ")]), (F.col("product_id") % 4 + 1).cast("int")), "description", F.lit("  "))
+    return part.select("product_id", scrub_formula(dirty, strict=True).alias("clean"))
+
+
+def q_keyset_pages(spark, sf_dir):
+    """PROD-2 by key: every page of 50 products, each sought from the last row of the page before."""
+    d = _data(spark, sf_dir)
+    listed = prod_ops.product_list(d.products, d.daily_of_sums)
+    pages = prod_ops.keyset_pages(listed, 50)
+    return pages.select("page", "product_id", "total_revenue")
+
+
 QUERIES: dict[str, QueryFn] = {
     "daily_sales": q_daily_sales,
     "top_products": q_top_products,
@@ -726,6 +852,17 @@ QUERIES: dict[str, QueryFn] = {
     "forecast_export_naive": q_forecast_export_naive,
     "boosted_tree": q_boosted_tree,
     "sheet_outcomes": q_sheet_outcomes,
+    "context_parts": q_context_parts,
+    "forecast_payloads": q_forecast_payloads,
+    "question_prompts": q_question_prompts,
+    "cache_cycle": q_cache_cycle,
+    "registry_cycle": q_registry_cycle,
+    "delete_cascade": q_delete_cascade,
+    "alerts_resolved": q_alerts_resolved,
+    "alerts_listed": q_alerts_listed,
+    "revenue_labels": q_revenue_labels,
+    "strict_scrub": q_strict_scrub,
+    "keyset_pages": q_keyset_pages,
     "ingest_wide": q_ingest_wide,
     "ingest_repeated_header": q_ingest_repeated_header,
 }

@@ -188,8 +188,8 @@ REORDER = """
 rr AS (SELECT *, a * 7 + 1.65 * s * sqrt(7.0) AS rop FROM r WHERE a > 0)
 SELECT product_id, 'reorder_needed' AS alert_type,
        CASE WHEN a > 50 THEN 'high' WHEN a > 10 THEN 'medium' ELSE 'low' END AS severity,
-       'Reorder point reached: ' || printf('%.1f', round_even(rop, 1)) || ' units. Avg daily sales: '
-         || printf('%.1f', round_even(a, 1)) || ', Lead time: 7 days.' AS message,
+       'Order at ' || printf('%.1f', round_even(rop, 1)) || ' units: '
+         || printf('%.1f', round_even(a, 1)) || ' a day are sold and supply takes 7 days' AS message,
        CAST(greatest(1, round_even(a * 7 * 1.5, 0)) AS BIGINT) AS reorder_qty,
        round_even(rop, 2) AS reorder_point, round_even(a, 4) AS current_velocity
 FROM rr WHERE rop >= 1"""
@@ -205,9 +205,8 @@ STOCKOUT = """
 ss AS (SELECT *, (prior - recent) / prior * 100 AS decline FROM s WHERE recent IS NOT NULL AND prior > 0)
 SELECT product_id, 'stockout_risk' AS alert_type,
        CASE WHEN decline > 75 THEN 'high' ELSE 'medium' END AS severity,
-       'Sales declined ' || printf('%.1f', round_even(decline, 1)) || '% in the last 7 days (from '
-         || printf('%.1f', round_even(prior, 1)) || ' to ' || printf('%.1f', round_even(recent, 1))
-         || ' avg daily units). Possible stockout or demand shift.' AS message,
+       'Down by ' || printf('%.1f', round_even(decline, 1)) || ' %: ' || printf('%.1f', round_even(recent, 1))
+         || ' units a day this week after ' || printf('%.1f', round_even(prior, 1)) AS message,
        CAST(NULL AS BIGINT) AS reorder_qty, CAST(NULL AS DOUBLE) AS reorder_point,
        round_even(recent, 4) AS current_velocity
 FROM ss WHERE decline > 50"""
@@ -215,8 +214,8 @@ FROM ss WHERE decline > 50"""
 SLOW_ALERT = _velocity(30) + """
 , bound AS (SELECT quantile_cont(v, 0.25) - 1.5 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) AS b FROM per)
 SELECT product_id, 'slow_mover' AS alert_type, CASE WHEN v = 0 THEN 'high' ELSE 'medium' END AS severity,
-       'Slow-moving product: avg daily sales of ' || CAST(round_even(v, 2) AS VARCHAR) || ' units is below threshold of '
-         || CAST(round_even((SELECT b FROM bound), 2) AS VARCHAR) || ' units. Consider promotions or markdown.' AS message,
+       'Sells ' || CAST(round_even(v, 2) AS VARCHAR) || ' units a day, at most the limit of '
+         || CAST(round_even((SELECT b FROM bound), 2) AS VARCHAR) AS message,
        CAST(NULL AS BIGINT) AS reorder_qty, CAST(NULL AS DOUBLE) AS reorder_point,
        round_even(v, 4) AS current_velocity
 FROM per WHERE v <= (SELECT b FROM bound)"""
@@ -690,5 +689,50 @@ SELECT type, CAST(n AS VARCHAR) || CASE type WHEN 'null_values' THEN ' rows left
 FROM t"""
 
 
+SQL["context_parts"] = _alerts_union() + TOP10_CTX + """
+SELECT 'abc' AS part, abc_class AS item, CAST(COUNT(*) AS DOUBLE) AS figure FROM products_abc WHERE abc_class IS NOT NULL GROUP BY abc_class
+UNION ALL SELECT 'alerts', alert_type || '/' || severity, CAST(COUNT(*) AS DOUBLE) FROM all_alerts GROUP BY alert_type, severity
+UNION ALL SELECT 'kpis', 'total_revenue', round_even(CAST(SUM(rev_cents) AS DOUBLE) / 100, 2) FROM sales
+UNION ALL SELECT 'kpis', 'total_transactions', CAST(COUNT(*) AS DOUBLE) FROM sales
+UNION ALL SELECT 'kpis', 'avg_order_value', round_even(CAST(SUM(rev_cents) AS DOUBLE) / 100 / COUNT(*), 2) FROM sales
+UNION ALL SELECT 'trend', strftime(CAST(invoice_date AS DATE), '%Y-%m-%d'), round_even(CAST(SUM(rev_cents) AS DOUBLE) / 100, 2)
+  FROM sales WHERE upload_id = (SELECT upload_id FROM active) AND CAST(invoice_date AS DATE) >= (SELECT d FROM ref_day) - INTERVAL 7 DAY
+  GROUP BY CAST(invoice_date AS DATE)
+UNION ALL SELECT 'top', concat_ws('/', stock_code, abc_class, description), revenue FROM ctx_top
+UNION ALL SELECT 'hash', 'same', 1.0"""
+SQL["forecast_payloads"] = NAIVE + """
+SELECT product_id, stock_code, description, current_stock, lead_time_days, TRUE AS in_prompt,
+       strftime(forecast_date, '%Y-%m-%d') AS date, lower_bound AS lower, predicted_quantity AS predicted, upper_bound AS upper
+FROM naive JOIN products USING (product_id)"""
+SQL["question_prompts"] = TOP10_CTX + """
+SELECT 'How much of ' || stock_code || ' should be bought?' AS payload, 'product_qa' AS insight_type, TRUE AS in_prompt, TRUE AS own_hashes FROM ctx_top"""
+SQL["cache_cycle"] = """
+, last AS (SELECT product_id, max(sale_date) AS d FROM daily GROUP BY 1)
+SELECT stock_code, coalesce(CAST(d AS TIMESTAMP) >= CAST((SELECT max(d) FROM last) AS TIMESTAMP) - INTERVAL 12 HOUR, FALSE) AS hit,
+       CASE WHEN CAST(d AS TIMESTAMP) >= CAST((SELECT max(d) FROM last) AS TIMESTAMP) - INTERVAL 12 HOUR THEN strftime(d, '%Y-%m-%d') END AS response
+FROM products LEFT JOIN last USING (product_id)"""
+SQL["registry_cycle"] = """
+, u AS (SELECT upload_id, CAST(COUNT(*) AS BIGINT) AS row_count FROM tx WHERE upload_id <> 7 GROUP BY 1)
+SELECT upload_id, 'sales_' || CAST(upload_id + 1994 AS VARCHAR) || '.csv' AS filename, 'completed' AS status, row_count,
+       upload_id = (SELECT max(upload_id) FROM u) AS is_active FROM u"""
+SQL["delete_cascade"] = """
+, sold AS (SELECT product_id, min(upload_id) AS first_upload FROM tx GROUP BY 1)
+SELECT product_id, CAST(CASE WHEN first_upload IS NULL THEN 7 WHEN first_upload > 1 THEN first_upload END AS BIGINT) AS orphaned_with
+FROM products LEFT JOIN sold USING (product_id)"""
+SQL["alerts_resolved"] = _alerts_union() + """
+SELECT alert_type, severity, severity = 'medium' AS is_resolved, CAST(COUNT(*) AS BIGINT) AS n,
+       CAST(CASE WHEN severity = 'medium' THEN COUNT(*) ELSE 0 END AS BIGINT) AS n_resolved_at FROM all_alerts GROUP BY 1, 2, 3"""
+SQL["alerts_listed"] = _alerts_union() + """
+SELECT product_id, stock_code, severity, message, FALSE AS is_resolved FROM all_alerts JOIN products USING (product_id) WHERE alert_type = 'stockout_risk'"""
+SQL["revenue_labels"] = """
+, r AS (SELECT product_id, CAST(SUM(rev_cents) AS DOUBLE) / 100 AS v FROM sales JOIN products USING (product_id) GROUP BY 1)
+SELECT product_id, chr(8377) || CASE WHEN v >= 1e7 THEN printf('%.2fCr', v / 1e7) WHEN v >= 1e5 THEN printf('%.2fL', v / 1e5)
+                            WHEN v >= 1e3 THEN printf('%.1fK', v / 1e3) ELSE printf('%.0f', v) END AS label FROM r"""
+SQL["strict_scrub"] = "SELECT product_id, trim(description) AS clean FROM products"
+SQL["keyset_pages"] = """
+, l AS (SELECT product_id, CAST(SUM(rev_cents) AS DOUBLE) / 100 AS total_revenue FROM sales JOIN products USING (product_id) GROUP BY 1)
+SELECT CAST((row_number() OVER (ORDER BY total_revenue DESC, product_id) - 1) // 50 + 1 AS BIGINT) AS page, product_id, total_revenue FROM l"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: PRELUDE + v for k, v in SQL.items()}
