@@ -1,15 +1,16 @@
 """Stored sales cube: KPI-1..3 for any range without reading the facts again.
 
-``build_cube`` reads the facts of its uploads once and stores two tables,
-both partitioned by upload, so that loading or reloading one upload rewrites only
+``build_cube`` reads the facts of its uploads once and stores tables,
+all partitioned by upload, so that loading or reloading one upload rewrites only
 its own partitions:
 
 * ``invoices`` – a row per (upload, day, midnight, country, invoice) with
   mergeable partials (counts, sums, first and last time).  A third of all lines on
   one invoice or in one country is summed in every task before the shuffle.
-* ``cube`` – GROUPING SETS over those rows: per (upload, day, midnight) with
-  a sketch of the day's invoices, per (upload, day, midnight, country), and per
-  (upload, country).  Its size follows days and countries, not sales.
+* ``cube`` – GROUPING SETS over those rows: per (upload, day, midnight), per
+  (upload, day, midnight, country), and per (upload, country).  Its size
+  follows days and countries, not sales.
+* ``sketches`` – a sketch of the invoices of every (upload, day, midnight), if asked for.
 
 ``midnight`` parts the lines stamped exactly 00:00 from the later ones of a day:
 the reference compares a range's end at midnight, so only they count on the last
@@ -47,6 +48,7 @@ SUMS = ("lines", "returns", "net", "pos_lines", "pos_revenue", "pos_units")
 class Cube:
     invoices: DataFrame
     cube: DataFrame
+    sketches: DataFrame | None = None
 
 
 def _partials(tx: DataFrame) -> DataFrame:
@@ -64,37 +66,45 @@ def _partials(tx: DataFrame) -> DataFrame:
 def _grouping_sets(invoices: DataFrame) -> DataFrame:
     keys = [F.col(k) for k in KEYS]
     sets = [keys[:3], keys, [keys[0], keys[3]]]
-    sold = F.when(F.col("pos_lines") > 0, F.col("invoice_no"))
     g = invoices.groupingSets(sets, *keys).agg(
         F.grouping_id().alias("_gid"), *[F.sum(c).alias(c) for c in SUMS], F.min("first_at").alias("first_at"),
-        F.max("last_at").alias("last_at"), F.hll_sketch_agg(sold, F.lit(LG_K)).alias("sketch"))
+        F.max("last_at").alias("last_at"))
     # Bits of grouping_id: upload, day, midnight, country; set where not grouped.
     level = F.when(F.col("_gid") == 1, DAY).when(F.col("_gid") == 0, DAY_COUNTRY).otherwise(COUNTRY)
     return g.select(level.alias("level"), *KEYS, *[F.col(c).cast(schemas.SUM_MONEY if c in ("net", "pos_revenue") else "long").alias(c) for c in SUMS],
-                    "first_at", "last_at", F.when(level == DAY, F.col("sketch")).alias("sketch"))
+                    "first_at", "last_at")
 
 
-def build_cube(tx: DataFrame, path: str, uploads: Sequence[int] | None = None) -> Cube:
+def _sketches(invoices: DataFrame) -> DataFrame:
+    return invoices.filter(F.col("pos_lines") > 0).groupBy(*KEYS[:3]).agg(F.hll_sketch_agg("invoice_no", F.lit(LG_K)).alias("sketch"))
+
+
+def build_cube(tx: DataFrame, path: str, uploads: Sequence[int] | None = None, partitioned: bool = True,
+               sketches: bool = True) -> Cube:
     """Build the cube below ``path`` from the facts, read once, and read it back.
 
     ``uploads``: the ids that ``tx`` is to be read for; only their partitions are
     written, others stay.  None: all of ``tx``.  Rows without an upload belong to no
-    stored cube."""
+    stored cube.  ``partitioned=False``: one that is built whole and not kept up by upload."""
     spark = tx.sparkSession
+    by = "upload_id" if partitioned else None
     tx = tx.filter(F.col("upload_id").isNotNull() if uploads is None else F.col("upload_id").isin([int(u) for u in uploads]))
     grain = _partials(tx)
-    write_table(grain, os.path.join(path, "invoices"), "upload_id")
+    write_table(grain, os.path.join(path, "invoices"), by)
     stored = spark.read.schema(grain.schema).parquet(os.path.join(path, "invoices"))
     if uploads is not None:
         stored = stored.filter(F.col("upload_id").isin([int(u) for u in uploads]))
     fresh = _grouping_sets(stored)
-    write_table(fresh, os.path.join(path, "cube"), "upload_id")
-    return read_cube(spark, path, grain.schema, fresh.schema)
+    write_table(fresh, os.path.join(path, "cube"), by)
+    days = _sketches(stored) if sketches else None
+    if days is not None:
+        write_table(days, os.path.join(path, "sketches"), by)
+    return read_cube(spark, path, grain.schema, fresh.schema, days.schema if sketches else None)
 
 
-def read_cube(spark: SparkSession, path: str, invoices: T.StructType | None = None, cube: T.StructType | None = None) -> Cube:
-    read = lambda name, schema: (spark.read.schema(schema) if schema else spark.read).parquet(os.path.join(path, name))
-    return Cube(read("invoices", invoices), read("cube", cube))
+def read_cube(spark: SparkSession, path: str, invoices: T.StructType, cube: T.StructType, sketches: T.StructType | None = None) -> Cube:
+    read = lambda name, schema: spark.read.schema(schema).parquet(os.path.join(path, name))
+    return Cube(read("invoices", invoices), read("cube", cube), read("sketches", sketches) if sketches else None)
 
 
 def _range(start, end, consistent: bool) -> Column:
@@ -122,7 +132,7 @@ def unique_invoices(c: Cube, start=None, end=None, by=()) -> DataFrame:
     here = _range(start, end, True)
     exact = (c.invoices.filter(here & (F.col("pos_lines") > 0)).groupBy(*by)
              .agg(F.count_distinct("invoice_no").alias("exact")))
-    days = (c.cube.filter((F.col("level") == DAY) & here).groupBy(*by)
+    days = (c.sketches.filter(here).groupBy(*by)
             .agg(F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch")), F.lit(0)).cast("long").alias("estimate")))
     return exact.join(days, list(by)) if by else exact.join(days, F.lit(True))
 
@@ -150,9 +160,8 @@ def kpis(c: Cube, products: DataFrame, start: _dt.date | str | None = None, end:
         total("pos_lines", here).cast("long").alias("n"), total("returns", everywhere).cast("long").alias("return_count"),
         F.sum(F.when(everywhere, F.col("net"))).cast("double").alias("net"),
         F.min(F.when(everywhere, F.col("first_at"))).alias("first_at"), F.max(F.when(everywhere, F.col("last_at"))).alias("last_at"),
-        F.sum(F.when(before, F.col("pos_revenue"))).cast("double").alias("prev"),
-        F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(F.when(here, F.col("sketch")))), F.lit(0)).cast("long").alias("about"))
-    invoices = (F.col("about") if approx_distinct else
+        F.sum(F.when(before, F.col("pos_revenue"))).cast("double").alias("prev"))
+    invoices = (c.sketches.filter(here).agg(F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch")), F.lit(0)).cast("long")).scalar() if approx_distinct else
                 c.invoices.filter(here & (F.col("pos_lines") > 0)).agg(F.count_distinct("invoice_no")).scalar())
     country = top_country(c, start, end) if consistent else top_country(c)
     r = row.withColumn("unique_invoices", invoices)

@@ -42,8 +42,9 @@ def _data(spark: SparkSession, sf_dir: str) -> RetailData:
     return RetailData(spark, sf_dir)
 
 
-def _products_with_abc(d: RetailData) -> DataFrame:
-    return abc_ops.write_back_classes(d.products, abc_ops.abc_analysis(d.sums, d.products))
+def _products_with_abc(d: RetailData, lines: DataFrame | None = None) -> DataFrame:
+    """Products with their class; from the stored sums, or ``lines`` where nothing else reads those."""
+    return abc_ops.write_back_classes(d.products, abc_ops.abc_analysis(d.sums if lines is None else lines, d.products))
 
 
 def _daily_out(df: DataFrame) -> DataFrame:
@@ -66,9 +67,9 @@ def q_top_products_search(spark, sf_dir):
     return analytics.search_products(analytics.top_products(d.active_sums, _products_with_abc(d), 50), SEARCH_TERM)
 
 
-def _cube(d: RetailData) -> cube_ops.Cube:
+def _cube(d: RetailData, sketches: bool = False) -> cube_ops.Cube:
     """The stored cube, built from the facts once; the KPI queries read nothing else."""
-    return cube_ops.build_cube(d.tx, scratch_path(d.spark, f"cube-{uuid.uuid4().hex}"))
+    return cube_ops.build_cube(d.tx, scratch_path(d.spark, f"cube-{uuid.uuid4().hex}"), partitioned=False, sketches=sketches)
 
 
 def q_kpis(spark, sf_dir):
@@ -94,7 +95,7 @@ def q_kpis_direct(spark, sf_dir):
 
 def q_unique_invoices(spark, sf_dir):
     """KPI-3 per upload: exact, and whether the days' sketches come within 5 % of it."""
-    u = cube_ops.unique_invoices(_cube(_data(spark, sf_dir)), by=("upload_id",))
+    u = cube_ops.unique_invoices(_cube(_data(spark, sf_dir), sketches=True), by=("upload_id",))
     near = F.abs(F.col("estimate") - F.col("exact")) <= 0.05 * F.col("exact")
     return u.select("upload_id", F.col("exact").alias("unique_invoices"), near.alias("sketch_within_5_pct"))
 
@@ -129,12 +130,12 @@ def q_abc_distribution(spark, sf_dir):
 
 def q_slow_movers(spark, sf_dir):
     d = _data(spark, sf_dir)
-    return movement.slow_movers(d.daily_of_sums, d.products, lookback_days=SLOW_LOOKBACK_DAYS)
+    return movement.slow_movers(d.stored_daily, d.products, lookback_days=SLOW_LOOKBACK_DAYS)
 
 
 def q_slow_movers_30(spark, sf_dir):
     d = _data(spark, sf_dir)
-    return movement.slow_movers(d.daily_of_sums, d.products, lookback_days=30)
+    return movement.slow_movers(d.stored_daily, d.products, lookback_days=30)
 
 
 def q_anomalies(spark, sf_dir):
@@ -143,23 +144,23 @@ def q_anomalies(spark, sf_dir):
 
 def q_product_list(spark, sf_dir):
     d = _data(spark, sf_dir)
-    return prod_ops.product_page(prod_ops.product_list(_products_with_abc(d), d.daily_of_sums), 1, 50)
+    return prod_ops.product_page(prod_ops.product_list(_products_with_abc(d, d.lines), d.daily), 1, 50)
 
 
 def q_product_list_all(spark, sf_dir):
     """PROD-1 without a page: every product."""
     d = _data(spark, sf_dir)
-    return prod_ops.product_list(_products_with_abc(d), d.daily_of_sums)
+    return prod_ops.product_list(_products_with_abc(d, d.lines), d.daily)
 
 
 def q_product_page2(spark, sf_dir):
     d = _data(spark, sf_dir)
-    return prod_ops.product_page(prod_ops.product_list(_products_with_abc(d), d.daily_of_sums, abc_class="a"), 2, 20)
+    return prod_ops.product_page(prod_ops.product_list(_products_with_abc(d, d.lines), d.daily, abc_class="a"), 2, 20)
 
 
 def q_product_search(spark, sf_dir):
     d = _data(spark, sf_dir)
-    return prod_ops.product_list(_products_with_abc(d), d.daily_of_sums, search=SEARCH_TERM)
+    return prod_ops.product_list(_products_with_abc(d, d.lines), d.daily, search=SEARCH_TERM)
 
 
 def q_product_pages(spark, sf_dir):
@@ -183,24 +184,24 @@ def q_stock_status(spark, sf_dir):
 
 
 def q_alerts_reorder(spark, sf_dir):
-    return alert_ops.reorder_alerts(_data(spark, sf_dir).daily_of_sums)
+    return alert_ops.reorder_alerts(_data(spark, sf_dir).stored_daily)
 
 
 def q_alerts_stockout(spark, sf_dir):
-    return alert_ops.stockout_alerts(_data(spark, sf_dir).daily_of_sums)
+    return alert_ops.stockout_alerts(_data(spark, sf_dir).stored_daily)
 
 
 def q_alerts_slow(spark, sf_dir):
-    return alert_ops.slow_mover_alerts(_data(spark, sf_dir).daily_of_sums)
+    return alert_ops.slow_mover_alerts(_data(spark, sf_dir).stored_daily)
 
 
 def q_alerts_all(spark, sf_dir):
-    return alert_ops.generate_alerts(_data(spark, sf_dir).daily_of_sums)
+    return alert_ops.generate_alerts(_data(spark, sf_dir).stored_daily)
 
 
 def q_alert_counts(spark, sf_dir):
     d = _data(spark, sf_dir)
-    alerts = alert_ops.regenerate(None, alert_ops.generate_alerts(d.daily_of_sums), "2001-11-05 00:00:00")
+    alerts = alert_ops.regenerate(None, alert_ops.generate_alerts(d.stored_daily), "2001-11-05 00:00:00")
     return alert_ops.open_alert_counts(alerts)
 
 
@@ -300,7 +301,7 @@ def q_product_upsert_second(spark, sf_dir):
 
 def q_alerts_slow_all_time(spark, sf_dir):
     """ALERT-3 over the whole history."""
-    return alert_ops.slow_mover_alerts(_data(spark, sf_dir).daily_of_sums, lookback_days=SLOW_LOOKBACK_DAYS)
+    return alert_ops.slow_mover_alerts(_data(spark, sf_dir).stored_daily, lookback_days=SLOW_LOOKBACK_DAYS)
 
 
 def q_missing_orders(spark, sf_dir):
@@ -387,8 +388,8 @@ def q_feature_importance(spark, sf_dir):
 
 
 def _alerts_table(d: RetailData) -> DataFrame:
-    as_of = d.daily_of_sums.agg(F.max("sale_date")).scalar()
-    new = alert_ops.generate_alerts(d.daily_of_sums)
+    as_of = d.stored_daily.agg(F.max("sale_date")).scalar()
+    new = alert_ops.generate_alerts(d.stored_daily)
     return alert_ops.regenerate(None, new, "2001-11-05 00:00:00").withColumn(
         "created_at", (as_of + F.expr("INTERVAL 1 DAY")).cast("timestamp"))
 
@@ -404,7 +405,7 @@ def q_context_top10(spark, sf_dir):
 
 def q_context_trend7(spark, sf_dir):
     d = _data(spark, sf_dir)
-    return context.context_trend(d.active_sums, d.daily_of_sums)
+    return context.context_trend(d.active_lines, d.stored_daily)
 
 
 def _context_parts(d: RetailData):
@@ -412,7 +413,7 @@ def _context_parts(d: RetailData):
     counts = alert_ops.open_alert_counts(_alerts_table(d))
     prods = _products_with_abc(d)
     top = context.context_top_products(d.sums, prods)
-    return kpis, counts, top, abc_ops.abc_distribution(prods), context.context_trend(d.active_sums, d.daily_of_sums)
+    return kpis, counts, top, abc_ops.abc_distribution(prods), context.context_trend(d.active_lines, d.stored_daily)
 
 
 def q_context_json(spark, sf_dir):
@@ -699,7 +700,7 @@ def q_cache_cycle(spark, sf_dir):
     """CTX-6/7: an answer per product cached on its last sale day; half a day after the newest sale every product asks again."""
     d = _data(spark, sf_dir)
     key = F.sha2("stock_code", 256).alias("context_hash")
-    last = d.daily_of_sums.groupBy("product_id").agg(F.max("sale_date").alias("d"), F.min("sale_date").alias("first"))
+    last = d.stored_daily.groupBy("product_id").agg(F.max("sale_date").alias("d"), F.min("sale_date").alias("first"))
     rows = last.join(d.products, "product_id")
     entry = lambda at: rows.select(F.lit("qa").alias("insight_type"), key, F.lit("p").alias("prompt"), F.date_format(at, "yyyy-MM-dd").alias("response"),
                                    F.lit("m").alias("model_used"), F.lit(1).cast("long").alias("tokens_used"), F.col(at).cast("timestamp").alias("created_at"))
@@ -737,7 +738,7 @@ def q_delete_cascade(spark, sf_dir):
 def q_alerts_resolved(spark, sf_dir):
     """ALERT-5/6/8: medium alerts are resolved, the same alerts are added again (none twice), the open ones listed."""
     d = _data(spark, sf_dir)
-    fresh = alert_ops.generate_alerts(d.daily_of_sums)
+    fresh = alert_ops.generate_alerts(d.stored_daily)
     alerts = alert_ops.regenerate(None, fresh, "2001-11-05 00:00:00")
     done = alert_ops.resolve(alerts, alerts.filter(F.col("severity") == "medium"), RUN_AT)
     again = alert_ops.append_alerts(done, fresh, "2001-11-05 00:00:00")
@@ -748,7 +749,7 @@ def q_alerts_resolved(spark, sf_dir):
 def q_alerts_listed(spark, sf_dir):
     """ALERT-5: the open reorder alerts with their products, up to the page's limit."""
     d = _data(spark, sf_dir)
-    alerts = alert_ops.regenerate(None, alert_ops.stockout_alerts(d.daily_of_sums), "2001-11-05 00:00:00")
+    alerts = alert_ops.regenerate(None, alert_ops.stockout_alerts(d.stored_daily), "2001-11-05 00:00:00")
     return alert_ops.list_alerts(alerts, d.products, "stockout_risk", limit=500).select("product_id", "stock_code", "severity", "message", "is_resolved")
 
 
@@ -768,7 +769,7 @@ def q_strict_scrub(spark, sf_dir):
 def q_keyset_pages(spark, sf_dir):
     """PROD-2 by key: every page of 50 products, each sought from the last row of the page before."""
     d = _data(spark, sf_dir)
-    listed = prod_ops.product_list(d.products, d.daily_of_sums)
+    listed = prod_ops.product_list(d.products, d.stored_daily)
     pages = prod_ops.keyset_pages(listed, 50)
     return pages.select("page", "product_id", "total_revenue")
 

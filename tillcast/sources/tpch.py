@@ -194,9 +194,9 @@ class RetailData:
 
     @property
     def sums(self) -> DataFrame:
-        """The sales of every (upload, product, day, kind of line), summed and stored: the facts
+        """The lines of every (upload, product, kind of line), summed and stored: the facts
         are read once, and whatever needs only sums reads this.  Its rows look like
-        fact lines (``quantity``, ``revenue``, ``is_return``, ``invoice_date``), with ``lines`` of them in each."""
+        fact lines (``quantity``, ``revenue``, ``is_return``), with ``lines`` of them in each."""
         return self._memo("sums", lambda: stored_sums(self.lines))
 
     @property
@@ -210,9 +210,9 @@ class RetailData:
             F.sum("lines").alias("row_count"), F.max("last_at").cast("timestamp").alias("uploaded_at"))))
 
     @property
-    def daily_of_sums(self) -> DataFrame:
-        """DAILY-1 from the stored sums, itself stored: dashboards and alerts read it several times."""
-        return self._memo("daily_of_sums", lambda: stored_daily(self.sums))
+    def stored_daily(self) -> DataFrame:
+        """DAILY-1, stored: alerts, movements and lists read it several times, the facts once."""
+        return self._memo("stored_daily", lambda: _stored(self.daily, "daily"))
 
     @property
     def active_tx(self) -> DataFrame:
@@ -227,19 +227,10 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def stored_sums(lines: DataFrame) -> DataFrame:
-    day = F.to_date("invoice_date")
-    g = lines.groupBy("upload_id", "product_id", day.alias("day"), "is_return", (F.col("quantity") > 0).alias("positive")).agg(
+    g = lines.groupBy("upload_id", "product_id", "is_return", (F.col("quantity") > 0).alias("positive")).agg(
         F.sum("quantity").cast("long").alias("quantity"), F.sum("revenue").cast(schemas.SUM_MONEY).alias("revenue"),
-        F.count(F.lit(1)).alias("lines"), F.sum(money_to_cents(F.col("unit_price"))).alias("price_cents"), F.max("invoice_date").alias("last_at"))
-    return _stored(g.withColumn("invoice_date", F.col("day").cast("timestamp")).drop("positive"), "sums")
-
-
-def stored_daily(sums: DataFrame) -> DataFrame:
-    from tillcast.operators.daily import average_price, sales_lines
-    g = sales_lines(sums).groupBy("product_id", F.col("day").alias("sale_date")).agg(
-        F.sum("quantity").cast("long").alias("total_quantity"), F.sum("revenue").cast(schemas.SUM_MONEY).alias("total_revenue"),
-        F.sum("lines").cast("long").alias("transaction_count"), F.sum("price_cents").alias("_price_cents"))
-    return _stored(average_price(g), "daily")
+        F.count(F.lit(1)).alias("lines"), F.max("invoice_date").alias("last_at"))
+    return _stored(g.drop("positive"), "sums")
 
 
 def raw_log_from_facts(tx: DataFrame) -> DataFrame:
