@@ -116,7 +116,8 @@ def test_toxicity_query(spark):
         assert r["predicted"] == int(r["score"] >= 0.3)
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     held = [(labels[i], r["predicted"]) for i, r in rows.items() if r["held_out"] and i in labels]
-    assert np.mean([a == b for a, b in held]) >= 0.85
+    toxic, clean = [b for a, b in held if a == 1], [b for a, b in held if a == 0]
+    assert np.mean(toxic) >= 0.6 and np.mean(clean) <= 0.05
 
 
 def test_toxicity_of_odd_rows(spark, odd_docs, empty_docs):
@@ -138,7 +139,7 @@ def test_toxic_and_clean_held_out_documents_apart(spark):
     held = [(labels[r["doc_id"]], r["predicted"]) for r in x.op9_toxicity(spark, sf).collect() if r["held_out"] and r["doc_id"] in labels]
     toxic, clean = [b for a, b in held if a == 1], [b for a, b in held if a == 0]
     assert len(toxic) > 100 and len(clean) > 500
-    assert np.mean(toxic) >= 0.65 and np.mean(clean) <= 0.03
+    assert np.mean(toxic) >= 0.85 and np.mean(clean) <= 0.03
 
 
 def test_repeated_ids_do_not_depend_on_partitions(spark):
@@ -163,7 +164,7 @@ def plain_score(net, text):
 
     def vector(number):
         grams = words.grams[ends[number] - words.count[number]:ends[number]]
-        chars = np.mean([net.char[g] for g in grams], axis=0) if len(grams) else np.zeros(net.char.shape[1])
+        chars = np.sum([net.char[g] for g in grams], axis=0) / len(grams) ** 0.5 if len(grams) else np.zeros(net.char.shape[1])
         return np.concatenate([net.word[words.word[number]], chars]).astype(float)
 
     def run(inputs, d):

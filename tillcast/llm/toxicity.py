@@ -1,8 +1,8 @@
 """Operator 9, toxicity: a bidirectional gated recurrent network with attention
 pooling over character and word inputs, trained here in numpy.
 
-Input of a step: the embedding of the hashed word beside the mean embedding of
-its hashed character n-grams.  Both directions run over windows of ``WINDOW``
+Input of a step: the embedding of the hashed word beside the sum of its hashed
+character n-grams' embeddings over the root of their number.  Both directions run over windows of ``WINDOW``
 words, each window starting ``STRIDE`` words after the one before, over the
 whole text; attention pools a window's states to one logit.  A document scores
 as its highest window.
@@ -11,7 +11,8 @@ Training uses a bounded sample of labelled rows (``SAMPLE_POSITIVE`` and
 ``SAMPLE_NEGATIVE`` rows of at most ``SAMPLE_BYTES`` each, in hash order of
 the id).  Labels belong to whole documents, so positive windows are chosen
 anew every ``REVISE`` steps as those that score highest in their documents,
-and half of the negative ones as the hardest.
+and half of the negative ones as the hardest.  Positive documents are drawn
+alike whatever their length.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from tillcast.llm.decontaminate import word_hashes, word_spans
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM = 12, 8, 8
 TABLE = 1 << 15
-GRAMS = (3, 5)
+GRAMS = (3, 5, 8)
 SAMPLE_POSITIVE, SAMPLE_NEGATIVE, SAMPLE_BYTES = 1200, 2400, 1 << 15
 STEPS, REVISE, BATCH = 900, 150, 128
 THRESHOLD = 0.3
@@ -121,7 +122,7 @@ class Network:
         chars = np.zeros((len(which), CHAR_DIM), dtype=np.float32)
         some = count > 0
         if some.any():
-            chars[some] = np.add.reduceat(self.char[grams], (np.cumsum(count) - count)[some], axis=0) / count[some][:, None]
+            chars[some] = np.add.reduceat(self.char[grams], (np.cumsum(count) - count)[some], axis=0) / np.sqrt(count[some])[:, None]
         return np.concatenate([self.word[words.word[which]], chars], axis=1), grams, count
 
     def states(self, gx: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
@@ -209,7 +210,7 @@ class Network:
         g["word"] = np.zeros_like(self.word)
         np.add.at(g["word"], words.word[which], dx[:, :WORD_DIM] * drop)
         g["char"] = np.zeros_like(self.char)
-        np.add.at(g["char"], grams, np.repeat(dx[:, WORD_DIM:] / np.maximum(count, 1)[:, None], count, axis=0).astype(np.float32))
+        np.add.at(g["char"], grams, np.repeat(dx[:, WORD_DIM:] / np.sqrt(np.maximum(count, 1))[:, None], count, axis=0).astype(np.float32))
         return g
 
     def scores(self, words: Words, start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -241,12 +242,18 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int
         net.v[:] = 0
         net.c[:] = 4.0 if len(positive) else -4.0
         return net
+    def share(at: np.ndarray) -> np.ndarray:
+        """Chance of each window: documents alike, then their windows alike."""
+        w = 1 / np.bincount(text[at])[text[at]]
+        return w / w.sum()
+
     chosen, hard = positive, negative
+    chance = share(chosen)
     first = {k: np.zeros_like(getattr(net, k)) for k in net.NAMES}
     second = {k: np.zeros_like(getattr(net, k)) for k in net.NAMES}
     third = BATCH // 3
     for step in range(1, steps + 1):
-        pick = np.concatenate([rng.choice(chosen, third), rng.choice(negative, BATCH - 2 * third), rng.choice(hard, third)])
+        pick = np.concatenate([rng.choice(chosen, third, p=chance), rng.choice(negative, BATCH - 2 * third), rng.choice(hard, third)])
         at = np.minimum(start[pick][:, None] + np.arange(WINDOW), len(words.number) - 1)
         g = net.gradients(words, words.number[at], sizes[pick], y[pick], rng)
         rate = 0.02 * min(1, step / 50) * (1 - 0.9 * step / steps)
@@ -262,6 +269,7 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int
             best = np.zeros(len(texts))
             np.maximum.at(best, text[positive], p)
             chosen = positive[p >= np.maximum(best[text[positive]] - 1e-9, np.minimum(best[text[positive]], 0.9))]
+            chance = share(chosen)
             q = net.scores(words, start[negative], sizes[negative])
             hard = negative[np.argsort(-q)[:max(BATCH, len(negative) // 20)]]
     return net
