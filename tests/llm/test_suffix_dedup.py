@@ -148,3 +148,23 @@ def test_a_hot_anchor_makes_no_large_group():
     assert largest(1 << 30)[0] >= 300  # the contexts of an anchor in one group
     most, total = largest(100)
     assert total > 400 and most < 2 * total / n, (most, total)
+
+
+def test_only_blocks_with_a_hot_anchor_hear_of_it():
+    """Notices: one for each block that holds the anchor, also where one record stands for documents of many blocks."""
+    n, phrase = 64, "a phrase of all, less than a window"
+    pairs = [(i, x.encode()) for i, x in _surrounded(300, phrase)]
+    keys = [(i % 5) * 11 + 64 * i for i, _ in pairs]  # blocks 0, 11, 22, 33, 44
+    sent = [s._chunk_anchors([x for _, x in pairs[a:a + 100]], keys[a:a + 100], n) for a in range(0, 300, 100)]
+    table = pa.Table.from_batches(sent)
+    told = {}
+    for b in set(table.column("bucket").to_pylist()):
+        out = s._find_shared(n, 100)(table.filter(pa.compute.equal(table.column("bucket"), b)))
+        for block in set(out.column("bucket").to_pylist()):
+            rec = s._unpacked(out.filter(pa.compute.equal(out.column("bucket"), block)), s.ANCHOR)
+            for name in rec["rk"][rec["pos"] == s.HOT_ANCHOR].tolist():
+                told.setdefault(name, []).append(block)
+    assert told and all(sorted(x) == [0, 11, 22, 33, 44] for x in told.values())
+    # An anchor of every document is named alike by those who hold its bytes.
+    grams = np.frombuffer(b"".join(phrase[i:i + s.GRAM].encode() for i in range(len(phrase) - s.GRAM + 1)), dtype=np.uint8)
+    assert set(told) <= set(s._names(grams.reshape(-1, s.GRAM), n).tolist())

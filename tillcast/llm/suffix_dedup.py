@@ -8,7 +8,8 @@ a smaller id.  Sorting every suffix of the corpus would shuffle the corpus
    least hash is an anchor.  Equal windows have equal anchors at equal places,
    so windows can only match around anchors that two documents share.  Each
    task packs its anchors by hash into blobs; an anchor that two documents of
-   a task share needs no reply, and only one of them is sent on.
+   a task share needs no reply, and only one of them is sent on, with the
+   blocks of the others.
 2. per hash bucket: anchors that meet another document are returned.
 3. contexts: the bytes around each shared anchor.  Equal contexts of a task
    are reduced to the one with the least id, the others are decided at once.
@@ -16,7 +17,8 @@ a smaller id.  Sorting every suffix of the corpus would shuffle the corpus
    task.  Anchors with more than ``HOT`` contexts in the corpus (counted in
    step 2) do not meet by anchor: each of their windows goes to the bucket of
    its own hash, of equal windows of a task only those of the least id, so an
-   anchor in many different surroundings makes no large group.
+   anchor in many different surroundings makes no large group.  Only blocks
+   that hold such an anchor hear of it.
 4. per hash bucket: the suffixes to the right of the anchors and the reversed
    prefixes to their left are sorted (``suffix_sort``); cutting the sorted
    orders where the common extension falls short gives, for each place of the
@@ -184,26 +186,32 @@ def _meets_another(h: np.ndarray, rk: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.repeat(differs, sizes), head
 
 
+_NONE = np.zeros((2, 0), dtype="<u4")
+
+
 # Blob of anchors: counts, then documents' keys with their number of anchors,
-# 32 further hash bits, places and how many of the chunk's anchors each stands for.  (A filter only: bits lost to the bucket
+# 32 further hash bits, places and how many of the chunk's anchors each stands for; then the blocks,
+# beside its own, of the anchors that a record stands for, with its hash bits.  (A filter only: bits lost to the bucket
 # number and to truncation can add candidates, never lose one.)
-def _anchor_blob(h32: np.ndarray, rk: np.ndarray, pos: np.ndarray, many: np.ndarray) -> bytes:
+def _anchor_blob(h32: np.ndarray, rk: np.ndarray, pos: np.ndarray, many: np.ndarray, also_h: np.ndarray, also: np.ndarray) -> bytes:
     first = _runs(rk)
     sizes = np.diff(np.append(first, len(rk))).astype("<u4")
     return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join([np.array([len(first), len(rk)], dtype="<u4").tobytes(), rk[first].astype("<i8").tobytes(),
-                     sizes.tobytes(), h32.astype("<u4").tobytes(), pos.astype("<u4").tobytes(), many.astype("<u4").tobytes()]))
+                     sizes.tobytes(), h32.astype("<u4").tobytes(), pos.astype("<u4").tobytes(), many.astype("<u4").tobytes(),
+                     also_h.astype("<u4").tobytes(), also.astype("<u4").tobytes()]))
 
 
-def _read_anchor_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _read_anchor_blob(blob: bytes) -> tuple[np.ndarray, ...]:
     blob = zstandard.ZstdDecompressor().decompress(blob)
     nd, n = np.frombuffer(blob, dtype="<u4", count=2)
     nd, n = int(nd), int(n)
+    also_h, also = np.frombuffer(blob, dtype="<u4", offset=8 + 12 * (nd + n)).reshape(2, -1) if len(blob) > 8 + 12 * (nd + n) else _NONE
     rk = np.frombuffer(blob, dtype="<i8", count=nd, offset=8)
     sizes = np.frombuffer(blob, dtype="<u4", count=nd, offset=8 + 8 * nd)
     h = np.frombuffer(blob, dtype="<u4", count=n, offset=8 + 12 * nd)
     pos = np.frombuffer(blob, dtype="<u4", count=n, offset=8 + 12 * nd + 4 * n)
     many = np.frombuffer(blob, dtype="<u4", count=n, offset=8 + 12 * nd + 8 * n)
-    return h, np.repeat(rk, sizes), pos, many
+    return h, np.repeat(rk, sizes), pos, many, also_h, also
 
 
 def _chunk_anchors(texts: list[bytes], keys: list[int], buckets: int) -> pa.RecordBatch | None:
@@ -228,6 +236,15 @@ def _chunk_anchors(texts: list[bytes], keys: list[int], buckets: int) -> pa.Reco
     many[first] = np.diff(np.append(first, len(h)))
     # Of shared anchors the first document's go on to meet other tasks.
     send = ~shared | (rk == head)
+    # Blocks of the documents that a sent anchor stands for, each once.
+    block = np.mod(rk, buckets)
+    others = np.nonzero(shared & (block != np.mod(head, buckets)))[0]
+    others = others[np.lexsort((block[others], h[others]))]
+    fresh = (np.diff(h[others], prepend=h[others[:1]]) != 0) | (np.diff(block[others], prepend=-1) != 0)
+    others = others[fresh]
+    also_h, also, also_bucket = h[others], block[others], ((h[others] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(also_bucket, kind="stable")
+    also_h, also, also_bucket = also_h[order] & np.uint64(0xFFFFFFFF), also[order], also_bucket[order]
     bucket = np.concatenate([(h[send] >> np.uint64(32)) % np.uint64(buckets),
                              (np.mod(rk[shared], buckets) + buckets).astype(np.uint64)]).astype(np.int64)
     h = np.concatenate([h[send], h[shared]])
@@ -236,7 +253,9 @@ def _chunk_anchors(texts: list[bytes], keys: list[int], buckets: int) -> pa.Reco
     order = np.lexsort((pos, rk, bucket))
     bucket, h32, rk, pos, many = bucket[order], (h[order] & np.uint64(0xFFFFFFFF)).astype("<u4"), rk[order], pos[order], many[order]
     first = _runs(bucket).tolist()
-    blobs = [_anchor_blob(h32[a:b], rk[a:b], pos[a:b], many[a:b]) for a, b in zip(first, [*first[1:], len(bucket)])]
+    low, high = (np.searchsorted(also_bucket, bucket[first], side=side).tolist() for side in ("left", "right"))
+    blobs = [_anchor_blob(h32[a:b], rk[a:b], pos[a:b], many[a:b], also_h[x:y], also[x:y])
+             for a, b, x, y in zip(first, [*first[1:], len(bucket)], low, high)]
     return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(blobs, pa.binary())],
                                       ["bucket", "data"])
 
@@ -265,23 +284,25 @@ def _find_shared(buckets: int, hot: int):
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         parts = [_read_anchor_blob(x.as_py()) for x in table.column("data")]
-        h, rk, pos, many = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        names = np.zeros(0, dtype=np.int64)
+        h, rk, pos, many, also_h, also = (np.concatenate([p[i] for p in parts]) for i in range(6))
+        names = blocks = np.zeros(0, dtype=np.int64)
         if bucket < buckets:
             order = np.argsort(h, kind="stable")
             h, rk, pos = h[order], rk[order], pos[order]
             keep = _meets_another(h, rk)[0]
             if len(h):
                 first = _runs(h)
-                names = h[first[np.add.reduceat(many[order].astype(np.int64), first) > hot]].astype(np.int64) | bucket << 32
+                names = h[first[np.add.reduceat(many[order].astype(np.int64), first) > hot]]
+                # Each block that holds such an anchor hears of it, once.
+                mine, theirs = np.isin(h, names), np.isin(also_h, names)
+                names, blocks = np.unique(np.stack([np.concatenate([h[mine], also_h[theirs]]).astype(np.int64) | bucket << 32,
+                                                    np.concatenate([np.mod(rk[mine], buckets), also[theirs].astype(np.int64)])]), axis=1)
             rk, pos = rk[keep], pos[keep]
         out = np.empty(len(rk), dtype=ANCHOR)
         out["rk"], out["pos"] = rk, pos
-        # Every block hears of every hot anchor.
-        told = np.empty(len(names) * buckets, dtype=ANCHOR)
-        told["rk"], told["pos"] = np.tile(names, buckets), HOT_ANCHOR
-        return pa.Table.from_batches([_packed(np.mod(rk, buckets), out),
-                                      _packed(np.repeat(np.arange(buckets), len(names)), told)])
+        told = np.empty(len(names), dtype=ANCHOR)
+        told["rk"], told["pos"] = names, HOT_ANCHOR
+        return pa.Table.from_batches([_packed(np.mod(rk, buckets), out), _packed(blocks, told)])
     return run
 
 
