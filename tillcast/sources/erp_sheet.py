@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tillcast.functions.dates import parse_mixed_timestamp
 from tillcast.functions.text import scrub_formula, strip_ws
+from tillcast.session import stored
 from tillcast.sources.landing import Mapped, map_rows
 
 # ERP column names and the country of that export.
@@ -36,13 +37,13 @@ def _cells(df: DataFrame) -> list[str]:
 
 def header_rows(sheet: DataFrame) -> DataFrame:
     """Per file: index of the header row and whether a marker row exists.
-    A grouped ``min`` — one small row per file."""
+    A grouped ``min`` — one small row per file, stored."""
     cells = _cells(sheet)
     joined = F.concat_ws(" ", *[F.lower(F.trim(F.col(c))) for c in cells])
     hit = F.contains(joined, F.lit(HEADER_MARKERS[0])) & F.contains(joined, F.lit(HEADER_MARKERS[1]))
-    return sheet.groupBy("file").agg(
+    return stored(sheet.groupBy("file").agg(
         F.coalesce(F.min(F.when(hit, F.col("row_idx"))), F.lit(0)).alias("header_idx"),
-        F.max(hit.cast("int")).alias("_found"))
+        F.max(hit.cast("int")).alias("_found")), "sheet-headers")
 
 
 def map_erp_sheet(sheet: DataFrame, validate: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -76,18 +77,28 @@ def erp_rows(sheet: DataFrame) -> tuple[DataFrame, DataFrame]:
     A field's column is the first header cell of that name; blank and repeated
     header cells do no harm.
     """
+    return _erp_rows(sheet)[:2]
+
+
+def _erp_rows(sheet: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``erp_rows``, and the sheets' ``header_rows``."""
     from tillcast.operators.cleaning import reject_reason
     cells = _cells(sheet)
     # One row per sheet.  Their number grows with the files, so no broadcast is
-    # forced; the planner broadcasts what it measured small.
+    # forced; they are stored, so the planner knows their size and broadcasts them while they
+    # are small, before it would deal out the sheets' rows by file.
     hdr = header_rows(sheet)
     names = sheet.join(hdr, "file").filter((F.col("row_idx") == F.col("header_idx")) & (F.col("_found") == 1)).select(
         "file", "header_idx", F.array(*[F.trim(F.col(c)) for c in cells]).alias("_names"))
-    data = sheet.join(names, "file").filter(F.col("row_idx") > F.col("header_idx"))
+    fields = list(ERP_FIELDS.values())
+    names = stored(names.select("file", "header_idx", *[
+        F.coalesce(F.array_position("_names", F.lit(n)), F.lit(0)).cast("int").alias(f"_at{i}") for i, n in enumerate(fields)]), "sheet-names")
+    data = (sheet.select("file", "row_idx", F.array(*[F.col(c) for c in cells]).alias("_cells")).join(names, "file")
+            .filter(F.col("row_idx") > F.col("header_idx")))
 
     def field(name: str):
-        at = F.coalesce(F.array_position("_names", F.lit(name)), F.lit(0)).cast("int")
-        return F.when(at > 0, F.get(F.array(*[F.col(c) for c in cells]), at - 1))
+        at = F.col(f"_at{fields.index(name)}")
+        return F.when(at > 0, F.get("_cells", at - 1))
 
     qty = F.trim(field(ERP_FIELDS["Quantity"])).try_cast("double")
     amount = F.trim(field(ERP_FIELDS["TaxableAmount"])).try_cast("double")
@@ -110,7 +121,7 @@ def erp_rows(sheet: DataFrame) -> tuple[DataFrame, DataFrame]:
         "is_return": F.col("Quantity") < 0,
         "revenue": F.col("Quantity") * F.col("Price"),
         "reject_reason": reject_reason(F.col("StockCode"), F.col("InvoiceDate"), F.col("Quantity"), F.col("Price"))})
-    return out, hdr.filter(F.col("_found") == 0).select("file")
+    return out, hdr.filter(F.col("_found") == 0).select("file"), hdr
 
 
 def sheet_fallback(sheet: DataFrame, unmatched: DataFrame | None = None) -> DataFrame:
@@ -134,11 +145,11 @@ def fallback_sheets(sheet: DataFrame, unmatched: DataFrame | None = None) -> Map
 def sheet_outcomes(sheet: DataFrame) -> DataFrame:
     """One row per sheet: ``outcome`` mapped (ERP layout), fallback (standard cleaning) or
     refused with its ``reason``, and the ``data_rows`` that reach validation."""
-    erp, unmatched = erp_rows(sheet)
+    erp, unmatched, found = _erp_rows(sheet)
     other = fallback_sheets(sheet, unmatched)
     n = F.count(F.lit(1)).alias("data_rows")
     counts = erp.groupBy("file").agg(n).unionByName(other.rows.groupBy(F.col("_file").alias("file")).agg(n))
-    found = header_rows(sheet).select("file", (F.col("_found") == 1).alias("erp"))
+    found = found.select("file", (F.col("_found") == 1).alias("erp"))
     refused = other.refused.select(F.col("_file").alias("file"), "reason")
     j = found.join(refused, "file", "left").join(counts, "file", "left")
     outcome = F.when(F.col("erp"), "mapped").when(F.col("reason").isNotNull(), "refused").otherwise("fallback")
