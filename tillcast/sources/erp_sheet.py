@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tillcast.functions.dates import parse_mixed_timestamp
 from tillcast.functions.text import scrub_formula, strip_ws
-from tillcast.session import stored
+from tillcast.session import few, stored
 from tillcast.sources.landing import Mapped, map_rows
 
 # ERP column names and the country of that export.
@@ -84,16 +84,15 @@ def _erp_rows(sheet: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``erp_rows``, and the sheets' ``header_rows``."""
     from tillcast.operators.cleaning import reject_reason
     cells = _cells(sheet)
-    # One row per sheet.  Their number grows with the files, so no broadcast is
-    # forced; they are stored, so the planner knows their size and broadcasts them while they
-    # are small, before it would deal out the sheets' rows by file.
+    # One row per sheet.  Their number grows with the files; while they are few they go to
+    # every task, so that the sheets' rows are not dealt out by file.
     hdr = header_rows(sheet)
-    names = sheet.join(hdr, "file").filter((F.col("row_idx") == F.col("header_idx")) & (F.col("_found") == 1)).select(
+    names = sheet.join(few(hdr), "file").filter((F.col("row_idx") == F.col("header_idx")) & (F.col("_found") == 1)).select(
         "file", "header_idx", F.array(*[F.trim(F.col(c)) for c in cells]).alias("_names"))
     fields = list(ERP_FIELDS.values())
     names = stored(names.select("file", "header_idx", *[
         F.coalesce(F.array_position("_names", F.lit(n)), F.lit(0)).cast("int").alias(f"_at{i}") for i, n in enumerate(fields)]), "sheet-names")
-    data = (sheet.select("file", "row_idx", F.array(*[F.col(c) for c in cells]).alias("_cells")).join(names, "file")
+    data = (sheet.select("file", "row_idx", F.array(*[F.col(c) for c in cells]).alias("_cells")).join(few(names), "file")
             .filter(F.col("row_idx") > F.col("header_idx")))
 
     def field(name: str):
@@ -136,7 +135,7 @@ def fallback_sheets(sheet: DataFrame, unmatched: DataFrame | None = None) -> Map
     if unmatched is None:
         unmatched = header_rows(sheet).filter(F.col("_found") == 0).select("file")
     cells = _cells(sheet)
-    rows = sheet.join(unmatched, "file", "left_semi").select(
+    rows = sheet.join(few(unmatched), "file", "left_semi").select(
         F.col("file").alias("_file"), F.struct(F.lit(0).cast("long").alias("block"), F.col("row_idx").cast("long").alias("id")).alias("_row"),
         F.array(*[F.col(c) for c in cells]).alias("cells"))
     return map_rows(rows, width=None)
