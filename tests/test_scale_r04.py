@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from tillcast import session
 from tillcast.operators import forecasting
+from tillcast.plans import catalog
 from tillcast.sources.erp_sheet import sheet_fallback, sheet_outcomes
 from tillcast.sources.files import file_gate
 from tillcast.sources.landing import same_path, stage_cells
 
+SF = "/root/testdata/sf0.001"
 LOG = ["InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate", "Price", "Customer ID", "Country"]
 
 
@@ -92,3 +94,17 @@ def test_oversized_and_foreign_files_keep_their_verdict(spark, scratch):
     got = {r["filename"]: (r["reason"] and r["reason"][:6], r["columns"], r["encoding"]) for r in file_gate(spark, scratch, max_mb=1).collect()}
     assert got == {"big.csv": ("Larger", None, "ISO-8859-1"), "small.csv": (None, 2, "UTF-8"),
                    "no.txt": ("Extens", None, None), "fake.xlsx": ("Conten", None, None)}
+
+
+def test_joined_facts_are_not_put_together_into_large_tasks(spark):
+    """Adaptive execution coalesced the partitions made for 500,000 facts each up to 64 MB compressed."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    try:
+        for given, want in (("64MB", str(16 << 20)), ("67108864b", str(16 << 20)), ("8m", "8m")):
+            spark.conf.set(key, given)
+            catalog._data(spark, SF)
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, before)
+    assert [session.byte_count(x) for x in ("7", "2k", "3 MiB", "1g")] == [7, 2048, 3 << 20, 1 << 30]
