@@ -35,6 +35,9 @@ MAX_ID = (1 << 16) - 2
 _MASK32 = np.uint64(0xFFFFFFFF)
 _TOP = np.uint64(1 << 32)
 _B12, _B8, _B32 = np.uint64(TOTAL_BITS), np.uint64(8), np.uint64(32)
+_LAST, _BYTE = np.uint64(TOTAL - 1), np.uint64(255)
+_WIDTH = np.uint32(0xFFFF)
+_FOUR, _TOPS = np.uint64(0x0001000100010001), np.uint64(0x8000800080008000)
 
 
 def _renewals() -> set[int]:
@@ -42,142 +45,243 @@ def _renewals() -> set[int]:
     return {16, 48, 128, *range(256, BLOCK, 192)}
 
 
-def _cumulative(weights: np.ndarray) -> np.ndarray:
-    """Integer cumulative shares of ``TOTAL`` with at least one for each entry (last axis)."""
+def _shares(weights: np.ndarray, both: np.ndarray, ends: np.ndarray | None) -> None:
+    """Integer shares of ``TOTAL``, at least one for each entry (last axis): into ``both`` where each
+    begins (upper 16 bits) and its width (lower), into ``ends``, if given, where it ends."""
     n = weights.shape[-1]
-    out = np.empty((*weights.shape[:-1], n + 1), dtype=np.uint16)
-    ends = np.cumsum(weights, axis=-1, dtype=np.float32)
-    ends *= np.float32(TOTAL - n) / ends[..., -1:]
-    out[..., 0] = 0
-    out[..., 1:] = ends.astype(np.uint16) + np.arange(1, n + 1, dtype=np.uint16)
-    out[..., -1] = TOTAL
-    return out
+    sums = np.cumsum(weights, axis=-1, dtype=np.float32)
+    sums *= np.float32(TOTAL - n) / sums[..., -1:]
+    sums = sums.astype(np.uint32)
+    sums += np.arange(1, n + 1, dtype=np.uint32)
+    sums[..., -1] = TOTAL
+    both[...] = sums
+    both[..., 1:] += sums[..., :-1] * np.uint32(0xFFFF)
+    if ends is not None:
+        ends[...] = sums
+
+
+def _words(ends: np.ndarray) -> np.ndarray:
+    """Four ends in a word."""
+    return np.ascontiguousarray(ends).reshape(-1).view(np.uint64)
 
 
 class Lanes:
-    """Model state of ``n`` blocks coded in step."""
+    """Model state of ``n`` blocks coded in step; ``search``: whether symbols will be looked for by their shares."""
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, search: bool = False):
         self.n = n
         lane = np.arange(n, dtype=np.int64)
         self.at_table, self.at_slot = lane * TABLE, lane * SLOTS
         self.at_context = lane * CONTEXTS
-        self.at_high = lane * 257
         # Id + 1, 0 where nothing is known; 16 bits keep the tables near the core.
-        self.order2, self.order1 = np.zeros(n * TABLE, dtype=np.uint16), np.zeros(n * TABLE, dtype=np.uint16)
-        self.held = np.zeros(n * TABLE, dtype=np.int8)  # whether the order-1 prediction held
+        self.order2 = np.zeros(n * TABLE, dtype=np.uint16)
+        # The same doubled, the lowest bit telling whether the prediction held.
+        self.order1 = np.zeros(n * TABLE, dtype=np.uint32)
         self.order0 = np.zeros(n * SLOTS, dtype=np.uint16)
         self.counts = np.full((n, CONTEXTS, SYMBOLS), 1, dtype=np.float32)
         self.counts[..., NONE] = 16
         self.high_counts = np.full((n, 256), 1, dtype=np.float32)
         self.flat, self.high_flat = self.counts.reshape(-1), self.high_counts.reshape(-1)
-        self.before1 = np.zeros(n, dtype=np.int64)
-        self.before2 = np.zeros(n, dtype=np.int64)
+        mixed, high = np.empty(self.counts.shape, dtype=np.uint32), np.empty(self.high_counts.shape, dtype=np.uint32)
+        self.shares, self.mixed, self.high = (mixed, high), mixed.reshape(-1), high.reshape(-1)
+        self.ends = (np.empty(mixed.shape, dtype=np.uint16), np.empty(high.shape, dtype=np.uint16)) if search else (None, None)
         self.renew()
 
     def renew(self) -> None:
-        block = self.counts.sum(axis=1, keepdims=True)
-        block *= np.float32(64) / block.sum(axis=2, keepdims=True)
-        self.mixed = _cumulative(self.counts + block).reshape(-1)
-        self.high = _cumulative(self.high_counts).reshape(-1)
-
-    def look(self) -> None:
-        """Predictions and context for the next id."""
-        self.h1 = self.at_table + ((self.before1 * 40503 >> 6) & (TABLE - 1))
-        self.h2 = self.at_table + (((self.before2 * 60493 + self.before1) * 40503 >> 5) & (TABLE - 1))
-        self.p1, self.p2 = self.order1.take(self.h1), self.order2.take(self.h2)
-        context = (self.p2 > 0).astype(np.int64)
-        context += context
-        context += self.held.take(self.h1)
-        self.count_row = (self.at_context + context) * SYMBOLS
-        self.row = self.count_row + self.at_context
-        self.row += context
-
-    def learn(self, ids: np.ndarray, symbol: np.ndarray, none: np.ndarray) -> None:
-        """Take in the ids just coded; ``none``: lanes whose id no prediction gave."""
-        at = self.count_row + symbol
-        self.flat[at] = self.flat.take(at) + np.float32(STEP)
-        at = none * 256 + (ids[none] >> 8)
-        self.high_flat[at] = self.high_flat.take(at) + np.float32(STEP)
+        (mixed, high), (ends, high_ends) = self.shares, self.ends
+        for i in range(0, self.n, 64):  # some lanes at a time stay near the core
+            part = slice(i, i + 64)
+            counts = self.counts[part]
+            block = counts.sum(axis=1, keepdims=True)
+            block *= np.float32(64) / block.sum(axis=2, keepdims=True)
+            _shares(counts + block, mixed[part], None if ends is None else ends[part])
+            _shares(self.high_counts[part], high[part], None if ends is None else high_ends[part])
+        if ends is not None:
+            head = np.full((self.n, CONTEXTS, 4), TOTAL, dtype=np.uint16)
+            head[..., :FIRST_SLOT] = ends[..., :FIRST_SLOT]
+            self.head = [_words(head)]
+            slots = ends[..., FIRST_SLOT:]
+            self.slots = [_words(slots[..., 15::16]), _words(slots[..., 3::4]), _words(slots)]
+            self.highs = [_words(high_ends[:, 63::64]), _words(high_ends[:, 15::16]), _words(high_ends[:, 3::4]), _words(high_ends)]
+
+    def places(self, before1: np.ndarray, before2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the predictions of order 1 and 2 stand after the two ids before."""
+        h2 = before2 * np.int64(60493)
+        h2 += before1
+        h2 *= 40503
+        h2 >>= 5
+        h2 &= TABLE - 1
+        h2 += self.at_table
+        h1 = before1 * np.int64(40503)
+        h1 >>= 6
+        h1 &= TABLE - 1
+        h1 += self.at_table
+        return h1, h2
+
+    def follow(self, ids: np.ndarray, before1: np.ndarray, before2: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Take in several steps' ids: their predictions of order 1, whether it held, of order 2 and of order 0."""
+        h1, h2 = self.places(before1, before2)
+        h0 = (ids & np.uint16(SLOTS - 1)) + self.at_slot
+        mark = ids + np.uint16(1)
+        double = mark.astype(np.uint32)
+        double += double
+        p1, p2, p0 = np.empty(ids.shape, dtype=np.uint32), np.empty(ids.shape, dtype=np.uint16), np.empty(ids.shape, dtype=np.uint16)
+        for t in range(len(ids)):
+            at, m = h1[t], double[t]
+            p = self.order1.take(at, out=p1[t], mode="wrap")
+            self.order1[at] = m + ((p | 1) == m + 1)
+            at, m = h2[t], mark[t]
+            self.order2.take(at, out=p2[t], mode="wrap")
+            self.order2[at] = m
+            at = h0[t]
+            self.order0.take(at, out=p0[t], mode="wrap")
+            self.order0[at] = m
+        return p1 >> 1, p1 & 1, p2, p0
+
+    def learn(self, ids: np.ndarray, p1: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> None:
+        """Take in the ids just decoded; ``p1``: their predictions of order 1."""
         mark = (ids + 1).astype(np.uint16)
-        self.order2[self.h2] = mark
-        self.held[self.h1] = self.p1 == mark
-        self.order1[self.h1] = mark
+        self.order2[h2] = mark
         self.order0[self.at_slot + (ids & (SLOTS - 1))] = mark
-        self.before2, self.before1 = self.before1, ids
+        double = mark.astype(np.uint32)
+        held = p1 == double
+        double += double
+        double += held
+        self.order1[h1] = double
+
+    @staticmethod
+    def count(counts: np.ndarray, at: np.ndarray) -> None:
+        more = np.bincount(at.reshape(-1), minlength=len(counts)).astype(np.float32)
+        more *= np.float32(STEP)
+        counts += more
+
+
+def _spans() -> list[tuple[int, int]]:
+    """Steps of a block between two renewals."""
+    at = [0, *sorted(_renewals()), BLOCK]
+    return list(zip(at, at[1:]))
+
+
+class Writer:
+    """Ends, ranges and words put out of ``n`` range coders in step."""
+
+    def __init__(self, n: int):
+        self.low, self.span = np.zeros(n, dtype=np.uint64), np.full(n, ~np.uint64(0), dtype=np.uint64)
+        self.out = np.zeros((n, BLOCK + 2), dtype="<u4")
+        self.flat, self.first = self.out.reshape(-1), np.arange(n, dtype=np.int64) * (BLOCK + 2)
+        self.used = self.first.copy()
+
+    def put(self, a: np.ndarray, width: np.ndarray, lane: np.ndarray, high: np.ndarray, high_width: np.ndarray,
+            byte: np.ndarray) -> None:
+        """Code a share of ``TOTAL`` from ``a`` on in every lane, then an id's two bytes in the lanes named."""
+        low, span = self.low, self.span
+        span >>= _B12
+        low += span * a
+        span *= width
+        if len(lane):
+            r = span.take(lane)
+            r >>= _B12
+            s = r * high_width
+            s >>= _B8
+            r *= high
+            r += s * byte
+            low[lane] = low.take(lane) + r
+            span[lane] = s
+        small = np.flatnonzero(span < _TOP)
+        if len(small):
+            l, s = low.take(small), span.take(small)
+            s = _cut(l, s)
+            at = self.used.take(small)
+            self.flat[at] = l >> _B32
+            self.used[small] = at + 1
+            low[small], span[small] = l << _B32, s << _B32
+
+    def payload(self, lane: int, words: int, end: int) -> bytes:
+        return self.out[lane, :words].tobytes() + (end >> 32).to_bytes(4, "little") + (end & 0xFFFFFFFF).to_bytes(4, "little")
+
+
+def _cut(low: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """Ranges below 32 bits, cut where they straddle a 32-bit boundary."""
+    over = np.flatnonzero((low ^ (low + span)) >= _TOP)
+    if len(over):
+        span[over] = (~low[over] + np.uint64(1)) & _MASK32
+    return span
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """Payload of each block of ``ids`` (int, at most ``MAX_ID``)."""
+    """Payload of each block of ``ids`` (int, at most ``MAX_ID``).
+
+    As all ids are known, only the tables of predictions and the coders go
+    step by step; all else is worked out for the steps between two renewals
+    at a time."""
     if len(ids) and (int(ids.max()) > MAX_ID or int(ids.min()) < 0):
         raise ValueError("ids must lie between 0 and 65534")
     blocks = -(-len(ids) // BLOCK)
     if not blocks:
         return []
-    padded = np.zeros(blocks * BLOCK, dtype=np.int64)
+    padded = np.zeros(blocks * BLOCK, dtype=np.uint16)
     padded[:len(ids)] = ids
-    grid = np.ascontiguousarray(padded.reshape(blocks, BLOCK).T)
+    grid = np.zeros((BLOCK + 2, blocks), dtype=np.uint16)  # two zeros before each block
+    grid[2:] = padded.reshape(blocks, BLOCK).T
     tail = len(ids) - (blocks - 1) * BLOCK  # ids of the last block
-    model = Lanes(blocks)
-    low, span = np.zeros(blocks, dtype=np.uint64), np.full(blocks, ~np.uint64(0), dtype=np.uint64)
-    out = np.zeros((blocks, BLOCK + 2), dtype="<u4")
-    flat, used = out.reshape(-1), np.arange(blocks, dtype=np.int64) * (BLOCK + 2)
-    renewals, final = _renewals(), None
-    for t in range(BLOCK):
-        if t in renewals:
+    model, coder, final = Lanes(blocks), Writer(blocks), None
+    for begin, end in _spans():
+        if begin:
             model.renew()
-        if t == tail:
-            # The last block ends early; what its lane codes from here on is dropped.
-            final = int(used[-1]), int(low[-1])
-        x = grid[t]
-        model.look()
-        mark = x + 1
-        slot = x & (SLOTS - 1)
-        symbol = np.where(model.order0.take(model.at_slot + slot) == mark, slot + FIRST_SLOT, NONE)
-        symbol = np.where(model.p1 == mark, 1, symbol)
-        symbol = np.where(model.p2 == mark, 0, symbol)
-        at = model.row + symbol
-        a, b = model.mixed.take(at), model.mixed.take(at + 1)
-        r = span >> _B12
-        low += r * a
-        span = r * (b - a)
-        none = np.nonzero(symbol == NONE)[0]
-        if len(none):
-            y = x[none]
-            at = none * 257 + (y >> 8)
-            a, b = model.high.take(at), model.high.take(at + 1)
-            r = span[none] >> _B12
-            s = (r * (b - a)) >> _B8
-            low[none] += r * a + s * (y & 255).astype(np.uint64)
-            span[none] = s
-        small = np.nonzero(span < _TOP)[0]
-        if len(small):
-            l, s = low[small], span[small]
-            cut = (l ^ (l + s)) >= _TOP
-            s = np.where(cut, (~l + np.uint64(1)) & _MASK32, s)
-            flat[used[small]] = (l >> _B32).astype(np.uint32)
-            used[small] += 1
-            low[small], span[small] = l << _B32, s << _B32
-        model.learn(x, symbol, none)
-    first = np.arange(blocks) * (BLOCK + 2)
-    used -= first
-    result = []
-    for i in range(blocks):
-        words, end = int(used[i]), int(low[i])
-        if i == blocks - 1 and final is not None:
-            words, end = final[0] - int(first[i]), final[1]
-        result.append(out[i, :words].tobytes() + (end >> 32).to_bytes(4, "little") + (end & 0xFFFFFFFF).to_bytes(4, "little"))
-    return result
-
-
-def _search(table: np.ndarray, row: np.ndarray, n: int, value: np.ndarray) -> np.ndarray:
-    """Largest j < n (a power of two) with table[row + j] <= value, in each lane."""
-    at, step = row.copy(), n >> 1
-    while step:
-        ok = table.take(at + step) <= value
-        at += ok.view(np.int8) * np.int64(step)
-        step >>= 1
-    at -= row
+        x = grid[begin + 2:end + 2]
+        p1, held, p2, p0 = model.follow(x, grid[begin + 1:end + 1], grid[begin:end])
+        mark = x + np.uint16(1)
+        slot = (x & np.uint16(SLOTS - 1)).astype(np.uint8)
+        # No prediction, else order 0, else order 1, else order 2.
+        symbol = (p0 == mark) * (slot + np.uint8(FIRST_SLOT - NONE)) + np.uint8(NONE)
+        hit = p1 == mark
+        symbol *= ~hit
+        symbol += hit
+        symbol *= p2 != mark
+        row = (p2 > 0).astype(np.int64)
+        row += row
+        row += held
+        row += model.at_context
+        at = row * SYMBOLS
+        at += symbol
+        model.count(model.flat, at)
+        width = model.mixed.take(at)
+        a = width >> 16
+        width &= _WIDTH
+        step, lane = np.nonzero(symbol == NONE)
+        y = x[step, lane]
+        at = lane * 256
+        at += y >> 8
+        model.count(model.high_flat, at)
+        high_width = model.high.take(at)
+        high = high_width >> 16
+        high_width &= _WIDTH
+        byte = y & np.uint16(255)
+        upto = np.searchsorted(step, np.arange(end - begin + 1)).tolist()
+        for t in range(end - begin):
+            if begin + t == tail:
+                # The last block ends early; what its lane codes from here on is dropped.
+                final = int(coder.used[-1] - coder.first[-1]), int(coder.low[-1])
+            i, j = upto[t], upto[t + 1]
+            coder.put(a[t], width[t], lane[i:j], high[i:j], high_width[i:j], byte[i:j])
+    ends = list(zip((coder.used - coder.first).tolist(), coder.low.tolist()))
+    if final is not None:
+        ends[-1] = final
+    return [coder.payload(i, words, end) for i, (words, end) in enumerate(ends)]
+
+
+def _search(levels: list[np.ndarray], at: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Place, counted on from four to the power of levels for each ``at``, of the share that holds ``value``.
+
+    A word of a level holds the ends of four groups of shares; the ends at or
+    below the value, counted in one go, tell which group to look into."""
+    key = value * _FOUR
+    key |= _TOPS
+    for level in levels:
+        below = key - level.take(at, mode="wrap")
+        below &= _TOPS
+        at = at << 2
+        at += np.bitwise_count(below)
     return at
 
 
@@ -187,57 +291,87 @@ def decode_blocks(payloads: list[bytes], total: int) -> np.ndarray:
     if not blocks:
         return np.zeros(0, dtype=np.int32)
     sizes = np.array([len(p) // 4 for p in payloads], dtype=np.int64)
-    data = np.frombuffer(b"".join(payloads) + b"\0" * 8, dtype="<u4").astype(np.uint64)
-    end = int(sizes.sum())
+    data = np.frombuffer(b"".join(payloads) + b"\0" * 8, dtype="<u4")
     at = np.cumsum(sizes) - sizes
-    code = (data[at] << _B32) | data[at + 1]
+    rest = (data[at].astype(np.uint64) << _B32) | data[at + 1]  # the code above the low end
     at += 2
-    model = Lanes(blocks)
+    model = Lanes(blocks, search=True)
     low, span = np.zeros(blocks, dtype=np.uint64), np.full(blocks, ~np.uint64(0), dtype=np.uint64)
-    grid = np.empty((BLOCK, blocks), dtype=np.int64)
-    renewals, tail = _renewals(), total - (blocks - 1) * BLOCK
-    for t in range(BLOCK):
-        if t in renewals:
+    grid = np.empty((BLOCK, blocks), dtype=np.uint16)
+    before1 = before2 = np.zeros(blocks, dtype=np.int64)
+    tail = total - (blocks - 1) * BLOCK
+    for begin, stop in _spans():
+        if begin:
             model.renew()
-        model.look()
-        r = span >> _B12
-        value = np.minimum((code - low) // r, np.uint64(TOTAL - 1)).astype(np.uint16)
-        symbol = (value >= model.mixed.take(model.row + 1)).astype(np.int64)
-        symbol += value >= model.mixed.take(model.row + 2)
-        slotted = np.nonzero(value >= model.mixed.take(model.row + FIRST_SLOT))[0]
-        slots = _search(model.mixed, model.row[slotted] + FIRST_SLOT, SLOTS, value[slotted])
-        symbol[slotted] = slots + FIRST_SLOT
-        at_row = model.row + symbol
-        a, b = model.mixed.take(at_row), model.mixed.take(at_row + 1)
-        low += r * a
-        span = r * (b - a)
-        x = np.where(symbol == 1, model.p1, model.p2).astype(np.int64)
-        x[slotted] = model.order0.take(model.at_slot[slotted] + slots)
-        x -= 1
-        none = np.nonzero(symbol == NONE)[0]
-        if len(none):
-            row = none * 257
-            r = span[none] >> _B12
-            rest = code[none] - low[none]
-            value = np.minimum(rest // r, np.uint64(TOTAL - 1)).astype(np.uint16)
-            high = _search(model.high, row, 256, value)
-            a, b = model.high.take(row + high), model.high.take(row + high + 1)
-            s = (r * (b - a)) >> _B8
-            rest -= r * a
-            byte = np.minimum(rest // s, np.uint64(255))
-            low[none] += r * a + s * byte
-            span[none] = s
-            x[none] = (high << 8) | byte.astype(np.int64)
-        if t >= tail:
-            x[-1] = 0  # beyond the last block's end
-        small = np.nonzero(span < _TOP)[0]
-        if len(small):
-            l, s = low[small], span[small]
-            cut = (l ^ (l + s)) >= _TOP
-            s = np.where(cut, (~l + np.uint64(1)) & _MASK32, s)
-            code[small] = (code[small] << _B32) | data[np.minimum(at[small], end)]
-            at[small] += 1
-            low[small], span[small] = l << _B32, s << _B32
-        model.learn(x, symbol, none)
-        grid[t] = x
+        seen, seen_high = np.empty((stop - begin, blocks), dtype=np.int64), []
+        for t in range(begin, stop):
+            h1, h2 = model.places(before1, before2)
+            p1, p2 = model.order1.take(h1, mode="wrap"), model.order2.take(h2, mode="wrap")
+            row = (p2 > 0).astype(np.int64)
+            row += row
+            row += p1 & 1
+            row += model.at_context
+            p1 >>= 1
+            span >>= _B12
+            value = rest // span
+            np.minimum(value, _LAST, out=value)
+            symbol = _search(model.head, row, value)
+            symbol &= 3
+            slotted = np.flatnonzero(symbol == FIRST_SLOT)
+            slots = _search(model.slots, row.take(slotted), value.take(slotted))
+            slots &= SLOTS - 1
+            symbol[slotted] = slots + FIRST_SLOT
+            row *= SYMBOLS
+            row += symbol
+            seen[t - begin] = row
+            width = model.mixed.take(row, mode="wrap")
+            a = span * (width >> 16)
+            low += a
+            rest -= a
+            span *= width & _WIDTH
+            x = p2.astype(np.int64)
+            hit = np.flatnonzero(symbol == 1)
+            x[hit] = p1.take(hit)
+            slots += model.at_slot.take(slotted)
+            x[slotted] = model.order0.take(slots)
+            x -= 1
+            none = np.flatnonzero(symbol == NONE)
+            if len(none):
+                r, over = span.take(none), rest.take(none)
+                r >>= _B12
+                value = over // r
+                np.minimum(value, _LAST, out=value)
+                high = _search(model.highs, none, value)
+                seen_high.append(high)
+                width = model.high.take(high)
+                a = r * (width >> 16)
+                r *= width & _WIDTH
+                r >>= _B8
+                over -= a
+                byte = over // r
+                np.minimum(byte, _BYTE, out=byte)
+                s = r * byte
+                over -= s
+                a += s
+                low[none] = low.take(none) + a
+                rest[none], span[none] = over, r
+                high = high << 8 & 0xFF00
+                high |= byte.view(np.int64)
+                x[none] = high
+            if t >= tail:
+                x[-1] = 0  # beyond the last block's end
+            small = np.flatnonzero(span < _TOP)
+            if len(small):
+                l = low.take(small)
+                s = _cut(l, span.take(small))
+                word = at.take(small)
+                rest[small] = (rest.take(small) << _B32) | data.take(word, mode="clip")
+                at[small] = word + 1
+                low[small], span[small] = l << _B32, s << _B32
+            grid[t] = x
+            model.learn(x, p1, h1, h2)
+            before2, before1 = before1, x
+        model.count(model.flat, seen)
+        if seen_high:
+            model.count(model.high_flat, np.concatenate(seen_high))
     return grid.T.reshape(-1)[:total].astype(np.int32)
