@@ -120,3 +120,77 @@ def test_short_pieces_are_their_own_key():
     ids, sizes = e.encode(texts * 2)
     want = [lib.encode(x, add_special_tokens=False).ids for x in texts * 2]
     assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+class Spy:
+    def __init__(self, model):
+        self.model, self.asked = model, []
+
+    def tokenize(self, piece):
+        self.asked.append(piece)
+        return self.model.tokenize(piece)
+
+
+def same_ids(e, texts):
+    lib = Tokenizer.from_file(t.BYTE_BPE)
+    ids, sizes = e.encode(texts)
+    want = [lib.encode(x, add_special_tokens=False).ids for x in texts]
+    assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_model_is_asked_once_for_each_piece(given):
+    """Neither a second text nor a second chunk asks again."""
+    e = PieceEncoder(t.BYTE_BPE)
+    e.model = Spy(e.model)
+    texts = [x or "" for _, x in given if "<|" not in (x or "")]
+    same_ids(e, texts)
+    asked = len(e.model.asked)
+    assert asked and asked == len(set(e.model.asked))
+    same_ids(e, texts[::-1])
+    assert len(e.model.asked) == asked
+
+
+def test_pieces_at_one_address_are_told_apart(monkeypatch):
+    monkeypatch.setattr(PieceEncoder, "_address", lambda self, a, b: np.full(len(a), len(self.place) - 2, dtype=np.int64))
+    e = PieceEncoder(t.BYTE_BPE)
+    for k in range(3):
+        same_ids(e, [f"word{i} w{i + k} a longer{'r' * i} one" for i in range(40)])
+
+
+def test_pieces_around_the_size_of_a_key_and_small_caches(monkeypatch):
+    from tillcast.llm import pretokens
+    texts = ["x" * n for n in range(1, 40)] + ["é" * n for n in range(1, 20)] + ["漢" * n + "　z　　y" for n in range(1, 9)]
+    e = PieceEncoder(t.BYTE_BPE)
+    same_ids(e, texts * 2)
+    monkeypatch.setattr(pretokens, "CACHE_PIECES", 5)
+    monkeypatch.setattr(pretokens, "CACHE_LONG_BYTES", 20)
+    for i in range(0, len(texts), 3):
+        same_ids(e, texts[i:i + 5])
+    assert e.n < 40
+
+
+def test_table_of_pieces_grows():
+    """More pieces than the first table has addresses, some longer than a key."""
+    e = PieceEncoder(t.BYTE_BPE)
+    words = [f"q{i:x}" + "z" * (i % 3 * 8) for i in range(20_000)]
+    for i in range(0, len(words), 6000):
+        same_ids(e, words[i:i + 6000])
+    same_ids(e, words)
+
+
+def test_search_by_words_of_ends():
+    g = np.random.default_rng(3)
+    ends = np.sort(g.choice(np.arange(1, rc.TOTAL), (5, 255)), axis=1)
+    ends = np.concatenate([ends, np.full((5, 1), rc.TOTAL)], axis=1).astype(np.uint16)
+    levels = [rc._words(ends[:, k - 1::k]) for k in (64, 16, 4)] + [rc._words(ends)]
+    for lane in range(5):
+        value = np.arange(rc.TOTAL, dtype=np.uint64)
+        got = rc._search(levels, np.full(rc.TOTAL, lane), value)
+        assert (got - 256 * lane == np.searchsorted(ends[lane], value, side="right")).all()
+
+
+def test_reading_without_ids(make_docs, given):
+    segments = t.write_tokens(make_docs(given[:20]))
+    short = t.read_tokens(segments, with_ids=False)
+    assert "ids" not in short.columns
+    assert sorted(short.collect()) == sorted(t.read_tokens(segments).drop("ids").collect())

@@ -21,7 +21,7 @@ from tillcast.llm.bpe import byte_characters
 
 LETTER, NUMBER, OTHER, BLANK, SPACE, GAP = range(6)
 #: Distinct pieces a worker remembers (memory bound only).
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 2_000_000
 #: Bytes of longer pieces a worker remembers (memory bound only).
 CACHE_LONG_BYTES = 32 << 20
 #: Bytes from which on a piece is no key of two words.

@@ -31,12 +31,12 @@ TABLE = 1024
 TOTAL_BITS = 12
 TOTAL = 1 << TOTAL_BITS
 STEP = 24  # added to a count
+GROUP = 64  # lanes whose shares are renewed together, so that they stay near the core
 MAX_ID = (1 << 16) - 2
 _MASK32 = np.uint64(0xFFFFFFFF)
 _TOP = np.uint64(1 << 32)
 _B12, _B8, _B32 = np.uint64(TOTAL_BITS), np.uint64(8), np.uint64(32)
 _LAST, _BYTE = np.uint64(TOTAL - 1), np.uint64(255)
-_WIDTH = np.uint32(0xFFFF)
 _FOUR, _TOPS = np.uint64(0x0001000100010001), np.uint64(0x8000800080008000)
 
 
@@ -45,19 +45,22 @@ def _renewals() -> set[int]:
     return {16, 48, 128, *range(256, BLOCK, 192)}
 
 
-def _shares(weights: np.ndarray, both: np.ndarray, ends: np.ndarray | None) -> None:
-    """Integer shares of ``TOTAL``, at least one for each entry (last axis): into ``both`` where each
-    begins (upper 16 bits) and its width (lower), into ``ends``, if given, where it ends."""
+def _shares(weights: np.ndarray, ends: np.ndarray) -> None:
+    """Into ``ends``: where each entry's integer share of ``TOTAL``, at least one, ends (last axis)."""
     n = weights.shape[-1]
     sums = np.cumsum(weights, axis=-1, dtype=np.float32)
     sums *= np.float32(TOTAL - n) / sums[..., -1:]
-    sums = sums.astype(np.uint32)
-    sums += np.arange(1, n + 1, dtype=np.uint32)
-    sums[..., -1] = TOTAL
-    both[...] = sums
-    both[..., 1:] += sums[..., :-1] * np.uint32(0xFFFF)
-    if ends is not None:
-        ends[...] = sums
+    ends[...] = sums
+    ends += np.arange(1, n + 1, dtype=np.uint16)
+    ends[..., -1] = TOTAL
+
+
+def _share(ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and width of the shares at these places."""
+    # Before the first of a row stands the last of another, where TOTAL is as good as 0.
+    a = ends.take(at - 1, mode="wrap")
+    a &= TOTAL - 1
+    return a, ends.take(at, mode="wrap") - a
 
 
 def _words(ends: np.ndarray) -> np.ndarray:
@@ -65,6 +68,12 @@ def _words(ends: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(ends).reshape(-1).view(np.uint64)
 
 
+def _counted(at: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    more = np.bincount(at.reshape(-1), minlength=int(np.prod(shape))).astype(np.float32)
+    more *= np.float32(STEP)
+    return more.reshape(shape)
+
+
 class Lanes:
     """Model state of ``n`` blocks coded in step; ``search``: whether symbols will be looked for by their shares."""
 
@@ -81,22 +90,26 @@ class Lanes:
         self.counts = np.full((n, CONTEXTS, SYMBOLS), 1, dtype=np.float32)
         self.counts[..., NONE] = 16
         self.high_counts = np.full((n, 256), 1, dtype=np.float32)
-        self.flat, self.high_flat = self.counts.reshape(-1), self.high_counts.reshape(-1)
-        mixed, high = np.empty(self.counts.shape, dtype=np.uint32), np.empty(self.high_counts.shape, dtype=np.uint32)
-        self.shares, self.mixed, self.high = (mixed, high), mixed.reshape(-1), high.reshape(-1)
-        self.ends = (np.empty(mixed.shape, dtype=np.uint16), np.empty(high.shape, dtype=np.uint16)) if search else (None, None)
+        self.search = search
+        self.ends = np.empty(self.counts.shape, dtype=np.uint16), np.empty(self.high_counts.shape, dtype=np.uint16)
+        self.mixed, self.high = (x.reshape(-1) for x in self.ends)
         self.renew()
 
-    def renew(self) -> None:
-        (mixed, high), (ends, high_ends) = self.shares, self.ends
-        for i in range(0, self.n, 64):  # some lanes at a time stay near the core
-            part = slice(i, i + 64)
+    def renew(self, seen: np.ndarray | None = None, seen_high: np.ndarray | None = None) -> None:
+        """New shares; ``seen``, ``seen_high``: places of the counts of what was coded since, a row a step the former."""
+        ends, high_ends = self.ends
+        if seen_high is not None:
+            self.high_counts += _counted(seen_high, self.high_counts.shape)
+        for i in range(0, self.n, GROUP):
+            part = slice(i, i + GROUP)
             counts = self.counts[part]
+            if seen is not None:
+                counts += _counted(seen[:, part] - i * CONTEXTS * SYMBOLS, counts.shape)
             block = counts.sum(axis=1, keepdims=True)
             block *= np.float32(64) / block.sum(axis=2, keepdims=True)
-            _shares(counts + block, mixed[part], None if ends is None else ends[part])
-            _shares(self.high_counts[part], high[part], None if ends is None else high_ends[part])
-        if ends is not None:
+            _shares(counts + block, ends[part])
+            _shares(self.high_counts[part], high_ends[part])
+        if self.search:
             head = np.full((self.n, CONTEXTS, 4), TOTAL, dtype=np.uint16)
             head[..., :FIRST_SLOT] = ends[..., :FIRST_SLOT]
             self.head = [_words(head)]
@@ -149,12 +162,6 @@ class Lanes:
         double += held
         self.order1[h1] = double
 
-    @staticmethod
-    def count(counts: np.ndarray, at: np.ndarray) -> None:
-        more = np.bincount(at.reshape(-1), minlength=len(counts)).astype(np.float32)
-        more *= np.float32(STEP)
-        counts += more
-
 
 def _spans() -> list[tuple[int, int]]:
     """Steps of a block between two renewals."""
@@ -225,9 +232,10 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     grid[2:] = padded.reshape(blocks, BLOCK).T
     tail = len(ids) - (blocks - 1) * BLOCK  # ids of the last block
     model, coder, final = Lanes(blocks), Writer(blocks), None
+    seen = seen_high = None
     for begin, end in _spans():
         if begin:
-            model.renew()
+            model.renew(seen, seen_high)
         x = grid[begin + 2:end + 2]
         p1, held, p2, p0 = model.follow(x, grid[begin + 1:end + 1], grid[begin:end])
         mark = x + np.uint16(1)
@@ -242,20 +250,14 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
         row += row
         row += held
         row += model.at_context
-        at = row * SYMBOLS
-        at += symbol
-        model.count(model.flat, at)
-        width = model.mixed.take(at)
-        a = width >> 16
-        width &= _WIDTH
+        seen = row * SYMBOLS
+        seen += symbol
+        a, width = _share(model.mixed, seen)
         step, lane = np.nonzero(symbol == NONE)
         y = x[step, lane]
-        at = lane * 256
-        at += y >> 8
-        model.count(model.high_flat, at)
-        high_width = model.high.take(at)
-        high = high_width >> 16
-        high_width &= _WIDTH
+        seen_high = lane * 256
+        seen_high += y >> 8
+        high, high_width = _share(model.high, seen_high)
         byte = y & np.uint16(255)
         upto = np.searchsorted(step, np.arange(end - begin + 1)).tolist()
         for t in range(end - begin):
@@ -300,9 +302,10 @@ def decode_blocks(payloads: list[bytes], total: int) -> np.ndarray:
     grid = np.empty((BLOCK, blocks), dtype=np.uint16)
     before1 = before2 = np.zeros(blocks, dtype=np.int64)
     tail = total - (blocks - 1) * BLOCK
+    seen, seen_high = None, []
     for begin, stop in _spans():
         if begin:
-            model.renew()
+            model.renew(seen, np.concatenate(seen_high) if seen_high else None)
         seen, seen_high = np.empty((stop - begin, blocks), dtype=np.int64), []
         for t in range(begin, stop):
             h1, h2 = model.places(before1, before2)
@@ -324,11 +327,11 @@ def decode_blocks(payloads: list[bytes], total: int) -> np.ndarray:
             row *= SYMBOLS
             row += symbol
             seen[t - begin] = row
-            width = model.mixed.take(row, mode="wrap")
-            a = span * (width >> 16)
+            a, width = _share(model.mixed, row)
+            a = span * a
             low += a
             rest -= a
-            span *= width & _WIDTH
+            span *= width
             x = p2.astype(np.int64)
             hit = np.flatnonzero(symbol == 1)
             x[hit] = p1.take(hit)
@@ -343,9 +346,9 @@ def decode_blocks(payloads: list[bytes], total: int) -> np.ndarray:
                 np.minimum(value, _LAST, out=value)
                 high = _search(model.highs, none, value)
                 seen_high.append(high)
-                width = model.high.take(high)
-                a = r * (width >> 16)
-                r *= width & _WIDTH
+                a, width = _share(model.high, high)
+                a = r * a
+                r *= width
                 r >>= _B8
                 over -= a
                 byte = over // r
@@ -371,7 +374,4 @@ def decode_blocks(payloads: list[bytes], total: int) -> np.ndarray:
             grid[t] = x
             model.learn(x, p1, h1, h2)
             before2, before1 = before1, x
-        model.count(model.flat, seen)
-        if seen_high:
-            model.count(model.high_flat, np.concatenate(seen_high))
     return grid.T.reshape(-1)[:total].astype(np.int32)

@@ -34,7 +34,7 @@ END_ID = 2
 MAGIC = b"TCT1"
 #: Ids coded in step (a segment ends with the document that reaches it) and
 #: text bytes encoded at a time (memory bounds only).
-SEGMENT_IDS = 3 << 20
+SEGMENT_IDS = 2 << 20
 CHUNK_BYTES = 2 << 20
 
 SEGMENT = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("seq", T.IntegerType()),
@@ -152,29 +152,33 @@ def write_tokens(docs: DataFrame, tokenizer: str = BYTE_BPE, end_id: int = END_I
     return docs.sparkSession.read.schema(SEGMENT).parquet(path)
 
 
-def _documents_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i in range(b.num_rows):
-            keys, named, sizes, ids = unpack_segment(b.column("data")[i].as_py())
-            ends = np.cumsum(sizes)
-            raw = ids.astype("<u4")
-            crc = [zlib.crc32(raw[a:z]) for a, z in zip((ends - sizes).tolist(), ends.tolist())]
-            n = len(keys)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, b.column("part")[i].as_py(), dtype=np.int32)),
-                 pa.array(np.full(n, b.column("seq")[i].as_py(), dtype=np.int32)),
-                 pa.array(keys, mask=~named), pa.array(ends - sizes), pa.array(sizes), pa.array(crc, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(np.append(ends - sizes, len(ids)).astype(np.int32)), pa.array(ids))],
-                ["part", "seq", "doc_id", "inside", "n_tokens", "ids_crc32", "ids"])
-
-
-def read_tokens(segments: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens, ids_crc32 and ids of
-    every document, decoded from the segments.  A damaged record fails the read."""
+def _documents_of(with_ids: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                keys, named, sizes, ids = unpack_segment(b.column("data")[i].as_py())
+                ends = np.cumsum(sizes)
+                raw = ids.astype("<u4")
+                crc = [zlib.crc32(raw[a:z]) for a, z in zip((ends - sizes).tolist(), ends.tolist())]
+                n = len(keys)
+                columns = {"part": pa.array(np.full(n, b.column("part")[i].as_py(), dtype=np.int32)),
+                           "seq": pa.array(np.full(n, b.column("seq")[i].as_py(), dtype=np.int32)),
+                           "doc_id": pa.array(keys, mask=~named), "inside": pa.array(ends - sizes), "n_tokens": pa.array(sizes),
+                           "ids_crc32": pa.array(crc, pa.int64())}
+                if with_ids:
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(np.append(ends - sizes, len(ids)).astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_pydict(columns)
+    return run
+
+
+def read_tokens(segments: DataFrame, with_ids: bool = True) -> DataFrame:
+    """doc_id, start (ids of all documents before), n_tokens, ids_crc32 and, unless
+    ``with_ids`` is False, ids of every document, all decoded from the segments.
+    A damaged record fails the read."""
     out = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("seq", T.IntegerType()),
                         *[T.StructField(c, T.LongType()) for c in ("doc_id", "inside", "n_tokens", "ids_crc32")],
-                        T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    rows = segments.select("part", "seq", "data").mapInArrow(task(_documents_of), out)
+                        *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
+    rows = segments.select("part", "seq", "data").mapInArrow(task(_documents_of(with_ids)), out)
     # Ids before a segment: those of earlier ranges (one row a range) and of
     # earlier segments of its own range.
     size = segments.select("part", "seq", "n_ids")
@@ -185,9 +189,9 @@ def read_tokens(segments: DataFrame) -> DataFrame:
     before = (size.withColumn("own_before", F.coalesce(F.sum("n_ids").over(own), F.lit(0))).join(ranges, "part")
               .select("part", "seq", (F.col("ranges_before") + F.col("own_before")).alias("before")))
     return rows.join(before, ["part", "seq"]).select(
-        "doc_id", (F.col("before") + F.col("inside")).cast("long").alias("start"), "n_tokens", "ids_crc32", "ids")
+        "doc_id", (F.col("before") + F.col("inside")).cast("long").alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract: place, number and checksum of every document's ids, read from the files."""
-    return read_tokens(write_tokens(documents(spark, sf_dir))).drop("ids")
+    return read_tokens(write_tokens(documents(spark, sf_dir)), with_ids=False)
