@@ -194,3 +194,22 @@ def test_reading_without_ids(make_docs, given):
     short = t.read_tokens(segments, with_ids=False)
     assert "ids" not in short.columns
     assert sorted(short.collect()) == sorted(t.read_tokens(segments).drop("ids").collect())
+
+
+@pytest.mark.parametrize("n", [1, 90, 210, 310, 1000])
+def test_segments_of_a_range_are_alike_in_size(n, monkeypatch):
+    """No short segment beside a full one; documents keep their order over two ranges."""
+    import pyarrow as pa
+    monkeypatch.setattr(t, "SEGMENT_IDS", 1000)
+    monkeypatch.setattr(t, "CHUNK_BYTES", 200)
+    texts = [f"some words {i} here" for i in range(n)]
+    rows = pa.RecordBatch.from_pydict({"id": [*range(n), None], "text": [*texts, ""], "part": pa.array([3] * n + [5], pa.int32())})
+    got = pa.Table.from_batches(t._segments(t.BYTE_BPE, 2)(iter([rows]))).to_pylist()
+    assert [r["part"] for r in got] == [3] * (len(got) - 1) + [5] and [r["seq"] for r in got] == [*range(len(got) - 1), 0]
+    sizes = [r["n_ids"] for r in got[:-1]]
+    assert max(sizes) <= 1510 and (len(sizes) == 1 or min(sizes) >= 740)
+    back = [t.unpack_segment(r["data"]) for r in got]
+    assert np.concatenate([b[0] for b in back[:-1]]).tolist() == list(range(n)) and not back[-1][1].any()
+    lib = Tokenizer.from_file(t.BYTE_BPE)
+    want = [i for x in texts for i in [*lib.encode(x, add_special_tokens=False).ids, 2]]
+    assert np.concatenate([b[3] for b in back[:-1]]).tolist() == want and back[-1][3].tolist() == [2]

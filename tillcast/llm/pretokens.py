@@ -36,7 +36,10 @@ _MASK2 = np.array([(1 << 8 * max(n - 8, 0)) - 1 for n in range(LONG)], dtype=np.
 def character_classes() -> np.ndarray:
     """Class of every code point."""
     kinds = {"L": LETTER, "N": NUMBER}
-    out = np.array([kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)], dtype=np.uint8)
+    out = np.full(0x110000, OTHER, dtype=np.uint8)
+    for plane in (0, 1, 2, 3, 14):  # the others hold nothing, or private characters
+        at = plane << 16
+        out[at:at + 0x10000] = [kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(at, at + 0x10000)]
     # White space by the Unicode property.
     out[[*range(0x09, 0x0E), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = SPACE
     out[0x20] = BLANK

@@ -32,8 +32,9 @@ from tillcast.llm.range_coder import BLOCK, decode_blocks, encode_blocks
 BYTE_BPE = tokenizer_path("byte_bpe_50k.json")
 END_ID = 2
 MAGIC = b"TCT1"
-#: Ids coded in step (a segment ends with the document that reaches it) and
-#: text bytes encoded at a time (memory bounds only).
+#: Ids coded in step (a segment ends with the document that reaches it; the last
+#: one of a range may be half as long again, so that none is short beside another)
+#: and text bytes encoded at a time (memory bounds only).
 SEGMENT_IDS = 2 << 20
 CHUNK_BYTES = 2 << 20
 
@@ -91,13 +92,24 @@ def _segments(path: str, end_id: int):
         encoder = piece_encoder(path)
         keys, sizes, parts, held, seq, part = [], [], [], 0, 0, None
 
-        def flush():
-            ids = np.concatenate(parts)
-            key = np.array([0 if k is None else k for k in keys], dtype=np.int64)
-            data = pack_segment(key, np.array([k is not None for k in keys]), np.concatenate(sizes), ids, end_id)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(keys)], pa.int64()),
-                 pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())], SEGMENT.names)
+        def flush(upto):
+            """Segment of the first documents held, up to the one that reaches so many ids."""
+            nonlocal keys, sizes, parts, held, seq
+            size, ids = np.concatenate(sizes), np.concatenate(parts)
+            ends = np.cumsum(size)
+            n = min(int(np.searchsorted(ends, upto)) + 1, len(keys))
+            total = int(ends[n - 1])
+            key = np.array([0 if k is None else k for k in keys[:n]], dtype=np.int64)
+            data = pack_segment(key, np.array([k is not None for k in keys[:n]]), size[:n], ids[:total], end_id)
+            row = [part], [seq], [n], [total], [data]
+            keys, sizes, parts, held, seq = keys[n:], [size[n:]], [ids[total:]], held - total, seq + 1
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (
+                pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], SEGMENT.names)
+
+        def rest():
+            """Segments of all documents held."""
+            while keys:
+                yield flush(held // 2 if 2 * held > 3 * SEGMENT_IDS else held)
 
         for b in batches:
             texts = b.column("text").to_pylist()
@@ -108,10 +120,9 @@ def _segments(path: str, end_id: int):
                 while j < len(texts) and (size < CHUNK_BYTES or j == i) and part_of[j] == part_of[i]:
                     size += len(texts[j])
                     j += 1
-                if keys and part_of[i] != part:
-                    yield flush()
-                    keys, sizes, parts, held, seq = [], [], [], 0, 0
-                part = part_of[i]
+                if part_of[i] != part:
+                    yield from rest()
+                    part, seq = part_of[i], 0
                 ids, n = encoder.encode(texts[i:j])
                 # The end id after each document's ids.
                 ends = np.cumsum(n + 1) - 1
@@ -123,12 +134,10 @@ def _segments(path: str, end_id: int):
                 sizes.append(n + 1)
                 parts.append(out)
                 held += len(out)
-                if held >= SEGMENT_IDS:
-                    yield flush()
-                    keys, sizes, parts, held, seq = [], [], [], 0, seq + 1
+                while held >= 2 * SEGMENT_IDS:
+                    yield flush(SEGMENT_IDS)
                 i = j
-        if keys:
-            yield flush()
+        yield from rest()
     return run
 
 
