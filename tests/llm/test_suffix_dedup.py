@@ -168,3 +168,30 @@ def test_only_blocks_with_a_hot_anchor_hear_of_it():
     # An anchor of every document is named alike by those who hold its bytes.
     grams = np.frombuffer(b"".join(phrase[i:i + s.GRAM].encode() for i in range(len(phrase) - s.GRAM + 1)), dtype=np.uint8)
     assert set(told) <= set(s._names(grams.reshape(-1, s.GRAM), n).tolist())
+
+
+def test_many_buckets_cost_little_more_disk_than_few():
+    """Anchors and documents were packed 4 MB of text at a time, whatever the number of buckets, and records bore
+    the eight random bytes of a document's key: at 6 GB, with 600 buckets, a blob held a few of them."""
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(r.choice(words) for _ in range(400)).encode() for _ in range(4000)]
+    assert sum(map(len, texts)) > 2 * s.CHUNK
+    keys = [r.randrange(-1 << 63, 1 << 63) for _ in texts]
+    docs = pa.record_batch([pa.array(keys), pa.array(texts), pa.array(range(len(texts)))], names=["rk", "text", "ord"])
+    part = docs.select(["rk", "text"])
+    assert len([*s._pack_documents(300)(iter([docs]))]) == len([*s._emit_anchors(300)(iter([part]))]) == 1
+    assert len([*s._pack_documents(16)(iter([docs]))]) > 1 and len([*s._emit_anchors(16)(iter([part]))]) > 1
+    block = np.array(keys, dtype=np.int64) // 600 * 600 + 7
+    rec = np.zeros(len(block), dtype=s.SEEN)
+    rec["rk"] = s._short(block, 600)
+    assert len(set(rec["rk"].tolist())) == len(set(block.tolist())) and set((rec["rk"] % 600).tolist()) == {7}
+    assert sum(len(x) for x in s._packed(np.zeros(len(rec), dtype=np.int64), rec).column("data").to_pylist()) < 4 * len(rec)
+
+
+def test_numbers_come_back_from_byte_planes():
+    rec = np.zeros(3, dtype=s.HIT)
+    rec["rk"], rec["pos"], rec["mask"] = [-5, 1 << 40, 7], [0, 1 << 31, 2], [1, 1 << 34, 0]
+    for n in (0, 1, 3):
+        got = s._unpacked(pa.Table.from_batches([s._packed(np.zeros(n, dtype=np.int64), rec[:n])]), s.HIT)
+        assert np.array_equal(got, rec[:n])

@@ -52,7 +52,11 @@ CONTEXT = REACH + LENGTH
 CONTEXTS = 1 << 14  # contexts gathered at a time (memory bound only)
 HOT = 1 << 15  # contexts of an anchor above which its windows are dealt by their own hash
 CHUNK = 4 << 20  # bytes hashed at a time (memory bound only)
-LEVEL = 1  # of zstd
+GATHER = 1 << 20  # anchors packed at a time at most (memory bound only)
+RECORDS = 1 << 12  # anchors that a blob is to hold, as far as that bound allows
+MOST_TEXT = 16 << 20  # bytes of documents packed at a time at most (memory bound only)
+BLOB_TEXT = 64 << 10  # bytes of documents that a blob is to hold, as far as that bound allows
+LEVEL = 6  # of zstd; 1 for anchors, which are mostly hash bits
 PAD = 0xFF  # never occurs in UTF-8
 BLOB = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("data", T.BinaryType())])
 ANCHOR = np.dtype([("rk", "<i8"), ("pos", "<u4")])
@@ -106,13 +110,24 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte: all first bytes, all second ones, and so on.  The high bytes of keys, places
+    and ranks are alike and compress to nothing, also in the small blobs that many buckets make."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _from_planes(raw: bytes, kind: np.dtype, offset: int, count: int) -> np.ndarray:
+    planes = np.frombuffer(raw, dtype=np.uint8, offset=offset, count=count * kind.itemsize)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, count).T).view(kind)[:, 0] if count else np.zeros(0, dtype=kind)
+
+
 def _packed(bucket: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
     """One row per bucket with its records, field by field, compressed."""
     order = np.argsort(bucket, kind="stable")
     bucket, records = bucket[order], records[order]
     first = _runs(bucket).tolist()
     pack = zstandard.ZstdCompressor(level=LEVEL).compress
-    blobs = [pack(b"".join(np.ascontiguousarray(records[f][x:y]).tobytes() for f in records.dtype.names))
+    blobs = [pack(b"".join(records[f][x:y].tobytes() if records.dtype[f].shape else _planes(records[f][x:y]) for f in records.dtype.names))
              for x, y in zip(first, [*first[1:], len(bucket)])]
     return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(blobs, pa.binary())],
                                       ["bucket", "data"])
@@ -126,23 +141,29 @@ def _unpacked(table: pa.Table, kind: np.dtype) -> np.ndarray:
         part, at = np.empty(n, dtype=kind), 0
         for f in kind.names:
             size = n * kind[f].itemsize
-            part[f] = np.frombuffer(raw, dtype=kind[f].base, offset=at, count=size // kind[f].base.itemsize).reshape(n, *kind[f].shape)
+            if kind[f].shape:
+                part[f] = np.frombuffer(raw, dtype=kind[f].base, offset=at, count=size // kind[f].base.itemsize).reshape(n, *kind[f].shape)
+            else:
+                part[f] = _from_planes(raw, kind[f], at, n)
             at += size
         parts.append(part)
     return np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
 
 
 def _pack_documents(buckets: int):
-    """Documents of a task as compressed Arrow tables, one per block."""
+    """Documents of a task as compressed Arrow tables, one per block.  The more blocks, the more text
+    is gathered first: pieces of a document or two would compress badly."""
+    most = max(CHUNK, min(MOST_TEXT, buckets * BLOB_TEXT))
+
     def chunk(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
         block = np.mod(t.column("rk").to_numpy(), buckets)
         order = np.argsort(block, kind="stable")
         t, block = t.take(pa.array(order)).combine_chunks(), block[order]
-        first, blobs = _runs(block).tolist(), []
+        first, blobs, options = _runs(block).tolist(), [], pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))
         for x, y in zip(first, [*first[1:], len(block)]):
             out = pa.BufferOutputStream()
-            with pa.ipc.new_stream(out, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            with pa.ipc.new_stream(out, t.schema, options=options) as w:
                 w.write_table(t.slice(x, y - x))
             blobs.append(out.getvalue().to_pybytes())
         return pa.RecordBatch.from_arrays([pa.array(block[first].astype(np.int32)), pa.array(blobs, pa.binary())],
@@ -154,7 +175,7 @@ def _pack_documents(buckets: int):
             for i in range(0, b.num_rows, 256):
                 held.append(b.slice(i, 256))
                 size += held[-1].column("text").nbytes
-                if size >= CHUNK:
+                if size >= most:
                     yield chunk(held)
                     held, size = [], 0
         if held:
@@ -196,8 +217,8 @@ _NONE = np.zeros((2, 0), dtype="<u4")
 def _anchor_blob(h32: np.ndarray, rk: np.ndarray, pos: np.ndarray, many: np.ndarray, also_h: np.ndarray, also: np.ndarray) -> bytes:
     first = _runs(rk)
     sizes = np.diff(np.append(first, len(rk))).astype("<u4")
-    return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join([np.array([len(first), len(rk)], dtype="<u4").tobytes(), rk[first].astype("<i8").tobytes(),
-                     sizes.tobytes(), h32.astype("<u4").tobytes(), pos.astype("<u4").tobytes(), many.astype("<u4").tobytes(),
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.array([len(first), len(rk)], dtype="<u4").tobytes(), _planes(rk[first].astype("<i8")),
+                     _planes(sizes), h32.astype("<u4").tobytes(), _planes(pos.astype("<u4")), _planes(many.astype("<u4")),
                      also_h.astype("<u4").tobytes(), also.astype("<u4").tobytes()]))
 
 
@@ -206,28 +227,36 @@ def _read_anchor_blob(blob: bytes) -> tuple[np.ndarray, ...]:
     nd, n = np.frombuffer(blob, dtype="<u4", count=2)
     nd, n = int(nd), int(n)
     also_h, also = np.frombuffer(blob, dtype="<u4", offset=8 + 12 * (nd + n)).reshape(2, -1) if len(blob) > 8 + 12 * (nd + n) else _NONE
-    rk = np.frombuffer(blob, dtype="<i8", count=nd, offset=8)
-    sizes = np.frombuffer(blob, dtype="<u4", count=nd, offset=8 + 8 * nd)
-    h = np.frombuffer(blob, dtype="<u4", count=n, offset=8 + 12 * nd)
-    pos = np.frombuffer(blob, dtype="<u4", count=n, offset=8 + 12 * nd + 4 * n)
-    many = np.frombuffer(blob, dtype="<u4", count=n, offset=8 + 12 * nd + 8 * n)
+    u4 = np.dtype("<u4")
+    rk = _from_planes(blob, np.dtype("<i8"), 8, nd)
+    sizes = _from_planes(blob, u4, 8 + 8 * nd, nd)
+    h = np.frombuffer(blob, dtype=u4, count=n, offset=8 + 12 * nd)
+    pos = _from_planes(blob, u4, 8 + 12 * nd + 4 * n, n)
+    many = _from_planes(blob, u4, 8 + 12 * nd + 8 * n, n)
     return h, np.repeat(rk, sizes), pos, many, also_h, also
 
 
-def _chunk_anchors(texts: list[bytes], keys: list[int], buckets: int) -> pa.RecordBatch | None:
-    """Anchor blobs of some documents: hash buckets 0.., and ``buckets`` + block
-    for anchors that are known to be shared already."""
+def _text_anchors(texts: list[bytes], keys: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of some documents: their hashes, keys of their documents and places."""
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     ends = np.cumsum([len(t) for t in texts])
     at, h = anchors(data)
     doc = np.searchsorted(ends, at, side="right")
     inside = at + GRAM <= ends[doc]
     at, h, doc = at[inside], h[inside], doc[inside]
-    if not len(at):
+    return _mix(h), np.array(keys, dtype=np.int64)[doc], (at - np.concatenate([[0], ends])[doc]).astype(np.uint32)
+
+
+def _chunk_anchors(texts: list[bytes], keys: list[int], buckets: int) -> pa.RecordBatch | None:
+    """``_anchor_blobs`` of some documents."""
+    return _anchor_blobs(*_text_anchors(texts, keys), buckets)
+
+
+def _anchor_blobs(h: np.ndarray, rk: np.ndarray, pos: np.ndarray, buckets: int) -> pa.RecordBatch | None:
+    """Blobs of anchors: hash buckets 0.., and ``buckets`` + block
+    for anchors that are known to be shared already."""
+    if not len(h):
         return None
-    rk = np.array(keys, dtype=np.int64)[doc]
-    pos = at - np.concatenate([[0], ends])[doc]
-    h = _mix(h)
     order = np.argsort(h, kind="stable")
     h, rk, pos = h[order], rk[order], pos[order]
     shared, head = _meets_another(h, rk)
@@ -261,8 +290,16 @@ def _chunk_anchors(texts: list[bytes], keys: list[int], buckets: int) -> pa.Reco
 
 
 def _emit_anchors(buckets: int):
+    """The more buckets, the more anchors are gathered before they are packed: else a blob would hold
+    a few, and more bytes of keys and headers than of anchors."""
+    most = min(GATHER, buckets * RECORDS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, keys, size = [], [], 0
+        texts, keys, size, held, n = [], [], 0, [], 0
+
+        def blobs() -> pa.RecordBatch | None:
+            return _anchor_blobs(*(np.concatenate([x[i] for x in held]) for i in range(3)), buckets)
+
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
@@ -272,10 +309,15 @@ def _emit_anchors(buckets: int):
                         keys.append(key)
                         size += len(text)
                     if size >= CHUNK:
-                        if (out := _chunk_anchors(texts, keys, buckets)) is not None:
-                            yield out
+                        held.append(_text_anchors(texts, keys))
+                        n += len(held[-1][0])
                         texts, keys, size = [], [], 0
-        if texts and (out := _chunk_anchors(texts, keys, buckets)) is not None:
+                        if n >= most:
+                            yield blobs()
+                            held, n = [], 0
+        if texts:
+            held.append(_text_anchors(texts, keys))
+        if held and (out := blobs()) is not None:
             yield out
     return run
 
@@ -298,6 +340,8 @@ def _find_shared(buckets: int, hot: int):
                 names, blocks = np.unique(np.stack([np.concatenate([h[mine], also_h[theirs]]).astype(np.int64) | bucket << 32,
                                                     np.concatenate([np.mod(rk[mine], buckets), also[theirs].astype(np.int64)])]), axis=1)
             rk, pos = rk[keep], pos[keep]
+        like = np.lexsort((pos, rk))  # a document's anchors side by side compress well
+        rk, pos = rk[like], pos[like]
         out = np.empty(len(rk), dtype=ANCHOR)
         out["rk"], out["pos"] = rk, pos
         told = np.empty(len(names), dtype=ANCHOR)
@@ -306,6 +350,12 @@ def _find_shared(buckets: int, hot: int):
     return run
 
 
+def _short(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """A short name for each key of a block, the same for whoever holds the block: its rank there, times
+    ``buckets``, plus the block.  Contexts and hits bear it instead of the eight random bytes of the key."""
+    return np.unique(keys, return_inverse=True)[1].astype(np.int64) * buckets + np.mod(keys, buckets)
+
+
 def _names(gram: np.ndarray, buckets: int) -> np.ndarray:
     """What ``_find_shared`` calls the anchors with these ``GRAM`` bytes."""
     h = _mix(gram_hashes(gram.reshape(-1))[::GRAM])
@@ -410,6 +460,7 @@ def _emit_contexts(buckets: int):
         out = [pa.RecordBatch.from_arrays([pa.array([], pa.int32()), pa.array([], pa.binary())], ["bucket", "data"])]
         if len(want):
             keys = docs.column("rk").to_numpy()
+            names = _short(keys, buckets)
             wanted = np.unique(want["rk"])
             rows, seen = [], set()
             for i in np.nonzero(np.isin(keys, wanted))[0].tolist():  # of repeated rows, one
@@ -424,7 +475,7 @@ def _emit_contexts(buckets: int):
             doc = np.searchsorted(keys[rows], want["rk"])
             begin = np.concatenate([[0], ends])[doc]
             rec = np.empty(len(want), dtype=SEEN)
-            rec["id"], rec["rk"], rec["pos"] = ids[doc], want["rk"], want["pos"]
+            rec["id"], rec["rk"], rec["pos"] = ids[doc], names[rows][doc], want["pos"]
             for i in range(0, len(want), CONTEXTS):
                 s = slice(i, i + CONTEXTS)
                 places = (begin[s] + want["pos"][s])[:, None] + np.arange(-REACH, LENGTH)
@@ -523,7 +574,7 @@ def removed_runs(sizes: np.ndarray, doc: np.ndarray, pos: np.ndarray, mask: np.n
     return owner, a - begin[owner], b - begin[owner]
 
 
-def _cut_block(rest: list[str], characters: bool):
+def _cut_block(rest: list[str], characters: bool, buckets: int):
     """Cut the documents of a block. ``characters``: keep whole characters only."""
     def run(packed: pa.Table, found: pa.Table) -> pa.Table:
         docs, hits = _documents(packed), _unpacked(found, HIT)
@@ -534,7 +585,7 @@ def _cut_block(rest: list[str], characters: bool):
         if len(hits):
             # Each row with hits, repeated rows included, takes those of its key.
             hits = hits[np.argsort(hits["rk"], kind="stable")]
-            keys = docs.column("rk").to_numpy()
+            keys = _short(docs.column("rk").to_numpy(), buckets)
             low, high = np.searchsorted(hits["rk"], keys, side="left"), np.searchsorted(hits["rk"], keys, side="right")
             rows = np.nonzero(high > low)[0]
             count = (high - low)[rows]
@@ -587,7 +638,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     out = T.StructType([d.schema["row"], T.StructField("bytes", T.BinaryType()),
                         T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())),
                         T.StructField("kept", T.BinaryType())])
-    cut = packed.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(_cut_block(["row"], characters), out)
+    cut = packed.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(_cut_block(["row"], characters, n), out)
     names = [c for c in docs.columns if c != text_col]
     return cut.select(F.struct(*[F.col(f"row.c{docs.columns.index(c)}").alias(c) for c in names]).alias("row"),
                       "bytes", "starts", "ends", "kept")
