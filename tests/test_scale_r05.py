@@ -28,7 +28,8 @@ def test_files_of_the_stream_follow_the_facts(spark):
                 assert {r["file"]: r["count"] for r in landed.groupBy("file").count().collect()} == rows
                 # A product's rows of a source file lie in one landed file.
                 code = F.ltrim(F.col("StockCode"), F.lit("="))
-                apart = landed.groupBy("file", code.alias("code")).agg(F.count_distinct(F.input_file_name()).alias("n")).filter("n > 1 AND code IS NOT NULL")
+                lies = landed.select("file", code.alias("code"), F.input_file_name().alias("at")).filter("code IS NOT NULL")
+                apart = lies.groupBy("file", "code").agg(F.count_distinct("at").alias("n")).filter("n > 1")
                 assert apart.isEmpty()
     finally:
         spark.conf.set(key, before)
@@ -47,3 +48,16 @@ def test_a_batch_without_new_products_orders_nothing(spark, scratch, monkeypatch
     assert calls
     total = lambda out: merged_daily(spark, out).agg(F.sum("total_quantity"), F.sum("transaction_count")).first()
     assert total(scratch + "/known") == total(scratch + "/new")
+
+
+def test_tables_of_a_load_are_stored_small(spark, scratch):
+    """Cells, staging and facts were written with the default codec; at 6 GB the loads ran out of disk."""
+    from tillcast.plans.ingest import ingest_upload
+    from tillcast.session import stored
+    d = RetailData(spark, SF)
+    res = ingest_upload(spark, catalog._landing(spark, d, 1_000_000), 1, d.products, scratch)
+    assert res.status == "completed"
+    for table in ("cells", "staging", "facts", "daily_parts"):
+        names = [r["path"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{scratch}/{table}").select("path").collect()]
+        assert names and all(".zstd." in x for x in names), names
+    assert all(".zstd." in x for x in stored(spark.range(3), "three").inputFiles())
